@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from hiretide import vocab as V
 from hiretide.functions.posting import fingerprint
@@ -32,11 +33,17 @@ def run_label(run_ts: Column | str) -> Column:
     )
 
 
+def moment(at: datetime, kind: DataType) -> Column:
+    """A wall-clock literal of the column's own timestamp type."""
+    return F.lit(at.isoformat(sep=" ")).cast(kind)
+
+
 # --- one run ----------------------------------------------------------------
 
 def live_state(seen: DataFrame, now: datetime) -> DataFrame:
     """Entries younger than the retention; exactly 14 days old is expired."""
-    return seen.filter(F.col("emitted_at") > F.lit(now - timedelta(days=V.STATE_DAYS)).cast(seen.schema["emitted_at"].dataType))
+    cutoff = now - timedelta(days=V.STATE_DAYS)
+    return seen.filter(F.col("emitted_at") > moment(cutoff, seen.schema["emitted_at"].dataType))
 
 
 def first_in_batch(postings: DataFrame, order: list[str]) -> DataFrame:
@@ -63,7 +70,7 @@ def dedup_run(postings: DataFrame, seen: DataFrame, now: datetime, order: list[s
 def state_merge(live: DataFrame, fresh: DataFrame, now: datetime) -> DataFrame:
     kind = live.schema["emitted_at"].dataType
     return live.select("fp", "emitted_at").unionByName(
-        fresh.select("fp", F.lit(now).cast(kind).alias("emitted_at"))
+        fresh.select("fp", moment(now, kind).alias("emitted_at"))
     )
 
 

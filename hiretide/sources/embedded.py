@@ -59,15 +59,16 @@ def phenom(raw: DataFrame, dim: DataFrame, cfg: DataFrame, rules: Rules = Rules(
         start = F.greatest(at - PHENOM_BEFORE, F.lit(1))
         return F.struct(seq.alias("seq"), F.substring(body, start, at - start + PHENOM_AFTER).alias("w"))
 
+    def record(r: Column) -> Column:
+        place = L.phenom_location(_last_value(r["w"], "city"), _last_value(r["w"], "state"))
+        return F.struct(r["seq"].alias("seq_no"), _last_value(r["w"], "title").alias("title"), place.alias("location"))
+
+    windows = F.transform(F.array_distinct(_all(body, PHENOM_SEQ, 1)), window)
     rows = (
         ok_payloads(raw, "phenom")
         .select("source", "company", "fetched_at", "page_no",
-                F.posexplode(F.transform(F.array_distinct(_all(body, PHENOM_SEQ, 1)), window)).alias("pos", "r"))
-        .select(
-            *KEYS, F.col("r")["seq"].alias("seq_no"),
-            _last_value(F.col("r")["w"], "title").alias("title"),
-            L.phenom_location(_last_value(F.col("r")["w"], "city"), _last_value(F.col("r")["w"], "state")).alias("location"),
-        )
+                F.posexplode(F.transform(windows, record)).alias("pos", "r"))
+        .select(*KEYS, "r.seq_no", "r.title", "r.location")
         .filter((F.col("title") != "") & rules.is_role(F.col("title")) & rules.is_geo(F.col("location")))
     )
     url = F.replace(

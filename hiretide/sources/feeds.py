@@ -1,57 +1,75 @@
-"""RSS feeds."""
+"""RSS feeds.
+
+Records are built inside the generator, so the role and location predicates
+below it work on finished columns instead of parsing the text again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiretide.functions import location as L
 from hiretide.functions.classify import Rules
-from hiretide.functions.text import strip, text_or_blank
+from hiretide.functions.text import strip, text_or_blank, unescape_html
 from hiretide.operators.joins import salted_join
 from hiretide.operators.normalize import LINEAGE, SPREAD, finish
 from hiretide.sources.payloads import ok_payloads
 
 KEYS = ["company", *LINEAGE]
-_ITEM = "struct<title: string, link: string>"
 # The item list is only trusted when the whole document is well formed.
-_CHANNEL = f"struct<channel: struct<item: array<{_ITEM}>>, _corrupt_record: string>"
+_CHANNEL = "struct<channel: struct<item: array<struct<title: string, link: string>>>, _corrupt_record: string>"
 _WHOLE = "struct<_corrupt_record: string>"
 
 
+def _records(raw: DataFrame, source: str, records: Column) -> DataFrame:
+    """(keys.., r) per record struct of each well-formed feed."""
+    return ok_payloads(raw, source).select(
+        "source", "company", "fetched_at", "page_no", F.posexplode(records).alias("pos", "r")
+    )
+
+
 def avature(raw: DataFrame, dim: DataFrame, cfg: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """channel/item; the office is a bracket prefix of the title.
 
     The role test runs on the title with and without its prefix.
     """
-    doc = ok_payloads(raw, "avature").withColumn("x", F.from_xml("body", _CHANNEL))
+    doc = F.from_xml("body", _CHANNEL)
+
+    def record(i: Column) -> Column:
+        full = strip(text_or_blank(i["title"]))
+        return F.struct(
+            full.alias("full_title"), L.avature_prefix(full).alias("p"), strip(text_or_blank(i["link"])).alias("url")
+        )
+
+    raw = raw.withColumn("x", doc)
+    items = F.when(F.col("x")["_corrupt_record"].isNull(), F.transform(F.col("x")["channel"]["item"], record))
     rows = (
-        doc.filter(F.col("x")["_corrupt_record"].isNull())
-        .select("source", "company", "fetched_at", "page_no",
-                F.posexplode(F.col("x")["channel"]["item"]).alias("pos", "i"))
-        .withColumn("full_title", strip(text_or_blank(F.col("i")["title"])))
-        .filter((F.col("full_title") != "") & rules.is_role(F.col("full_title")))
-        .withColumn("p", L.avature_prefix("full_title"))
-        .filter(F.col("p")["location"].isNotNull())
-        .select(*KEYS, F.col("p")["title"].alias("title"), F.col("p")["location"].alias("location"),
-                strip(text_or_blank(F.col("i")["link"])).alias("url"))
-        .filter(rules.is_role(F.col("title")))
+        _records(raw, "avature", items)
+        .select(*KEYS, "r.full_title", "r.p.title", "r.p.location", "r.url")
+        .filter((F.col("full_title") != "") & F.col("location").isNotNull())
+        .filter(rules.is_role(F.col("full_title")) & rules.is_role(F.col("title")))
+        .drop("full_title")
     )
     hosts = cfg.filter((F.col("source") == "avature") & (text_or_blank("slug") != "")).select("company")
     rows = salted_join(rows, hosts, ["company"], SPREAD, "left_semi")
     return finish(rows, dim, rules, geo=False)
 
 
+def _child(item: Column, tag: str) -> Column:
+    """Text of a child element: entities undone, or a CDATA section as it is."""
+    inner = F.regexp_extract(item, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
+    literal = F.regexp_extract(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
+    return strip(F.when(inner.contains("<![CDATA["), literal).otherwise(unescape_html(inner)))
+
+
 def boc_rss(raw: DataFrame, dim: DataFrame, cfg: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
     """Items at any depth; "Title (City, Province)"."""
-    item = F.regexp_extract_all("body", F.lit(r"(?s)(<item(?:\s[^>]*)?>.*?</item>)"), F.lit(1))
-    rows = (
-        ok_payloads(raw, "boc_rss")
-        .filter(F.from_xml("body", _WHOLE)["_corrupt_record"].isNull())
-        .select("source", "company", "fetched_at", "page_no", F.posexplode(item).alias("pos", "text"))
-        .withColumn("i", F.from_xml("text", _ITEM))
-        .withColumn("p", L.boc_title_location(strip(text_or_blank(F.col("i")["title"]))))
-        .select(*KEYS, F.col("p")["title"].alias("title"), F.col("p")["location"].alias("location"),
-                strip(text_or_blank(F.col("i")["link"])).alias("url"))
-    )
-    return finish(rows, dim, rules, geo=False)
+    items = F.regexp_extract_all("body", F.lit(r"(?s)(<item(?:\s[^>]*)?>.*?</item>)"), F.lit(1))
+
+    def record(i: Column) -> Column:
+        return F.struct(L.boc_title_location(_child(i, "title")).alias("p"), _child(i, "link").alias("url"))
+
+    well_formed = F.from_xml("body", _WHOLE)["_corrupt_record"].isNull()
+    rows = _records(raw, "boc_rss", F.when(well_formed, F.transform(items, record)))
+    return finish(rows.select(*KEYS, "r.p.title", "r.p.location", "r.url"), dim, rules, geo=False)
