@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +31,11 @@ def text_or_blank(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_non_empty(*cols: Column | str) -> Column:
     """First value that is neither null nor the empty string, else ''."""
     return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cols], F.lit(""))

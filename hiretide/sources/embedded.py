@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hiretide import vocab as V
 from hiretide.functions import location as L
 from hiretide.functions.classify import Rules
-from hiretide.functions.text import first_non_empty, slugify, strip, text_or_blank
+from hiretide.functions.text import first_non_empty, let, slugify, strip, text_or_blank
 from hiretide.operators.joins import join_source_config
 from hiretide.operators.normalize import LINEAGE, SPREAD, finish
 from hiretide.sources.payloads import ok_payloads
@@ -38,8 +38,14 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 def first_by(records: Column, key: str) -> Column:
     """First record per key of an array of structs, order kept."""
-    keys = F.transform(records, lambda r: r[key])
-    return F.filter(records, lambda r, i: F.array_position(keys, r[key]) == i + 1)
+
+    def pick(all_: Column) -> Column:
+        return let(
+            F.transform(all_, lambda r: r[key]),
+            lambda keys: F.filter(all_, lambda r, i: F.array_position(keys, r[key]) == i + 1),
+        )
+
+    return let(records, pick)
 
 
 def _last_value(window: Column, field: str) -> Column:

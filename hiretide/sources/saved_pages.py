@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiretide.functions.classify import Rules
-from hiretide.functions.text import first_non_empty, resolve_href, strip, tag_text, text_or_blank
+from hiretide.functions.text import first_non_empty, let, resolve_href, strip, tag_text, text_or_blank
 from hiretide.functions.urls import title_from_url
 from hiretide.operators.normalize import build_posting
 from hiretide.schemas import POSTING_COLUMNS
@@ -75,17 +75,13 @@ def _matching(els: Column, selector: str) -> Column:
     return F.filter(els, lambda e: e["path"].rlike(regex))
 
 
-def _below(e: Column, index: Column) -> Column:
+def _below(e: Column) -> Column:
     """All descendants; elements are in document order, so they are adjacent."""
-    return F.slice(F.col("els"), index + 2, e["n_below"])
-
-
-def _index_of(e: Column) -> Column:
-    """A tree element's own index, from its parent's subtree."""
-    return e["at"]
+    return F.slice(F.col("els"), e["at"] + 2, e["n_below"])
 
 
 def _indexed() -> Column:
+    """Elements with their own index."""
     return F.transform(
         "els",
         lambda e, i: F.struct(
@@ -108,9 +104,15 @@ def choose_pattern(els: Column, patterns: tuple[str, ...], hits: int, otherwise:
     return F.coalesce(*options, F.filter(els, lambda e: F.lit(False)))
 
 
+def _firsts(scope: Column, selectors: tuple[str, ...]) -> Column:
+    """First match of each selector, in order; null where there is none."""
+    return let(scope, lambda sc: F.array(*[F.get(_matching(sc, s), F.lit(0)) for s in selectors]))
+
+
 def _first_text(scope: Column, selectors: tuple[str, ...]) -> Column:
     """First non-blank text, selectors in order, first match of each; else ''."""
-    return first_non_empty(*[_text(F.get(_matching(scope, s), F.lit(0)), False) for s in selectors], F.lit(""))
+    texts = F.transform(_firsts(scope, selectors), lambda e: _text(e, False))
+    return text_or_blank(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)))
 
 
 def _ancestor(e: Column, levels: int) -> Column:
@@ -125,28 +127,34 @@ def link_records(rules: LinkRules, match: Rules, native: bool) -> Column:
     """array<struct<title,url,location,posted>> of one page's links."""
     els, base = F.col("els"), F.col("url")
 
-    def record(e: Column) -> Column:
-        url = resolve_href(base, text_or_blank(e["href"]))
+    def title_of(e: Column) -> Column:
         title = _text(e, native)
         if rules.title_selectors:
-            title = first_non_empty(_first_text(_below(e, _index_of(e)), rules.title_selectors), title)
+            title = first_non_empty(_first_text(_below(e), rules.title_selectors), title)
         if rules.title_else == "parent":
-            title = first_non_empty(title, _text(_ancestor(e, 1), native))
-        elif rules.title_else:
-            title = first_non_empty(title, title_from_url(url, rules.title_else))
-        places = []
-        for level in rules.place_levels:
-            up = _ancestor(e, level)
-            places += [
-                _text(F.get(_matching(_below(up, _index_of(up)), s), F.lit(0)), False) for s in rules.place_selectors
-            ]
-        place = first_non_empty(*places, F.lit("")) if places else F.lit("")
+            title = first_non_empty(title, let(_ancestor(e, 1), lambda up: _text(up, False)))
+        return title
+
+    def place_of(e: Column) -> Column:
+        places = [
+            let(_ancestor(e, level), lambda up: _first_text(_below(up), rules.place_selectors))
+            for level in rules.place_levels
+        ]
+        return first_non_empty(*places, F.lit("")) if places else F.lit("")
+
+    def record(e: Column) -> Column:
         return F.struct(
-            title.alias("title"), url.alias("url"), place.alias("location"), F.lit(None).cast("string").alias("posted")
+            title_of(e).alias("title"), resolve_href(base, text_or_blank(e["href"])).alias("url"),
+            place_of(e).alias("location"), F.lit(None).cast("string").alias("posted"),
         )
 
     chosen = choose_pattern(els, rules.patterns, rules.hits, rules.otherwise)
     records = F.transform(F.slice(chosen, 1, rules.cap), record)
+    if rules.title_else in ("details", "ey"):
+        records = F.transform(
+            records,
+            lambda r: r.withField("title", first_non_empty(r["title"], title_from_url(r["url"], rules.title_else))),
+        )
 
     def titled(r: Column) -> Column:
         ok = F.length(r["title"]) >= rules.min_title
@@ -203,40 +211,43 @@ def card_records(rules: CardRules, match: Rules) -> Column:
     """array<struct<title,url,location,posted>> of one page's cards."""
     base = F.col("url")
 
-    def record(card: Column) -> Column:
-        scope = _below(card, _index_of(card))
-
-        def first(selector: str) -> Column:
-            return F.get(_matching(scope, selector), F.lit(0))
+    n_titles, n_places = len(rules.titles), len(rules.places)
 
-        def href(e: Column) -> Column:
-            return resolve_href(base, text_or_blank(e["href"]))
+    def shown(e: Column) -> Column:
+        return F.struct(
+            e.isNotNull().alias("found"), text_or_blank(_text(e, False)).alias("text"),
+            resolve_href(base, text_or_blank(e["href"])).alias("url"),
+        )
 
-        anchor = F.struct(href(first("a")).alias("url"), F.lit("").alias("title"))
-        found = [
-            F.struct(_text(first(s), False).alias("title"), href(first(s)).alias("url")) for s in rules.titles
-        ]
-        card_text = _text(card, False)
-        if rules.first_found:
-            # the first selector that matches wins even when its text is blank
-            picks = [F.when(first(s).isNotNull(), f) for s, f in zip(rules.titles, found)]
-            if rules.card_text_title:
-                picks.append(F.struct(card_text.alias("title"), href(card).alias("url")))
-        else:
-            picks = [F.when(text_or_blank(f["title"]) != "", f) for f in found]
-            if rules.card_text_title:
-                picks.append(F.struct(card_text.alias("title"), anchor["url"].alias("url")))
-        pick = F.coalesce(*picks)
-        posted = _first_text(scope, rules.posted) if rules.posted else F.lit("")
+    # each card: first match per title selector, place selector, posted
+    # selector, then its first link, then the card itself
+    asked = (*rules.titles, *rules.places, *rules.posted, "a")
+
+    def look(card: Column) -> Column:
+        return F.transform(F.concat(_firsts(_below(card), asked), F.array(card)), shown)
+
+    def record(found: Column) -> Column:
+        titles = F.slice(found, 1, n_titles)
+        places = F.slice(found, n_titles + 1, n_places)
+        dated = F.slice(found, n_titles + n_places + 1, len(rules.posted))
+        anchor, card = F.get(found, F.lit(len(asked) - 1)), F.get(found, F.lit(len(asked)))
+        # "first found" takes a matching element even when its text is blank
+        usable = F.filter(titles, lambda t: t["found"] if rules.first_found else t["text"] != "")
+        if rules.card_text_title:
+            link = card if rules.first_found else anchor
+            usable = F.concat(usable, F.array(card.withField("url", link["url"])))
+        pick = F.get(usable, F.lit(0))
+        written = F.filter(places, lambda t: t["text"] != "")
+        posted = F.filter(dated, lambda t: t["text"] != "")
         return F.struct(
-            text_or_blank(pick["title"]).alias("title"),
-            text_or_blank(anchor["url"] if rules.url_from_card else pick["url"]).alias("url"),
-            _first_text(scope, rules.places).alias("location"),
-            F.when(posted != "", posted).alias("posted"),
-            F.coalesce(*[first(s).isNotNull() | F.lit(None) for s in rules.places], F.lit(False)).alias("placed"),
+            text_or_blank(pick["text"]).alias("title"),
+            text_or_blank((anchor if rules.url_from_card else pick)["url"]).alias("url"),
+            text_or_blank(F.get(written, F.lit(0))["text"]).alias("location"),
+            F.get(posted, F.lit(0))["text"].alias("posted"),
+            F.exists(places, lambda t: t["found"]).alias("placed"),
         )
 
-    records = F.transform(F.slice(F.col("cards"), 1, rules.cap), record)
+    records = F.transform(F.transform(F.slice(F.col("cards"), 1, rules.cap), look), record)
     records = F.filter(records, lambda r: F.length(r["title"]) >= rules.min_title)
     if rules.place_required:
         records = F.filter(records, lambda r: r["placed"])
@@ -295,29 +306,34 @@ def table_records(match: Rules) -> Column:
     """Title and place from the cells of the row a link stands in."""
     base = F.col("url")
 
-    def record(e: Column) -> Column:
-        row = _ancestor(e, 2)
-        cells = F.transform(
-            F.filter(_below(row, _index_of(row)), lambda c: c["path"].rlike(r"<td(?= |>)[^>]*>$")),
-            lambda c: _text(c, False),
-        )
-        n = F.coalesce(F.size(cells), F.lit(0))
-        named = F.get(
-            F.filter(F.slice(cells, 2, F.greatest(n, F.lit(1))), lambda t: (t != "") & ~t.rlike(JOB_CODE)), F.lit(0)
+    def cell_texts(row: Column) -> Column:
+        cells = F.filter(_below(row), lambda c: c["path"].rlike(r"<td(?= |>)[^>]*>$"))
+        return F.transform(cells, lambda c: _text(c, False))
+
+    def look(e: Column) -> Column:
+        around = F.transform(F.array(*[_ancestor(e, k) for k in (3, 2, 1)], e), lambda a: _text(a, False))
+        return F.struct(
+            let(_ancestor(e, 2), cell_texts).alias("cells"), around.alias("around"),
+            resolve_href(base, text_or_blank(e["href"])).alias("url"),
         )
-        around = first_non_empty(*[_text(_ancestor(e, k), False) for k in (3, 2, 1)], _text(e, False))
+
+    def record(x: Column) -> Column:
+        cells, n = x["cells"], F.coalesce(F.size(x["cells"]), F.lit(0))
+        named = F.filter(cells, lambda t, i: (i > 0) & (t != "") & ~t.rlike(JOB_CODE))
+        row_text = F.get(F.filter(x["around"], lambda t: t != ""), F.lit(0))
         place = F.when(
             n >= 5, F.concat(F.get(cells, F.lit(3)), F.lit(" "), F.get(cells, F.lit(4)))
         ).when(n == 4, F.get(cells, F.lit(3)))
         return F.struct(
-            first_non_empty(named, strip(F.regexp_replace(around, JOB_CODE + r"\s*", ""))).alias("title"),
-            resolve_href(base, text_or_blank(e["href"])).alias("url"),
+            first_non_empty(F.get(named, F.lit(0)), strip(F.regexp_replace(row_text, JOB_CODE + r"\s*", ""))).alias("title"),
+            x["url"].alias("url"),
             strip(text_or_blank(place)).alias("location"),
             F.lit(None).cast("string").alias("posted"),
         )
 
     chosen = choose_pattern(F.col("els"), NJOYN.patterns, NJOYN.hits, NJOYN.otherwise)
-    records = F.filter(F.transform(F.slice(chosen, 1, NJOYN.cap), record), lambda r: r["url"] != "")
+    records = F.transform(F.transform(F.slice(chosen, 1, NJOYN.cap), look), record)
+    records = F.filter(records, lambda r: r["url"] != "")
     return F.filter(
         first_by(records, "url"),
         lambda r: (r["title"] != "") & match.is_role(r["title"])

@@ -178,7 +178,8 @@ _source("src_shopify_html", "shopify", S.ctes(S.P, S.D, """q AS (
 _source("src_canadalife_html", "canadalife", S.ctes(S.P, S.D, f"""q AS (
   SELECT company, seq, {S.strip("title || ' & more'")} AS title,
          CASE WHEN trim(location) = '' THEN 'Regina, SK, Canada'
-              WHEN seq % 4 = 0 THEN ltrim(location) || ', Canada' ELSE trim(location) END AS location
+              ELSE regexp_replace(CASE WHEN seq % 4 = 0 THEN ltrim(location) || ', CA' ELSE trim(location) END,
+                                  ',\\s*CA\\s*$', ', Canada') END AS location
   FROM p QUALIFY row_number() OVER (PARTITION BY company, page_no, seq % 89 ORDER BY seq) = 1)""", S.rows(
     source="q", url="'https://jobs.canadalife.com/job/' || (seq % 89)", where=f"{ROLE} AND {CA}")) + S.norm())
 
@@ -959,7 +960,7 @@ def seen_dedup_stream(spark, sf_dir):
     """The replay as a file stream; emissions land in a table."""
     path = scratch_path(spark, "seen-stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = X.postings_of(events).select("seq", "run_ts", "company", "title", "location")
     postings = posting_filter(build_posting(rows, X.companies(spark, sf_dir), ["seq"]))
     seen_stream.run_available(seen_stream.dedup_stream(postings, "run_ts", "seq"), f"{path}/out", f"{path}/checkpoint")
@@ -981,12 +982,13 @@ _RUN_CHUNKS = f"""k AS (
   SELECT *, row_number() OVER (PARTITION BY run_ts ORDER BY {S.level_rank('level')}, company, seq) - 1 AS rn,
          count(*) OVER (PARTITION BY run_ts) AS n_all FROM h),
 ch AS (SELECT *, rn // 50 AS chunk_no, (n_all + 49) // 50 AS n_chunks FROM k)"""
-_SECTION = f"""sec AS (
+_SECTION = f"""hx AS (SELECT *, {_HTML_SQL} AS frag, {S.category_icon('category')} AS icon, {_esc('category')} AS cat FROM ch),
+sec AS (
   SELECT run_ts, chunk_no, category, min(rn) AS first_rn,
-         '<h3>' || {S.category_icon('category')} || ' ' || {_esc('category')} || ' (' || count(*) || ' jobs)</h3>'
-           || string_agg({_HTML_SQL}, '' ORDER BY rn) AS section FROM ch GROUP BY ALL),
-sx AS (SELECT run_ts, chunk_no, string_agg(section, '' ORDER BY first_rn) AS html FROM sec GROUP BY ALL),
-sk AS (SELECT run_ts, chunk_no, n_chunks, {_STATS} FROM ch GROUP BY ALL)"""
+         '<h3>' || icon || ' ' || cat || ' (' || count(*) || ' jobs)</h3>' || string_agg(frag, '' ORDER BY rn) AS section
+  FROM hx GROUP BY run_ts, chunk_no, category, icon, cat),
+sx AS (SELECT run_ts, chunk_no, string_agg(section, '' ORDER BY first_rn) AS html FROM sec GROUP BY run_ts, chunk_no),
+sk AS (SELECT run_ts, chunk_no, n_chunks, {_STATS} FROM ch GROUP BY run_ts, chunk_no, n_chunks)"""
 _DIGEST_SQL = f"""SELECT {SQL_TS.format('run_ts')} AS run, chunk_no, n_chunks,
   '🔔 Job Alert [' || CASE WHEN hour(run_ts) < 12 THEN 'Morning (9 AM)' ELSE 'Evening (6 PM)' END
     || CASE WHEN n_chunks > 1 THEN ' (' || (chunk_no + 1) || '/' || n_chunks || ')' ELSE '' END
