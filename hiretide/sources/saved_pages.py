@@ -67,7 +67,8 @@ def _text(e: Column, native: bool) -> Column:
     if native:
         return e["text"]
     raw = F.substring(F.col("page_text"), e["t0"] + 1, e["t1"] - e["t0"])
-    return strip(F.regexp_replace(raw, r"\s+", " "))
+    long_text = strip(F.regexp_replace(raw, r"(?U)\s+", " "))
+    return F.when(e["text"].isNotNull(), e["text"]).when(e["t0"].isNotNull(), long_text)
 
 
 def _matching(els: Column, selector: str) -> Column:
@@ -80,23 +81,11 @@ def _below(e: Column) -> Column:
     return F.slice(F.col("els"), e["at"] + 2, e["n_below"])
 
 
-def _indexed() -> Column:
-    """Elements with their own index."""
-    return F.transform(
-        "els",
-        lambda e, i: F.struct(
-            e["path"].alias("path"), e["parent"].alias("parent"), e["n_below"].alias("n_below"),
-            e["href"].alias("href"), e["t0"].alias("t0"), e["t1"].alias("t1"), i.alias("at"),
-        ),
-    )
-
-
 def choose_pattern(els: Column, patterns: tuple[str, ...], hits: int, otherwise: str | None, keep_last: bool = False) -> Column:
     """Matches of the first pattern with enough of them, else the fallback's."""
     options = []
     for p in patterns:
-        found = _matching(els, p)
-        options.append(F.when(F.size(found) >= hits, found))
+        options.append(let(_matching(els, p), lambda found: F.when(F.size(found) >= hits, found)))
     if keep_last:
         options.append(_matching(els, patterns[-1]))
     elif otherwise:
@@ -123,9 +112,9 @@ def _ancestor(e: Column, levels: int) -> Column:
 
 # --- links ------------------------------------------------------------------
 
-def link_records(rules: LinkRules, match: Rules, native: bool) -> Column:
+def link_records(els: Column, rules: LinkRules, match: Rules, native: bool) -> Column:
     """array<struct<title,url,location,posted>> of one page's links."""
-    els, base = F.col("els"), F.col("url")
+    base = F.col("url")
 
     def title_of(e: Column) -> Column:
         title = _text(e, native)
@@ -177,7 +166,7 @@ def link_records(rules: LinkRules, match: Rules, native: bool) -> Column:
 
 
 def _produce(pages: DataFrame, records: Column, default: Column) -> DataFrame:
-    keys = [c for c in pages.columns if c not in ("els", "page_text", "url")]
+    keys = [c for c in pages.columns if c not in ("els", "page_text", "url", "__l", "__c", "cards")]
     return (
         pages.withColumn("__r", records)
         .select(*keys, F.posexplode("__r").alias("pos", "r"))
@@ -196,13 +185,10 @@ def link_rows(
     default = F.lit(rules.location) if default is None else default
     native = anchor_only(rules) if native is None else native
     if native:
-        parsed = pages.withColumn("els", native_links(F.col("html"))).drop("html")
-    else:
-        tree = bool(rules.title_selectors or rules.place_levels or rules.title_else == "parent")
-        parsed = with_elements(pages, "html", tree)
-        if tree:
-            parsed = parsed.withColumn("els", _indexed())
-    return _produce(parsed, link_records(rules, match, native), default)
+        records = let(native_links(F.col("html")), lambda els: link_records(els, rules, match, True))
+        return _produce(pages.withColumn("__l", records).drop("html"), F.col("__l"), default)
+    tree = bool(rules.title_selectors or rules.place_levels or rules.title_else == "parent")
+    return _produce(with_elements(pages, "html", tree), link_records(F.col("els"), rules, match, False), default)
 
 
 # --- cards ------------------------------------------------------------------
@@ -273,21 +259,21 @@ def card_rows(
     pages: DataFrame, rules: CardRules, match: Rules = Rules(), links: LinkRules | None = None
 ) -> DataFrame:
     """Posting rows from repeated blocks; pages without blocks use ``links``."""
-    parsed = with_elements(pages, "html", True).withColumn("els", _indexed())
+    parsed = with_elements(pages, "html", True)
     parsed = parsed.withColumn(
         "cards", choose_pattern(F.col("els"), rules.cards, rules.hits, None, rules.keep_last)
     )
     records = card_records(rules, match)
     if links is not None:
         other = F.transform(
-            link_records(links, match, False),
+            link_records(F.col("els"), links, match, False),
             lambda r: F.struct(
                 r["title"].alias("title"), r["url"].alias("url"),
                 first_non_empty(r["location"], F.lit(links.location)).alias("location"), r["posted"].alias("posted"),
             ),
         )
         records = F.when(F.size("cards") > 0, records).otherwise(other)
-    return _produce(parsed.withColumn("__c", records).drop("cards"), F.col("__c"), F.lit("")).drop("__c")
+    return _produce(parsed, records, F.lit(""))
 
 
 # Sites whose cards fall back to their links.
@@ -311,21 +297,24 @@ def table_records(match: Rules) -> Column:
         return F.transform(cells, lambda c: _text(c, False))
 
     def look(e: Column) -> Column:
-        around = F.transform(F.array(*[_ancestor(e, k) for k in (3, 2, 1)], e), lambda a: _text(a, False))
         return F.struct(
-            let(_ancestor(e, 2), cell_texts).alias("cells"), around.alias("around"),
+            e.alias("link"), let(_ancestor(e, 2), cell_texts).alias("cells"),
             resolve_href(base, text_or_blank(e["href"])).alias("url"),
         )
 
+    def row_text(e: Column) -> Column:
+        around = [let(_ancestor(e, k), lambda a: _text(a, False)) for k in (3, 2, 1)]
+        return strip(F.regexp_replace(first_non_empty(*around, _text(e, False)), JOB_CODE + r"\s*", ""))
+
     def record(x: Column) -> Column:
         cells, n = x["cells"], F.coalesce(F.size(x["cells"]), F.lit(0))
         named = F.filter(cells, lambda t, i: (i > 0) & (t != "") & ~t.rlike(JOB_CODE))
-        row_text = F.get(F.filter(x["around"], lambda t: t != ""), F.lit(0))
         place = F.when(
             n >= 5, F.concat(F.get(cells, F.lit(3)), F.lit(" "), F.get(cells, F.lit(4)))
         ).when(n == 4, F.get(cells, F.lit(3)))
         return F.struct(
-            first_non_empty(F.get(named, F.lit(0)), strip(F.regexp_replace(row_text, JOB_CODE + r"\s*", ""))).alias("title"),
+            # the row's whole text is only read when no cell gives a title
+            F.coalesce(F.get(named, F.lit(0)), row_text(x["link"])).alias("title"),
             x["url"].alias("url"),
             strip(text_or_blank(place)).alias("location"),
             F.lit(None).cast("string").alias("posted"),
@@ -342,7 +331,7 @@ def table_records(match: Rules) -> Column:
 
 
 def table_rows(pages: DataFrame, match: Rules = Rules()) -> DataFrame:
-    parsed = with_elements(pages, "html", True).withColumn("els", _indexed())
+    parsed = with_elements(pages, "html", True)
     return _produce(parsed, table_records(match), F.lit("Canada"))
 
 

@@ -2,25 +2,32 @@
 
 A page stays one row: its elements come back as an array in document order,
 so everything after this is array expressions and no shuffle is needed to put
-a page together again.  Element text is given as offsets into the page text,
-which is stored once.
+a page together again.  Short element texts travel with the element; longer
+ones (containers repeat what is inside them) are given as offsets into the
+page text, which is stored once.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-ELEMENT = "struct<path: string, parent: int, n_below: int, href: string, t0: int, t1: int>"
+# The parser travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ELEMENT = "struct<path: string, at: int, parent: int, n_below: int, href: string, text: string, t0: int, t1: int>"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code em font i kbd mark q s small span strong sub sup time u var".split())
 _CLOSES_SAME = frozenset("li p tr td th dt dd option".split())
 _ROWS_PER_BATCH = 64
+_SHORT = 300
 
 
 class _Elements(HTMLParser):
@@ -39,7 +46,7 @@ class _Elements(HTMLParser):
     def _close_to(self, depth: int) -> None:
         while len(self.open) > depth:
             row = self.rows[self.open.pop()]
-            row["t1"], row["n_below"] = self.at, len(self.rows) - row["pos"] - 1
+            row["t1"], row["n_below"] = self.at, len(self.rows) - row["at"] - 1
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag in _CLOSES_SAME:
@@ -57,7 +64,7 @@ class _Elements(HTMLParser):
         siblings.append(len(self.rows))
         values = {k: " ".join((v or "").split()) for k, v in attrs}
         self.rows.append({
-            "pos": len(self.rows), "tag": tag, "attrs": values, "parent": parent, "n_below": 0,
+            "at": len(self.rows), "tag": tag, "attrs": values, "parent": parent, "n_below": 0,
             "href": values.get("href"), "nth": len(siblings), "t0": self.at, "t1": self.at,
         })
         if tag not in _VOID:
@@ -83,11 +90,14 @@ class _Elements(HTMLParser):
     def finish(self) -> None:
         self.close()
         self._close_to(0)
+        self.page_text = "".join(self.text)
         last = {kids[-1] for kids in self.children.values()}
         for row in self.rows:
             attrs = "".join(f' {k}="{escape(v)}"' for k, v in row["attrs"].items())
-            edge = ' last=""' if row["pos"] in last else ""
+            edge = ' last=""' if row["at"] in last else ""
             up = self.rows[row["parent"]]["path"] if row["parent"] >= 0 else ""
+            short = row["t1"] - row["t0"] <= _SHORT
+            row["text"] = " ".join(self.page_text[row["t0"]:row["t1"]].split()) if short else None
             row["path"] = f'{up}<{row["tag"]}{attrs} nth="{row["nth"]}"{edge}>'
 
 
@@ -99,13 +109,13 @@ def parse_page(html: str, tree: bool) -> tuple[str, list[dict]]:
     rows = parser.rows if tree else [
         r for r in parser.rows if r["tag"] == "a" or "iCIMS_Anchor" in r["attrs"].get("class", "")
     ]
-    return "".join(parser.text), rows
+    return parser.page_text, rows
 
 
-_FIELDS = ("path", "parent", "n_below", "href", "t0", "t1")
+_FIELDS = ("path", "at", "parent", "n_below", "href", "text", "t0", "t1")
 _ARROW = pa.list_(pa.struct([
-    ("path", pa.string()), ("parent", pa.int32()), ("n_below", pa.int32()),
-    ("href", pa.string()), ("t0", pa.int32()), ("t1", pa.int32()),
+    ("path", pa.string()), ("at", pa.int32()), ("parent", pa.int32()), ("n_below", pa.int32()),
+    ("href", pa.string()), ("text", pa.string()), ("t0", pa.int32()), ("t1", pa.int32()),
 ]))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +15,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from hiretide import vocab as V
 from hiretide.functions.posting import fingerprint
 
+# The state function travels with the job, so executors need no copy of this
+# package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _KEEP = pd.Timedelta(days=V.STATE_DAYS)
 _OUT = "fp string, run_us long, seq long"
 
