@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hiretide import vocab as V
-from hiretide.functions.text import col, contains_any, text_or_blank
+from hiretide.functions.text import col, contains_any, let, text_or_blank
 
 
 def is_canada(location: Column | str) -> Column:
@@ -47,12 +47,16 @@ def extract_skills(
 ) -> Column:
     """First ``limit`` vocabulary terms found as substrings, vocabulary order.
 
-    ``lower(text)`` is one shared subexpression in generated code; a lambda
-    over the vocabulary would lowercase the whole text once per term.
+    The whole text is lowercased once and bound; mentioning ``lower(text)`` in
+    every test would redo it per term.
     """
-    lowered = F.lower(text_or_blank(text))
-    found = [F.when(lowered.contains(s.lower()), F.lit(s)) for s in (vocabulary or V.SKILLS)]
-    return F.slice(F.array_compact(F.array(*found)), 1, limit)
+    names = vocabulary or V.SKILLS
+
+    def found(lowered: Column) -> Column:
+        hits = [F.when(lowered.contains(s.lower()), F.lit(s)) for s in names]
+        return F.slice(F.array_compact(F.array(*hits)), 1, limit)
+
+    return let(F.lower(text_or_blank(text)), found)
 
 
 def level_rank(level: Column | str) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.functions.text import any_term_regex
+from hiretide.functions.text import let
 
 SALTS = 16
 
@@ -96,13 +96,16 @@ def match_terms(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFra
     match on it is verified against the whole text.
     """
     terms = [r["term"] for r in vocab.select("term").distinct().limit(INLINE_TERMS + 1).collect()]
-    lowered = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
     if len(terms) <= INLINE_TERMS:
         kept = sorted(t for t in terms if t)
-        found = F.array_compact(
-            F.array(*[F.when(F.col("__t").contains(t.lower()), F.lit(t)) for t in kept])
-        ) if kept else F.array().cast("array<string>")
-        return lowered.select(key, F.explode(found).alias("term"))
+        if not kept:
+            return df.select(key, F.lit("").alias("term")).limit(0)
+
+        def found(t: Column) -> Column:
+            return F.array_compact(F.array(*[F.when(t.contains(k.lower()), F.lit(k)) for k in kept]))
+
+        return df.select(key, F.explode(let(lowered, found)).alias("term"))
     return match_terms_by_gram(df, key, text, vocab)
 
 
@@ -133,7 +136,3 @@ def match_terms_by_gram(df: DataFrame, key: str, text: str, vocab: DataFrame) ->
         .filter(F.col("__t").contains(F.col("__needle")))
         .select(key, "term")
     )
-
-
-def term_regex_filter(df: DataFrame, column: str, terms: list[str]) -> DataFrame:
-    return df.filter(F.lower(F.col(column)).rlike(any_term_regex(terms)))

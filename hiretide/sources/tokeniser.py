@@ -9,10 +9,10 @@ page text, which is stored once.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
-from html import escape
-from html.parser import HTMLParser
+from html import escape, unescape
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -25,91 +25,108 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ELEMENT = "struct<path: string, at: int, parent: int, n_below: int, href: string, text: string, t0: int, t1: int>"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code em font i kbd mark q s small span strong sub sup time u var".split())
+_RAW = frozenset(("script", "style", "title", "textarea"))
+_UNSAFE = re.compile(r"[&<>\"']")
 _CLOSES_SAME = frozenset("li p tr td th dt dd option".split())
 _ROWS_PER_BATCH = 64
 _SHORT = 300
 
 
-class _Elements(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
-        self.open: list[int] = []
-        self.children: dict[int, list[int]] = {}
-        self.text: list[str] = []
-        self.at = 0
+# Comments, declarations, then tags with their attributes.
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S
+)
+_ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
-    def _add(self, data: str) -> None:
-        self.text.append(data)
-        self.at += len(data)
 
-    def _close_to(self, depth: int) -> None:
-        while len(self.open) > depth:
-            row = self.rows[self.open.pop()]
-            row["t1"], row["n_below"] = self.at, len(self.rows) - row["at"] - 1
+def _attributes(raw: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, double, single, bare in _ATTR.findall(raw):
+        value = double or single or bare
+        if "&" in value:
+            value = unescape(value)
+        found.setdefault(name.lower(), " ".join(value.split()))
+    return found
 
-    def handle_starttag(self, tag, attrs) -> None:
+
+def parse_page(html: str, tree: bool) -> tuple[str, list[dict]]:
+    """Page text and its elements; only the links unless ``tree``."""
+    html = html or ""
+    rows: list[dict] = []
+    stack: list[dict] = []
+    last_child: dict[int, dict] = {}
+    text: list[str] = []
+    length = 0
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            row = stack.pop()
+            row["t1"], row["n_below"] = length, len(rows) - row["at"] - 1
+
+    at = 0
+    while at < len(html):
+        m = _MARKUP.search(html, at)
+        data = html[at:m.start()] if m else html[at:]
+        if data:
+            data = unescape(data) if "&" in data else data
+            text.append(data)
+            length += len(data)
+        if m is None:
+            break
+        at = m.end()
+        closing, name, raw = m.groups()
+        if name is None:
+            continue
+        tag = name.lower()
+        if tag not in _INLINE:
+            text.append(" ")
+            length += 1
+        if closing:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth]["tag"] == tag:
+                    close(depth)
+                    break
+            continue
         if tag in _CLOSES_SAME:
-            for depth in range(len(self.open) - 1, -1, -1):
-                opened = self.rows[self.open[depth]]["tag"]
-                if opened == tag:
-                    self._close_to(depth)
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth]["tag"] == tag:
+                    close(depth)
                     break
-                if opened not in _INLINE:
+                if stack[depth]["tag"] not in _INLINE:
                     break
-        if tag not in _INLINE:
-            self._add(" ")
-        parent = self.open[-1] if self.open else -1
-        siblings = self.children.setdefault(parent, [])
-        siblings.append(len(self.rows))
-        values = {k: " ".join((v or "").split()) for k, v in attrs}
-        self.rows.append({
-            "at": len(self.rows), "tag": tag, "attrs": values, "parent": parent, "n_below": 0,
-            "href": values.get("href"), "nth": len(siblings), "t0": self.at, "t1": self.at,
-        })
-        if tag not in _VOID:
-            self.open.append(len(self.rows) - 1)
-
-    def handle_startendtag(self, tag, attrs) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self._close_to(len(self.open) - 1)
-
-    def handle_endtag(self, tag) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[depth]]["tag"] == tag:
-                self._close_to(depth)
-                break
-        if tag not in _INLINE:
-            self._add(" ")
-
-    def handle_data(self, data) -> None:
-        if not self.open or self.rows[self.open[-1]]["tag"] not in ("script", "style", "head", "title"):
-            self._add(data)
-
-    def finish(self) -> None:
-        self.close()
-        self._close_to(0)
-        self.page_text = "".join(self.text)
-        last = {kids[-1] for kids in self.children.values()}
-        for row in self.rows:
-            attrs = "".join(f' {k}="{escape(v)}"' for k, v in row["attrs"].items())
-            edge = ' last=""' if row["at"] in last else ""
-            up = self.rows[row["parent"]]["path"] if row["parent"] >= 0 else ""
+        up = stack[-1] if stack else None
+        parent = up["at"] if up else -1
+        before = last_child.get(parent)
+        attrs = _attributes(raw) if raw else {}
+        row = {
+            "at": len(rows), "tag": tag, "attrs": attrs, "parent": parent, "up": up, "n_below": 0,
+            "href": attrs.get("href"), "nth": before["nth"] + 1 if before else 1, "t0": length, "t1": length,
+        }
+        last_child[parent] = row
+        rows.append(row)
+        if tag in _RAW:
+            # its content is neither text nor markup
+            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            at = end.end() if end else len(html)
+        elif tag not in _VOID:
+            stack.append(row)
+    close(0)
+
+    page_text = "".join(text)
+    edge = {row["at"] for row in last_child.values()}
+    kept = []
+    for row in rows:
+        attrs = row["attrs"]
+        shown = "".join(
+            f' {k}="{escape(v) if _UNSAFE.search(v) else v}"' for k, v in attrs.items()
+        )
+        last = ' last=""' if row["at"] in edge else ""
+        row["path"] = f'{row["up"]["path"] if row["up"] else ""}<{row["tag"]}{shown} nth="{row["nth"]}"{last}>'
+        if tree or row["tag"] == "a" or "iCIMS_Anchor" in attrs.get("class", ""):
             short = row["t1"] - row["t0"] <= _SHORT
-            row["text"] = " ".join(self.page_text[row["t0"]:row["t1"]].split()) if short else None
-            row["path"] = f'{up}<{row["tag"]}{attrs} nth="{row["nth"]}"{edge}>'
-
-
-def parse_page(html: str, tree: bool) -> tuple[str, list[dict]]:
-    """Page text and its elements; only the links unless ``tree``."""
-    parser = _Elements()
-    parser.feed(html or "")
-    parser.finish()
-    rows = parser.rows if tree else [
-        r for r in parser.rows if r["tag"] == "a" or "iCIMS_Anchor" in r["attrs"].get("class", "")
-    ]
-    return parser.page_text, rows
+            row["text"] = " ".join(page_text[row["t0"]:row["t1"]].split()) if short else None
+            kept.append(row)
+    return page_text, kept
 
 
 _FIELDS = ("path", "at", "parent", "n_below", "href", "text", "t0", "t1")
