@@ -7,6 +7,8 @@ for the links that survive cap and duplicate removal.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from hiretide.functions.urls import title_from_url
 from hiretide.operators.normalize import build_posting
 from hiretide.schemas import POSTING_COLUMNS
 from hiretide.sources.embedded import first_by
-from hiretide.sources.selectors import CARDS, LINKS, CardRules, LinkRules, anchor_only, path_regex
+from hiretide.sources.selectors import CARDS, LINKS, CardRules, LinkRules, anchor_only, selector_tests
 from hiretide.sources.tokeniser import with_elements
 
 PAGE_LINEAGE = ["page_id", "pos"]
@@ -41,7 +43,7 @@ def drop_blocked_pages(pages: DataFrame) -> DataFrame:
 # --- elements ---------------------------------------------------------------
 
 def native_links(html: Column) -> Column:
-    """Links of a page without leaving the JVM: array<struct<path,href,text>>.
+    """Links of a page without leaving the JVM: array<struct<own,href,text>>.
 
     Enough for rules that only look at the link's own tag.
     """
@@ -55,7 +57,7 @@ def native_links(html: Column) -> Column:
     def link(a: Column) -> Column:
         attrs = F.regexp_replace(F.regexp_replace(a["attrs"], r"\s+", " "), r"=\s?'([^'\"]*)'", '="$1"')
         return F.struct(
-            F.concat(F.lit("<a"), attrs, F.lit(">")).alias("path"),
+            F.concat(F.lit("<a"), attrs, F.lit(">")).alias("own"),
             F.replace(F.regexp_extract(attrs, r'(?i)\shref="([^"]*)"', 1), F.lit("&amp;"), F.lit("&")).alias("href"),
             tag_text(a["inner"]).alias("text"),
         )
@@ -72,8 +74,13 @@ def _text(e: Column, native: bool) -> Column:
 
 
 def _matching(els: Column, selector: str) -> Column:
-    regex = path_regex(selector)
-    return F.filter(els, lambda e: e["path"].rlike(regex))
+    tests = selector_tests(selector)
+
+    def fits(e: Column) -> Column:
+        hits = [e["own"].rlike(own) if chain is None else e["own"].rlike(own) & e["path"].rlike(chain) for own, chain in tests]
+        return reduce(lambda a, b: a | b, hits)
+
+    return F.filter(els, fits)
 
 
 def _below(e: Column) -> Column:
@@ -293,7 +300,7 @@ def table_records(match: Rules) -> Column:
     base = F.col("url")
 
     def cell_texts(row: Column) -> Column:
-        cells = F.filter(_below(row), lambda c: c["path"].rlike(r"<td(?= |>)[^>]*>$"))
+        cells = F.filter(_below(row), lambda c: c["own"].startswith("<td "))
         return F.transform(cells, lambda c: _text(c, False))
 
     def look(e: Column) -> Column:

@@ -228,17 +228,25 @@ def _tag_regex(simple: str) -> str:
     return f"<{tag}(?= |>)" + "".join(f"(?=[^>]* {t})" for t in tests) + "[^>]*>"
 
 
-def path_regex(selector: str) -> str:
-    """Regular expression over the tag chain for a (comma-separated) selector."""
-    options = []
-    for option in re.split(r",\s*(?![^\[]*\])", selector.strip()):
+def _options(selector: str) -> list[str]:
+    return re.split(r",\s*(?![^\[]*\])", selector.strip())
+
+
+def selector_tests(selector: str) -> list[tuple[str, str | None]]:
+    """(own tag regex, tag chain regex or None) per comma-separated option.
+
+    The element's own tag decides most cases, and it is short; the chain of
+    its parents is only searched when the own tag fits.
+    """
+    tests = []
+    for option in _options(selector):
         steps = _STEP.split(option.strip())
         joints = [">" in j for j in _STEP.findall(option.strip())]
-        regex = _tag_regex(steps[0])
+        chain = _tag_regex(steps[0])
         for direct, step in zip(joints, steps[1:]):
-            regex += ("" if direct else ".*") + _tag_regex(step)
-        options.append(regex + "$")
-    return "|".join(options)
+            chain += ("" if direct else ".*") + _tag_regex(step)
+        tests.append(("^" + _tag_regex(steps[-1]) + "$", chain + "$" if len(steps) > 1 else None))
+    return tests
 
 
 def anchor_only(rules: LinkRules) -> bool:
@@ -247,6 +255,6 @@ def anchor_only(rules: LinkRules) -> bool:
     plain = all(
         re.fullmatch(r"a(?![\w-])\S*", option.strip())
         for selector in every
-        for option in re.split(r",\s*(?![^\[]*\])", selector)
+        for option in _options(selector)
     )
     return plain and not (rules.title_selectors or rules.place_levels or rules.title_else == "parent")

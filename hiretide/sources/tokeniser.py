@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 # The parser travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ELEMENT = "struct<path: string, at: int, parent: int, n_below: int, href: string, text: string, t0: int, t1: int>"
+ELEMENT = "struct<own: string, path: string, at: int, parent: int, n_below: int, href: string, text: string, t0: int, t1: int>"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code em font i kbd mark q s small span strong sub sup time u var".split())
 _RAW = frozenset(("script", "style", "title", "textarea"))
@@ -121,7 +121,8 @@ def parse_page(html: str, tree: bool) -> tuple[str, list[dict]]:
             f' {k}="{escape(v) if _UNSAFE.search(v) else v}"' for k, v in attrs.items()
         )
         last = ' last=""' if row["at"] in edge else ""
-        row["path"] = f'{row["up"]["path"] if row["up"] else ""}<{row["tag"]}{shown} nth="{row["nth"]}"{last}>'
+        row["own"] = f'<{row["tag"]}{shown} nth="{row["nth"]}"{last}>'
+        row["path"] = row["up"]["path"] + row["own"] if row["up"] else row["own"]
         if tree or row["tag"] == "a" or "iCIMS_Anchor" in attrs.get("class", ""):
             short = row["t1"] - row["t0"] <= _SHORT
             row["text"] = " ".join(page_text[row["t0"]:row["t1"]].split()) if short else None
@@ -129,9 +130,9 @@ def parse_page(html: str, tree: bool) -> tuple[str, list[dict]]:
     return page_text, kept
 
 
-_FIELDS = ("path", "at", "parent", "n_below", "href", "text", "t0", "t1")
+_FIELDS = ("own", "path", "at", "parent", "n_below", "href", "text", "t0", "t1")
 _ARROW = pa.list_(pa.struct([
-    ("path", pa.string()), ("at", pa.int32()), ("parent", pa.int32()), ("n_below", pa.int32()),
+    ("own", pa.string()), ("path", pa.string()), ("at", pa.int32()), ("parent", pa.int32()), ("n_below", pa.int32()),
     ("href", pa.string()), ("text", pa.string()), ("t0", pa.int32()), ("t1", pa.int32()),
 ]))
 

@@ -6,7 +6,7 @@ import pytest
 
 from hiretide.functions.classify import Rules
 from hiretide.sources import saved_pages as S
-from hiretide.sources.selectors import CARDS, LINKS, anchor_only, path_regex
+from hiretide.sources.selectors import CARDS, LINKS, anchor_only, selector_tests
 from hiretide.sources.tokeniser import parse_page
 
 
@@ -29,7 +29,9 @@ def a(href, text):
 
 def hits(html, selector):
     _, els = parse_page(html, True)
-    return [e["text"] for e in els if re.search(path_regex(selector), e["path"])]
+    tests = selector_tests(selector)
+    return [e["text"] for e in els
+            if any(re.search(own, e["own"]) and (chain is None or re.search(chain, e["path"])) for own, chain in tests)]
 
 
 def test_selectors():
@@ -185,7 +187,7 @@ def test_site_to_postings(page, dim, site):
 def test_every_selector_compiles():
     for rules in LINKS.values():
         for s in [*rules.patterns, *filter(None, [rules.otherwise]), *rules.title_selectors, *rules.place_selectors]:
-            assert re.compile(path_regex(s))
+            assert all(re.compile(own) and (chain is None or re.compile(chain)) for own, chain in selector_tests(s))
     for rules in CARDS.values():
         for s in [*rules.cards, *rules.titles, *rules.places, *rules.posted]:
-            assert re.compile(path_regex(s))
+            assert all(re.compile(own) and (chain is None or re.compile(chain)) for own, chain in selector_tests(s))
