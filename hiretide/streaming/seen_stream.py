@@ -35,6 +35,10 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        # expired means "never emitted", so dropping the entry changes nothing
+        state.remove()
+        return
     firsts: dict[int, int] = {}
     for pdf in batches:
         for run, seq in zip(pdf["run_us"], pdf["seq"]):
@@ -47,8 +51,13 @@ def _emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         if last is None or run - last >= keep:
             out.append((key[0], run, firsts[run]))
             last = run
+    expires_ms = (last + keep) // 1000
+    if expires_ms > state.getCurrentWatermarkMs():
+        state.update((int(last),))
+        state.setTimeoutTimestamp(int(expires_ms))
+    elif state.exists:
+        state.remove()
     if out:
-        state.update((last,))
         yield pd.DataFrame(out, columns=["fp", "run_us", "seq"])
 
 
@@ -56,17 +65,24 @@ def dedup_stream(sightings: DataFrame, run_ts: str, seq: str) -> DataFrame:
     """Emissions (fp, run_us, seq) of a stream of postings.
 
     State per fingerprint is the run of its last emission.  It is compared
-    with the run's own time, so a replay decides as the original did.
-    ``run_us`` is the run start in epoch microseconds.
+    with the run's own time, so a replay decides as the original did.  The
+    watermark evicts expired entries, so state is bounded by what was emitted
+    in the last weeks; runs arrive in order, and one that trails the newest by
+    over 14 days is ignored.  ``run_us`` is the run start in epoch
+    microseconds.
     """
     slim = sightings.select(
         fingerprint("company", "title", "location").alias("fp"),
         F.unix_micros(F.col(run_ts).cast("timestamp")).alias("run_us"),
         F.col(seq).cast("long").alias("seq"),
     )
-    combined = slim.mapInPandas(_combine, _OUT)
+    combined = (
+        slim.mapInPandas(_combine, _OUT)
+        .withColumn("run_at", F.timestamp_micros("run_us"))
+        .withWatermark("run_at", f"{V.STATE_DAYS} days")
+    )
     return combined.groupBy("fp").applyInPandasWithState(
-        _emit, _OUT, "last_us long", "append", GroupStateTimeout.NoTimeout
+        _emit, _OUT, "last_us long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
