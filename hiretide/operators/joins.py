@@ -27,6 +27,8 @@ def salted_join(
     """Join on ``on`` plus a salt taken from the fact row's ``spread`` columns.
 
     The salt is a hash of row content, so a recomputed task gets the same one.
+    A broadcast copy of the side holds it ``SALTS`` times, which the broadcast
+    threshold keeps below ``SALTS`` times that threshold.
     """
     salt = "__salt"
     left = facts.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
