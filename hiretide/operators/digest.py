@@ -81,7 +81,7 @@ def digest(chunks: DataFrame, by: list[str], run_label: Column, run_date: Column
         ).otherwise(F.lit("")),
     )
     head = F.concat(
-        F.lit("<div><h1>Daily Job Alert — Data Engineering Canada</h1><p>"), F.col("total").cast("string"),
+        F.lit("<div><h1>New data engineering postings</h1><p>"), F.col("total").cast("string"),
         F.lit(f" new openings · {n_companies} companies monitored</p><p>Total "), F.col("total").cast("string"),
         F.lit(" · Senior "), F.col("senior").cast("string"), F.lit(" · Mid-Level "), F.col("mid").cast("string"),
         F.lit(" · Entry Level "), F.col("entry").cast("string"), F.lit("</p>"),
@@ -89,8 +89,8 @@ def digest(chunks: DataFrame, by: list[str], run_label: Column, run_date: Column
     return stats.join(sections, by).select(
         *by, "n_chunks",
         F.concat(
-            F.lit("🔔 Job Alert ["), label, F.lit("]: "), F.col("total").cast("string"),
-            F.lit(" Data Engineering Jobs — "), run_date,
+            F.lit(V.SUBJECT_NEW[0]), label, F.lit(V.SUBJECT_NEW[1]), F.col("total").cast("string"),
+            F.lit(V.SUBJECT_NEW[2]), run_date,
         ).alias("subject"),
         "total", "senior", "mid", "entry",
         F.concat(head, F.col("html"), F.lit("</div>")).alias("html"),
@@ -103,10 +103,10 @@ def empty_digest(runs: DataFrame, run_label: Column, run_date: Column, n_compani
     return runs.select(
         "*",
         zero.alias("chunk_no"), zero.alias("n_chunks"),
-        F.concat(F.lit("✅ Job Alert ["), run_label, F.lit("]: No New Jobs — "), run_date).alias("subject"),
+        F.concat(F.lit(V.SUBJECT_NONE[0]), run_label, F.lit(V.SUBJECT_NONE[1]), run_date).alias("subject"),
         zero.alias("total"), zero.alias("senior"), zero.alias("mid"), zero.alias("entry"),
         F.lit(
-            "<div><h1>Job Alert — Running Fine</h1><h2>No New Jobs Today</h2>"
+            "<div><h1>No new postings</h1>"
             f"<p>All {n_companies} companies were checked.</p></div>"
         ).alias("html"),
     )

@@ -95,6 +95,9 @@ CATEGORY_ICONS = {
 }
 CATEGORY_ICON_DEFAULT = "📁"
 CATEGORY_DEFAULT = "Other"
+# Subject of a digest: before the label, after it, after the row count.
+SUBJECT_NEW = ("🔔 Job Alert [", "]: ", " Data Engineering Jobs — ")
+SUBJECT_NONE = ("✅ Job Alert [", "]: No New Jobs — ")
 CHUNK_SIZE = 50
 DIGEST_SKILLS = 5
 STATE_DAYS = 14

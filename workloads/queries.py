@@ -994,7 +994,7 @@ _DIGEST_SQL = f"""SELECT {SQL_TS.format('run_ts')} AS run, chunk_no, n_chunks,
     || CASE WHEN n_chunks > 1 THEN ' (' || (chunk_no + 1) || '/' || n_chunks || ')' ELSE '' END
     || ']: ' || total || ' Data Engineering Jobs — ' || strftime(run_ts, '%b %d, %Y') AS subject,
   total, senior, mid, entry,
-  '<div><h1>Daily Job Alert — Data Engineering Canada</h1><p>' || total || ' new openings · 50 companies monitored</p><p>Total '
+  '<div><h1>New data engineering postings</h1><p>' || total || ' new openings · 50 companies monitored</p><p>Total '
     || total || ' · Senior ' || senior || ' · Mid-Level ' || mid || ' · Entry Level ' || entry || '</p>' || html || '</div>' AS html
 FROM sk JOIN sx USING (run_ts, chunk_no)"""
 
