@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hiretide import vocab as V
-from hiretide.functions.text import col, strip, title_case
+from hiretide.functions.text import col, title_case
 
 
 def broaden_url(url: Column | str) -> Column:
@@ -101,7 +101,3 @@ def title_from_url(url: Column | str, style: str) -> Column:
     else:
         raise ValueError(f"unknown title style: {style}")
     return title_case(F.translate(slug, "-", " "))
-
-
-def stripped(url: Column | str) -> Column:
-    return strip(url)
