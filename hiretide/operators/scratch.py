@@ -1,41 +1,61 @@
 """Written intermediate tables.
 
-Some operators need two passes over one fixed arrangement of rows (global row
-numbers).  They write it once to the cluster's shared checkpoint folder and
-read it back: lineage is cut, a lost executor costs nothing, and the second
-pass reads only the columns it needs.
+Some operators need two passes over one fixed arrangement of rows.  They write
+it once to the folder the cluster names in ``spark.checkpoint.dir`` and read it
+back: lineage is cut, a lost executor costs nothing, and the second pass reads
+only the columns it needs.  Where that setting is absent (tests, a laptop) the
+warehouse folder, which every executor shares too, is used.  What a process
+wrote is removed when the process ends; loops drop their earlier rounds.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
-_local_dir: str | None = None
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one in local mode only."""
-    global _local_dir
+    """The folder named by the session, else one beside the warehouse's tables."""
     configured = spark.conf.get(_CONF, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError(f"set {_CONF} to a folder all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="hiretide-")
-    return _local_dir
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/hiretide/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/hiretide/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop(path: str) -> None:
+    """Remove a written table nobody reads any more."""
+    jvm = SparkContext._gateway.jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_made):
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            drop(path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
+    return materialise_at(df, label)[0]
+
+
+def materialise_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The written table and its path, for callers that drop it themselves."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
