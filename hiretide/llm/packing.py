@@ -36,6 +36,7 @@ END_ID = 1
 #: Words whose ids a worker remembers, and the longest word it remembers.
 CACHE_WORDS = 300_000
 CACHE_LENGTH = 48
+_TEXTS = 128
 _LETTERS = re.compile(rb"([a-z]+)([.,!?;:]?)")
 
 
@@ -97,16 +98,17 @@ class WordIds:
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for at in range(0, len(texts), 64):
+        for at in range(0, len(texts), _TEXTS):
             # a special token is spelled in small letters: only where none can arise is lowering safe
-            split = [((t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ")) if t else [] for t in texts[at:at + 64]]
+            split = [((t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ")) if t else [] for t in texts[at:at + _TEXTS]]
             if len(self.known) > CACHE_WORDS:
                 self.known, self.older = {}, self.known
-            known = self.known
-            new = [w for w in set().union(*split) if w not in known]
+            known, every = self.known, set().union(*split)
+            new = [w for w in every if w not in known]
             self._learn(new)
+            near = {w: known[w] for w in every}  # small enough for the processor's caches
             for words in split:
-                yield b"".join(map(known.__getitem__, words))
+                yield b"".join(map(near.__getitem__, words))
             for w in new:
                 if len(w) > CACHE_LENGTH:
                     del known[w]

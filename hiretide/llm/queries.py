@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiretide.llm import decontamination, language_id, packing, sharding, simhash, span_dedup
+from hiretide.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, packing, sharding, simhash, span_dedup, toxicity
 from hiretide.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,35 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    confirmed = F.filter("blocks", lambda b: b["confirmed"])
+    return found.select(
+        "doc_id", F.size("blocks").cast("bigint").alias("n_blocks"), F.size(confirmed).cast("bigint").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(confirmed, lambda b: b["license"]))), ",").alias("licenses"),
+        F.to_json("blocks").alias("blocks"),
+    )
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    labelled = docs.join(labels, "doc_id").select("doc_id", "text", (F.col("quality") == 0).alias("low_quality"), (F.col("toxic") == 1).alias("toxic"))
+    chain = toxicity.train(labelled, ["low_quality", "toxic"])
+    return toxicity.predict(docs, chain)
+
+
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 10) == 0).alias("held_out"))
+    docs = docs.withColumn("learn", ~F.col("held_out"))
+    return lm_scoring.score(docs, "learn").drop("learn")
+
+
+@query("op10_embedding_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
