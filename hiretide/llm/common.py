@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,16 +44,27 @@ def schema_of(*parts: T.StructType | str | list[T.StructField]) -> T.StructType:
     return T.StructType(fields)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], added: str) -> DataFrame:
-    """Every row kept, with columns computed from a batch appended."""
+#: Rows worked on at a time; what Python holds for a batch of Spark's is bounded by this share of it.
+SLICE_ROWS = 1024
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches; an empty batch stays one."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], added: str, drop: Sequence[str] = ()) -> DataFrame:
+    """Every row, without the columns to drop, with columns computed from a batch appended."""
     new = schema_of(added)
     names = [f.name for f in new.fields]
-    kept = [c for c in df.columns if c not in names]
+    kept = [c for c in df.columns if c not in names and c not in drop]
     schema = schema_of([df.schema[c] for c in kept], added)
     kinds = [arrow_type(f.dataType) for f in new.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = fn(batch)
             columns = [batch.column(c) for c in kept]
             columns += [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)]
@@ -85,10 +95,3 @@ def clean_name(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = f"_{name}"
     return name
-
-
-def flat_lists(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list column, without Python objects."""
-    offsets = np.asarray(column.offsets)
-    values = np.asarray(column.values.to_numpy(zero_copy_only=False), dtype=kind)
-    return values, offsets

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import column_bytes, map_rows, plain_words
+from hiretide.llm.common import column_bytes, map_rows, plain_words, slices
 
 WINDOW = 13
 SHINGLE = 3
@@ -140,16 +140,15 @@ class Matcher:
         return np.cumsum(hit[:-1]) > 0, items
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, bytes]]]:
-    """Bounded parts of the items, by a hash of the row; one item of any length is never split."""
+def _slices(benchmark: DataFrame, item_id: str, text: str) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many, and the bounded parts of the items, by a hash of the row; one item of any length is never split."""
     named = benchmark.where(F.col(text).isNotNull()).select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("binary").alias("text")
     ).distinct()
     size = named.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // SLICE_BYTES))
-    for k in range(n):
-        part = named.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else named
-        yield [(r["item"], bytes(r["text"])) for r in part.collect()]
+    parts = (named.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else named for k in range(n))
+    return n, ([(r["item"], bytes(r["text"])) for r in part.collect()] for part in parts)
 
 
 def _counts(docs: DataFrame, text: str, matcher: Matcher) -> np.ndarray:
@@ -157,7 +156,7 @@ def _counts(docs: DataFrame, text: str, matcher: Matcher) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(matcher.part.shingles), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for words in map(plain_words, column_bytes(batch, text)):
                 place, _ = matcher.occurrences(matcher.word_ids(words))
                 np.add.at(total, place, 1)
@@ -171,8 +170,8 @@ def _counts(docs: DataFrame, text: str, matcher: Matcher) -> np.ndarray:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """Every column, with ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids as text), ``spans`` and ``contaminated``.
+                  item_text: str = "text", window: int = WINDOW, share: int = SHARE, keep_text: bool = True) -> DataFrame:
+    """Every column (the text only if asked), with ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids as text), ``spans`` and ``contaminated``.
 
     spans are the runs of hit words, ``[first, end)`` in word positions.  Null, empty and wordless texts have no
     words and are clean.  Items without words match nothing, repeated items count once, a null item id is called
@@ -180,7 +179,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """
     added = "n_words bigint, items array<string>, spans array<struct<first: bigint, end: bigint>>"
     out, rounds = docs, 0
-    for rows in _slices(benchmark, item_id, item_text):
+    n_slices, parts = _slices(benchmark, item_id, item_text)
+    for rows in parts:
         matcher = Matcher(read_slice(rows), window)
         matcher.lead(_counts(docs, text, matcher) if len(matcher.part.shingles) else np.empty(0, np.int64))
 
@@ -200,7 +200,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 spans.append([{"first": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
             return {"n_words": n, "items": items, "spans": spans}
 
-        out = map_rows(out, find, added)
+        last = not keep_text and rounds + 1 == n_slices
+        out = map_rows(out, find, added, [text] if last else [])
         rounds += 1
     hits = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["first"])
     return out.select(

@@ -129,7 +129,7 @@ def _keyed(vectors: DataFrame, vec: str, label: str, key: str) -> DataFrame:
             keys.append(xxhash.xxh3_128_digest(name.encode() + b"\0" + x.tobytes()) if usable else None)
         return {"raw": raw, key: keys, "dim": [len(x) // np.dtype(kind).itemsize if x else None for x in raw]}
 
-    return map_rows(vectors, run, f"raw binary, `{key}` binary, dim int").drop(vec)
+    return map_rows(vectors, run, f"raw binary, `{key}` binary, dim int", [vec])
 
 
 def _linked(classes: DataFrame, dim: int, threshold: float, probe: float, chunk: int, list_rows: int) -> DataFrame:

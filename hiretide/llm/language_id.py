@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import map_rows
+from hiretide.llm.common import map_rows, slices
 from hiretide.operators.scratch import materialise
 
 DIM = 1 << 15
@@ -122,7 +122,7 @@ def _document_frequency(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = np.zeros(DIM, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(text).to_pylist():
                 seen[features(t)[0]] += 1
                 total += 1
@@ -183,7 +183,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     def score(batch: pa.RecordBatch) -> dict[str, object]:
         return {"z": [model.logits(t).tolist() for t in batch.column("text").to_pylist()]}
 
-    judged = map_rows(sample.where(held), score, "z array<double>").select("label", "z").collect()
+    judged = map_rows(sample.where(held), score, "z array<double>", ["text"]).select("label", "z").collect()
     pairs = [(r["z"], place[r["label"]]) for r in judged if r["label"] in place]
     if pairs:
         model.temperature = fit_temperature(np.array([z for z, _ in pairs]), np.array([y for _, y in pairs]))
@@ -202,14 +202,14 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Every row with the predicted language and its calibrated probability; ``und`` and 0 without a letter."""
+def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Every row, without the columns to drop, with the predicted language and its calibrated probability; ``und`` and 0 without a letter."""
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         found = [model.predict(t) for t in batch.column(text).to_pylist()]
         return {lang: [f[0] for f in found], score: [f[1] for f in found]}
 
-    return map_rows(docs, run, f"`{lang}` string, `{score}` double")
+    return map_rows(docs, run, f"`{lang}` string, `{score}` double", drop)
 
 
 def identified_only(docs: DataFrame, model: Model, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:

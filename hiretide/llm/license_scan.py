@@ -152,4 +152,4 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
             out.append([{"first": a, "end": b, "block": t[a:b].decode("utf-8", "replace"), **scanner.scan(t[a:b])} for a, b in blocks_of(t)])
         return {"blocks": out}
 
-    return map_rows(docs, run, f"blocks array<{_FOUND}>").drop(text)
+    return map_rows(docs, run, f"blocks array<{_FOUND}>", [text])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import clean_name, column_bytes, map_rows, spaced_words
+from hiretide.llm.common import clean_name, column_bytes, map_rows, slices, spaced_words
 from hiretide.operators.scratch import materialise
 
 #: Words with an own class in pairs and in triples; powers of two less the class of the rest.
@@ -130,7 +130,7 @@ def count_words(docs: DataFrame, text: str, deleted: str) -> DataFrame:
                 c.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for t, gone in zip(column_bytes(batch, text), batch.column(deleted).to_pylist()):
                 counts[bool(gone)].update(tokens(t))
                 if len(counts[0]) + len(counts[1]) > _FLUSH:
@@ -163,7 +163,7 @@ def count_grams(docs: DataFrame, text: str, deleted: str, shared) -> tuple[Grams
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         counts = np.zeros((2, size2 + size3), np.int32)  # one task's
-        for batch in batches:
+        for batch in slices(batches):
             texts, gone = column_bytes(batch, text), batch.column(deleted).to_pylist()
             for part in (0, 1):
                 for some in _chunks(t for t, g in zip(texts, gone) if bool(g) == bool(part)):
@@ -227,7 +227,7 @@ def fit_weights(docs: DataFrame, text: str, shared, counted: DataFrame) -> np.nd
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             for some in _chunks(column_bytes(batch, text)):
                 at, bucket, f3, f2 = _estimates(t, some)
                 rare = at < 0
@@ -324,7 +324,7 @@ def score(docs: DataFrame, learn: str, text: str = "text", key: str = "doc_id")
     plain = [c for c in docs.columns if c != text]
     hidden = {c: f"__{c}" for c in plain if c in ("n_tokens", "known", "base", "own", "rare", "word")}
     source = docs.select(*[F.col(c).alias(hidden.get(c, c)) for c in plain], text).withColumn(rid, F.monotonically_increasing_id())
-    scored = materialise(map_rows(source, run, schema).drop(text), "scored")
+    scored = materialise(map_rows(source, run, schema, [text]), "scored")
     rare = scored.select(rid, F.explode("rare").alias("x")).select(rid, "x.*").join(counted.select("word", "n"), "word", "left")
     n = F.coalesce("n", F.lit(0))
     nothing = F.lit(0.0)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import clean_name, column_bytes, schema_of, worker_state
+from hiretide.llm.common import clean_name, column_bytes, schema_of, slices, worker_state
 from hiretide.operators.scratch import materialise
 
 SIZE = 4096
@@ -134,7 +134,7 @@ def tokenise(docs: DataFrame, text: str = "text", path: str | None = None, size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _word_ids(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows, pieces, starts, ids = [], [], [], []
             for row, found in enumerate(encoder.ids(column_bytes(batch, text))):
                 found += end

@@ -41,13 +41,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     model = language_id.train(docs.where("not held_out"))
-    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model, drop=("text",))
 
 
 @query("op4_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontamination.digest_items().alias("items_sha256"), "contaminated")
 
 

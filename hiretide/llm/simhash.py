@@ -57,9 +57,9 @@ def fingerprint_of(text: bytes | None, k: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, to: str = "fp") -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, to: str = "fp", drop: tuple[str, ...] = ()) -> DataFrame:
     """Rows with their fingerprint; null and wordless texts have fingerprint zero."""
-    return map_rows(docs, lambda batch: {to: [fingerprint_of(t, k) for t in column_bytes(batch, text)]}, f"{to}: bigint")
+    return map_rows(docs, lambda batch: {to: [fingerprint_of(t, k) for t in column_bytes(batch, text)]}, f"{to}: bigint", drop)
 
 
 def ring_and_hamming(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
@@ -238,9 +238,7 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = B
 def _marked(docs: DataFrame, doc_id: str, text: str, k: int, max_bits: int, block: int, keep: list[str]):
     """The rows with row number and fingerprint, written; per fingerprint its component; per component its winner."""
     rid, fp = clean_name(docs, "rid"), clean_name(docs, "fp")
-    marked = with_fingerprint(docs.select(*dict.fromkeys([*keep, doc_id, text])), text, k, fp)
-    if text not in keep:
-        marked = marked.drop(text)
+    marked = with_fingerprint(docs.select(*dict.fromkeys([*keep, doc_id, text])), text, k, fp, () if text in keep else (text,))
     marked = materialise(marked.withColumn(rid, F.monotonically_increasing_id()), "fingerprints")
     first = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(rid).alias("rid"))
     nodes = materialise(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(first).alias("first")), "nodes")

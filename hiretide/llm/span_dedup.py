@@ -90,7 +90,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str = "text", sentences:
         return {"spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)}
 
     named = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
-    cut_up = materialise(map_rows(named, cut, _SPANS).drop("text").where("size(spans) > 0"), "spans")
+    cut_up = materialise(map_rows(named, cut, _SPANS, ["text"]).where("size(spans) > 0"), "spans")
     counted = cut_up.select(F.explode("spans.h1").alias("h1")).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
     spans = cut_up.select("_id", "_hash", F.explode("spans").alias("s")).select("_id", "_hash", "s.*")
     left = materialise(spans.join(counted, "h1"), "repeats")

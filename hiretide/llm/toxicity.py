@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import column_bytes, map_rows, plain_words
+from hiretide.llm.common import column_bytes, map_rows, plain_words, slices
 from hiretide.operators.scratch import materialise
 
 SAMPLE = 20_000
@@ -112,7 +112,7 @@ def _telling(labelled: DataFrame, text: str, categories: list[str]) -> list[str]
                 c.clear()
             return pa.RecordBatch.from_arrays(out, names=["word", "n", *(f"c{i}" for i in range(len(categories)))])
 
-        for batch in batches:
+        for batch in slices(batches):
             marks = [batch.column(c).to_pylist() for c in categories]
             for row, t in enumerate(column_bytes(batch, text)):
                 own = set(plain_words(t))
@@ -165,7 +165,7 @@ def train(labelled: DataFrame, categories: list[str], text: str = "text", key: s
         found = [chain.features(t) for t in column_bytes(batch, "text")]
         return {"at": [f[0] for f in found], "dense": [f[1] for f in found]}
 
-    rows = map_rows(picked, read, "at array<int>, dense array<double>").drop("text")
+    rows = map_rows(picked, read, "at array<int>, dense array<double>", ["text"])
     rows = materialise(rows.withColumn("fold", F.pmod(F.shiftright("pick", 32), F.lit(FOLDS)).cast("int")), "sample")
     for k in range(len(categories)):
         def fit(table: pa.Table, k: int = k) -> pa.Table:
@@ -202,4 +202,4 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text", threshold: float
         return {f"{c}_prob": found[:, i] for i, c in enumerate(chain.categories)} | {c: found[:, i] >= threshold for i, c in enumerate(chain.categories)}
 
     added = ", ".join([f"`{c}_prob` double" for c in chain.categories] + [f"`{c}` boolean" for c in chain.categories])
-    return map_rows(docs, run, added).drop(text)
+    return map_rows(docs, run, added, [text])
