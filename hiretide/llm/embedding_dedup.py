@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import clean_name, map_rows
+from hiretide.llm.common import map_rows
 from hiretide.llm.components import connected_components
 from hiretide.operators.scratch import materialise
 
@@ -217,7 +217,7 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embe
     nothing and are their own component; so do vectors of unlike length among each other.  Repeated rows are
     separate vectors.  component_id is the smallest non-null id reachable.  An empty table gives none.
     """
-    key = clean_name(vectors, "key")
+    key = "key"
     rows = materialise(
         _keyed(vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vec).alias("vec")), "vec", "label", key), "vectors"
     )

@@ -100,33 +100,35 @@ class Scanner:
         self.words = [plain_words(t.encode()) for _, t in templates]
 
     def scan(self, block: bytes) -> dict:
-        """The template that saves most, and how the wordings differ."""
+        """The template that saves most and whose wording confirms it, and how the wordings differ."""
         shown = block.lower()
         alone = len(self.plain.compress(shown))
         sizes = [len(c.compress(shown)) for c in self.with_template]
         own = plain_words(block)
-        # the ranking; equal sizes go to the longer, then the earlier template
-        ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], -len(self.words[i]), i))
-        best = ranked[0]
-        match = difflib.SequenceMatcher(None, self.words[best], own, autojunk=False)
-        missing, extra, held = [], [], 0
-        first, last = None, None
-        for kind, a, b, c, d in match.get_opcodes():
-            if kind == "equal":
-                held += b - a
-                first, last = c if first is None else first, d
-            else:
-                missing += self.words[best][a:b]
-        if first is not None:
-            for kind, _, _, c, d in match.get_opcodes():
-                if kind != "equal":
-                    extra += own[max(c, first):min(d, last)]
-        words = len(self.words[best])
-        saves = (alone - sizes[best]) / alone
+        # the ranking; equal sizes go to the template whose length is nearer, then the earlier one
+        ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], abs(len(self.words[i]) - len(own)), i))
+        tried = [i for i in ranked if alone - sizes[i] >= SAVES * alone] or ranked[:1]
+        first = None
+        for best in tried:
+            found = self._confirm(best, own)
+            found |= {"alone": alone, "conditional": sizes[best], "saves": (alone - sizes[best]) / alone}
+            found["confirmed"] = found["saves"] >= SAVES and found["held"] >= HOLDS
+            if found["confirmed"]:
+                return found
+            first = first or found
+        return first
+
+    def _confirm(self, template: int, own: list[bytes]) -> dict:
+        """How the block's wording differs from the template's."""
+        words = self.words[template]
+        steps = difflib.SequenceMatcher(None, words, own, autojunk=False).get_opcodes()
+        same = [s for s in steps if s[0] == "equal"]
+        missing = [w for kind, a, b, _, _ in steps if kind != "equal" for w in words[a:b]]
+        inside = (same[0][3], same[-1][4]) if same else (0, 0)
+        extra = [w for kind, _, _, c, d in steps if kind != "equal" for w in own[max(c, inside[0]):min(d, inside[1])]]
         return {
-            "license": self.templates[best][0], "template": best, "alone": alone, "conditional": sizes[best], "saves": saves,
-            "held": held / words, "missing": b" ".join(missing).decode(), "extra": b" ".join(extra).decode(),
-            "confirmed": saves >= SAVES and held >= HOLDS * words, "exact": not missing and not extra,
+            "license": self.templates[template][0], "template": template, "held": sum(s[2] - s[1] for s in same) / len(words),
+            "missing": b" ".join(missing).decode(), "extra": b" ".join(extra).decode(), "exact": not missing and not extra,
         }
 
 
@@ -137,7 +139,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
     """Every row without its text, with ``blocks``: each candidate block, its best template and how it differs.
 
     first and end are byte positions in the text; missing are the template's words that the block lacks, extra
-    what stands between those it has.  Equal sizes go to the longer template.  Null and empty texts and texts
+    what stands between those it has.  Null and empty texts and texts
     without a cue have no block; repeated blocks are reported each.
     """
     templates = templates or TEMPLATES

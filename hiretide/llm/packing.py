@@ -267,7 +267,7 @@ def pack(pieces: DataFrame, length: str = "length", size: int = SIZE) -> DataFra
     tasks = numbered.groupBy(part, length).agg(F.count("*").alias("n"))
     before = Window.partitionBy(length).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tasks.select(
-        F.col(part).alias("_part"), F.col(length).alias("_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")
+        F.col(part).alias("__of_part"), F.col(length).alias("__of_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before")
     )
     histogram = {r["length"]: r["n"] for r in tasks.groupBy(F.col(length).alias("length")).agg(F.sum("n").alias("n")).collect()}
     plan, _ = plan_lengths(histogram, size)
@@ -287,8 +287,8 @@ def pack(pieces: DataFrame, length: str = "length", size: int = SIZE) -> DataFra
                 names=[*names, "sequence_id", "offset"],
             )
 
-    joined = numbered.join(offsets, (F.col(part) == F.col("_part")) & (F.col(length) == F.col("_length")))
-    return joined.select(*pieces.columns, (F.col("_before") + F.col(nth)).alias(place)).mapInArrow(
+    joined = numbered.join(offsets, (F.col(part) == F.col("__of_part")) & (F.col(length) == F.col("__of_length")))
+    return joined.select(*pieces.columns, (F.col("__before") + F.col(nth)).alias(place)).mapInArrow(
         put, schema_of(list(pieces.schema), "sequence_id bigint, offset bigint")
     )
 

@@ -104,3 +104,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL["op4_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT item, least(len(w), 13) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n_words FROM b),
+win AS (
+  SELECT DISTINCT item, n, t FROM (
+    SELECT item, n, i, n_words, string_agg(word, ' ') OVER (PARTITION BY item ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS t FROM bw)
+  WHERE i + n - 1 <= n_words),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n_words FROM d),
+g AS (
+  SELECT doc_id, i, n, n_words, string_agg(word, ' ') OVER (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS t
+  FROM dw CROSS JOIN (SELECT DISTINCT n FROM win)),
+m AS (SELECT doc_id, i, n, item FROM g JOIN win USING (n, t) WHERE i + n - 1 <= n_words),
+h AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS k FROM m) GROUP BY doc_id),
+x AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+SQL["op10_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS x, vec_id AS c FROM embeddings UNION SELECT p.y, r.c FROM r JOIN p ON p.x = r.x)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(c AS BIGINT) AS component_id, c = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) k ON k.x = e.vec_id
+LEFT JOIN (SELECT x, count(*) AS n FROM p GROUP BY x) l ON l.x = e.vec_id"""

@@ -244,7 +244,7 @@ def _marked(docs: DataFrame, doc_id: str, text: str, k: int, max_bits: int, bloc
     nodes = materialise(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(first).alias("first")), "nodes")
     found = connected_components(fingerprint_links(nodes.select("fp"), max_bits, block))
     labelled = nodes.join(found, nodes.fp == found.node, "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("component"), "first"
+        F.col("fp").alias("__of_fp"), F.coalesce("component", "fp").alias("component"), "first"
     )
     return marked, labelled, labelled.groupBy("component").agg(F.min("first").alias("winner")), rid, fp
 
@@ -260,11 +260,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     marked, labelled, winners, rid, fp = _marked(docs, doc_id, text, k, max_bits, block, [doc_id])
     chosen = labelled.join(winners, "component").select(
-        "_fp", F.col("winner.id").alias("component_id"), F.col("winner.rid").alias("_winner")
+        "__of_fp", F.col("winner.id").alias("component_id"), F.col("winner.rid").alias("__winner")
     )
-    return marked.join(chosen, F.col(fp) == F.col("_fp")).select(
+    return marked.join(chosen, F.col(fp) == F.col("__of_fp")).select(
         doc_id, F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), "component_id",
-        (F.col(rid) == F.col("_winner")).alias("kept"),
+        (F.col(rid) == F.col("__winner")).alias("kept"),
     )
 
 
@@ -272,5 +272,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
                 max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """The documents left when one row of each component stays (see ``near_duplicates``); columns as given."""
     marked, _, winners, rid, _ = _marked(docs, doc_id, text, k, max_bits, block, docs.columns)
-    stay = winners.select(F.col("winner.rid").alias("_stays"))
-    return marked.join(stay, F.col(rid) == F.col("_stays"), "left_semi").select(*docs.columns)
+    stay = winners.select(F.col("winner.rid").alias("__stays"))
+    return marked.join(stay, F.col(rid) == F.col("__stays"), "left_semi").select(*docs.columns)

@@ -141,6 +141,18 @@ def _telling(labelled: DataFrame, text: str, categories: list[str]) -> list[str]
     return list(found)
 
 
+def _fitter(k: int, words: int):
+    """The model of category k from one group of rows."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        dense = np.array(table["dense"].to_pylist()).reshape(table.num_rows, STYLES + k)
+        dense = np.hstack([dense, np.ones((len(dense), 1))])
+        w = logistic(table["at"].to_pylist(), dense, np.array(table[f"y{k}"].to_pylist(), float), words)
+        return pa.table({"model": table["model"].slice(0, 1), "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
+
+    return fit
+
+
 def train(labelled: DataFrame, categories: list[str], text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Chain:
     """The chain learned from rows with text and a boolean in every category; none of them gives probabilities of 0.5.
 
@@ -168,15 +180,9 @@ def train(labelled: DataFrame, categories: list[str], text: str = "text", key: s
     rows = map_rows(picked, read, "at array<int>, dense array<double>", ["text"])
     rows = materialise(rows.withColumn("fold", F.pmod(F.shiftright("pick", 32), F.lit(FOLDS)).cast("int")), "sample")
     for k in range(len(categories)):
-        def fit(table: pa.Table, k: int = k) -> pa.Table:
-            dense = np.array(table["dense"].to_pylist()).reshape(table.num_rows, STYLES + k)
-            dense = np.hstack([dense, np.ones((len(dense), 1))])
-            w = logistic(table["at"].to_pylist(), dense, np.array(table[f"y{k}"].to_pylist(), float), words)
-            return pa.table({"model": table["model"].slice(0, 1), "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
-
         # model f has not seen fold f, the last one has seen all
         dealt = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).where("model <> fold")
-        fitted = {r["model"]: np.array(r["w"]) for r in dealt.groupBy("model").applyInArrow(fit, "model int, w array<double>").collect()}
+        fitted = {r["model"]: np.array(r["w"]) for r in dealt.groupBy("model").applyInArrow(_fitter(k, words), "model int, w array<double>").collect()}
         whole = fitted[FOLDS]
         chain.weights.append(whole)
         if k + 1 == len(categories):
