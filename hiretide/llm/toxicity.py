@@ -1,14 +1,15 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted in order.  Each has a linear model over the presence of
-telling words, a few measures of style and the probabilities of the categories
+telling words and word beginnings, a few measures of style and the probabilities of the categories
 before it.  What a model learns of earlier categories are out-of-fold
 predictions: each row's come from a model that has not seen it, so a later model
 meets probabilities as unsure as it will meet in use.
 
-Telling words are chosen by chi-square from document frequencies over all
+Words and beginnings are chosen by chi-square from document frequencies over all
 labelled rows.  Weights are learned from a bounded sample of these (``SAMPLE``
-rows), one task per fold.
+rows), one task per fold.  A category's threshold is the one of best F1 on its
+out-of-fold predictions.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ from hiretide.llm.common import column_bytes, map_rows, plain_words, slices
 from hiretide.operators.scratch import materialise
 
 SAMPLE = 20_000
-#: Telling words per category, and in how many labelled texts a word must be.
+#: Telling units per category, and in how many labelled texts one must be.
 WORDS = 1024
 LEAST_TEXTS = 3
 FOLDS = 5
-ROUNDS = 120
+ROUNDS = 300
 RATE = 0.5
-PENALTY = 1e-4
-THRESHOLD = 0.5
+PENALTY = 1e-5
+#: Bytes of the beginnings of words.
+BEGINNINGS = (4, 5, 6)
 _FLUSH = 300_000
 _UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 _LETTER = bytes(c for c in range(256) if not (65 <= c <= 90 or 97 <= c <= 122 or c >= 128))
@@ -53,16 +55,23 @@ def style(text: bytes, words: int) -> list[float]:
     ]
 
 
+def units(words: list[bytes]) -> set[bytes]:
+    """The distinct words, and the beginnings of the longer ones, marked by a star."""
+    own = set(words)
+    return own.union(*({w[:k] + b"*" for w in own if len(w) > k} for k in BEGINNINGS))
+
+
 @dataclass
 class Chain:
     categories: list[str]
     place: dict[bytes, int]  # of each telling word
     weights: list[np.ndarray] = field(default_factory=list)  # per category: words, styles, earlier categories, constant
+    thresholds: list[float] = field(default_factory=list)
 
     def features(self, text: bytes | None) -> tuple[list[int], list[float]]:
         words = plain_words(text)
         place = self.place
-        return sorted(place[w] for w in place.keys() & set(words)), style(text or b"", len(words))
+        return sorted(place[w] for w in place.keys() & units(words)), style(text or b"", len(words))
 
     def probabilities(self, text: bytes | None) -> list[float]:
         at, dense = self.features(text)
@@ -83,10 +92,12 @@ def probability(w: np.ndarray, at: list[int], dense: list[float]) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def logistic(sparse: list[list[int]], dense: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
-    """Weights of penalised logistic loss by full-batch adaptive steps; the constant comes last, unpenalised."""
-    rows = np.repeat(np.arange(len(sparse)), [len(s) for s in sparse])
-    columns = np.fromiter((c for s in sparse for c in s), np.int64, len(rows))
+def logistic(columns: np.ndarray, offsets: np.ndarray, dense: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
+    """Weights of penalised logistic loss by full-batch adaptive steps; the constant comes last, unpenalised.
+
+    A row's words are the columns between its offsets.
+    """
+    rows = np.repeat(np.arange(len(y)), np.diff(offsets))
     d = words + dense.shape[1]
     w, seen = np.zeros(d), np.full(d, 1e-6)
     for _ in range(ROUNDS):
@@ -99,7 +110,7 @@ def logistic(sparse: list[list[int]], dense: np.ndarray, y: np.ndarray, words: i
     return w
 
 
-def _telling(labelled: DataFrame, text: str, categories: list[str]) -> list[str]:
+def _telling(labelled: DataFrame, text: str, categories: list[str]) -> list[bytes]:
     """The words whose presence says most about a category, by chi-square over all labelled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +118,7 @@ def _telling(labelled: DataFrame, text: str, categories: list[str]) -> list[str]
 
         def flush() -> pa.RecordBatch:
             words = list(counts[0])
-            out = [pa.array(words, pa.binary()).cast(pa.string())] + [pa.array([c[w] for w in words], pa.int64()) for c in counts]
+            out = [pa.array(words, pa.binary())] + [pa.array([c[w] for w in words], pa.int64()) for c in counts]
             for c in counts:
                 c.clear()
             return pa.RecordBatch.from_arrays(out, names=["word", "n", *(f"c{i}" for i in range(len(categories)))])
@@ -115,7 +126,7 @@ def _telling(labelled: DataFrame, text: str, categories: list[str]) -> list[str]
         for batch in slices(batches):
             marks = [batch.column(c).to_pylist() for c in categories]
             for row, t in enumerate(column_bytes(batch, text)):
-                own = set(plain_words(t))
+                own = units(plain_words(t))
                 counts[0].update(own)
                 for c, m in zip(counts[1:], marks):
                     if m[row]:
@@ -125,11 +136,11 @@ def _telling(labelled: DataFrame, text: str, categories: list[str]) -> list[str]
         yield flush()
 
     names = [f"c{i}" for i in range(len(categories))]
-    schema = ", ".join(["word string", "n bigint", *(f"{c} bigint" for c in names)])
+    schema = ", ".join(["word binary", "n bigint", *(f"{c} bigint" for c in names)])
     counted = labelled.select(text, *categories).mapInArrow(run, schema).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
     counted = materialise(counted.where(F.col("n") >= LEAST_TEXTS), "telling")
     totals = labelled.agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("bigint")).alias(n) for c, n in zip(categories, names)]).first()
-    found: dict[str, None] = {}
+    found: dict[bytes, None] = {}
     for c in names:
         total, positive = totals["n"] or 0, totals[c] or 0
         a, b = F.col(c), F.col("n") - F.col(c)
@@ -137,7 +148,7 @@ def _telling(labelled: DataFrame, text: str, categories: list[str]) -> list[str]
         top = a * (total - positive) - b * positive
         below = F.col("n") * (F.lit(total) - F.col("n"))
         strength = F.when(below > 0, top.cast("double") * top / below).otherwise(0.0)
-        found.update((r["word"], None) for r in counted.select("word", strength.alias("s")).where("s > 0").orderBy(F.desc("s"), "word").limit(WORDS).collect())
+        found.update((bytes(r["word"]), None) for r in counted.select("word", strength.alias("s")).where("s > 0").orderBy(F.desc("s"), "word").limit(WORDS).collect())
     return list(found)
 
 
@@ -145,9 +156,11 @@ def _fitter(k: int, words: int):
     """The model of category k from one group of rows."""
 
     def fit(table: pa.Table) -> pa.Table:
-        dense = np.array(table["dense"].to_pylist()).reshape(table.num_rows, STYLES + k)
-        dense = np.hstack([dense, np.ones((len(dense), 1))])
-        w = logistic(table["at"].to_pylist(), dense, np.array(table[f"y{k}"].to_pylist(), float), words)
+        at, dense = table["at"].combine_chunks(), table["dense"].combine_chunks()
+        dense = np.hstack([np.asarray(dense.flatten()).reshape(-1, STYLES + k), np.ones((table.num_rows, 1))])
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(at.value_lengths()))])
+        y = np.array(table[f"y{k}"].to_pylist(), float)
+        w = logistic(np.asarray(at.flatten()), offsets, dense, y, words)
         return pa.table({"model": table["model"].slice(0, 1), "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
 
     return fit
@@ -164,11 +177,12 @@ def train(labelled: DataFrame, categories: list[str], text: str = "text", key: s
     )
     usable = materialise(usable, "labelled")
     marks = [f"y{i}" for i in range(len(categories))]
-    chain = Chain(list(categories), {w.encode(): i for i, w in enumerate(_telling(usable, "text", marks))})
+    chain = Chain(list(categories), {w: i for i, w in enumerate(_telling(usable, "text", marks))})
     total = usable.count()
     words = len(chain.place)
     if not total:
         chain.weights = [np.zeros(words + STYLES + k + 1) for k in range(len(categories))]
+        chain.thresholds = [1.0] * len(categories)
         return chain
     few = F.pmod("pick", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / total)))
     picked = usable.where(few) if total > sample else usable
@@ -185,8 +199,6 @@ def train(labelled: DataFrame, categories: list[str], text: str = "text", key: s
         fitted = {r["model"]: np.array(r["w"]) for r in dealt.groupBy("model").applyInArrow(_fitter(k, words), "model int, w array<double>").collect()}
         whole = fitted[FOLDS]
         chain.weights.append(whole)
-        if k + 1 == len(categories):
-            break
 
         def extend(batch: pa.RecordBatch, fitted: dict = fitted, whole: np.ndarray = whole) -> dict[str, object]:
             out = []
@@ -195,17 +207,30 @@ def train(labelled: DataFrame, categories: list[str], text: str = "text", key: s
             return {"dense": out}
 
         rows = materialise(map_rows(rows, extend, "dense array<double>"), "sample")
+        judged = rows.select(F.element_at("dense", -1).alias("p"), f"y{k}").toPandas()  # the sample's size bounds it
+        chain.thresholds.append(best_threshold((judged["p"].to_numpy(float) + 1) / 2, judged[f"y{k}"].to_numpy(bool)))
     return chain
 
 
-def predict(docs: DataFrame, chain: Chain, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every row without its text, with ``<category>_prob`` and, by the threshold, ``<category>`` for each category.
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which on a row counts as positive, of best F1; halfway to the next lower one."""
+    if not y.any():
+        return 1.0
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(y[order])
+    f1 = np.where(np.append(p[1:] != p[:-1], True), 2 * hits / (np.arange(1, len(p) + 1) + y.sum()), 0)
+    at = int(f1.argmax())
+    return float((p[at] + (p[at + 1] if at + 1 < len(p) else 0)) / 2)
+
+
+def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """Every row without its text, with ``<category>_prob`` and, by its threshold, ``<category>`` for each category.
 
     A null text is read as an empty one, which no word speaks against.
     """
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         found = np.array([chain.probabilities(t) for t in column_bytes(batch, text)]).reshape(-1, len(chain.categories))
-        return {f"{c}_prob": found[:, i] for i, c in enumerate(chain.categories)} | {c: found[:, i] >= threshold for i, c in enumerate(chain.categories)}
+        return {f"{c}_prob": found[:, i] for i, c in enumerate(chain.categories)} | {c: found[:, i] >= chain.thresholds[i] for i, c in enumerate(chain.categories)}
 
     added = ", ".join([f"`{c}_prob` double" for c in chain.categories] + [f"`{c}` boolean" for c in chain.categories])
     return map_rows(docs, run, added, [text])
