@@ -11,23 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiretide.llm import decontamination, language_id, queries, simhash, span_dedup
-from hiretide.llm.common import fold
+from hiretide.llm.common import fold, small_batches
 from hiretide.operators.scratch import materialise
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; learned from three quarters of those that carry one."""
+    small_batches(spark)
     model = language_id.train(docs.where(fold("doc_id", 4) != 2))
     return language_id.identified_only(docs, model)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the sentences of passages that an earlier one holds; n_chars follows the text."""
+    small_batches(spark)
     out = span_dedup.remove_repeats(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -36,11 +39,13 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not hold benchmark passages."""
+    small_batches(spark)
     return decontamination.clean_documents(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their place in a sequence."""
+    small_batches(spark)
     return queries.packed(docs)
 
 

@@ -7,7 +7,7 @@ import types
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +90,11 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_hiretide_worker", types.ModuleType("_hiretide_worker")).__dict__
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: fewer of them at once between Spark and Python, which bounds what both sides hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE_ROWS))
+
+
 def clean_name(df: DataFrame, name: str) -> str:
     """A column name the frame does not use yet."""
     while name in df.columns:
