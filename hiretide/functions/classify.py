@@ -43,9 +43,9 @@ def detect_level(title: Column | str) -> Column:
 def extract_skills(
     text: Column | str,
     vocabulary: list[str] | None = None,
-    limit: int = V.SKILL_LIMIT,
+    limit: int | None = None,
 ) -> Column:
-    """First ``limit`` vocabulary terms found as substrings, vocabulary order.
+    """Vocabulary terms found as substrings, vocabulary order; customary limit: 6.
 
     The whole text is lowercased once and bound; mentioning ``lower(text)`` in
     every test would redo it per term.
@@ -54,7 +54,8 @@ def extract_skills(
 
     def found(lowered: Column) -> Column:
         hits = [F.when(lowered.contains(s.lower()), F.lit(s)) for s in names]
-        return F.slice(F.array_compact(F.array(*hits)), 1, limit)
+        named = F.array_compact(F.array(*hits))
+        return named if limit is None else F.slice(named, 1, limit)
 
     return let(F.lower(text_or_blank(text)), found)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hiretide import vocab as V
 from hiretide.functions.classify import level_badge
 from hiretide.functions.text import escape_html, text_or_blank
 
@@ -15,8 +14,8 @@ def fingerprint(company: Column | str, title: Column | str, location: Column | s
     return F.md5(F.concat_ws("__", *parts))
 
 
-def posting_html() -> Column:
-    """One posting as an HTML fragment, from the posting columns of the row."""
+def posting_html(skills_limit: int | None = None) -> Column:
+    """One posting as an HTML fragment, from the posting columns of the row; customary limit: 5 skills."""
 
     def text(name: str) -> Column:
         return escape_html(text_or_blank(name))
@@ -26,9 +25,10 @@ def posting_html() -> Column:
             text_or_blank(name) != "", F.concat(F.lit(before), text(name), F.lit(after))
         ).otherwise(F.lit(""))
 
+    skills = F.coalesce(F.col("skills"), F.array().cast("array<string>"))
     pills = F.array_join(
         F.transform(
-            F.slice(F.coalesce(F.col("skills"), F.array().cast("array<string>")), 1, V.DIGEST_SKILLS),
+            skills if skills_limit is None else F.slice(skills, 1, skills_limit),
             lambda s: F.concat(F.lit('<span class="skill">'), escape_html(s), F.lit("</span>")),
         ),
         "",

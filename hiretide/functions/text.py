@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hiretide.functions.entities import unescape
+
 # Every character a Unicode-aware strip removes; Spark's own trim only drops
 # the space character.
 WHITESPACE = "".join(
@@ -17,6 +19,8 @@ WHITESPACE = "".join(
         *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
     )
 )
+# A run of them.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def col(c: Column | str) -> Column:
@@ -88,15 +92,6 @@ def title_case(c: Column | str) -> Column:
     )
 
 
-def unescape_html(c: Column | str) -> Column:
-    """Undo the five named entities and the no-break space; & last."""
-    out = col(c)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                         ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
-
-
 def escape_html(c: Column | str) -> Column:
     out = col(c)
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -107,7 +102,7 @@ def escape_html(c: Column | str) -> Column:
 def tag_text(c: Column | str) -> Column:
     """Visible text of an HTML fragment: tags out, whitespace collapsed."""
     bare = F.regexp_replace(col(c), r"(?s)<[^>]*>", " ")
-    return strip(F.regexp_replace(unescape_html(bare), r"\s+", " "))
+    return strip(F.regexp_replace(unescape(bare), SPACES, " "))
 
 
 def resolve_href(base: Column | str, href: Column | str) -> Column:

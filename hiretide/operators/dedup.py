@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,7 @@ from hiretide import vocab as V
 from hiretide.functions.posting import fingerprint
 from hiretide.functions.text import col
 from hiretide.operators.ranking import first_per_key
+from hiretide.operators.scratch import drop
 from hiretide.schemas import SEEN_SCHEMA
 
 RUN_HOURS = 12
@@ -54,8 +56,9 @@ def first_in_batch(postings: DataFrame, order: list[str]) -> DataFrame:
 def anti_seen(postings: DataFrame, live: DataFrame) -> DataFrame:
     """Postings without a live state entry.
 
-    The state keeps one row per fingerprint, so no key of it is hot; AQE
-    broadcasts it while it is small and shuffles it when it is not.
+    The state keeps one row per fingerprint; AQE broadcasts it while it is
+    small, else it splits the partition of a posting seen very often.  A run
+    takes the first sighting of each fingerprint before (``dedup_run``).
     """
     return postings.join(live.select("fp"), "fp", "left_anti")
 
@@ -109,25 +112,43 @@ def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SEEN_SCHEMA)
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Latest snapshot; a missing state is empty, a broken one is an error."""
+def _table(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
     try:
-        snapshots = spark.read.schema(f"{SEEN_SCHEMA}, run string").parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return empty_state(spark)
+            return None
         raise
-    # every snapshot carries one marker row, so an emptied state is seen too
-    latest = snapshots.filter("fp is null").agg(F.max("run").alias("run")).first()["run"]
-    return snapshots.filter((F.col("run") == latest) & F.col("fp").isNotNull()).drop("run")
 
 
-def write_state(state: DataFrame, path: str, now: datetime) -> str:
-    """A new snapshot folder per run; readers take the last complete one."""
-    target = f"{path}/run={now:%Y%m%dT%H%M%S}"
-    rows = state.select("fp", F.col("emitted_at").cast("timestamp").alias("emitted_at"))
-    marker = state.sparkSession.createDataFrame([(None, now)], SEEN_SCHEMA)
-    rows.unionByName(marker).write.mode("overwrite").parquet(target)
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """Latest snapshot; a missing state is empty, a broken one is an error.
+
+    The list of complete snapshots has a row a run; only the last one's files
+    are read.
+    """
+    done = _table(spark, "run string", f"{path}/complete")
+    latest = done.agg(F.max("run").alias("run")).first()["run"] if done is not None else None
+    if latest is None:
+        return empty_state(spark)
+    return spark.read.schema(SEEN_SCHEMA).parquet(f"{path}/snapshots/{latest}")
+
+
+def write_state(state: DataFrame, path: str, now: datetime, keep: int | None = None) -> str:
+    """A new snapshot folder, then its line in the list; readers take the last complete one.
+
+    Runs are named by time to the microsecond and a random part, so two of one
+    moment do not meet.  ``keep`` removes all but that many snapshots.
+    """
+    spark = state.sparkSession
+    run = f"{now:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    target = f"{path}/snapshots/{run}"
+    state.select("fp", F.col("emitted_at").cast("timestamp").alias("emitted_at")).write.parquet(target)
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{path}/complete")
+    if keep is not None:
+        runs = [r["run"] for r in _table(spark, "run string", f"{path}/complete").orderBy(F.desc("run")).collect()]
+        for old in runs[keep:]:
+            drop(f"{path}/snapshots/{old}")
     return target
 
 

@@ -43,35 +43,35 @@ def digest_by_category(chunks: DataFrame, by: list[str], order: str = "rn") -> D
     )
 
 
+def subject(label: Column, total: Column, run_date: Column) -> Column:
+    return F.format_string(V.SUBJECT_NEW, label, total, run_date)
+
+
 def digest(chunks: DataFrame, by: list[str], run_label: Column, run_date: Column, n_companies: int) -> DataFrame:
-    """(by.., n_chunks, subject, total, senior, mid, entry, html) per chunk."""
-    category = F.coalesce("category", F.lit(V.CATEGORY_DEFAULT))
-    rows = chunks.withColumn("category", category).withColumn("html", posting_html())
-    sections = (
-        rows.groupBy(*by, "category")
-        .agg(
-            F.min("rn").alias("first_rn"), F.count("*").alias("n"),
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("rn", "html"))), lambda r: r["html"]), ""
-            ).alias("body"),
-        )
-        .withColumn(
-            "section",
-            F.concat(
-                F.lit('<h3>'), category_icon("category"), F.lit(" "), escape_html("category"),
-                F.lit(" ("), F.col("n").cast("string"), F.lit(" jobs)</h3>"), F.col("body"),
-            ),
-        )
-        .groupBy(*by)
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("first_rn", "section"))), lambda s: s["section"]), ""
-            ).alias("html")
-        )
+    """(by.., n_chunks, subject, total, senior, mid, entry, html) per chunk.
+
+    Totals are the sums of the category sections, so the rows are grouped once.
+    """
+    rows = chunks.withColumn("category", F.coalesce("category", F.lit(V.CATEGORY_DEFAULT))).withColumn("html", posting_html())
+    levels = {"senior": "Senior", "mid": "Mid", "entry": "Entry"}
+    sections = rows.groupBy(*by, "n_chunks", "category").agg(
+        F.min("rn").alias("first_rn"), F.count("*").alias("n"),
+        *[_count_level(part).alias(name) for name, part in levels.items()],
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("rn", "html"))), lambda r: r["html"]), ""
+        ).alias("body"),
+    ).withColumn(
+        "section",
+        F.concat(
+            F.lit('<h3>'), category_icon("category"), F.lit(" "), escape_html("category"),
+            F.lit(" ("), F.col("n").cast("string"), F.lit(" jobs)</h3>"), F.col("body"),
+        ),
     )
-    stats = chunks.groupBy(*by, "n_chunks").agg(
-        F.count("*").alias("total"), _count_level("Senior").alias("senior"),
-        _count_level("Mid").alias("mid"), _count_level("Entry").alias("entry"),
+    found = sections.groupBy(*by, "n_chunks").agg(
+        F.sum("n").alias("total"), *[F.sum(name).alias(name) for name in levels],
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("first_rn", "section"))), lambda s: s["section"]), ""
+        ).alias("html"),
     )
     label = F.concat(
         run_label,
@@ -86,13 +86,8 @@ def digest(chunks: DataFrame, by: list[str], run_label: Column, run_date: Column
         F.lit(" · Senior "), F.col("senior").cast("string"), F.lit(" · Mid-Level "), F.col("mid").cast("string"),
         F.lit(" · Entry Level "), F.col("entry").cast("string"), F.lit("</p>"),
     )
-    return stats.join(sections, by).select(
-        *by, "n_chunks",
-        F.concat(
-            F.lit(V.SUBJECT_NEW[0]), label, F.lit(V.SUBJECT_NEW[1]), F.col("total").cast("string"),
-            F.lit(V.SUBJECT_NEW[2]), run_date,
-        ).alias("subject"),
-        "total", "senior", "mid", "entry",
+    return found.select(
+        *by, "n_chunks", subject(label, F.col("total"), run_date).alias("subject"), "total", "senior", "mid", "entry",
         F.concat(head, F.col("html"), F.lit("</div>")).alias("html"),
     )
 
@@ -103,7 +98,7 @@ def empty_digest(runs: DataFrame, run_label: Column, run_date: Column, n_compani
     return runs.select(
         "*",
         zero.alias("chunk_no"), zero.alias("n_chunks"),
-        F.concat(F.lit(V.SUBJECT_NONE[0]), run_label, F.lit(V.SUBJECT_NONE[1]), run_date).alias("subject"),
+        F.format_string(V.SUBJECT_NONE, run_label, run_date).alias("subject"),
         zero.alias("total"), zero.alias("senior"), zero.alias("mid"), zero.alias("entry"),
         F.lit(
             "<div><h1>No new postings</h1>"

@@ -1,9 +1,9 @@
 """Joins: company dimension, source configuration, vocabularies.
 
 The dimension side is usually small and Catalyst broadcasts it by its
-statistics.  Nothing forces that: a side too big to broadcast is joined on
-(key, salt), so one company owning a third of the postings is spread over
-``SALTS`` tasks instead of landing in one.
+statistics.  A side too big for that has one row per key, so a company owning a
+third of the postings makes one partition large, which adaptive execution
+splits by its measured size; nothing is salted by a fixed number.
 """
 
 from __future__ import annotations
@@ -11,33 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.functions.text import let
 
-SALTS = 16
-
-
-def salted_join(
-    facts: DataFrame,
-    side: DataFrame,
-    on: list[str],
-    spread: list[str],
-    how: str = "inner",
-    condition: Column | None = None,
-) -> DataFrame:
-    """Join on ``on`` plus a salt taken from the fact row's ``spread`` columns.
-
-    The salt is a hash of row content, so a recomputed task gets the same one.
-    A broadcast copy of the side holds it ``SALTS`` times, which the broadcast
-    threshold keeps below ``SALTS`` times that threshold.
-    """
-    salt = "__salt"
-    left = facts.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    right = side.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = left.join(right, [*on, salt], how).drop(salt)
-    return joined if condition is None else joined.filter(condition)
-
-
-def with_company(postings: DataFrame, dim: DataFrame, spread: list[str]) -> DataFrame:
+def with_company(postings: DataFrame, dim: DataFrame) -> DataFrame:
     """Posting rows with their company's attributes; unknown companies drop out."""
     side = dim.select(
         F.col("name").alias("company"),
@@ -46,15 +21,20 @@ def with_company(postings: DataFrame, dim: DataFrame, spread: list[str]) -> Data
         F.coalesce("salary_range", F.lit("")).alias("salary"),
         F.coalesce("stack", F.array().cast("array<string>")).alias("stack"),
     )
-    return salted_join(postings, side, ["company"], spread)
+    return postings.join(side, "company")
 
 
-def join_source_config(df: DataFrame, cfg: DataFrame, source: str, spread: list[str]) -> DataFrame:
+def join_source_config(df: DataFrame, cfg: DataFrame, source: str) -> DataFrame:
     """Rows with their board settings; a company without settings has no rows."""
     side = cfg.filter(F.col("source") == source).select(
         "company", "slug", "site", "location_id", "url_template", "default_location"
     )
-    return salted_join(df, side, ["company"], spread)
+    return df.join(side, "company")
+
+
+def audit_results(dim: DataFrame, status: DataFrame, key: str = "name") -> DataFrame:
+    """The dimension in its own order with each company's outcome, null where there is none."""
+    return dim.join(status, key, "left")
 
 
 def config_gaps(dim: DataFrame, cfg: DataFrame, sources: list[str]) -> DataFrame:
@@ -84,57 +64,37 @@ def matches_in_list(df: DataFrame, column: str, names: list[str], keep: bool) ->
     return df.filter(hit if keep else ~F.coalesce(hit, F.lit(False)))
 
 
-# A vocabulary up to this size is compiled into the expression itself.
-INLINE_TERMS = 512
+_GRAM = 3
 
 
 def match_terms(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """(key, term) for every vocabulary term that is a substring of the text.
-
-    ``vocab(term)`` is user data, so its size is checked.  Up to
-    ``INLINE_TERMS`` terms are evaluated in the row, without any join.  A
-    larger vocabulary is joined on its first three characters: each text emits
-    its distinct 1-, 2- and 3-grams, each term has exactly one key gram, and a
-    match on it is verified against the whole text.
-    """
-    terms = [r["term"] for r in vocab.select("term").distinct().limit(INLINE_TERMS + 1).collect()]
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    if len(terms) <= INLINE_TERMS:
-        kept = sorted(t for t in terms if t)
-        if not kept:
-            return df.select(key, F.lit("").alias("term")).limit(0)
-
-        def found(t: Column) -> Column:
-            return F.array_compact(F.array(*[F.when(t.contains(k.lower()), F.lit(k)) for k in kept]))
-
-        return df.select(key, F.explode(let(lowered, found)).alias("term"))
-    return match_terms_by_gram(df, key, text, vocab)
-
-
-def match_terms_by_gram(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """The way beyond ``INLINE_TERMS``: equi-join on a term's leading gram.
+    """Distinct (key, term) for every vocabulary term that is a substring of a text of the key.
 
-    Only (key, gram) pairs travel to the join; the text is fetched back by key
-    for the pairs that met a term, so a hot gram never multiplies whole texts.
+    ``vocab(term)`` is user data of any size.  Each text emits its distinct
+    1-, 2- and 3-grams, each term has exactly one gram, its leading one; what
+    meets is verified against the whole text.  Only (key, gram) pairs travel to
+    the join, and the text is fetched back once for the pairs that met a term,
+    so a hot gram never multiplies whole texts.  Case is Spark's on both sides.
     """
     side = (
         vocab.select("term").filter(F.col("term") != "").distinct()
         .withColumn("__needle", F.lower("term"))
-        .withColumn("__gram", F.substring("__needle", 1, 3))
+        .withColumn("__gram", F.substring("__needle", 1, _GRAM))
     )
-    lowered = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    lowered = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t")).withColumn("__h", F.xxhash64("__t"))
     n = F.length("__t")
 
     def grams(size: int) -> Column:
         starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(F.col("__t"), i, F.lit(size)))
 
+    # shorter grams than the term's own lead only exist for shorter terms
     pairs = lowered.select(
-        key, F.explode(F.array_distinct(F.flatten(F.array(grams(1), grams(2), grams(3))))).alias("__gram")
+        key, "__h", F.explode(F.array_distinct(F.flatten(F.array(*[grams(k) for k in range(1, _GRAM + 1)])))).alias("__gram")
     )
-    candidates = salted_join(pairs, side, ["__gram"], [key]).select(key, "term", "__needle")
+    met = pairs.join(side, "__gram").groupBy(key, "__h").agg(F.collect_set(F.struct("term", "__needle")).alias("__c"))
     return (
-        candidates.join(lowered, key)
-        .filter(F.col("__t").contains(F.col("__needle")))
-        .select(key, "term")
+        lowered.join(met, [key, "__h"])
+        .select(key, F.explode(F.filter("__c", lambda c: F.col("__t").contains(c["__needle"]))).alias("c"))
+        .select(key, "c.term").distinct()
     )

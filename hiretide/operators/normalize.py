@@ -12,11 +12,10 @@ from hiretide.operators.joins import with_company
 from hiretide.schemas import POSTING_COLUMNS
 
 # Where a row came from and its place there; they order a company's rows.
-LINEAGE = ["source", "fetched_at", "page_no", "pos"]
-SPREAD = ["page_no", "pos"]
+LINEAGE = ["source", "fetched_at", "attempt", "page_no", "pos"]
 
 
-def posting_columns(stack: Column, level: Column | None = None) -> list[Column]:
+def posting_columns(stack: Column, level: Column | None = None, stack_limit: int | None = None) -> list[Column]:
     """The ten posting fields from extracted columns and company attributes."""
     title = text_or_blank("title")
     skills = F.coalesce(F.col("skills"), F.array().cast("array<string>"))
@@ -30,7 +29,7 @@ def posting_columns(stack: Column, level: Column | None = None) -> list[Column]:
         F.coalesce(F.col("type"), F.lit("Full-time")).alias("type"),
         F.coalesce(F.col("posted"), F.lit("Recent")).alias("posted"),
         text_or_blank("url").alias("url"),
-        F.when(F.size(skills) > 0, skills).otherwise(F.slice(stack, 1, V.STACK_LIMIT)).alias("skills"),
+        F.when(F.size(skills) > 0, skills).otherwise(stack if stack_limit is None else F.slice(stack, 1, stack_limit)).alias("skills"),
         F.col("salary"),
     ]
 
@@ -42,11 +41,13 @@ _OPTIONAL = {"skills": "array<string>", "posted": "string", "type": "string",
 def build_posting(
     rows: DataFrame,
     dim: DataFrame,
-    spread: list[str] | None = None,
     url: Column | None = None,
+    stack_limit: int | None = None,
 ) -> DataFrame:
     """Normalise extracted rows and attach their company.
 
+    A posting without skills takes its company's stack (customary limit: 5).
+
     ``rows`` needs company and title; location, level, type, posted, url and
     skills are optional.  Other columns ride along.  ``url`` may be given as an
     expression over the row and its company (``careers_url``), so boards whose
@@ -56,10 +57,10 @@ def build_posting(
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     extra = [c for c in rows.columns if c not in (*POSTING_COLUMNS, *_OPTIONAL)]
-    joined = with_company(rows, dim, spread or SPREAD)
+    joined = with_company(rows, dim)
     if url is not None:
         joined = joined.withColumn("url", url)
-    return joined.select(*posting_columns(F.col("stack"), F.col("level")), *extra)
+    return joined.select(*posting_columns(F.col("stack"), F.col("level"), stack_limit), *extra)
 
 
 def posting_filter(postings: DataFrame, rules: Rules = Rules()) -> DataFrame:

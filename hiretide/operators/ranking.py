@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from hiretide import vocab as V
 from hiretide.functions.classify import level_rank
-from hiretide.operators.joins import salted_join
 from hiretide.operators.scratch import materialise
 
 
@@ -108,7 +107,7 @@ def chunk_rows(df: DataFrame, order: list[str], by: list[str] | None = None, siz
     numbered = number_rows(df, [*[F.col(c) for c in by], *by_level(df, order)])
     if by:
         bounds = numbered.groupBy(*by).agg(F.min("rn").alias("__start"), F.count("*").alias("__n"))
-        numbered = salted_join(numbered.drop("n_total"), bounds, by, ["rn"])
+        numbered = numbered.drop("n_total").join(bounds, by)
         numbered = numbered.withColumn("rn", F.col("rn") - F.col("__start")).drop("__start")
     else:
         numbered = numbered.withColumnRenamed("n_total", "__n")

@@ -74,8 +74,12 @@ def top_counts(counts: DataFrame, order: str, limit: int | None = None) -> DataF
 
 # --- audit ------------------------------------------------------------------
 
-def audit_status(outcomes: DataFrame, broad: bool = False) -> DataFrame:
-    """(name, scraper, jobs, status, note) per company.
+def _cut(text: str, chars: int | None) -> Column:
+    return F.col(text) if chars is None else F.left(F.col(text), F.lit(chars))
+
+
+def audit_status(outcomes: DataFrame, broad: bool = False, error_chars: int | None = None) -> DataFrame:
+    """(name, scraper, jobs, status, note) per company; customary cut of an error: 80 characters.
 
     ``outcomes`` is the routed dimension with ``n`` (rows extracted without a
     role-independent geography recheck), ``error`` (text or null) and
@@ -94,10 +98,10 @@ def audit_status(outcomes: DataFrame, broad: bool = False) -> DataFrame:
     )
     kind = "any" if broad else "data"
     note = (
-        F.when(rendered, F.lit("Dedicated Selenium scraper"))
-        .when(unhandled, F.lit("GenericScraper — skipped"))
-        .when(F.col("needs_page"), F.lit("API failed → Selenium fallback needed"))
-        .when(F.col("error").isNotNull(), F.substring("error", 1, 80))
+        F.when(rendered, F.lit("only readable as a rendered page"))
+        .when(unhandled, F.lit("no extractor of its own"))
+        .when(F.col("needs_page"), F.lit("structured source did not answer"))
+        .when(F.col("error").isNotNull(), _cut("error", error_chars))
         .otherwise(F.concat(F.col("n").cast("string"), F.lit(f" {kind} jobs")))
     )
     counted = status.isin("ok", "zero")
@@ -124,7 +128,7 @@ def audit_rollup(status: DataFrame) -> DataFrame:
     )
 
 
-def outcome_rows(outcomes: DataFrame) -> DataFrame:
+def outcome_rows(outcomes: DataFrame, error_chars: int | None = None) -> DataFrame:
     """(outcome, name, jobs, note, in_outcome): pass / zero / error, one row
     per company; ``in_outcome`` is the size of its list.
 
@@ -136,7 +140,7 @@ def outcome_rows(outcomes: DataFrame) -> DataFrame:
     rows = outcomes.select(
         outcome.alias("outcome"), "name",
         F.when(outcome == "pass", F.col("n")).otherwise(F.lit(0)).cast("long").alias("jobs"),
-        F.coalesce(F.substring("error", 1, 80), F.lit("")).alias("note"),
+        F.coalesce(_cut("error", error_chars), F.lit("")).alias("note"),
     )
     # three rows at most, whatever the dimension's size
     sizes = rows.groupBy("outcome").agg(F.count("*").alias("in_outcome"))
@@ -168,12 +172,12 @@ def find_companies(dim: DataFrame, query: str) -> DataFrame:
     return dim.filter(F.lower("name").contains(query.lower()))
 
 
-def display_row(title: Column, location: Column, url: Column) -> list[Column]:
-    """Widths of the one-company check's table."""
-    return [
-        F.left(title, F.lit(54)).alias("title"), F.left(location, F.lit(34)).alias("location"),
-        F.left(url, F.lit(70)).alias("url"),
-    ]
+def display_row(title: Column, location: Column, url: Column, widths: tuple[int, int, int] | None = None) -> list[Column]:
+    """Columns of the one-company check's table; customary widths: 54, 34, 70."""
+    shown = [title, location, url]
+    if widths:
+        shown = [F.left(c, F.lit(w)) for c, w in zip(shown, widths)]
+    return [c.alias(name) for c, name in zip(shown, ("title", "location", "url"))]
 
 
 def write_report(df: DataFrame, path: str) -> None:

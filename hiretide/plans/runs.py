@@ -31,31 +31,39 @@ def alert_run(
     now: datetime,
     n_companies: int,
     label: str = "daily",
-    include_us: bool = False,
+    rules: Rules = Rules(),
     order: list[str] = ORDER,
 ) -> AlertResult:
     """One run: filter, deduplicate, order, chunk, digest.
 
+    ``rules`` are those the postings were extracted by (``all_sources``).
+
     The new postings are written once: state, chunks and digest all start from
     the same rows even if an executor is lost in between.
     """
-    wanted = posting_filter(postings, Rules.of(include_us=include_us))
+    wanted = posting_filter(postings, rules)
     fresh, _ = dedup.dedup_run(wanted, seen, now, order)
     fresh = materialise(fresh, "fresh")
     state = dedup.state_merge(dedup.live_state(seen, now), fresh, now)
     run_label, run_date = F.lit(V.RUN_LABELS.get(label, label)), F.lit(f"{now:%b %d, %Y}")
-    if fresh.isEmpty():
-        day = fresh.sparkSession.range(1).select(F.lit(now).alias("run_ts"))
-        report = digest.empty_digest(day, run_label, run_date, n_companies)
-    else:
-        chunks = ranking.chunk_rows(fresh, order)
-        report = digest.digest(chunks, ["chunk_no"], run_label, run_date, n_companies).withColumn("run_ts", F.lit(now))
-    return AlertResult(wanted, fresh, state, report)
-
-
-def broad_run(postings: DataFrame, dim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(counts per company, one-row summary); no deduplication."""
-    counts = reports.company_counts(postings, dim)
+    report = digest.digest(ranking.chunk_rows(fresh, order), ["chunk_no"], run_label, run_date, n_companies)
+    day = fresh.sparkSession.range(1).select(F.lit(now).alias("run_ts"))
+    return AlertResult(wanted, fresh, state, with_quiet_runs(report.withColumn("run_ts", F.lit(now)), day, run_label, run_date, n_companies))
+
+
+def with_quiet_runs(digests: DataFrame, every_run: DataFrame, run_label, run_date, n_companies: int) -> DataFrame:
+    """The digests, and the "nothing new" row of each run that has none."""
+    quiet = every_run.select("run_ts").distinct().join(digests.select("run_ts"), "run_ts", "left_anti")
+    return digests.unionByName(digest.empty_digest(quiet, run_label, run_date, n_companies))
+
+
+def broad_run(postings: DataFrame, dim: DataFrame, include_us: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(counts per company, one-row summary) of any title; no deduplication.
+
+    ``postings`` are normalised and not yet filtered by role; geography is
+    tested here.
+    """
+    counts = reports.company_counts(posting_filter(postings, Rules.of(broad=True, include_us=include_us)), dim)
     return counts, reports.broad_summary(counts)
 
 
@@ -78,6 +86,14 @@ def audit(dim: DataFrame, counts: DataFrame, failures: DataFrame, broad: bool =
 
 def history(rows: DataFrame, dim: DataFrame, run_ts: str, seq: str) -> DataFrame:
     """All runs replayed: normalise, filter, deduplicate, order, chunk."""
-    postings = posting_filter(build_posting(rows, dim, [seq]))
+    postings = posting_filter(build_posting(rows, dim))
     emitted = dedup.dedup_history(postings, run_ts, ["company", seq])
     return ranking.chunk_rows(emitted, ["company", seq], by=[run_ts])
+
+
+def history_digests(rows: DataFrame, dim: DataFrame, run_ts: str, seq: str, n_companies: int) -> DataFrame:
+    """The digests of all runs replayed, runs without news included."""
+    chunks = history(rows, dim, run_ts, seq).withColumnRenamed(run_ts, "run_ts")
+    label, day = dedup.run_label("run_ts"), F.date_format("run_ts", "MMM dd, yyyy")
+    found = digest.digest(chunks, ["run_ts", "chunk_no"], label, day, n_companies)
+    return with_quiet_runs(found, rows.select(F.col(run_ts).alias("run_ts")), label, day, n_companies)

@@ -9,17 +9,16 @@ from hiretide.schemas import COMPANY_SCHEMA, SOURCE_CONFIG_SCHEMA
 
 
 def with_defaults(dim: DataFrame) -> DataFrame:
-    """Optional attributes filled in."""
+    """Optional attributes filled in; other columns ride along."""
     none = F.array().cast("array<string>")
-    return dim.select(
-        "name", "careers_url", "category",
-        F.coalesce("scraper", F.lit("custom")).alias("scraper"),
-        F.coalesce("salary_range", F.lit("")).alias("salary_range"),
-        F.coalesce("top100", F.lit(False)).alias("top100"),
-        F.coalesce("titles", none).alias("titles"),
-        F.coalesce("stack", none).alias("stack"),
-        F.coalesce("locations", none).alias("locations"),
-    )
+    return dim.withColumns({
+        "scraper": F.coalesce("scraper", F.lit("custom")),
+        "salary_range": F.coalesce("salary_range", F.lit("")),
+        "top100": F.coalesce("top100", F.lit(False)),
+        "titles": F.coalesce("titles", none),
+        "stack": F.coalesce("stack", none),
+        "locations": F.coalesce("locations", none),
+    })
 
 
 def read_companies(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

@@ -14,21 +14,15 @@ from hiretide.functions import location as L
 from hiretide.functions.classify import Rules
 from hiretide.functions.text import first_non_empty, let, slugify, strip, text_or_blank
 from hiretide.operators.joins import join_source_config
-from hiretide.operators.normalize import LINEAGE, SPREAD, finish
+from hiretide.operators.normalize import LINEAGE, finish
 from hiretide.sources.payloads import ok_payloads
 
 KEYS = ["company", *LINEAGE]
 
 # --- fixed values: patterns of the embedded data ----------------------------
-PHENOM_SEQ = r'"jobSeqNo"\s*:\s*"([^"]+)"'
-PHENOM_BEFORE = 2000
-PHENOM_AFTER = 100
-UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-SHOPIFY_RECORD = (
-    r'\\"(' + UUID + r')\\",\\"([^\\"]{5,150})\\",\\"' + UUID
-    + r'\\",\\"\d{4}-\d{2}-\d{2}\\",\\"https://www\.shopify\.com/careers\?ashby_jid='
-)
-CANADALIFE_LINK = r'(?s)<a href="(/job/[^"]+)" class="jobTitle-link">([^<]+)</a>(?=(.{0,2000}))'
+PHENOM_SEQ = r'"jobSeqNo"\s*:\s*"(?=[^"]+")'
+SHOPIFY_RECORD = r'\\"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\",\\"[^\\"]+\\",\\"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\",\\"\d{4}-\d{2}-\d{2}\\",\\"https://www\.shopify\.com/careers\?ashby_jid='
+CANADALIFE_LINK = r'<a href="(/job/[^"]+" class="jobTitle-link">[^<]+)</a>'
 CANADALIFE_PLACE = r'<span class="jobLocation">\s*([^<]+?)\s*</span>'
 
 
@@ -37,60 +31,67 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 
 def first_by(records: Column, key: str) -> Column:
-    """First record per key of an array of structs, order kept."""
+    """First record per key of an array of structs, order kept.
 
-    def pick(all_: Column) -> Column:
-        return let(
-            F.transform(all_, lambda r: r[key]),
-            lambda keys: F.filter(all_, lambda r, i: F.array_position(keys, r[key]) == i + 1),
-        )
+    Sorted by (key, place) a first record is one whose predecessor has another
+    key; sorted back by place the order is as it was.
+    """
 
-    return let(records, pick)
+    def pick(by_key: Column) -> Column:
+        firsts = F.filter(by_key, lambda x, i: (i == 0) | ~x["k"].eqNullSafe(F.get(by_key, i - 1)["k"]))
+        placed = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r"))))
+        return F.transform(placed, lambda x: x["r"])
 
+    keyed = F.transform(records, lambda r, i: F.struct(r[key].alias("k"), i.alias("i"), r.alias("r")))
+    return let(F.array_sort(keyed), pick)
 
-def _last_value(window: Column, field: str) -> Column:
-    return text_or_blank(F.try_element_at(_all(window, rf'"{field}"\s*:\s*"([^"]+)"', 1), F.lit(-1)))
+
+def _last_value(piece: Column, field: str) -> Column:
+    return text_or_blank(F.try_element_at(_all(piece, rf'"{field}"\s*:\s*"([^"]+)"', 1), F.lit(-1)))
 
 
 def phenom(raw: DataFrame, dim: DataFrame, cfg: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The text around each first jobSeqNo; last title, city, state in it.
+    """Records by their jobSeqNo; title, city and state stand before it.
 
-    The window reaches 100 characters past the match, so with short records
-    the next record's title can win.
+    The body is cut once at the keys.  A record's fields are the last of their
+    kind in the piece before its key, however far that reaches.
     """
-    body = F.col("body")
 
-    def window(seq: Column) -> Column:
-        at = F.regexp_instr(body, F.concat(F.lit(r'"jobSeqNo"\s*:\s*"\Q'), seq, F.lit(r'\E"')))
-        start = F.greatest(at - PHENOM_BEFORE, F.lit(1))
-        return F.struct(seq.alias("seq"), F.substring(body, start, at - start + PHENOM_AFTER).alias("w"))
+    def records(pieces: Column) -> Column:
+        def record(piece: Column, i: Column) -> Column:
+            return F.struct(F.substring_index(piece, '"', 1).alias("seq_no"), F.get(pieces, i - 1).alias("w"))
+
+        return first_by(F.slice(F.transform(pieces, record), 2, F.greatest(F.size(pieces) - 1, F.lit(0))), "seq_no")
 
-    def record(r: Column) -> Column:
+    def fields(r: Column) -> Column:
         place = L.phenom_location(_last_value(r["w"], "city"), _last_value(r["w"], "state"))
-        return F.struct(r["seq"].alias("seq_no"), _last_value(r["w"], "title").alias("title"), place.alias("location"))
+        return F.struct(r["seq_no"].alias("seq_no"), _last_value(r["w"], "title").alias("title"), place.alias("location"))
 
-    windows = F.transform(F.array_distinct(_all(body, PHENOM_SEQ, 1)), window)
+    found = let(F.split("body", PHENOM_SEQ), records)
     rows = (
         ok_payloads(raw, "phenom")
-        .select("source", "company", "fetched_at", "page_no",
-                F.posexplode(F.transform(windows, record)).alias("pos", "r"))
+        .select("source", "company", "fetched_at", "attempt", "page_no", F.posexplode(F.transform(found, fields)).alias("pos", "r"))
         .select(*KEYS, "r.seq_no", "r.title", "r.location")
         .filter((F.col("title") != "") & rules.is_role(F.col("title")) & rules.is_geo(F.col("location")))
     )
     url = F.replace(
         F.replace(F.col("url_template"), F.lit("{jobSeqNo}"), F.col("seq_no")), F.lit("{slug}"), slugify("title")
     )
-    rows = join_source_config(rows, cfg, "phenom", SPREAD).withColumn("url", url)
+    rows = join_source_config(rows, cfg, "phenom").withColumn("url", url)
     return finish(rows.select(*KEYS, "title", "location", "url"), dim, rules, geo=False)
 
 
 def shopify(raw: DataFrame, dim: DataFrame, cfg: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
-    body = F.col("body")
-    records = F.arrays_zip(_all(body, SHOPIFY_RECORD, 1).alias("uuid"), _all(body, SHOPIFY_RECORD, 2).alias("title"))
+    """Records of the escaped page data; one scan of the body finds them whole."""
+
+    def fields(record: Column) -> Column:
+        parts = F.split(record, r'\\",\\"', 3)
+        return F.struct(F.substr(parts[0], F.lit(3)).alias("uuid"), parts[1].alias("title"))
+
+    records = first_by(F.transform(_all(F.col("body"), SHOPIFY_RECORD, 0), fields), "uuid")
     rows = (
         ok_payloads(raw, "shopify")
-        .withColumn("r", records)
-        .select("source", "company", "fetched_at", "page_no", F.posexplode(first_by(F.col("r"), "uuid")).alias("pos", "j"))
+        .select("source", "company", "fetched_at", "attempt", "page_no", F.posexplode(records).alias("pos", "j"))
         .select(
             *KEYS, F.col("j")["title"].alias("title"),
             F.lit(V.SHOPIFY_LOCATION).alias("location"),
@@ -101,23 +102,33 @@ def shopify(raw: DataFrame, dim: DataFrame, cfg: DataFrame | None = None, rules:
 
 
 def canadalife(raw: DataFrame, dim: DataFrame, cfg: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
-    body = F.col("body")
-    records = F.arrays_zip(
-        _all(body, CANADALIFE_LINK, 1).alias("path"),
-        _all(body, CANADALIFE_LINK, 2).alias("title"),
-        _all(body, CANADALIFE_LINK, 3).alias("after"),
-    )
+    """Links, each with the first place that stands after it, however far.
+
+    The body is cut before every place, so a link's place opens the next piece.
+    """
+
+    def records(pieces: Column) -> Column:
+        def links(piece: Column, i: Column) -> Column:
+            place = F.regexp_extract(text_or_blank(F.get(pieces, i + 1)), "^" + CANADALIFE_PLACE, 1)
+
+            def link(found: Column) -> Column:
+                parts = F.split(found, '" class="jobTitle-link">', 2)
+                return F.struct(parts[0].alias("path"), parts[1].alias("title"), place.alias("place"))
+
+            return F.transform(_all(piece, CANADALIFE_LINK, 1), link)
+
+        return first_by(F.flatten(F.transform(pieces, links)), "path")
+
     title = F.col("j")["title"]
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         title = F.replace(title, F.lit(entity), F.lit(char))
-    place = strip(F.regexp_extract(F.col("j")["after"], CANADALIFE_PLACE, 1))
+    found = let(F.split("body", f"(?={CANADALIFE_PLACE})"), records)
     rows = (
         ok_payloads(raw, "canadalife")
-        .withColumn("r", records)
-        .select("source", "company", "fetched_at", "page_no", F.posexplode(first_by(F.col("r"), "path")).alias("pos", "j"))
+        .select("source", "company", "fetched_at", "attempt", "page_no", F.posexplode(found).alias("pos", "j"))
         .select(
             *KEYS, strip(title).alias("title"),
-            L.canadalife_location(first_non_empty(place, F.lit("Canada"))).alias("location"),
+            L.canadalife_location(first_non_empty(strip(F.col("j")["place"]), F.lit("Canada"))).alias("location"),
             F.concat(F.lit(V.CANADALIFE_HOST), F.col("j")["path"]).alias("url"),
         )
     )

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from hiretide.functions import location as L
 from hiretide.functions.classify import Rules
-from hiretide.functions.text import strip, text_or_blank, unescape_html
-from hiretide.operators.joins import salted_join
-from hiretide.operators.normalize import LINEAGE, SPREAD, finish
+from hiretide.functions.entities import unescape
+from hiretide.functions.text import strip, text_or_blank
+from hiretide.operators.normalize import LINEAGE, finish
 from hiretide.sources.payloads import ok_payloads
 
 KEYS = ["company", *LINEAGE]
@@ -25,7 +25,7 @@ _WHOLE = "struct<_corrupt_record: string>"
 def _records(raw: DataFrame, source: str, records: Column) -> DataFrame:
     """(keys.., r) per record struct of each well-formed feed."""
     return ok_payloads(raw, source).select(
-        "source", "company", "fetched_at", "page_no", F.posexplode(records).alias("pos", "r")
+        "source", "company", "fetched_at", "attempt", "page_no", F.posexplode(records).alias("pos", "r")
     )
 
 
@@ -52,7 +52,7 @@ def avature(raw: DataFrame, dim: DataFrame, cfg: DataFrame, rules: Rules = Rules
         .drop("full_title")
     )
     hosts = cfg.filter((F.col("source") == "avature") & (text_or_blank("slug") != "")).select("company")
-    rows = salted_join(rows, hosts, ["company"], SPREAD, "left_semi")
+    rows = rows.join(hosts, "company", "left_semi")
     return finish(rows, dim, rules, geo=False)
 
 
@@ -60,7 +60,7 @@ def _child(item: Column, tag: str) -> Column:
     """Text of a child element: entities undone, or a CDATA section as it is."""
     inner = F.regexp_extract(item, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
     literal = F.regexp_extract(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
-    return strip(F.when(inner.contains("<![CDATA["), literal).otherwise(unescape_html(inner)))
+    return strip(F.when(inner.contains("<![CDATA["), literal).otherwise(unescape(inner)))
 
 
 def boc_rss(raw: DataFrame, dim: DataFrame, cfg: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:

@@ -10,8 +10,8 @@ from hiretide.functions import location as L
 from hiretide.functions.classify import Rules
 from hiretide.functions.text import first_non_empty, text_or_blank
 from hiretide.functions.urls import workday_url_parts
-from hiretide.operators.joins import join_source_config, salted_join
-from hiretide.operators.normalize import LINEAGE, SPREAD, finish
+from hiretide.operators.joins import join_source_config
+from hiretide.operators.normalize import LINEAGE, finish
 from hiretide.sources.payloads import items
 
 KEYS = ["company", *LINEAGE]
@@ -78,7 +78,7 @@ def smartrecruiters(raw: DataFrame, dim: DataFrame, cfg: DataFrame, rules: Rules
         ).alias("location"),
         text_or_blank(j["id"]).alias("job_id"),
     ).filter(F.col("location").isNotNull() & rules.is_role(F.col("title")))
-    rows = join_source_config(rows, cfg, "smartrecruiters", SPREAD).withColumn(
+    rows = join_source_config(rows, cfg, "smartrecruiters").withColumn(
         "url",
         F.when(
             F.col("job_id") != "",
@@ -120,7 +120,7 @@ def oracle_hcm(raw: DataFrame, dim: DataFrame, cfg: DataFrame, rules: Rules = Ru
         text_or_blank(j["Id"]).alias("job_id"),
         F.nullif(j["PostedDate"], F.lit("")).alias("posted"),
     ).filter(rules.is_role(F.col("title")))
-    rows = join_source_config(rows, cfg, "oracle_hcm", SPREAD)
+    rows = join_source_config(rows, cfg, "oracle_hcm")
     url = F.when(
         F.col("job_id") != "",
         F.concat(
@@ -192,7 +192,7 @@ def bamboohr(raw: DataFrame, dim: DataFrame, cfg: DataFrame, rules: Rules = Rule
         L.bamboohr_location(field("city"), field("state"), field("country")).alias("location"),
         text_or_blank(j["id"]).alias("job_id"),
     ).filter(F.col("location").isNotNull() & rules.is_role(F.col("title")))
-    rows = join_source_config(rows, cfg, "bamboohr", SPREAD).withColumn(
+    rows = join_source_config(rows, cfg, "bamboohr").withColumn(
         "url",
         F.concat(F.lit("https://"), F.col("slug"), F.lit(".bamboohr.com/careers/"), F.col("job_id")),
     )
@@ -205,6 +205,6 @@ def _configured(rows, cfg, source, dim, rules, geo=True, skills_from=None) -> Da
     if geo:
         kept = kept.filter(rules.is_geo(F.col("location")))
     sided = cfg.filter((F.col("source") == source) & (text_or_blank("slug") != "")).select("company")
-    kept = salted_join(kept, sided, ["company"], SPREAD, "left_semi")
+    kept = kept.join(sided, "company", "left_semi")
     return finish(kept, dim, rules, geo=False, skills_from=skills_from)
 

@@ -6,12 +6,14 @@ extracted rows.  Bodies are parsed where they lie and are never shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from hiretide import vocab as V
-from hiretide.operators.joins import salted_join
 from hiretide.schemas import BODY, RAW_PAYLOAD_SCHEMA
 
 _VARIANT = {"mode": "PERMISSIVE"}
@@ -32,10 +34,20 @@ def parse(raw: DataFrame, source: str) -> DataFrame:
     return ok_payloads(raw, source).withColumn("b", F.from_json("body", BODY[source], _VARIANT))
 
 
+def unreadable(source: str, body: Column | str = "body") -> Column:
+    """Bodies that are not JSON at all; one whose fields merely have odd types is readable."""
+    schema = BODY[source]
+    if schema.startswith("array<"):
+        return F.from_json(body, schema, _VARIANT).isNull()
+    b = F.from_json(body, f"{schema}, _corrupt_record string", _VARIANT)
+    fields = T._parse_datatype_string(schema).fieldNames()
+    return reduce(lambda x, y: x & y, [b[f].isNull() for f in fields], b["_corrupt_record"].isNotNull())
+
+
 def items(raw: DataFrame, source: str, path) -> DataFrame:
     """One row per record ``j`` of each parsed body, in body order."""
     return parse(raw, source).select(
-        "source", "company", "fetched_at", "page_no", F.posexplode(path(F.col("b"))).alias("pos", "j")
+        "source", "company", "fetched_at", "attempt", "page_no", F.posexplode(path(F.col("b"))).alias("pos", "j")
     )
 
 
@@ -72,14 +84,17 @@ def first_ok_attempt(raw: DataFrame, by: list[str]) -> DataFrame:
     ).filter(F.col("attempt").isNotNull())
 
 
-def pick_attempt(rows: DataFrame, raw: DataFrame, by: list[str], spread: list[str]) -> DataFrame:
-    return salted_join(rows, first_ok_attempt(raw, by), [*by, "attempt"], spread, "left_semi")
+def pick_attempt(rows: DataFrame, raw: DataFrame, by: list[str]) -> DataFrame:
+    return rows.join(first_ok_attempt(raw, by), [*by, "attempt"], "left_semi")
 
 
 # --- pages ------------------------------------------------------------------
 
 def page_facts(raw: DataFrame, source: str, by: list[str] = ["company"]) -> DataFrame:
-    """(by.., page_no, status, n_items, total) of one paged JSON source."""
+    """(by.., page_no, status, n_items, total) of one paged JSON source.
+
+    A 200 whose body does not parse is a failed page, status 0.
+    """
     b = F.col("b")
     records, total = {
         "smartrecruiters": (b["content"], b["totalFound"]),
@@ -90,18 +105,19 @@ def page_facts(raw: DataFrame, source: str, by: list[str] = ["company"]) -> Data
     }[source]
     parsed = raw.filter(F.col("source") == source).withColumn("b", F.from_json("body", BODY[source], _VARIANT))
     return parsed.select(
-        *by, "page_no", "status",
+        *by, "page_no", F.when((F.col("status") == 200) & unreadable(source), F.lit(0)).otherwise(F.col("status")).alias("status"),
         F.coalesce(F.size(records), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(total, F.lit(0)).cast("long").alias("total"),
     )
 
 
-def page_plan(facts: DataFrame, source: str, by: list[str] = ["company"]) -> DataFrame:
+def page_plan(facts: DataFrame, source: str, by: list[str] = ["company"], max_pages: int | None = None) -> DataFrame:
     """Per company: last page to keep (``keep_to``) and whether it counts.
 
     Sources differ in when paging ends and in what a failed page does.
     keep-partial (smartrecruiters, amazon, oracle_hcm): pages before the
     failure stay.  discard-all (netflix, workday): the company is unavailable.
+    ``max_pages`` stops the loop early (customary for oracle_hcm: 5).
     """
     size = V.PAGE_SIZE[source]
     fetched = (F.col("page_no") + 1) * size
@@ -111,7 +127,7 @@ def page_plan(facts: DataFrame, source: str, by: list[str] = ["company"]) -> Dat
         # the total of the first page rules all pages
         first = facts.filter("page_no = 0").select(*by, F.col("total").alias("first_total"))
         facts = facts.join(first, by, "left")
-        done = (fetched >= F.coalesce("first_total", F.lit(0))) | (F.col("page_no") + 1 >= V.ORACLE_MAX_PAGES)
+        done = fetched >= F.coalesce("first_total", F.lit(0))
     elif source == "netflix":
         # ends when the records read so far reach the total; narrow rows, one
         # partition per company's own pages
@@ -121,6 +137,9 @@ def page_plan(facts: DataFrame, source: str, by: list[str] = ["company"]) -> Dat
     else:
         done = fetched >= F.col("total")
 
+    if max_pages is not None:
+        done = done | (F.col("page_no") + 1 >= max_pages)
+
     def first_page(cond: Column) -> Column:
         return F.min(F.when(cond, F.col("page_no")))
 
@@ -145,12 +164,10 @@ def page_plan(facts: DataFrame, source: str, by: list[str] = ["company"]) -> Dat
     )
 
 
-def assemble_pages(rows: DataFrame, plan: DataFrame, by: list[str], spread: list[str]) -> DataFrame:
+def assemble_pages(rows: DataFrame, plan: DataFrame, by: list[str]) -> DataFrame:
     """Rows (of any width) whose page the paging loop would have read."""
-    return salted_join(
-        rows, plan.filter("available"), by, spread,
-        condition=F.col("page_no") <= F.col("keep_to"),
-    ).drop("keep_to", "available")
+    kept = rows.join(plan.filter("available"), by).filter(F.col("page_no") <= F.col("keep_to"))
+    return kept.drop("keep_to", "available")
 
 
 # --- fallback ---------------------------------------------------------------
@@ -158,5 +175,5 @@ def assemble_pages(rows: DataFrame, plan: DataFrame, by: list[str], spread: list
 def primary_else_fallback(primary: DataFrame, fallback: DataFrame, answered: DataFrame) -> DataFrame:
     """Rows of the structured source, plus fallback rows of companies whose
     structured source did not answer.  Answered-but-empty does not fall back."""
-    rest = salted_join(fallback, answered.select("company").distinct(), ["company"], ["title", "url"], "left_anti")
+    rest = fallback.join(answered.select("company").distinct(), "company", "left_anti")
     return primary.unionByName(rest)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hiretide.functions.classify import Rules
-from hiretide.operators.normalize import SPREAD
+from hiretide.operators import reports
 from hiretide.schemas import POSTING_COLUMNS
 from hiretide.sources import embedded, feeds, json_boards, payloads, saved_pages
 from hiretide.sources.selectors import CARDS, ICIMS_LOCATIONS, LINKS
@@ -44,6 +44,10 @@ SITES = [*LINKS, *CARDS, "njoyn"]
 FALLBACK_SITE = {"workday": "workday_cards", "ibm": "ibm_cards", "meta": "meta_links"}
 
 
+# Extractors by name whose pages go by another site's rules.
+SITE_OF = {"google": "google_cards", "apple": "apple_cards", "oracle_hcm": "oracle_links"}
+
+
 def register(source: str, extractor: Extractor) -> None:
     EXTRACTORS[source] = extractor
 
@@ -53,22 +57,35 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def from_payloads(raw: DataFrame, dim: DataFrame, cfg: DataFrame, source: str, rules: Rules) -> DataFrame:
-    """Postings of one structured source with its paging and attempt rules."""
-    rows = EXTRACTORS[source](raw, dim, cfg, rules)
+def from_payloads(raw: DataFrame, dim: DataFrame, cfg: DataFrame, source: str, rules: Rules, max_pages: int | None = None) -> DataFrame:
+    """Postings of one structured source with its paging and attempt rules.
+
+    Of several answered attempts of a company the first one counts.
+    """
+    own = raw.filter(F.col("source") == source)
+    rows = EXTRACTORS[source](own, dim, cfg, rules)
+    rows = payloads.pick_attempt(rows, own, ["company"])
     if source in PAGED:
-        plan = payloads.page_plan(payloads.page_facts(raw, source), source)
-        rows = payloads.assemble_pages(rows, plan, ["company"], SPREAD)
+        plan = payloads.page_plan(_facts(own, source), source, max_pages=max_pages)
+        rows = payloads.assemble_pages(rows, plan, ["company"])
     return rows.withColumn("page_id", F.lit(None).cast("long"))
 
 
+def _facts(raw: DataFrame, source: str) -> DataFrame:
+    """Page facts of the attempt that counts; of all pages where no attempt answered."""
+    first = payloads.first_ok_attempt(raw.filter(F.col("source") == source), ["company"]).withColumnRenamed("attempt", "__first")
+    facts = payloads.page_facts(raw, source, ["company", "attempt"])
+    kept = facts.join(first, "company", "left").filter(F.col("__first").isNull() | (F.col("attempt") == F.col("__first")))
+    return kept.drop("attempt", "__first")
+
+
 def answered(raw: DataFrame, source: str) -> DataFrame:
     """Companies whose structured source answered, even with nothing."""
     if source in PAGED:
-        plan = payloads.page_plan(payloads.page_facts(raw, source), source)
+        plan = payloads.page_plan(_facts(raw, source), source)
         return plan.filter("available").select("company")
-    parsed = payloads.parse(raw, source)
-    return parsed.filter("b is not null").select("company").distinct()
+    own = payloads.ok_payloads(raw, source)
+    return own.filter(~payloads.unreadable(source)).select("company").distinct()
 
 
 def from_pages(pages: DataFrame, dim: DataFrame, site: str, rules: Rules) -> DataFrame:
@@ -81,7 +98,7 @@ def from_pages(pages: DataFrame, dim: DataFrame, site: str, rules: Rules) -> Dat
     rows = saved_pages.extract(own, site, dim, rules, default)
     return rows.select(
         *POSTING_COLUMNS, F.lit(site).alias("source"), F.lit(None).cast("timestamp").alias("fetched_at"),
-        F.lit(0).alias("page_no"), "pos", "page_id",
+        F.lit(0).alias("attempt"), F.lit(0).alias("page_no"), "pos", "page_id",
     )
 
 
@@ -94,18 +111,30 @@ def all_sources(
     sources: list[str] | None = None,
     sites: list[str] | None = None,
 ) -> DataFrame:
-    """Every company's postings; fallbacks applied per company."""
+    """Every company's postings, each from the extractor its route names.
+
+    A dedicated extractor beats the board type, companies without either are
+    skipped; fallbacks apply per company.  Unknown companies drop out of every
+    extractor, so a route is the dimension cut down to its companies.
+    """
+    routed = reports.route(dim).filter("route <> 'skipped'").drop("route")
+
+    def routed_to(extractor: str) -> DataFrame:
+        return routed.filter(F.col("extractor") == extractor).drop("extractor")
+
     names = sources if sources is not None else list(EXTRACTORS)
     frames = []
     used = set()
     for source in names:
-        rows = from_payloads(raw, dim, cfg, source, rules)
+        own = routed_to(source)
+        rows = from_payloads(raw, own, cfg, source, rules)
         site = FALLBACK_SITE.get(source)
         if site and pages is not None:
             used.add(site)
-            rows = payloads.primary_else_fallback(rows, from_pages(pages, dim, site, rules), answered(raw, source))
+            rows = payloads.primary_else_fallback(rows, from_pages(pages, own, site, rules), answered(raw, source))
         frames.append(rows)
     if pages is not None:
+        extractor_of = {site: extractor for extractor, site in SITE_OF.items()}
         for site in (sites if sites is not None else [s for s in SITES if s not in used]):
-            frames.append(from_pages(pages, dim, site, rules))
+            frames.append(from_pages(pages, routed_to(extractor_of.get(site, site)), site, rules))
     return union_sources(*frames)

@@ -13,31 +13,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiretide.functions.classify import Rules
+from hiretide.functions.entities import unescape
 from hiretide.functions.text import first_non_empty, let, resolve_href, strip, tag_text, text_or_blank
 from hiretide.functions.urls import title_from_url
 from hiretide.operators.normalize import build_posting
 from hiretide.schemas import POSTING_COLUMNS
 from hiretide.sources.embedded import first_by
-from hiretide.sources.selectors import CARDS, LINKS, CardRules, LinkRules, anchor_only, selector_tests
+from hiretide.sources.selectors import (
+    BLOCK_MARKS, CARDS, JOB_CODE, LINKS, NJOYN, CardRules, LinkRules, anchor_only, own_tag_regexes, selectors_of,
+)
 from hiretide.sources.tokeniser import with_elements
 
 PAGE_LINEAGE = ["page_id", "pos"]
 
 
-def blocked(url: Column | str = "url", html: Column | str = "html") -> Column:
-    """Pages served by a bot wall instead of the site."""
-    html_ = F.col(html) if isinstance(html, str) else html
-    url_ = F.col(url) if isinstance(url, str) else url
-    return (
-        html_.contains("AwsWafIntegration")
-        | html_.contains("challenge-container")
-        | url_.contains("infosys.com/404")
-        | F.substring(html_, 1, 500).contains("Access Denied")
-    )
+def blocked(site: str, head: int | None = None) -> Column:
+    """Pages served by a bot wall instead of the site, by the site's own marks.
+
+    ``head`` looks at the first characters of the page only (customary for
+    infosys: 500).
+    """
+    marks = BLOCK_MARKS.get(site, {})
+    html = F.col("html") if head is None else F.left(F.col("html"), F.lit(head))
+    tests = [F.col("url").contains(m) for m in marks.get("url", ())] + [html.contains(m) for m in marks.get("html", ())]
+    return reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(False))
 
 
-def drop_blocked_pages(pages: DataFrame) -> DataFrame:
-    return pages.filter(~F.coalesce(blocked(), F.lit(False)))
+def drop_blocked_pages(pages: DataFrame, site: str, head: int | None = None) -> DataFrame:
+    return pages.filter(~blocked(site, head)) if site in BLOCK_MARKS else pages
 
 
 # --- elements ---------------------------------------------------------------
@@ -58,29 +61,34 @@ def native_links(html: Column) -> Column:
         attrs = F.regexp_replace(F.regexp_replace(a["attrs"], r"\s+", " "), r"=\s?'([^'\"]*)'", '="$1"')
         return F.struct(
             F.concat(F.lit("<a"), attrs, F.lit(">")).alias("own"),
-            F.replace(F.regexp_extract(attrs, r'(?i)\shref="([^"]*)"', 1), F.lit("&amp;"), F.lit("&")).alias("href"),
+            unescape(F.regexp_extract(attrs, r'(?i)\shref="([^"]*)"', 1)).alias("href"),
             tag_text(a["inner"]).alias("text"),
         )
 
     return F.transform(found, link)
 
 
+Known = dict[str, int]  # numbers of the selectors; none of them on the native way
+
+
+def _numbers(*rules: LinkRules | CardRules | None) -> Known:
+    every = dict.fromkeys(s for r in rules if r for s in selectors_of(r))
+    return {s: i for i, s in enumerate(every)}
+
+
 def _text(e: Column, native: bool) -> Column:
     if native:
         return e["text"]
-    raw = F.substring(F.col("page_text"), e["t0"] + 1, e["t1"] - e["t0"])
-    long_text = strip(F.regexp_replace(raw, r"(?U)\s+", " "))
-    return F.when(e["text"].isNotNull(), e["text"]).when(e["t0"].isNotNull(), long_text)
+    # both are pieces of the one page text, its white space collapsed already
+    inside = F.trim(F.substring(F.col("page_text"), e["t0"] + 1, e["t1"] - e["t0"]))
+    return F.when(e["text"].isNotNull(), e["text"]).when(e["t0"].isNotNull(), inside)
 
 
-def _matching(els: Column, selector: str) -> Column:
-    tests = selector_tests(selector)
-
-    def fits(e: Column) -> Column:
-        hits = [e["own"].rlike(own) if chain is None else e["own"].rlike(own) & e["path"].rlike(chain) for own, chain in tests]
-        return reduce(lambda a, b: a | b, hits)
-
-    return F.filter(els, fits)
+def _matching(els: Column, selector: str, known: Known | None) -> Column:
+    if known is not None:
+        return F.filter(els, lambda e: F.array_contains(e["hits"], known[selector]))
+    tests = own_tag_regexes(selector)
+    return F.filter(els, lambda e: reduce(lambda a, b: a | b, [e["own"].rlike(t) for t in tests]))
 
 
 def _below(e: Column) -> Column:
@@ -88,26 +96,26 @@ def _below(e: Column) -> Column:
     return F.slice(F.col("els"), e["at"] + 2, e["n_below"])
 
 
-def choose_pattern(els: Column, patterns: tuple[str, ...], hits: int, otherwise: str | None, keep_last: bool = False) -> Column:
+def choose_pattern(els: Column, patterns: tuple[str, ...], hits: int, otherwise: str | None, known: Known | None, keep_last: bool = False) -> Column:
     """Matches of the first pattern with enough of them, else the fallback's."""
     options = []
     for p in patterns:
-        options.append(let(_matching(els, p), lambda found: F.when(F.size(found) >= hits, found)))
+        options.append(let(_matching(els, p, known), lambda found: F.when(F.size(found) >= hits, found)))
     if keep_last:
-        options.append(_matching(els, patterns[-1]))
+        options.append(_matching(els, patterns[-1], known))
     elif otherwise:
-        options.append(_matching(els, otherwise))
+        options.append(_matching(els, otherwise, known))
     return F.coalesce(*options, F.filter(els, lambda e: F.lit(False)))
 
 
-def _firsts(scope: Column, selectors: tuple[str, ...]) -> Column:
+def _firsts(scope: Column, selectors: tuple[str, ...], known: Known) -> Column:
     """First match of each selector, in order; null where there is none."""
-    return let(scope, lambda sc: F.array(*[F.get(_matching(sc, s), F.lit(0)) for s in selectors]))
+    return let(scope, lambda sc: F.array(*[F.get(_matching(sc, s, known), F.lit(0)) for s in selectors]))
 
 
-def _first_text(scope: Column, selectors: tuple[str, ...]) -> Column:
+def _first_text(scope: Column, selectors: tuple[str, ...], known: Known) -> Column:
     """First non-blank text, selectors in order, first match of each; else ''."""
-    texts = F.transform(_firsts(scope, selectors), lambda e: _text(e, False))
+    texts = F.transform(_firsts(scope, selectors, known), lambda e: _text(e, False))
     return text_or_blank(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)))
 
 
@@ -119,21 +127,21 @@ def _ancestor(e: Column, levels: int) -> Column:
 
 # --- links ------------------------------------------------------------------
 
-def link_records(els: Column, rules: LinkRules, match: Rules, native: bool) -> Column:
+def link_records(els: Column, rules: LinkRules, match: Rules, known: Known | None, site_limits: bool = False) -> Column:
     """array<struct<title,url,location,posted>> of one page's links."""
-    base = F.col("url")
+    base, native = F.col("url"), known is None
 
     def title_of(e: Column) -> Column:
         title = _text(e, native)
         if rules.title_selectors:
-            title = first_non_empty(_first_text(_below(e), rules.title_selectors), title)
+            title = first_non_empty(_first_text(_below(e), rules.title_selectors, known), title)
         if rules.title_else == "parent":
             title = first_non_empty(title, let(_ancestor(e, 1), lambda up: _text(up, False)))
         return title
 
     def place_of(e: Column) -> Column:
         places = [
-            let(_ancestor(e, level), lambda up: _first_text(_below(up), rules.place_selectors))
+            let(_ancestor(e, level), lambda up: _first_text(_below(up), rules.place_selectors, known))
             for level in rules.place_levels
         ]
         return first_non_empty(*places, F.lit("")) if places else F.lit("")
@@ -144,8 +152,8 @@ def link_records(els: Column, rules: LinkRules, match: Rules, native: bool) -> C
             place_of(e).alias("location"), F.lit(None).cast("string").alias("posted"),
         )
 
-    chosen = choose_pattern(els, rules.patterns, rules.hits, rules.otherwise)
-    records = F.transform(F.slice(chosen, 1, rules.cap), record)
+    chosen = choose_pattern(els, rules.patterns, rules.hits, rules.otherwise, known)
+    records = F.transform(F.slice(chosen, 1, rules.cap) if site_limits else chosen, record)
     if rules.title_else in ("details", "ey"):
         records = F.transform(
             records,
@@ -153,7 +161,7 @@ def link_records(els: Column, rules: LinkRules, match: Rules, native: bool) -> C
         )
 
     def titled(r: Column) -> Column:
-        ok = F.length(r["title"]) >= rules.min_title
+        ok = F.length(r["title"]) >= (rules.min_title if site_limits else 1)
         if rules.skip_titles:
             ok = ok & ~F.lower(r["title"]).isin(list(rules.skip_titles))
         return ok
@@ -186,21 +194,26 @@ def _produce(pages: DataFrame, records: Column, default: Column) -> DataFrame:
 
 def link_rows(
     pages: DataFrame, rules: LinkRules, match: Rules = Rules(), default: Column | None = None,
-    native: bool | None = None,
+    native: bool | None = None, site_limits: bool = False,
 ) -> DataFrame:
-    """(.., pos, title, url, location, posted) of every page's posting links."""
+    """(.., pos, title, url, location, posted) of every page's posting links.
+
+    ``site_limits`` applies the site's customary cap and least title length.
+    """
     default = F.lit(rules.location) if default is None else default
     native = anchor_only(rules) if native is None else native
     if native:
-        records = let(native_links(F.col("html")), lambda els: link_records(els, rules, match, True))
+        records = let(native_links(F.col("html")), lambda els: link_records(els, rules, match, None, site_limits))
         return _produce(pages.withColumn("__l", records).drop("html"), F.col("__l"), default)
     tree = bool(rules.title_selectors or rules.place_levels or rules.title_else == "parent")
-    return _produce(with_elements(pages, "html", tree), link_records(F.col("els"), rules, match, False), default)
+    known = _numbers(rules)
+    parsed = with_elements(pages, "html", list(known), tree)
+    return _produce(parsed, link_records(F.col("els"), rules, match, known, site_limits), default)
 
 
 # --- cards ------------------------------------------------------------------
 
-def card_records(rules: CardRules, match: Rules) -> Column:
+def card_records(rules: CardRules, match: Rules, known: Known, site_limits: bool = False) -> Column:
     """array<struct<title,url,location,posted>> of one page's cards."""
     base = F.col("url")
 
@@ -217,7 +230,7 @@ def card_records(rules: CardRules, match: Rules) -> Column:
     asked = (*rules.titles, *rules.places, *rules.posted, "a")
 
     def look(card: Column) -> Column:
-        return F.transform(F.concat(_firsts(_below(card), asked), F.array(card)), shown)
+        return F.transform(F.concat(_firsts(_below(card), asked, known), F.array(card)), shown)
 
     def record(found: Column) -> Column:
         titles = F.slice(found, 1, n_titles)
@@ -240,8 +253,9 @@ def card_records(rules: CardRules, match: Rules) -> Column:
             F.exists(places, lambda t: t["found"]).alias("placed"),
         )
 
-    records = F.transform(F.transform(F.slice(F.col("cards"), 1, rules.cap), look), record)
-    records = F.filter(records, lambda r: F.length(r["title"]) >= rules.min_title)
+    cards = F.slice(F.col("cards"), 1, rules.cap) if site_limits else F.col("cards")
+    records = F.transform(F.transform(cards, look), record)
+    records = F.filter(records, lambda r: F.length(r["title"]) >= (rules.min_title if site_limits else 1))
     if rules.place_required:
         records = F.filter(records, lambda r: r["placed"])
     if rules.role:
@@ -263,17 +277,18 @@ def card_records(rules: CardRules, match: Rules) -> Column:
 
 
 def card_rows(
-    pages: DataFrame, rules: CardRules, match: Rules = Rules(), links: LinkRules | None = None
+    pages: DataFrame, rules: CardRules, match: Rules = Rules(), links: LinkRules | None = None, site_limits: bool = False
 ) -> DataFrame:
     """Posting rows from repeated blocks; pages without blocks use ``links``."""
-    parsed = with_elements(pages, "html", True)
+    known = _numbers(rules, links)
+    parsed = with_elements(pages, "html", list(known), True)
     parsed = parsed.withColumn(
-        "cards", choose_pattern(F.col("els"), rules.cards, rules.hits, None, rules.keep_last)
+        "cards", choose_pattern(F.col("els"), rules.cards, rules.hits, None, known, rules.keep_last)
     )
-    records = card_records(rules, match)
+    records = card_records(rules, match, known, site_limits)
     if links is not None:
         other = F.transform(
-            link_records(F.col("els"), links, match, False),
+            link_records(F.col("els"), links, match, known, site_limits),
             lambda r: F.struct(
                 r["title"].alias("title"), r["url"].alias("url"),
                 first_non_empty(r["location"], F.lit(links.location)).alias("location"), r["posted"].alias("posted"),
@@ -288,19 +303,13 @@ CARD_FALLBACK = {"workday_cards": "workday_links", "ibm_cards": "ibm_links",
                  "google_cards": "google_links", "apple_cards": "apple_links"}
 
 # --- table rows -------------------------------------------------------------
-# fixed values: the job-table site
-NJOYN = LinkRules(
-    ("a[href*='Page=jobdetails'], a[href*='njoyn.com'][href*='job'], .joblisting a, table a[href*='xweb.asp']",),
-    1, "a[href*='njoyn.com']", 100)
-JOB_CODE = r"^J\d{4}-\d{4}"
-
 
-def table_records(match: Rules) -> Column:
+def table_records(match: Rules, known: Known, site_limits: bool = False) -> Column:
     """Title and place from the cells of the row a link stands in."""
     base = F.col("url")
 
     def cell_texts(row: Column) -> Column:
-        cells = F.filter(_below(row), lambda c: c["own"].startswith("<td "))
+        cells = F.filter(_below(row), lambda c: c["tag"] == "td")
         return F.transform(cells, lambda c: _text(c, False))
 
     def look(e: Column) -> Column:
@@ -327,8 +336,8 @@ def table_records(match: Rules) -> Column:
             F.lit(None).cast("string").alias("posted"),
         )
 
-    chosen = choose_pattern(F.col("els"), NJOYN.patterns, NJOYN.hits, NJOYN.otherwise)
-    records = F.transform(F.transform(F.slice(chosen, 1, NJOYN.cap), look), record)
+    chosen = choose_pattern(F.col("els"), NJOYN.patterns, NJOYN.hits, NJOYN.otherwise, known)
+    records = F.transform(F.transform(F.slice(chosen, 1, NJOYN.cap) if site_limits else chosen, look), record)
     records = F.filter(records, lambda r: r["url"] != "")
     return F.filter(
         first_by(records, "url"),
@@ -337,24 +346,27 @@ def table_records(match: Rules) -> Column:
     )
 
 
-def table_rows(pages: DataFrame, match: Rules = Rules()) -> DataFrame:
-    parsed = with_elements(pages, "html", True)
-    return _produce(parsed, table_records(match), F.lit("Canada"))
+def table_rows(pages: DataFrame, match: Rules = Rules(), site_limits: bool = False) -> DataFrame:
+    known = _numbers(NJOYN)
+    parsed = with_elements(pages, "html", list(known), True)
+    return _produce(parsed, table_records(match, known, site_limits), F.lit("Canada"))
 
 
 # --- postings ---------------------------------------------------------------
 
 def to_postings(rows: DataFrame, dim: DataFrame) -> DataFrame:
-    return build_posting(rows, dim, PAGE_LINEAGE).select(*POSTING_COLUMNS, *PAGE_LINEAGE)
+    return build_posting(rows, dim).select(*POSTING_COLUMNS, *PAGE_LINEAGE)
 
 
-def extract(pages: DataFrame, site: str, dim: DataFrame, match: Rules = Rules(), default: Column | None = None) -> DataFrame:
+def extract(
+    pages: DataFrame, site: str, dim: DataFrame, match: Rules = Rules(), default: Column | None = None, site_limits: bool = False
+) -> DataFrame:
     """Postings of one site's saved pages; bot-wall pages contribute nothing."""
-    pages = drop_blocked_pages(pages) if site in ("infosys", "ibm_cards") else pages
+    pages = drop_blocked_pages(pages, site)
     if site == "njoyn":
-        rows = table_rows(pages, match)
+        rows = table_rows(pages, match, site_limits)
     elif site in CARDS:
-        rows = card_rows(pages, CARDS[site], match, LINKS.get(CARD_FALLBACK.get(site, "")))
+        rows = card_rows(pages, CARDS[site], match, LINKS.get(CARD_FALLBACK.get(site, "")), site_limits)
     else:
-        rows = link_rows(pages, LINKS[site], match, default)
+        rows = link_rows(pages, LINKS[site], match, default, site_limits=site_limits)
     return to_postings(rows, dim)

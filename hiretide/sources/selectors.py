@@ -17,8 +17,9 @@ class LinkRules:
     """How one site's links become postings.
 
     Patterns are tried in order; the first with at least ``hits`` matches is
-    used, else ``otherwise`` (if any).  The cap applies before blank links,
-    repeated urls and role are looked at.
+    used, else ``otherwise`` (if any).  ``cap`` (links looked at, before blank
+    links, repeated urls and role) and ``min_title`` are a site's customary
+    limits; they apply only when a caller asks for them.
     """
 
     patterns: tuple[str, ...]
@@ -40,7 +41,7 @@ class LinkRules:
 
 @dataclass(frozen=True)
 class CardRules:
-    """How one site's repeated blocks become postings."""
+    """How one site's repeated blocks become postings; limits as for links."""
 
     cards: tuple[str, ...]
     hits: int
@@ -198,9 +199,17 @@ CARDS = {
         first_found=True, card_text_title=True, min_title=5, keep_last=True, role=False),
 }
 
-# An element's place on the page is the chain of start tags that lead to it:
-# <html><body class="x"><ul><li><a href="/job/1">.  A selector is then a
-# regular expression over that chain.
+# --- fixed values: the job-table site ---------------------------------------
+NJOYN = LinkRules(
+    ("a[href*='Page=jobdetails'], a[href*='njoyn.com'][href*='job'], .joblisting a, table a[href*='xweb.asp']",),
+    1, "a[href*='njoyn.com']", 100)
+JOB_CODE = r"^J\d{4}-\d{4}"
+# --- fixed values: what a bot wall leaves on a site's page -------------------
+BLOCK_MARKS = {
+    "ibm_cards": {"html": ("AwsWafIntegration", "challenge-container")},
+    "infosys": {"url": ("infosys.com/404",), "html": ("Access Denied",)},
+}
+
 _STEP = re.compile(r"\s*>\s*|\s+(?![^\[]*\])")
 _PART = re.compile(
     r"(?P<tag>^[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)'(?P<val>[^']*)')?\]"
@@ -208,45 +217,102 @@ _PART = re.compile(
 )
 
 
-def _tag_regex(simple: str) -> str:
-    tag, tests = "[a-z][^ >]*", []
-    for m in _PART.finditer(simple):
+@dataclass(frozen=True)
+class Simple:
+    """The tests of one element."""
+
+    tag: str = ""
+    classes: tuple[str, ...] = ()
+    attrs: tuple[tuple[str, str, str], ...] = ()
+    nth: int = 0
+    last: bool = False
+
+    def fits(self, e: dict) -> bool:
+        found = e["attrs"]
+        return (
+            (not self.tag or e["tag"] == self.tag)
+            and all(c in e["classes"] for c in self.classes)
+            and all(
+                name in found and (not op or (found[name] == value if op == "=" else value in found[name]))
+                for name, op, value in self.attrs
+            )
+            and (not self.nth or e["nth"] == self.nth)
+            and (not self.last or e["last"])
+        )
+
+
+@dataclass(frozen=True)
+class Path:
+    """An element and what must stand above it, outermost first."""
+
+    steps: tuple[Simple, ...]
+    direct: tuple[bool, ...]  # before each step but the first
+
+    def fits(self, e: dict) -> bool:
+        return self.steps[-1].fits(e) and self._above(e["up"], len(self.steps) - 2)
+
+    def _above(self, e: dict | None, step: int) -> bool:
+        if step < 0:
+            return True
+        while e is not None:
+            if self.steps[step].fits(e) and self._above(e["up"], step - 1):
+                return True
+            if self.direct[step]:
+                return False
+            e = e["up"]
+        return False
+
+
+def _simple(text: str) -> Simple:
+    tag, classes, attrs, nth, last = "", [], [], 0, False
+    for m in _PART.finditer(text):
         if m["tag"]:
             tag = m["tag"].lower()
         elif m["cls"]:
-            tests.append(rf'class="(?:[^">]* )?{quote_regex(m["cls"])}(?: [^">]*)?"')
+            classes.append(m["cls"])
         elif m["nth"]:
-            tests.append(rf'nth="{m["nth"]}"')
+            nth = int(m["nth"])
         elif m["last"]:
-            tests.append('last=""')
-        elif m["op"] == "=":
-            tests.append(rf'{m["attr"].lower()}="{quote_regex(m["val"])}"')
-        elif m["op"]:
-            tests.append(rf'{m["attr"].lower()}="[^">]*{quote_regex(m["val"])}')
+            last = True
         else:
-            tests.append(rf'{m["attr"].lower()}="')
-    return f"<{tag}(?= |>)" + "".join(f"(?=[^>]* {t})" for t in tests) + "[^>]*>"
+            attrs.append((m["attr"].lower(), m["op"] or "", m["val"] or ""))
+    return Simple(tag, tuple(classes), tuple(attrs), nth, last)
+
+
+def paths(selector: str) -> list[Path]:
+    """One per comma-separated option."""
+    out = []
+    for option in _options(selector):
+        steps = tuple(_simple(s) for s in _STEP.split(option.strip()))
+        out.append(Path(steps, tuple(">" in j for j in _STEP.findall(option.strip()))))
+    return out
+
+
+# In the JVM a link is its own start tag, <a href="/job/1">, and a selector
+# that looks at nothing else is a regular expression over it.
+def _tag_regex(simple: Simple) -> str:
+    tests = [rf'class="(?:[^">]* )?{quote_regex(c)}(?: [^">]*)?"' for c in simple.classes]
+    for name, op, value in simple.attrs:
+        shown = quote_regex(value)
+        tests.append(f'{name}="{shown}"' if op == "=" else f'{name}="[^">]*{shown}' if op else f'{name}="')
+    return f"<{simple.tag}(?= |>)" + "".join(f"(?=[^>]* {t})" for t in tests) + "[^>]*>"
 
 
 def _options(selector: str) -> list[str]:
     return re.split(r",\s*(?![^\[]*\])", selector.strip())
 
 
-def selector_tests(selector: str) -> list[tuple[str, str | None]]:
-    """(own tag regex, tag chain regex or None) per comma-separated option.
+def own_tag_regexes(selector: str) -> list[str]:
+    return [f"^{_tag_regex(p.steps[-1])}$" for p in paths(selector)]
 
-    The element's own tag decides most cases, and it is short; the chain of
-    its parents is only searched when the own tag fits.
-    """
-    tests = []
-    for option in _options(selector):
-        steps = _STEP.split(option.strip())
-        joints = [">" in j for j in _STEP.findall(option.strip())]
-        chain = _tag_regex(steps[0])
-        for direct, step in zip(joints, steps[1:]):
-            chain += ("" if direct else ".*") + _tag_regex(step)
-        tests.append(("^" + _tag_regex(steps[-1]) + "$", chain + "$" if len(steps) > 1 else None))
-    return tests
+
+def selectors_of(rules: LinkRules | CardRules) -> list[str]:
+    """Every selector the rules mention."""
+    if isinstance(rules, LinkRules):
+        every = [*rules.patterns, *([rules.otherwise] if rules.otherwise else []), *rules.title_selectors, *rules.place_selectors]
+    else:
+        every = [*rules.cards, *rules.titles, *rules.places, *rules.posted, "a"]
+    return list(dict.fromkeys(every))
 
 
 def anchor_only(rules: LinkRules) -> bool:

@@ -2,9 +2,11 @@
 
 A page stays one row: its elements come back as an array in document order,
 so everything after this is array expressions and no shuffle is needed to put
-a page together again.  Short element texts travel with the element; longer
-ones (containers repeat what is inside them) are given as offsets into the
-page text, which is stored once.
+a page together again.  Which selectors an element fits is decided here, where
+its parents are at hand; an element carries their numbers, never the parents'
+tags, so the output is linear in the page.  Texts are offsets into the page
+text, which is stored once with white space collapsed; an element that fits a
+selector and holds no other such element has its text with it.
 """
 
 from __future__ import annotations
@@ -12,24 +14,25 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
-from html import escape, unescape
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from hiretide.functions import entities
+from hiretide.sources import selectors as css
+
 # The parser travels with the job, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+for _module in (sys.modules[__name__], entities, css):
+    cloudpickle.register_pickle_by_value(_module)
 
-ELEMENT = "struct<own: string, path: string, at: int, parent: int, n_below: int, href: string, text: string, t0: int, t1: int>"
+ELEMENT = "struct<tag: string, hits: array<int>, at: int, parent: int, n_below: int, href: string, text: string, t0: int, t1: int>"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code em font i kbd mark q s small span strong sub sup time u var".split())
 _RAW = frozenset(("script", "style", "title", "textarea"))
-_UNSAFE = re.compile(r"[&<>\"']")
 _CLOSES_SAME = frozenset("li p tr td th dt dd option".split())
 _ROWS_PER_BATCH = 64
-_SHORT = 300
 
 
 # Comments, declarations, then tags with their attributes.
@@ -44,13 +47,13 @@ def _attributes(raw: str) -> dict[str, str]:
     for name, double, single, bare in _ATTR.findall(raw):
         value = double or single or bare
         if "&" in value:
-            value = unescape(value)
+            value = entities.unescape_text(value)
         found.setdefault(name.lower(), " ".join(value.split()))
     return found
 
 
-def parse_page(html: str, tree: bool) -> tuple[str, list[dict]]:
-    """Page text and its elements; only the links unless ``tree``."""
+def parse_page(html: str, selectors: list[list[css.Path]], tree: bool) -> tuple[str, list[dict]]:
+    """Page text and its elements; only those that fit a selector unless ``tree``."""
     html = html or ""
     rows: list[dict] = []
     stack: list[dict] = []
@@ -58,6 +61,23 @@ def parse_page(html: str, tree: bool) -> tuple[str, list[dict]]:
     text: list[str] = []
     length = 0
 
+    def space() -> None:
+        nonlocal length
+        if text and text[-1] != " ":
+            text.append(" ")
+            length += 1
+
+    def add(data: str) -> None:
+        nonlocal length
+        words = " ".join(data.split())
+        if data[0].isspace():
+            space()
+        if words:
+            text.append(words)
+            length += len(words)
+            if data[-1].isspace():
+                space()
+
     def close(depth: int) -> None:
         while len(stack) > depth:
             row = stack.pop()
@@ -68,9 +88,7 @@ def parse_page(html: str, tree: bool) -> tuple[str, list[dict]]:
         m = _MARKUP.search(html, at)
         data = html[at:m.start()] if m else html[at:]
         if data:
-            data = unescape(data) if "&" in data else data
-            text.append(data)
-            length += len(data)
+            add(entities.unescape_text(data))
         if m is None:
             break
         at = m.end()
@@ -79,8 +97,7 @@ def parse_page(html: str, tree: bool) -> tuple[str, list[dict]]:
             continue
         tag = name.lower()
         if tag not in _INLINE:
-            text.append(" ")
-            length += 1
+            space()
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth]["tag"] == tag:
@@ -114,42 +131,48 @@ def parse_page(html: str, tree: bool) -> tuple[str, list[dict]]:
 
     page_text = "".join(text)
     edge = {row["at"] for row in last_child.values()}
-    kept = []
+    by_tag: dict[str, list[tuple[int, css.Path]]] = {}
+    for number, options in enumerate(selectors):
+        for path in options:
+            by_tag.setdefault(path.steps[-1].tag, []).append((number, path))
+    for row in rows:
+        row["last"] = row["at"] in edge
+        row["classes"] = frozenset(row["attrs"].get("class", "").split())
+        tries = [*by_tag.get(row["tag"], ()), *by_tag.get("", ())]
+        row["hits"] = sorted({number for number, path in tries if path.fits(row)})
+    holds = set()  # elements with another hit below
+    for row in rows:
+        up = row["up"]
+        while row["hits"] and up is not None and up["at"] not in holds:
+            holds.add(up["at"])
+            up = up["up"]
     for row in rows:
-        attrs = row["attrs"]
-        shown = "".join(
-            f' {k}="{escape(v) if _UNSAFE.search(v) else v}"' for k, v in attrs.items()
-        )
-        last = ' last=""' if row["at"] in edge else ""
-        row["own"] = f'<{row["tag"]}{shown} nth="{row["nth"]}"{last}>'
-        row["path"] = row["up"]["path"] + row["own"] if row["up"] else row["own"]
-        if tree or row["tag"] == "a" or "iCIMS_Anchor" in attrs.get("class", ""):
-            short = row["t1"] - row["t0"] <= _SHORT
-            row["text"] = " ".join(page_text[row["t0"]:row["t1"]].split()) if short else None
-            kept.append(row)
-    return page_text, kept
-
-
-_FIELDS = ("own", "path", "at", "parent", "n_below", "href", "text", "t0", "t1")
+        short = row["hits"] and row["at"] not in holds
+        row["text"] = page_text[row["t0"]:row["t1"]].strip() if short else None
+    return page_text, rows if tree else [row for row in rows if row["hits"]]
+
+
+_FIELDS = ("tag", "hits", "at", "parent", "n_below", "href", "text", "t0", "t1")
 _ARROW = pa.list_(pa.struct([
-    ("own", pa.string()), ("path", pa.string()), ("at", pa.int32()), ("parent", pa.int32()), ("n_below", pa.int32()),
+    ("tag", pa.string()), ("hits", pa.list_(pa.int32())), ("at", pa.int32()), ("parent", pa.int32()), ("n_below", pa.int32()),
     ("href", pa.string()), ("text", pa.string()), ("t0", pa.int32()), ("t1", pa.int32()),
 ]))
 
 
-def with_elements(pages: DataFrame, html: str, tree: bool) -> DataFrame:
-    """Replace the html column by ``page_text`` and ``els``."""
+def with_elements(pages: DataFrame, html: str, selectors: list[str], tree: bool) -> DataFrame:
+    """Replace the html column by ``page_text`` and ``els``; hits are positions in ``selectors``."""
     kept = [c for c in pages.columns if c != html]
     schema = T.StructType(
         [pages.schema[c] for c in kept]
         + T._parse_datatype_string(f"page_text string, els array<{ELEMENT}>").fields
     )
+    paths = [css.paths(s) for s in selectors]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS_PER_BATCH):
                 part = batch.slice(start, _ROWS_PER_BATCH)
-                parsed = [parse_page(h, tree) for h in part.column(html).to_pylist()]
+                parsed = [parse_page(h, paths, tree) for h in part.column(html).to_pylist()]
                 columns = [part.column(c) for c in kept]
                 columns.append(pa.array([t for t, _ in parsed], pa.string()))
                 columns.append(pa.array([[{f: e[f] for f in _FIELDS} for e in els] for _, els in parsed], _ARROW))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hiretide import vocab as V
@@ -19,70 +19,56 @@ from hiretide.functions.posting import fingerprint
 # package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_KEEP = pd.Timedelta(days=V.STATE_DAYS)
-_OUT = "fp string, run_us long, seq long"
+_KEEP_US = V.STATE_DAYS * 24 * 3600 * 1_000_000
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lowest seq per (fingerprint, run) of each Arrow batch.
+    """First row per (fingerprint, run) of each Arrow batch.
 
     A combine step ahead of the shuffle: a posting seen a million times in one
     micro-batch reaches its state task once per batch of rows, not a million
     times.
     """
     for pdf in batches:
-        yield pdf.groupby(["fp", "run_us"], as_index=False, sort=False)["seq"].min()
+        yield pdf.sort_values("__seq", kind="stable").drop_duplicates(["fp", "run_us"])
 
 
-def _emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        # expired means "never emitted", so dropping the entry changes nothing
-        state.remove()
-        return
-    firsts: dict[int, int] = {}
-    for pdf in batches:
-        for run, seq in zip(pdf["run_us"], pdf["seq"]):
-            firsts[run] = min(seq, firsts.get(run, seq))
-    last = state.get[0] if state.exists else None
-    out = []
-    keep = int(_KEEP / timedelta(microseconds=1))
-    for run in sorted(firsts):
-        # a suppressed sighting does not refresh the entry
-        if last is None or run - last >= keep:
-            out.append((key[0], run, firsts[run]))
-            last = run
-    expires_ms = (last + keep) // 1000
-    if expires_ms > state.getCurrentWatermarkMs():
-        state.update((int(last),))
-        state.setTimeoutTimestamp(int(expires_ms))
-    elif state.exists:
-        state.remove()
-    if out:
-        yield pd.DataFrame(out, columns=["fp", "run_us", "seq"])
+def _emitter(columns: list[str]):
+    def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["run_us", "__seq"], kind="stable").drop_duplicates("run_us")
+        emitted = list(state.get[0]) if state.exists else []
+        out = []
+        for at, run in zip(rows.index, rows["run_us"]):
+            # a suppressed sighting does not refresh the entry
+            if not any(run - _KEEP_US < e <= run for e in emitted):
+                emitted.append(int(run))
+                out.append(at)
+        if out:
+            state.update((sorted(emitted),))
+            yield rows.loc[out, columns]
+
+    return emit
 
 
 def dedup_stream(sightings: DataFrame, run_ts: str, seq: str) -> DataFrame:
-    """Emissions (fp, run_us, seq) of a stream of postings.
-
-    State per fingerprint is the run of its last emission.  It is compared
-    with the run's own time, so a replay decides as the original did.  The
-    watermark evicts expired entries, so state is bounded by what was emitted
-    in the last weeks; runs arrive in order, and one that trails the newest by
-    over 14 days is ignored.  ``run_us`` is the run start in epoch
-    microseconds.
+    """Emissions of a stream of postings: the whole posting, with ``fp`` and ``run_us``.
+
+    State per fingerprint are the runs that emitted it, one in 14 days at most.
+    They are compared with the run's own time, so a replay decides as the
+    original did and a run that comes late, however late, is decided by what
+    was emitted before it.  Nothing is dropped by a watermark, so a fingerprint
+    stays: a few longs a year each, for a state store on disk.  ``run_us`` is the run start in epoch microseconds.  Within one
+    run the row with the lowest ``seq`` counts; one micro-batch holds all of a
+    run's sightings or its first ones.
     """
-    slim = sightings.select(
-        fingerprint("company", "title", "location").alias("fp"),
-        F.unix_micros(F.col(run_ts).cast("timestamp")).alias("run_us"),
-        F.col(seq).cast("long").alias("seq"),
-    )
-    combined = (
-        slim.mapInPandas(_combine, _OUT)
-        .withColumn("run_at", F.timestamp_micros("run_us"))
-        .withWatermark("run_at", f"{V.STATE_DAYS} days")
+    rows = sightings.select(
+        "*", fingerprint("company", "title", "location").alias("fp"),
+        F.unix_micros(F.col(run_ts).cast("timestamp")).alias("run_us"), F.col(seq).cast("long").alias("__seq"),
     )
+    out = T.StructType([f for f in rows.schema if f.name != "__seq"])
+    combined = rows.mapInPandas(_combine, rows.schema)
     return combined.groupBy("fp").applyInPandasWithState(
-        _emit, _OUT, "last_us long", "append", GroupStateTimeout.EventTimeTimeout
+        _emitter(out.fieldNames()), out, "emitted array<long>", "append", GroupStateTimeout.NoTimeout
     )
 
 

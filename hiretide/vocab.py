@@ -13,8 +13,6 @@ SKILLS = [
     "Trino", "Flink", "Iceberg", "MLflow", "Redshift", "Hudi",
     "Unity Catalog", "ADF",
 ]
-SKILL_LIMIT = 6
-STACK_LIMIT = 5
 
 # --- fixed values: geography ------------------------------------------------
 CANADA_TERMS = [
@@ -95,11 +93,9 @@ CATEGORY_ICONS = {
 }
 CATEGORY_ICON_DEFAULT = "📁"
 CATEGORY_DEFAULT = "Other"
-# Subject of a digest: before the label, after it, after the row count.
-SUBJECT_NEW = ("🔔 Job Alert [", "]: ", " Data Engineering Jobs — ")
-SUBJECT_NONE = ("✅ Job Alert [", "]: No New Jobs — ")
+SUBJECT_NEW = "%s: %d new postings, %s"
+SUBJECT_NONE = "%s: nothing new, %s"
 CHUNK_SIZE = 50
-DIGEST_SKILLS = 5
 STATE_DAYS = 14
 
 # --- fixed values: per-source location rules --------------------------------
@@ -152,7 +148,6 @@ APPLE_HOST = "https://jobs.apple.com"
 # --- fixed values: paging ---------------------------------------------------
 PAGE_SIZE = {"smartrecruiters": 100, "amazon": 100, "oracle_hcm": 25,
              "netflix": 50, "workday": 20}
-ORACLE_MAX_PAGES = 5
 
 # --- fixed values: routing --------------------------------------------------
 API_TYPES = ["greenhouse", "lever", "workday", "phenom", "ashby",

@@ -55,7 +55,8 @@ def test_skills_keep_vocabulary_order_and_limit(spark):
     got = values(spark, K.extract_skills, ["kafka and python", "mysql", "PySpark", "none", None,
                                            "azure snowflake databricks airflow dbt sql spark"])
     assert got == [["Python", "Kafka"], ["SQL"], ["PySpark", "Spark"], [], [],
-                   ["Spark", "SQL", "dbt", "Airflow", "Databricks", "Snowflake"]]
+                   ["Spark", "SQL", "dbt", "Airflow", "Databricks", "Snowflake", "Azure"]]
+    assert values(spark, lambda c: K.extract_skills(c, limit=2), ["sql dbt spark"]) == [["Spark", "SQL"]]
 
 
 def test_rank_badge_icon(spark):
@@ -143,4 +144,4 @@ def test_posting_html_escapes(spark):
     row = spark.createDataFrame([("<b>&", "C", "Toronto", "Senior", "", "https://u?a=1&b=2", ["x"] * 7, "")],
                                 "title string, company string, location string, level string, posted string, url string, skills array<string>, salary string")
     html = row.select(posting_html()).first()[0]
-    assert "&lt;b&gt;&amp;" in html and html.count('class="skill"') == 5 and "a=1&amp;b=2" in html and "salary" not in html
+    assert "&lt;b&gt;&amp;" in html and html.count('class="skill"') == 7 and "a=1&amp;b=2" in html and "salary" not in html

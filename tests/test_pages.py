@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from hiretide.functions import entities
 from hiretide.functions.classify import Rules
 from hiretide.sources import saved_pages as S
-from hiretide.sources.selectors import CARDS, LINKS, anchor_only, selector_tests
+from hiretide.sources.selectors import CARDS, LINKS, anchor_only, own_tag_regexes, paths, selectors_of
 from hiretide.sources.tokeniser import parse_page
 
 
@@ -28,10 +30,8 @@ def a(href, text):
 
 
 def hits(html, selector):
-    _, els = parse_page(html, True)
-    tests = selector_tests(selector)
-    return [e["text"] for e in els
-            if any(re.search(own, e["own"]) and (chain is None or re.search(chain, e["path"])) for own, chain in tests)]
+    text, els = parse_page(html, [paths(selector)], True)
+    return [text[e["t0"]:e["t1"]].strip() for e in els if e["hits"]]
 
 
 def test_selectors():
@@ -47,10 +47,25 @@ def test_selectors():
 
 
 def test_tokeniser_skips_scripts_and_survives_bad_markup():
-    text, els = parse_page("<p>a<p>b<br>c</p></div><script>x<a href=1>no</a></script><a href='u'>A&amp;B <b>c</b>d", True)
+    text, els = parse_page("<p>a<p>b<br>c</p></div><script>x<a href=1>no</a></script><a href='u'>A&amp;B <b>c</b>d", [paths("a")], True)
     links = [e for e in els if e["href"]]
     assert [e["text"] for e in links] == ["A&B cd"] and "no" not in text
-    assert parse_page(None, True) == ("", [])
+    assert parse_page(None, [], True) == ("", [])
+
+
+def test_output_is_linear_in_a_deep_page():
+    def size(depth):
+        text, els = parse_page("<div class='job'>" * depth + "<a href='/x'>t</a>" + "</div>" * depth, [paths(".job a"), paths(".job")], True)
+        return len(text) + sum(len(str(e["text"] or "")) + len(e["hits"]) + 8 for e in els)
+
+    assert size(1600) < 4.2 * size(400)
+
+
+def test_entities_alike_on_every_way(spark):
+    forms = ["&eacute;&#233;&#xE9;", "&amp;lt; &nosuch; &amp &#0; &#x110000; a&b;c", "plain", "&copy;&nbsp;x", "&&amp;&", None]
+    got = [r[0] for r in spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "i int, t string").orderBy("i").select(entities.unescape(F.col("t"))).collect()]
+    assert got == [entities.unescape_text(f) if f is not None else None for f in forms]
+    assert got[:2] == ["ééé", "&lt; &nosuch; &amp \ufffd \ufffd a&b;c"]
 
 
 def test_pattern_with_one_match_is_skipped_when_two_are_needed(page):
@@ -62,11 +77,12 @@ def test_pattern_with_one_match_is_skipped_when_two_are_needed(page):
     assert rows(S.link_rows(page(a("/y", "Data Engineer")), LINKS["coveo"])) == []
 
 
-def test_cap_comes_before_duplicates_and_role(page):
+def test_site_limits_only_where_asked_for(page):
     html = a("/job/0", "Cook") * 80 + a("/job/1", "Data Engineer")
-    assert rows(S.link_rows(page(html), LINKS["scotiabank"])) == []
-    html = a("/job/0", "Cook") * 79 + a("/job/1", "Data Engineer")
     assert rows(S.link_rows(page(html), LINKS["scotiabank"]), "url") == [("Data Engineer", "https://s.example/job/1")]
+    # the cap comes before duplicates and role
+    assert rows(S.link_rows(page(html), LINKS["scotiabank"], site_limits=True)) == []
+    assert len(rows(S.link_rows(page(html[len(a("/job/0", "Cook")):]), LINKS["scotiabank"], site_limits=True))) == 1
 
 
 def test_blank_first_link_hides_the_titled_one_only_where_urls_are_marked_first(page):
@@ -170,10 +186,15 @@ def test_table_rows(page):
         ("Data Engineer", "Toronto Canada"), ("ETL Developer", "Montréal Canada"), ("SQL Developer", "Ottawa"), ("SQL Developer", "Canada")]
 
 
-def test_blocked_pages(page):
-    pages = page("ok", "x AwsWafIntegration", "challenge-container", "Access Denied", "y" * 500 + "Access Denied")
-    assert [r.page_id for r in S.drop_blocked_pages(pages).orderBy("page_id").collect()] == [0, 4]
-    assert S.drop_blocked_pages(page("ok", url="https://infosys.com/404")).count() == 0
+def test_blocked_pages_by_site(page):
+    def left(site, **how):
+        pages = page("ok", "x AwsWafIntegration", "challenge-container", "Access Denied", "y" * 500 + "Access Denied")
+        return [r.page_id for r in S.drop_blocked_pages(pages, site, **how).orderBy("page_id").collect()]
+
+    assert left("ibm_cards") == [0, 3, 4] and left("infosys") == [0, 1, 2] and left("infosys", head=500) == [0, 1, 2, 4]
+    assert left("scotiabank") == [0, 1, 2, 3, 4]
+    assert S.drop_blocked_pages(page("ok", url="https://infosys.com/404"), "infosys").count() == 0
+    assert S.drop_blocked_pages(page("ok", url="https://infosys.com/404"), "ibm_cards").count() == 1
 
 
 @pytest.mark.parametrize("site", ["mckinsey", "klick", "icims", "infosys", "njoyn", "ibm_cards"])
@@ -184,10 +205,10 @@ def test_site_to_postings(page, dim, site):
     assert {r.category for r in out.collect()} <= {"Banks"}
 
 
-def test_every_selector_compiles():
-    for rules in LINKS.values():
-        for s in [*rules.patterns, *filter(None, [rules.otherwise]), *rules.title_selectors, *rules.place_selectors]:
-            assert all(re.compile(own) and (chain is None or re.compile(chain)) for own, chain in selector_tests(s))
-    for rules in CARDS.values():
-        for s in [*rules.cards, *rules.titles, *rules.places, *rules.posted]:
-            assert all(re.compile(own) and (chain is None or re.compile(chain)) for own, chain in selector_tests(s))
+def test_every_selector_parses():
+    for rules in [*LINKS.values(), *CARDS.values()]:
+        for s in selectors_of(rules):
+            assert all(p.steps and len(p.direct) == len(p.steps) - 1 for p in paths(s))
+            assert all(step.tag or step.classes or step.attrs or step.nth or step.last for p in paths(s) for step in p.steps)
+        if rules in LINKS.values() and anchor_only(rules):
+            assert all(re.compile(t) for s in selectors_of(rules) for t in own_tag_regexes(s))

@@ -1,6 +1,7 @@
 """Payloads by hand: shapes, gaps, broken bodies, quirks."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -66,47 +67,63 @@ def test_feeds(payload, dim, cfg):
     got = feeds.avature(payload("avature", good, good[:-20], "<rss/>"), dim, cfg)
     assert titles(got, "location", "url", "page_no") == [("Data Engineer", "Toronto, Ontario, Canada", "u", 0)]
     deep = ("<a><b><c><item><title><![CDATA[Data Engineer (Ottawa, ON)]]></title><link>u</link></item></c></b>"
-            "<item x='1'><title>ETL &amp; BI Developer</title></item></a>")
+            "<item x='1'><title>ETL &amp; BI Developer</title></item><item><title>Ing&#233;nieur de donn&#xE9;es</title></item></a>")
     got = feeds.boc_rss(payload("boc_rss", deep, deep[:-9]), dim)
-    assert titles(got, "location", "url") == [("Data Engineer", "Ottawa", "u"), ("ETL & BI Developer", "Ottawa", "")]
+    assert titles(got, "location", "url") == [("Data Engineer", "Ottawa", "u"), ("ETL & BI Developer", "Ottawa", ""), ("Ingénieur de données", "Ottawa", "")]
 
 
-def test_phenom_tail_reaches_the_next_short_record(payload, dim, cfg):
-    html = ('{"title":"Data Engineer","city":"Toronto","state":"ON","jobSeqNo":"R.1"},'
-            '{"title":"ETL Developer","city":"Ottawa","state":"ON","jobSeqNo":"R.2"},{"jobSeqNo":"R.1"}')
-    got = phenom(payload("phenom", html), dim, cfg)
-    # the first record's window already holds the second's fields
+def test_phenom_fields_stand_before_their_key(payload, dim, cfg):
+    html = ('{"title":"Data Engineer","city":"Toronto","state":"ON","pad":"' + "x" * 5000 + '","jobSeqNo":"R.1"},'
+            '{"title":"ETL Developer","city":"Ottawa","state":"ON","jobSeqNo" : "R.2"},{"jobSeqNo":"R.1"},{"jobSeqNo":""}')
+    got = phenom(payload("phenom", html, "", "no record"), dim, cfg)
     assert titles(got, "location", "url") == [
-        ("ETL Developer", "Ottawa, ON, Canada", "https://a.example/R.1/etl-developer"),
+        ("Data Engineer", "Toronto, ON, Canada", "https://a.example/R.1/data-engineer"),
         ("ETL Developer", "Ottawa, ON, Canada", "https://a.example/R.2/etl-developer")]
 
 
+def test_phenom_time_follows_the_body(payload, dim, cfg):
+    def took(n):
+        record = '{{"title":"Data Engineer {0}","city":"Toronto","state":"ON","jobSeqNo":"R{0}"}},' + " " * 200
+        raw = payload("phenom", "".join(record.format(i) for i in range(n))).cache()
+        raw.count()
+        start = time.time()
+        assert phenom(raw, dim, cfg).count() == n
+        return time.time() - start
+
+    took(2000)
+    assert took(8000) < 4 * took(2000) + 6
+
+
 def test_shopify_first_per_uuid(payload, dim):
     u1, u2 = "0" * 8 + "-0000-0000-0000-" + "0" * 12, "1" * 8 + "-0000-0000-0000-" + "0" * 12
 
     def record(u, title):
         return rf'\"{u}\",\"{title}\",\"{u2}\",\"2024-01-01\",\"https://www.shopify.com/careers?ashby_jid={u}\"'
 
-    html = record(u1, "Data Engineer") + record(u1, "ETL Developer") + record(u2, "SQL") + record(u2, "SQL Developer")
+    long = "SQL Developer" + " x" * 200
+    html = record(u1, "Data Engineer") + record(u1, "ETL Developer") + record(u2, long) + record(u2, "SQL Developer")
     got = shopify(payload("shopify", html), dim)
     assert titles(got, "url") == [("Data Engineer", f"https://www.shopify.com/careers/data-engineer_{u1}"),
-                                  ("SQL Developer", f"https://www.shopify.com/careers/sql-developer_{u2}")]
+                                  (long, f"https://www.shopify.com/careers/sql-developer{'-x' * 200}_{u2}")]
 
 
-def test_canadalife_window(payload, dim):
+def test_canadalife_place_is_the_next_one_however_far(payload, dim):
     link = '<a href="/job/{0}" class="jobTitle-link">{1}</a>'
-    place = '<span class="jobLocation"> Regina, SK, CA </span>'
-    html = (link.format(1, "Data Engineer &amp; more") + place + link.format(1, "Data Engineer")
-            + link.format(2, "ETL Developer") + "x" * 2001 + '<span class="jobLocation">Berlin</span>')
+    place = '<span class="jobLocation"> {} </span>'
+    html = (link.format(1, "Data Engineer &amp; more") + place.format("Regina, SK, CA") + link.format(1, "Data Engineer")
+            + link.format(2, "ETL Developer") + "x" * 3001 + place.format("Berlin")
+            + link.format(3, "ETL Developer") + "\n" + link.format(4, "SQL Developer") + "x" * 3001 + place.format("Toronto") + link.format(5, "SQL Developer"))
     assert titles(canadalife(payload("canadalife", html), dim), "location", "url") == [
         ("Data Engineer & more", "Regina, SK, Canada", "https://jobs.canadalife.com/job/1"),
-        ("ETL Developer", "Canada", "https://jobs.canadalife.com/job/2")]
+        ("ETL Developer", "Toronto", "https://jobs.canadalife.com/job/3"),
+        ("SQL Developer", "Toronto", "https://jobs.canadalife.com/job/4"),
+        ("SQL Developer", "Canada", "https://jobs.canadalife.com/job/5")]
 
 
-def plan(spark, source, pages):
+def plan(spark, source, pages, **limits):
     rows = [("A", i, status, n, total) for i, (status, n, total) in enumerate(pages)]
     facts = spark.createDataFrame(rows, "company string, page_no int, status int, n_items long, total long")
-    kept = payloads.assemble_pages(facts, payloads.page_plan(facts, source), ["company"], ["page_no"])
+    kept = payloads.assemble_pages(facts, payloads.page_plan(facts, source, **limits), ["company"])
     return sorted(r.page_no for r in kept.collect())
 
 
@@ -118,8 +135,9 @@ def test_page_assembly(spark):
     assert plan(spark, "amazon", [full, (200, 0, 250), full])[:1] == [0]
     # a total that shrinks on a later page ends the loop there
     assert plan(spark, "amazon", [(200, 100, 900), (200, 100, 150), full]) == [0, 1]
-    # the first total counts, and never more than five pages
-    assert plan(spark, "oracle_hcm", [(200, 25, 1000)] + [(200, 25, 1)] * 8) == [0, 1, 2, 3, 4]
+    # the first total counts; the customary five pages only if asked for
+    pages = [(200, 25, 1000)] + [(200, 25, 1)] * 8
+    assert plan(spark, "oracle_hcm", pages) == list(range(9)) and plan(spark, "oracle_hcm", pages, max_pages=5) == [0, 1, 2, 3, 4]
     # one failed page discards everything
     assert plan(spark, "netflix", [(200, 50, 120), (500, 0, 0)]) == []
     assert plan(spark, "netflix", [(200, 50, 60), (200, 10, 60), (500, 0, 0)]) == [0, 1]
@@ -133,18 +151,50 @@ def test_attempts(spark):
     assert got == [("Geotab", 0, "geo-tab"), ("X", 0, "a-b"), ("X", 1, "ab"), ("X", 2, "a-binc"), ("X", 3, "a-bhq")]
     raw = spark.createDataFrame([("X", 0, 404, "a"), ("X", 1, 200, ""), ("X", 2, 200, "b"), ("Y", 0, 500, "c")],
                                 "company string, attempt int, status int, body string")
-    assert [r.attempt for r in payloads.pick_attempt(raw, raw, ["company"], ["body"]).collect()] == [1]
+    assert [r.attempt for r in payloads.pick_attempt(raw, raw, ["company"]).collect()] == [1]
+
+
+def named(dim, name, scraper="custom"):
+    return dim.filter("name = 'A'").withColumn("name", F.lit(name)).withColumn("scraper", F.lit(scraper))
+
+
+PAGE = "company string, site string, page_id long, url string, html string"
 
 
 def test_fallback_only_when_unanswered(spark, payload, dim, cfg):
-    empty = payload("ibm", json.dumps({"jobs": []}))
-    down = payload("ibm", "oops", status=503)
+    empty = payload("ibm", json.dumps({"jobs": []}), company="IBM Canada")
+    down = payload("ibm", "oops", status=503, company="IBM Canada")
     card = '<li class="job-card"><h3><a href="/x">{}</a></h3></li>'
     page = "<ul>" + card.format("Data Engineer") + card.format("ETL Developer") + "</ul>"
-    pages = spark.createDataFrame([("A", "ibm_cards", 1, "https://i.example/", page)],
-                                  "company string, site string, page_id long, url string, html string")
+    pages = spark.createDataFrame([("IBM Canada", "ibm_cards", 1, "https://i.example/", page)], PAGE)
     for raw, n in ((empty, 0), (down, 2)):
-        assert registry.all_sources(raw, pages, dim, cfg, sources=["ibm"], sites=[]).count() == n
+        assert registry.all_sources(raw, pages, named(dim, "IBM Canada"), cfg, sources=["ibm"], sites=[]).count() == n
+
+
+def test_unparseable_workday_page_falls_back(spark, payload, dim, cfg):
+    good = json.dumps({"total": 1, "jobPostings": [{"title": "Data Engineer", "locationsText": "Toronto"}]})
+    card = '<li data-automation-id="jobItem"><a data-automation-id="jobTitle" href="/job/1">ETL Developer</a></li>'
+    pages = spark.createDataFrame([("A", "workday_cards", 1, "https://w.example/", card)], PAGE)
+    for body, want in ((good, ["Data Engineer"]), ("<html>sorry</html>", ["ETL Developer"])):
+        got = registry.all_sources(payload("workday", body), pages, dim, cfg, sources=["workday"], sites=[])
+        assert [r.title for r in got.collect()] == want
+
+
+def test_first_answered_attempt_counts(spark, payload, dim, cfg):
+    body = json.dumps({"jobs": [{"title": "Data Engineer", "location": "Toronto"}]})
+    raw = payload("greenhouse", body, company="X")
+    several = (raw.withColumn("status", F.lit(404)).unionByName(raw.withColumn("attempt", F.lit(1)))
+               .unionByName(raw.withColumn("attempt", F.lit(2))))
+    got = registry.all_sources(several, None, named(dim, "X", "greenhouse"), cfg.withColumn("company", F.lit("X")), sources=["greenhouse"])
+    assert [(r.title, r.attempt) for r in got.collect()] == [("Data Engineer", 1)]
+
+
+def test_only_the_routed_extractor_reads_a_company(spark, payload, dim, cfg):
+    jobs = json.dumps({"jobs": [{"title": "Data Engineer", "location": "Toronto"}]})
+    for company, scraper, n in (("X", "greenhouse", 1), ("X", "lever", 0), ("X", "custom", 0), ("Shopify", "greenhouse", 0)):
+        raw = payload("greenhouse", jobs, company=company)
+        got = registry.all_sources(raw, None, named(dim, company, scraper), cfg.withColumn("company", F.lit(company)))
+        assert got.count() == n, (company, scraper)
 
 
 def test_bad_payloads(payload):

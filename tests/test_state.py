@@ -77,16 +77,24 @@ def test_state_storage(spark, tmp_path):
     dedup.clear_state(spark, path, DAY0 + timedelta(hours=12))
     assert dedup.read_state(spark, path).count() == 0
     target = dedup.write_state(state, path, DAY0 + timedelta(days=1))
-    for file in (tmp_path / "seen").glob("run=20240102*/*.parquet"):
+    for file in (tmp_path / "seen" / "snapshots").glob("20240102*/*.parquet"):
         file.write_bytes(b"broken")
-    assert target.endswith("run=20240102T000000")
+    assert "/snapshots/20240102T000000000000-" in target
     with pytest.raises(Exception):
         dedup.read_state(spark, path).count()
 
 
+def test_two_snapshots_of_one_moment_do_not_meet_and_old_ones_can_go(spark, tmp_path):
+    path = str(tmp_path / "seen")
+    for i in range(3):
+        dedup.write_state(spark.createDataFrame([(str(i), DAY0)], "fp string, emitted_at timestamp"), path, DAY0 + timedelta(days=i // 2), keep=2)
+    assert len(list((tmp_path / "seen" / "snapshots").glob("2024*"))) == 2
+    assert [r.fp for r in dedup.read_state(spark, path).collect()] == ["2"]
+
+
 def test_stream_agrees_with_history_over_several_batches(spark, tmp_path):
     landing, out = tmp_path / "landing", scratch_path(spark, "stream-test")
-    days = [[0, 5], [13.5, 14, 14], [20, 27.5], [28, 60]]
+    days = [[0, 5], [13.5, 14, 14], [20, 27.5], [28, 60], [44]]  # the last comes late
     every = None
     for batch in days:
         df = sightings(spark, batch).unionByName(sightings(spark, [d + 1 for d in batch], "u"))
@@ -96,7 +104,8 @@ def test_stream_agrees_with_history_over_several_batches(spark, tmp_path):
         seen_stream.run_available(seen_stream.dedup_stream(stream, "run_ts", "seq"), f"{out}/out", f"{out}/cp")
     got = spark.read.parquet(f"{out}/out").select("fp", F.timestamp_micros("run_us").alias("run_ts")).collect()
     want = dedup.dedup_history(every, "run_ts", ["seq"]).select("fp", "run_ts").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 8
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 10
+    assert {r.title for r in spark.read.parquet(f"{out}/out").collect()} == {"t", "u"}
 
 
 def test_run_window_and_label(spark):

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiretide.operators.dedup import run_bucket
-from workloads.fixed import CATEGORIES, COMPANIES, LOCATIONS, PAGE_ROWS, SNIPPETS, STACKS, TITLES, TYPES
+from hiretide.sources.selectors import CARDS, LINKS, paths
+from workloads.fixed import CATEGORIES, LOCATIONS, PAGE_ROWS, SNIPPETS, STACKS, TITLES, TYPES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings_of(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
-    cid = F.col("user_id") % COMPANIES
+    cid = F.col("user_id")
     return events.select(
         e.alias("seq"),
         pick(TITLES, e % 40).alias("title"),
@@ -341,7 +342,7 @@ def link_pages(spark: SparkSession, sf_dir: str, element: Column, before: str, a
         .groupBy("page_id")
         .agg(F.array_sort(F.collect_list(F.struct("seq", "el"))).alias("els"))
         .select(
-            F.concat(F.lit("Company "), (F.col("page_id") % COMPANIES).cast("string")).alias("company"),
+            F.concat(F.lit("Company "), F.col("page_id").cast("string")).alias("company"),
             "page_id",
             F.concat(F.lit("https://site.example/list/"), F.col("page_id").cast("string")).alias("url"),
             F.concat(F.lit(before), F.array_join(F.transform("els", lambda x: x["el"]), "\n"), F.lit(after)).alias("html"),
@@ -362,6 +363,61 @@ def job_href() -> Column:
     return F.concat(F.lit("/job/"), (F.col("seq") % 83).cast("string"))
 
 
+def _open(step, last: bool) -> tuple[str, str, str]:
+    """Start tag without its end, tag and href path of an element that fits one step of a selector."""
+    tag = step.tag or ("a" if last else "div")
+    classes, attrs, href = list(step.classes), [], []
+    for name, _, value in step.attrs:
+        if name == "class":
+            classes.append(value)
+        elif name == "href":
+            href.append(value.strip("/"))
+        else:
+            attrs.append(f' {name}="{value}"')
+    shown = f' class="{" ".join(classes)}"' if classes else ""
+    return f"<{tag}{shown}{''.join(attrs)}", tag, "/".join(href)
+
+
+def frame(selector: str, linked: bool) -> tuple[str, str, str, bool]:
+    """Before the last start tag's end, after the content, path of links, and whether the element is a link itself."""
+    steps = paths(selector)[0].steps
+    before, after, path = "", "", "x"
+    for i, step in enumerate(steps):
+        start, tag, found = _open(step, linked and i == len(steps) - 1)
+        path = found or path
+        before += start + (">" if i < len(steps) - 1 else "")
+        after = f"</{tag}>" + after
+    return before, after, path, steps[-1].tag in ("", "a")
+
+
+def fitting(selector: str, inner: Column, href: Column | None = None) -> Column:
+    """Markup that fits the first option of a selector; with ``href`` it is a link, or holds one, to that number."""
+    before, after, path, is_link = frame(selector, href is not None)
+    if href is None:
+        return F.concat(F.lit(before + ">"), inner, F.lit(after))
+    link = F.concat(F.lit(f' href="/{path}/'), href, F.lit('">'), inner)
+    if is_link:
+        return F.concat(F.lit(before), link, F.lit(after))
+    return F.concat(F.lit(before + "><a"), link, F.lit("</a>" + after))
+
+
+def site_pages(spark: SparkSession, sf_dir: str, site: str) -> DataFrame:
+    """Pages in the markup that a site's first selectors look for."""
+    if site in LINKS:
+        element = fitting(LINKS[site].patterns[0], xml_text(F.col("title")), _id())
+    else:
+        rules = CARDS[site]
+        title = fitting(rules.titles[0], xml_text(F.col("title")), _id())
+        place = fitting(rules.places[0], xml_text(F.col("location")))
+        element = fitting(rules.cards[0], F.concat(title, place))
+    return link_pages(spark, sf_dir, element, "<html><body>", "</body></html>")
+
+
+def site_path(site: str) -> str:
+    selector = LINKS[site].patterns[0] if site in LINKS else CARDS[site].titles[0]
+    return frame(selector, True)[2]
+
+
 def j2w_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page variants: card markup, legacy cells, bare links, a few cards only."""
     link = anchor(job_href(), shown_title())

@@ -54,5 +54,6 @@ STACKS = [
     ["AWS", "Snowflake", "Python", "dbt"],
     ["GCP", "BigQuery", "Python", "dbt", "Spark", "Kafka"],
 ]
-COMPANIES = 50
+# Companies a digest says it monitors.
+MONITORED = 50
 PAGE_ROWS = 2000

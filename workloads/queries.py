@@ -16,15 +16,16 @@ from hiretide.functions.posting import fingerprint, posting_html
 from hiretide.functions.text import resolve_href, slugify
 from hiretide.operators import dedup, digest, joins, ranking, reports
 from hiretide.operators.normalize import build_posting, posting_filter
-from hiretide.operators.scratch import scratch_path
+from hiretide.operators.scratch import materialise, scratch_path
 from hiretide.plans import runs
 from hiretide.schemas import BODY, POSTING_COLUMNS
 from hiretide.sources import payloads, registry, saved_pages
-from hiretide.sources.selectors import LINKS
+from hiretide.sources.companies import with_defaults
+from hiretide.sources.selectors import CARDS, LINKS
 from hiretide.streaming import seen_stream
 from workloads import derive as X
 from workloads import sql as S
-from workloads.fixed import COMPANIES
+from workloads.fixed import MONITORED
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,24 +192,24 @@ _LINK_PAGES = f"""pg AS (
          CASE WHEN seq % 10 = 9 THEN '' ELSE trim(title, ' ' || chr(9)) END AS shown FROM p)"""
 
 
-def _links_sql(chosen: str, cap: int, first: str = "", location: str = "'Canada'") -> str:
+def _links_sql(chosen: str, location: str = "'Canada'") -> str:
     return S.ctes(S.P, S.D, _LINK_PAGES, f"""ch AS (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS k FROM pg WHERE {chosen}),
 f AS (
-  SELECT * FROM ch WHERE k <= {cap} AND shown <> ''
+  SELECT * FROM ch WHERE shown <> ''
   QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY seq) = 1),
 g AS (
-  SELECT 'Company ' || (page_id % {COMPANIES}) AS company, shown AS title, {location} AS location,
+  SELECT 'Company ' || page_id AS company, shown AS title, {location} AS location,
          'https://site.example' || href AS url FROM f)""",
         S.rows(source="g", url="url", where=ROLE)) + S.norm()
 
 
-@query("src_html_links", _links_sql("variant <> 3 OR seq % 6 = 0", 50))
+@query("src_html_links", _links_sql("variant <> 3 OR seq % 6 = 0"))
 def src_html_links(spark, sf_dir):
     return flat(saved_pages.extract(X.j2w_pages(spark, sf_dir), "j2w", X.companies(spark, sf_dir)))
 
 
-@query("src_html_links_native", _links_sql("true", 80))
+@query("src_html_links_native", _links_sql("true"))
 def src_html_links_native(spark, sf_dir):
     """Link rules that look only at the link itself stay in the JVM."""
     return flat(saved_pages.extract(X.bare_pages(spark, sf_dir), "scotiabank", X.companies(spark, sf_dir)))
@@ -225,7 +226,7 @@ _PAGE_ANCHORS = """pa AS (
 n AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS hits,
         row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM pa),
 f AS (SELECT page_id, {S.strip('txt')} AS title, regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || href AS url, k
-      FROM n WHERE hits >= 2 AND k <= 80 AND {S.strip('txt')} <> '')
+      FROM n WHERE hits >= 2 AND {S.strip('txt')} <> '')
 SELECT page_id, title, 'Quebec City' AS location, url FROM f
 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY k) = 1""")
 def src_html_links_pages(spark, sf_dir):
@@ -237,8 +238,8 @@ def src_html_links_pages(spark, sf_dir):
 @query("src_html_cards", S.ctes(S.P, S.D, f"""ch AS (
   SELECT *, seq // 120 AS page_id, row_number() OVER (PARTITION BY seq // 120 ORDER BY seq) AS k FROM p),
 g AS (
-  SELECT 'Company ' || (page_id % {COMPANIES}) AS company, trim(title, ' ' || chr(9)) AS title, seq,
-         coalesce(nullif(trim(location), ''), 'Canada') AS location FROM ch WHERE k <= 30)""",
+  SELECT 'Company ' || page_id AS company, trim(title, ' ' || chr(9)) AS title, seq,
+         coalesce(nullif(trim(location), ''), 'Canada') AS location FROM ch)""",
     S.rows(source="g", url="'https://site.example/careers/JobDetail?jobId=' || seq", where=f"{ROLE} AND {CA}")) + S.norm())
 def src_html_cards(spark, sf_dir):
     return flat(saved_pages.extract(X.card_pages(spark, sf_dir), "ibm_cards", X.companies(spark, sf_dir)))
@@ -250,9 +251,9 @@ _TABLE_LOC = "trim(CASE seq % 3 WHEN 0 THEN trim(location) || ' Canada' WHEN 1 T
 @query("src_html_table_rows", S.ctes(S.P, S.D, f"""ch AS (
   SELECT *, seq // 120 AS page_id, row_number() OVER (PARTITION BY seq // 120 ORDER BY seq) AS k FROM p),
 f AS (
-  SELECT * FROM ch WHERE k <= 100 QUALIFY row_number() OVER (PARTITION BY page_id, seq % 83 ORDER BY seq) = 1),
+  SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY page_id, seq % 83 ORDER BY seq) = 1),
 g AS (
-  SELECT 'Company ' || (page_id % {COMPANIES}) AS company, trim(title, ' ' || chr(9)) AS title, seq,
+  SELECT 'Company ' || page_id AS company, trim(title, ' ' || chr(9)) AS title, seq,
          coalesce(nullif({_TABLE_LOC}, ''), 'Canada') AS location, page_id FROM f)""",
     S.rows(source="g", url="'https://site.example/list/xweb.asp?Page=jobdetails&id=' || (seq % 83)",
            where=f"{ROLE} AND {CA}")) + S.norm())
@@ -260,6 +261,29 @@ def src_html_table_rows(spark, sf_dir):
     return flat(saved_pages.extract(X.table_pages(spark, sf_dir), "njoyn", X.companies(spark, sf_dir)))
 
 
+def _site(site: str) -> None:
+    """One site's rules over pages in its own markup."""
+    rules = LINKS.get(site) or CARDS[site]
+    place, where = S.lit(rules.location), ROLE
+    if site in CARDS:
+        place = f"coalesce(nullif(trim(location), ''), {place})"
+        where = "true" if not rules.role else ROLE
+        if rules.geo:
+            where += f" AND (location = '' OR {CA})"
+
+    def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return flat(saved_pages.extract(X.site_pages(spark, sf_dir, site), site, X.companies(spark, sf_dir)))
+
+    kind = "links" if site in LINKS else "cards"
+    query(f"src_{kind}_{site.removesuffix('_links').removesuffix('_cards')}", S.ctes(S.P, S.D, f"""g AS (
+  SELECT 'Company ' || (seq // 120) AS company, trim(title, ' ' || chr(9)) AS title, {place} AS location,
+         'https://site.example/{X.site_path(site)}/' || seq AS url FROM p)""", S.rows(source="g", url="url", where=where)) + S.norm())(fn)
+
+
+for _name in [*LINKS, *CARDS]:
+    _site(_name)
+
+
 _TITLE_WORDS = "array_to_string(list_transform(string_split({}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
 
@@ -278,11 +302,13 @@ def src_title_from_url(spark, sf_dir):
 
 
 @query("src_blocked_pages", """
-SELECT page_id, length(html) AS n_chars FROM pages WHERE page_id % 7 NOT IN (0, 1, 2, 3)
+SELECT 'ibm_cards' AS site, page_id, length(html) AS n_chars FROM pages WHERE page_id % 7 NOT IN (0, 1)
   AND NOT contains(html, 'AwsWafIntegration') AND NOT contains(html, 'challenge-container')
-  AND NOT contains(url, 'infosys.com/404') AND NOT contains(substr(html, 1, 500), 'Access Denied')""")
+UNION ALL SELECT 'infosys', page_id, length(html) FROM pages WHERE page_id % 7 NOT IN (2, 3, 4)
+  AND NOT contains(url, 'infosys.com/404') AND NOT contains(html, 'Access Denied')
+UNION ALL SELECT 'scotiabank', page_id, length(html) FROM pages""")
 def src_blocked_pages(spark, sf_dir):
-    """The driver's pages with bot-wall markers planted in four of seven."""
+    """The driver's pages with bot-wall marks planted in five of seven, as three sites' pages."""
     k, html = F.col("page_id") % 7, F.col("html")
     planted = X.table(spark, sf_dir, "pages").select(
         "page_id",
@@ -293,7 +319,11 @@ def src_blocked_pages(spark, sf_dir):
         .when(k == 3, F.concat(F.lit("<h1>Access Denied</h1>"), html))
         .when(k == 4, F.concat(html, F.lit("Access Denied"))).otherwise(html).alias("html"),
     )
-    return saved_pages.drop_blocked_pages(planted).select("page_id", F.length("original").cast("long").alias("n_chars"))
+    return registry.union_sources(*[
+        saved_pages.drop_blocked_pages(planted, site).select(
+            F.lit(site).alias("site"), "page_id", F.length("original").cast("long").alias("n_chars"))
+        for site in ("ibm_cards", "infosys", "scotiabank")
+    ])
 
 
 # === assembly ===============================================================
@@ -329,7 +359,7 @@ def _assembly_sql() -> str:
         size = V.PAGE_SIZE[source]
         done = f"(page_no + 1) * {size} >= total"
         if source == "oracle_hcm":
-            done = f"((page_no + 1) * {size} >= coalesce(max(CASE WHEN page_no = 0 THEN total END) OVER (PARTITION BY company), 0) OR page_no >= 4)"
+            done = f"((page_no + 1) * {size} >= coalesce(max(CASE WHEN page_no = 0 THEN total END) OVER (PARTITION BY company), 0))"
         if source == "netflix":
             done = "sum(n_items) OVER (PARTITION BY company ORDER BY page_no) >= total"
         base = f"""(WITH {_page_facts_sql(size)}, g AS (
@@ -354,7 +384,7 @@ def src_page_assembly(spark, sf_dir):
     for source in ("smartrecruiters", "oracle_hcm", "workday", "netflix"):
         facts = _page_facts(spark, sf_dir, V.PAGE_SIZE[source])
         plan = payloads.page_plan(facts, source)
-        kept = payloads.assemble_pages(facts, plan, ["company"], ["page_no"])
+        kept = payloads.assemble_pages(facts, plan, ["company"])
         frames.append(kept.select(F.lit(source).alias("source"), "company", F.col("page_no").cast("long").alias("page_no"), "n_items"))
     return registry.union_sources(*frames)
 
@@ -368,7 +398,7 @@ def src_slug_attempt_pick(spark, sf_dir):
     tries = payloads.slug_candidates(X.source_config(spark, sf_dir, "greenhouse"))
     number = F.regexp_extract("company", r"(\d+)", 1).cast("long")
     raw = tries.withColumn("status", F.when((number + F.col("attempt")) % 3 == 0, F.lit(200)).otherwise(F.lit(404)))
-    return payloads.pick_attempt(raw, raw, ["company"], ["slug"]).select("company", F.col("attempt").cast("long"), "slug")
+    return payloads.pick_attempt(raw, raw, ["company"]).select("company", F.col("attempt").cast("long"), "slug")
 
 
 @query("src_primary_else_fallback", S.ctes(S.P) + f"""
@@ -522,7 +552,7 @@ def broaden_url(spark, sf_dir):
 
 
 @query("find_companies", S.ctes(S.D) + """
-SELECT substr(name, 1, 54) AS title, substr(category, 1, 34) AS location, substr(careers_url, 1, 70) AS url FROM d
+SELECT name AS title, category AS location, careers_url AS url FROM d
 WHERE contains(lower(name), 'company 1')""")
 def find_companies(spark, sf_dir):
     found = reports.find_companies(X.companies(spark, sf_dir), "COMPANY 1")
@@ -549,7 +579,7 @@ def workday_page_url(spark, sf_dir):
 def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All derived postings, normalised; ``seq`` and ``run_ts`` ride along."""
     rows = X.postings(spark, sf_dir).select("seq", "run_ts", "company", "title", "location", K.extract_skills("snippet").alias("skills"))
-    return build_posting(rows, X.companies(spark, sf_dir), ["seq"])
+    return build_posting(rows, X.companies(spark, sf_dir))
 
 
 def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -588,7 +618,7 @@ def _esc(c: str) -> str:
 _HTML_SQL = f"""'<div class="posting"><b>' || {_esc('title')} || '</b><span class="badge">' || {S.level_badge('level')} || '</span>'
   || '<span class="salary">' || {_esc('salary')} || '</span><div class="meta">' || {_esc('company')} || ' · ' || {_esc('location')}
   || ' · Full-time · ' || posted || '</div>'
-  || CASE WHEN len(skills) > 0 THEN '<div class="skills">' || array_to_string(list_transform(skills[1:5], lambda s: '<span class="skill">' || s || '</span>'), '') || '</div>' ELSE '' END
+  || CASE WHEN len(skills) > 0 THEN '<div class="skills">' || array_to_string(list_transform(skills, lambda s: '<span class="skill">' || s || '</span>'), '') || '</div>' ELSE '' END
   || '</div>'"""
 
 
@@ -603,7 +633,7 @@ def posting_html_q(spark, sf_dir):
 def join_source_config(spark, sf_dir):
     cfg = X.source_config(spark, sf_dir, "lever").unionByName(X.source_config(spark, sf_dir, "phenom"))
     rows = X.postings(spark, sf_dir).select("seq", "title", "company")
-    return joins.join_source_config(rows, cfg, "phenom", ["seq"]).select("seq", "title", "slug", "site", "url_template")
+    return joins.join_source_config(rows, cfg, "phenom").select("seq", "title", "slug", "site", "url_template")
 
 
 @query("join_company_dim", S.ctes(S.P, S.D) + """
@@ -611,7 +641,7 @@ SELECT p.seq, p.title, d.category, d.salary_range AS salary, d.careers_url, arra
 FROM p JOIN d ON d.name = p.company""")
 def join_company_dim(spark, sf_dir):
     rows = X.postings(spark, sf_dir).select("seq", "title", "company")
-    joined = joins.with_company(rows, X.companies(spark, sf_dir), ["seq"])
+    joined = joins.with_company(rows, X.companies(spark, sf_dir))
     return joined.select("seq", "title", "category", "salary", "careers_url", F.concat_ws(",", "stack").alias("stack"))
 
 
@@ -714,10 +744,15 @@ def company_counts(spark, sf_dir):
     return reports.company_counts(_wanted(spark, sf_dir), X.companies(spark, sf_dir))
 
 
-@query("broad_summary", S.ctes(S.P, S.D, S.N, S.W, _COUNTS) + """
-SELECT count(*) AS companies, count(*) FILTER (n > 0) AS working, CAST(sum(n) AS BIGINT) AS total_jobs FROM cc""")
+# any title, geography applied
+_BROAD = f"""bc AS (SELECT d.id, d.name AS company, count(g.seq) AS n
+  FROM d LEFT JOIN (SELECT * FROM n WHERE {CA}) g ON g.company = d.name GROUP BY d.id, d.name)"""
+
+
+@query("broad_summary", S.ctes(S.P, S.D, S.N, _BROAD) + """
+SELECT count(*) AS companies, count(*) FILTER (n > 0) AS working, CAST(sum(n) AS BIGINT) AS total_jobs FROM bc""")
 def broad_summary(spark, sf_dir):
-    return reports.broad_summary(reports.company_counts(_wanted(spark, sf_dir), X.companies(spark, sf_dir)))
+    return runs.broad_run(_normal(spark, sf_dir), X.companies(spark, sf_dir))[1]
 
 
 # outcomes: counts of all derived postings, every seventh company fails
@@ -743,9 +778,9 @@ _AUDIT = f"""au AS (
   SELECT id, name, scraper, top100, n,
          CASE WHEN name IN ({_RENDERED}) THEN 'selenium' WHEN scraper = 'custom' AND extractor = 'generic' THEN 'skip'
               WHEN needs_page THEN 'selenium' WHEN error IS NOT NULL THEN 'error' WHEN n > 0 THEN 'ok' ELSE 'zero' END AS status,
-         CASE WHEN name IN ({_RENDERED}) THEN 'Dedicated Selenium scraper'
-              WHEN scraper = 'custom' AND extractor = 'generic' THEN 'GenericScraper — skipped'
-              WHEN needs_page THEN 'API failed → Selenium fallback needed' WHEN error IS NOT NULL THEN substr(error, 1, 80)
+         CASE WHEN name IN ({_RENDERED}) THEN 'only readable as a rendered page'
+              WHEN scraper = 'custom' AND extractor = 'generic' THEN 'no extractor of its own'
+              WHEN needs_page THEN 'structured source did not answer' WHEN error IS NOT NULL THEN error
               ELSE n || ' data jobs' END AS note
   FROM o)"""
 _AUDIT_CTES = S.ctes(S.P, S.D, _NAMED, _ROUTED, _OUTCOMES, _AUDIT)
@@ -774,11 +809,11 @@ SELECT d.id, d.name, au.status FROM (SELECT id, name FROM dn) d LEFT JOIN (SELEC
 def join_audit_results(spark, sf_dir):
     """Report order from the dimension, results looked up by its key."""
     status = reports.audit_status(_outcomes(spark, sf_dir)).filter("status <> 'skip'").select("id", "status")
-    return _named(spark, sf_dir).select("id", "name").join(status, "id", "left")
+    return joins.audit_results(_named(spark, sf_dir).select("id", "name"), status, "id")
 
 
 @query("validate_summary", S.ctes(S.P, S.D, _NAMED, _ROUTED, _OUTCOMES) + """
-SELECT outcome, name, CASE WHEN outcome = 'pass' THEN n ELSE 0 END AS jobs, coalesce(substr(error, 1, 80), '') AS note,
+SELECT outcome, name, CASE WHEN outcome = 'pass' THEN n ELSE 0 END AS jobs, coalesce(error, '') AS note,
        count(*) OVER (PARTITION BY outcome) AS in_outcome
 FROM (SELECT *, CASE WHEN error IS NOT NULL THEN 'error' WHEN n > 0 THEN 'pass' ELSE 'zero' END AS outcome FROM o)""")
 def validate_summary(spark, sf_dir):
@@ -893,29 +928,75 @@ def chunk_rows(spark, sf_dir):
     return _chunks(spark, sf_dir).select("seq", "rn", "chunk_no", "n_chunks", label.alias("label"))
 
 
-@query("top_counts", S.ctes(S.P, S.D, S.N, S.W, _COUNTS) + "SELECT company, n FROM cc ORDER BY n DESC, id LIMIT 20")
+@query("top_counts", S.ctes(S.P, S.D, S.N, S.W, _COUNTS) + "SELECT company, n FROM cc")
 def top_counts(spark, sf_dir):
-    """Companies by postings, ties in input order, as a top-20 report."""
+    """All companies by postings, ties in input order."""
     dim = X.companies(spark, sf_dir)
     counts = reports.company_counts(_wanted(spark, sf_dir), dim)
     ordered = counts.join(dim.select(F.col("name").alias("company"), "id"), "company")
-    return reports.top_counts(ordered, "id", 20).select("company", "n")
+    return reports.top_counts(ordered, "id").select("company", "n")
 
 
 # === sets ===================================================================
 
-@query("union_all_sources", S.ctes(S.P, S.D, S.C, S.rows(
-    url="'https://lever.example/' || seq", skills=S.extract_skills(
-        f"(snippet || ' ' || CASE WHEN seq % 2 = 0 THEN {S.pick(X.SNIPPETS, '(seq + 5) % 12')} ELSE '' END)"),
-    where=f"{ROLE} AND {CA} AND company IN (SELECT company FROM c)"),
-    "x2 AS (SELECT company, title, CASE WHEN " + CA + " THEN location WHEN seq % 2 = 1 THEN 'Toronto, ON' ELSE 'Canada' END AS location,"
-    " 'https://www.metacareers.com/jobs/' || seq || '/' AS url, CAST(NULL AS VARCHAR) AS posted, CAST(NULL AS VARCHAR[]) AS skills"
-    f" FROM p WHERE {ROLE})") + S.norm() + " UNION ALL " + S.norm("x2"))
+# --- every board and the link pages of two sites, through attempts, paging and dispatch
+
+def _named_company(number: Column) -> Column:
+    """The name a company of that number has in ``_named``."""
+    plain = F.concat(F.lit("Company "), number.cast("string"))
+    return F.when(number % 10 == 0, X.pick(_DED, X.div(number, 10) % len(_DED))).otherwise(plain)
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.withColumn("company", _named_company(F.regexp_extract("company", r"(\d+)", 1).cast("long")))
+
+
+def _renamed_sql(number: str) -> str:
+    return f"CASE WHEN {number} % 10 = 0 THEN {S.pick(_DED, f'({number} // 10) % {len(_DED)}')} ELSE 'Company ' || {number} END"
+
+
+_READ_PAGES = {source: "page_no = min(page_no) OVER (PARTITION BY cid)" for source in ("smartrecruiters", "amazon", "oracle_hcm", "workday")}
+_READ_PAGES["netflix"] = "coalesce(sum(1) OVER (PARTITION BY cid ORDER BY page_no RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 50"
+_SITES = ("j2w", "scotiabank")
+
+
+def _dispatched_sql(name: str, extractor: str) -> str:
+    """One board's own twin over renamed companies, cut to the companies routed to it."""
+    read = _READ_PAGES.get(extractor)
+    p = S.P.replace("'Company ' || user_id AS company", f"{_renamed_sql('user_id')} AS company")
+    if read:
+        p = p.replace("p AS (", "p0 AS (", 1) + f",\np AS (SELECT * FROM p0 QUALIFY {read})"
+    sql = SQL[name].replace(S.P, p).replace(S.D, S.D.replace("'Company ' || c_custkey AS name", f"{_renamed_sql('c_custkey')} AS name"))
+    sql = sql.replace(S.C, S.C.replace("'Company ' || c_custkey AS company", f"{_renamed_sql('c_custkey')} AS company"))
+    sql = sql.replace("'Company ' || page_id AS company", f"{_renamed_sql('page_id')} AS company")
+    routed = S.ctes(S.D, _NAMED, _ROUTED) + f"SELECT name FROM r WHERE extractor = '{extractor}' AND route <> 'skipped'"
+    return f"SELECT * FROM ({sql}) WHERE company IN ({routed})"
+
+
+_BOARDS = {name.removeprefix("src_"): name for name in SQL if name.startswith("src_")}
+_BOARD_OF = {"greenhouse": "greenhouse", "lever": "lever", "ashby": "ashby", "smartrecruiters": "smartrecruiters", "workday": "workday",
+             "oracle_hcm": "oracle_hcm", "amazon": "amazon", "netflix": "netflix", "ibm": "ibm_api", "meta": "meta_graphql",
+             "bamboohr": "bamboohr", "avature": "avature_rss", "boc_rss": "boc_rss", "phenom": "phenom_html",
+             "shopify": "shopify_html", "canadalife": "canadalife_html"}
+
+
+@query("union_all_sources", "\nUNION ALL\n".join(
+    [_dispatched_sql(_BOARDS[board], source) for source, board in _BOARD_OF.items()]
+    + [_dispatched_sql("src_html_links", "j2w"), _dispatched_sql("src_html_links_native", "scotiabank")]))
 def union_all_sources(spark, sf_dir):
-    """Two boards landed in one payload table, extracted and united."""
-    raw = X.payloads(spark, sf_dir, "lever").unionByName(X.payloads(spark, sf_dir, "meta"))
-    cfg = X.source_config(spark, sf_dir, "lever")
-    return flat(registry.all_sources(raw, None, X.companies(spark, sf_dir), cfg, sources=["lever", "meta"]))
+    """All sixteen boards landed in one payload table and two sites' pages, extracted and united.
+
+    Every body is landed under two attempts; of a third of the companies the first one failed.
+    """
+    raw = registry.union_sources(*[_renamed(X.payloads(spark, sf_dir, source)) for source in _BOARD_OF])
+    missed = F.pmod(F.xxhash64("company"), F.lit(3)) == 0
+    raw = raw.withColumn("status", F.when(missed, F.lit(404)).otherwise(F.col("status"))).unionByName(raw.withColumn("attempt", F.lit(1)))
+    cfg = _renamed(registry.union_sources(*[X.source_config(spark, sf_dir, source) for source in _BOARD_OF]))
+    pages = registry.union_sources(*[
+        _renamed(make(spark, sf_dir)).withColumn("site", F.lit(site)) for site, make in zip(_SITES, (X.j2w_pages, X.bare_pages))])
+    # landed, as a user has them
+    raw, cfg, pages = (materialise(df, label) for df, label in ((raw, "payloads"), (cfg, "config"), (pages, "pages")))
+    return flat(registry.all_sources(raw, pages, _named(spark, sf_dir), cfg, sites=list(_SITES)))
 
 
 @query("partition_routes", S.ctes(S.D, _NAMED, _ROUTED) + """
@@ -955,17 +1036,20 @@ def seen_dedup_history(spark, sf_dir):
     return emitted.select("fp", text_ts("run_ts").alias("run"), "seq")
 
 
-@query("seen_dedup_stream", S.history() + _HISTORY)
+@query("seen_dedup_stream", S.history() + "SELECT fp, strftime(run_ts, '%Y-%m-%d %H:%M:%S') AS run, seq, title, company, location, category FROM h")
 def seen_dedup_stream(spark, sf_dir):
-    """The replay as a file stream; emissions land in a table."""
+    """The replay as a file stream that lands in three parts; whole postings come out."""
     path = scratch_path(spark, "seen-stream")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = X.postings_of(events).select("seq", "run_ts", "company", "title", "location")
-    postings = posting_filter(build_posting(rows, X.companies(spark, sf_dir), ["seq"]))
-    seen_stream.run_available(seen_stream.dedup_stream(postings, "run_ts", "seq"), f"{path}/out", f"{path}/checkpoint")
-    out = spark.read.schema("fp string, run_us long, seq long").parquet(f"{path}/out")
-    return out.select("fp", text_ts(F.timestamp_micros("run_us")).alias("run"), "seq")
+    events = X.table(spark, sf_dir, "events")
+    for part in range(3):
+        day = F.dayofmonth("ts")
+        events.filter(F.least(X.div(day - 1, 10), F.lit(2)) == part).write.mode("append").parquet(f"{path}/in")
+        landed = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        rows = X.postings_of(landed).select("seq", "run_ts", "company", "title", "location")
+        postings = posting_filter(build_posting(rows, X.companies(spark, sf_dir)))
+        seen_stream.run_available(seen_stream.dedup_stream(postings, "run_ts", "seq"), f"{path}/out", f"{path}/checkpoint")
+    out = spark.read.parquet(f"{path}/out")
+    return out.select("fp", text_ts(F.timestamp_micros("run_us")).alias("run"), "seq", "title", "company", "location", "category")
 
 
 @query("run_window", S.ctes(S.P) + f"""
@@ -990,13 +1074,17 @@ sec AS (
 sx AS (SELECT run_ts, chunk_no, string_agg(section, '' ORDER BY first_rn) AS html FROM sec GROUP BY run_ts, chunk_no),
 sk AS (SELECT run_ts, chunk_no, n_chunks, {_STATS} FROM ch GROUP BY run_ts, chunk_no, n_chunks)"""
 _DIGEST_SQL = f"""SELECT {SQL_TS.format('run_ts')} AS run, chunk_no, n_chunks,
-  '🔔 Job Alert [' || CASE WHEN hour(run_ts) < 12 THEN 'Morning (9 AM)' ELSE 'Evening (6 PM)' END
+  CASE WHEN hour(run_ts) < 12 THEN 'Morning (9 AM)' ELSE 'Evening (6 PM)' END
     || CASE WHEN n_chunks > 1 THEN ' (' || (chunk_no + 1) || '/' || n_chunks || ')' ELSE '' END
-    || ']: ' || total || ' Data Engineering Jobs — ' || strftime(run_ts, '%b %d, %Y') AS subject,
+    || ': ' || total || ' new postings, ' || strftime(run_ts, '%b %d, %Y') AS subject,
   total, senior, mid, entry,
-  '<div><h1>New data engineering postings</h1><p>' || total || ' new openings · 50 companies monitored</p><p>Total '
+  '<div><h1>New data engineering postings</h1><p>' || total || ' new openings · {MONITORED} companies monitored</p><p>Total '
     || total || ' · Senior ' || senior || ' · Mid-Level ' || mid || ' · Entry Level ' || entry || '</p>' || html || '</div>' AS html
-FROM sk JOIN sx USING (run_ts, chunk_no)"""
+FROM sk JOIN sx USING (run_ts, chunk_no)
+UNION ALL SELECT {SQL_TS.format('run_ts')}, 0, 0,
+  CASE WHEN hour(run_ts) < 12 THEN 'Morning (9 AM)' ELSE 'Evening (6 PM)' END || ': nothing new, ' || strftime(run_ts, '%b %d, %Y'), 0, 0, 0, 0,
+  '<div><h1>No new postings</h1><p>All {MONITORED} companies were checked.</p></div>'
+FROM (SELECT DISTINCT run_ts FROM p) WHERE run_ts NOT IN (SELECT run_ts FROM ch)"""
 
 
 def _history_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1005,9 +1093,8 @@ def _history_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _history_chunks(spark, sf_dir)
-    return digest.digest(
-        chunks, ["run_ts", "chunk_no"], dedup.run_label("run_ts"), F.date_format("run_ts", "MMM dd, yyyy"), COMPANIES)
+    rows = X.postings(spark, sf_dir).select("seq", "run_ts", "company", "title", "location", K.extract_skills("snippet").alias("skills"))
+    return runs.history_digests(rows, X.companies(spark, sf_dir), "run_ts", "seq", MONITORED)
 
 
 @query("sink_digest", S.history(_RUN_CHUNKS, _SECTION) + _DIGEST_SQL)
@@ -1018,14 +1105,54 @@ def sink_digest(spark, sf_dir):
     return spark.read.parquet(path).withColumn("run", text_ts("run_ts")).drop("run_ts")
 
 
-@query("sink_broad_report", S.ctes(S.P, S.D, S.N, S.W, _COUNTS) + "SELECT company, n, n > 0 AS working FROM cc")
+@query("sink_broad_report", S.ctes(S.P, S.D, S.N, _BROAD) + "SELECT company, n, n > 0 AS working FROM bc")
 def sink_broad_report(spark, sf_dir):
     path = scratch_path(spark, "broad")
-    counts, _ = runs.broad_run(_wanted(spark, sf_dir), X.companies(spark, sf_dir))
+    counts, _ = runs.broad_run(_normal(spark, sf_dir), X.companies(spark, sf_dir))
     reports.write_report(counts.withColumn("working", F.col("n") > 0), path)
     return spark.read.parquet(path)
 
 
+@query("sink_seen_state", S.ctes(S.P, S.D, S.N, S.W, _LIVE) + f"""
+SELECT fp, {SQL_TS.format('emitted_at')} AS emitted_at FROM lv
+UNION ALL SELECT DISTINCT fp, '{_NOW}' FROM b WHERE fp NOT IN (SELECT fp FROM lv)""")
+def sink_seen_state(spark, sf_dir):
+    """The state before a run and after it, both written; the later one is read."""
+    path = scratch_path(spark, "state")
+    state, batch = _split(spark, sf_dir)
+    dedup.write_state(state, path, datetime.fromisoformat(_SPLIT))
+    _, merged = dedup.dedup_run(batch.drop("fp"), dedup.read_state(spark, path), _NOW_AT, ["company", "seq"])
+    dedup.write_state(merged, path, _NOW_AT)
+    return dedup.read_state(spark, path).select("fp", text_ts("emitted_at").alias("emitted_at"))
+
+
+@query("clear_state", S.ctes(S.P, S.D, S.N, S.W, _LIVE) + "SELECT 'before' AS moment, count(*) AS n FROM st UNION ALL SELECT 'after', 0")
+def clear_state(spark, sf_dir):
+    path = scratch_path(spark, "state")
+    state, _ = _split(spark, sf_dir)
+    dedup.write_state(state, path, datetime.fromisoformat(_SPLIT))
+    before = dedup.read_state(spark, path)
+    dedup.clear_state(spark, path, _NOW_AT)
+    count = lambda df, moment: df.agg(F.count("*").alias("n")).select(F.lit(moment).alias("moment"), "n")
+    return count(before, "before").unionByName(count(dedup.read_state(spark, path), "after"))
+
+
+@query("src_company_dim", S.ctes(S.D) + """
+SELECT id, name, CASE WHEN id % 3 = 0 THEN 'custom' ELSE scraper END AS scraper, CASE WHEN id % 5 = 0 THEN '' ELSE salary_range END AS salary_range,
+       id % 3 = 0 AND id % 7 <> 0 AS top100, array_to_string(CASE WHEN id % 4 = 1 THEN [] ELSE stack END, ',') AS stack, 0 AS n_titles FROM d""")
+def src_company_dim(spark, sf_dir):
+    """Companies as a user's file has them, optional fields left out here and there."""
+    i = F.col("id")
+    raw = X.companies(spark, sf_dir).select(
+        "id", "name", "careers_url", "category", F.when(i % 3 != 0, F.col("scraper")).alias("scraper"),
+        F.when(i % 5 != 0, F.col("salary_range")).alias("salary_range"), F.when(i % 7 != 0, F.col("top100")).alias("top100"),
+        F.lit(None).cast("array<string>").alias("titles"), F.when(i % 4 != 1, F.col("stack")).alias("stack"),
+        F.lit(None).cast("array<string>").alias("locations"),
+    )
+    dim = with_defaults(raw)
+    return dim.select("id", "name", "scraper", "salary_range", "top100", F.concat_ws(",", "stack").alias("stack"), F.size("titles").cast("long").alias("n_titles"))
+
+
 @query("sink_audit_report", _AUDIT_CTES + _ROLLUP)
 def sink_audit_report(spark, sf_dir):
     path = scratch_path(spark, "audit")

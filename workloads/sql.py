@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from hiretide import vocab as V
 from hiretide.functions.text import WHITESPACE
-from workloads.fixed import CATEGORIES, COMPANIES, LOCATIONS, PAGE_ROWS, SNIPPETS, STACKS, TITLES, TYPES
+from workloads.fixed import CATEGORIES, LOCATIONS, PAGE_ROWS, SNIPPETS, STACKS, TITLES, TYPES
 
 
 def lit(s: str) -> str:
@@ -29,8 +29,8 @@ WS = lit(WHITESPACE)
 P = f"""p AS (
   SELECT event_id AS seq, {pick(TITLES, 'event_id % 40')} AS title,
          {pick(LOCATIONS, '(event_id // 7) % 32')} AS location,
-         'Company ' || (user_id % {COMPANIES}) AS company, user_id % {COMPANIES} AS cid,
-         {pick(CATEGORIES, f'(user_id % {COMPANIES}) % 16')} AS category,
+         'Company ' || user_id AS company, user_id AS cid,
+         {pick(CATEGORIES, 'user_id % 16')} AS category,
          {pick(SNIPPETS, 'event_id % 12')} AS snippet, ts,
          time_bucket(INTERVAL '12 hours', ts) AS run_ts, event_id // {PAGE_ROWS} AS page_no
   FROM events)"""
@@ -82,10 +82,10 @@ def detect_level(col: str) -> str:
     return f"CASE {whens} ELSE 'Mid-Level' END"
 
 
-def extract_skills(col: str, limit: int = 6) -> str:
-    """List of the first skills named in the text."""
+def extract_skills(col: str) -> str:
+    """List of the skills named in the text."""
     found = ", ".join(f"CASE WHEN contains(lower({col}), {lit(s.lower())}) THEN {lit(s)} END" for s in V.SKILLS)
-    return f"list_filter([{found}], lambda x: x IS NOT NULL)[1:{limit}]"
+    return f"list_filter([{found}], lambda x: x IS NOT NULL)"
 
 
 def level_rank(col: str) -> str:
@@ -124,7 +124,7 @@ def norm(x: str = "x", where: str = "true", extra: str = "") -> str:
          coalesce(nullif({strip(f"coalesce({x}.location, '')")}, ''), 'Canada') AS location,
          {detect_level(x + '.title')} AS level, 'Full-time' AS type,
          coalesce({x}.posted, 'Recent') AS posted, coalesce({x}.url, '') AS url,
-         array_to_string(CASE WHEN len({x}.skills) > 0 THEN {x}.skills ELSE d.stack[1:5] END, ',') AS skills,
+         array_to_string(CASE WHEN len({x}.skills) > 0 THEN {x}.skills ELSE d.stack END, ',') AS skills,
          d.salary_range AS salary{extra}
   FROM {x} JOIN d ON d.name = {x}.company WHERE {where}"""
 
@@ -148,7 +148,7 @@ N = f"""n AS (
   SELECT p.seq, p.run_ts, {strip('p.title')} AS title, p.company, d.category,
          coalesce(nullif({strip('p.location')}, ''), 'Canada') AS location, {detect_level('p.title')} AS level,
          'Full-time' AS type, 'Recent' AS posted, '' AS url,
-         CASE WHEN len(sk) > 0 THEN sk ELSE d.stack[1:5] END AS skills, d.salary_range AS salary
+         CASE WHEN len(sk) > 0 THEN sk ELSE d.stack END AS skills, d.salary_range AS salary
   FROM (SELECT *, {extract_skills('snippet')} AS sk FROM p) p JOIN d ON d.name = p.company)"""
 # .. that pass the role and geography filter, with fingerprint.
 W = f"""w AS (
