@@ -401,20 +401,24 @@ def fitting(selector: str, inner: Column, href: Column | None = None) -> Column:
     return F.concat(F.lit(before + "><a"), link, F.lit("</a>" + after))
 
 
+# Which of its selectors a site's pages are made for: the first one of this site also fits what stands inside a card.
+_OPTION = {"ibm_cards": 1}
+
+
 def site_pages(spark: SparkSession, sf_dir: str, site: str) -> DataFrame:
     """Pages in the markup that a site's first selectors look for."""
     if site in LINKS:
         element = fitting(LINKS[site].patterns[0], xml_text(F.col("title")), _id())
     else:
-        rules = CARDS[site]
-        title = fitting(rules.titles[0], xml_text(F.col("title")), _id())
-        place = fitting(rules.places[0], xml_text(F.col("location")))
-        element = fitting(rules.cards[0], F.concat(title, place))
+        rules, k = CARDS[site], _OPTION.get(site, 0)
+        title = fitting(rules.titles[k], xml_text(F.col("title")), _id())
+        place = fitting(rules.places[k], xml_text(F.col("location")))
+        element = fitting(rules.cards[k], F.concat(title, place))
     return link_pages(spark, sf_dir, element, "<html><body>", "</body></html>")
 
 
 def site_path(site: str) -> str:
-    selector = LINKS[site].patterns[0] if site in LINKS else CARDS[site].titles[0]
+    selector = LINKS[site].patterns[0] if site in LINKS else CARDS[site].titles[_OPTION.get(site, 0)]
     return frame(selector, True)[2]
 
 
