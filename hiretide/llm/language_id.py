@@ -149,9 +149,13 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", key: str
     )
     seen, total = _document_frequency(usable, "text")
     idf = np.log((1 + total) / (1 + seen)) + 1
+    # by hash about twice the rows wanted of each label, so that no more than that is shuffled; then exactly as many.
+    # There are as many shares as languages, and the model holds a column of weights for each
+    shares = usable.groupBy("label").agg(F.least(F.lit(1.0), 2.0 * per_language / F.count("*")).alias("share"))
+    near = usable.join(F.broadcast(shares), "label").where(F.pmod("pick", F.lit(1 << 30)) < F.col("share") * (1 << 30)).drop("share")
     order = Window.partitionBy("label").orderBy("pick")
     sample = materialise(
-        usable.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).drop("nth"), "sample"
+        near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).drop("nth"), "sample"
     )
     languages = sorted(r["label"] for r in sample.where(F.col("text").rlike(r"\p{L}")).select("label").distinct().collect())
     if not languages:
