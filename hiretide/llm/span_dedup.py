@@ -92,9 +92,10 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str = "text", sentences:
     named = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
     cut_up = materialise(map_rows(named, cut, _SPANS, ["text"]).where("size(spans) > 0"), "spans")
     counted = cut_up.select(F.explode("spans.h1").alias("h1")).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    counted = materialise(counted, "repeated")  # a join of plain tables is one that a hot hash can be split in
     spans = cut_up.select("_id", "_hash", F.explode("spans").alias("s")).select("_id", "_hash", "s.*")
     left = materialise(spans.join(counted, "h1"), "repeats")
-    kinds = left.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_hash", "first")).alias("at"))
+    kinds = materialise(left.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_hash", "first")).alias("at")), "kinds")
     again = left.join(kinds, ["h1", "h2"]).where(~(F.struct("_id", "_hash", "first").eqNullSafe(F.col("at"))))
     return again.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("removed"))
 
