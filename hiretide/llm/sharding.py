@@ -21,7 +21,7 @@ from hiretide.operators.scratch import materialise
 SHARDS = 24
 SEED = 7
 #: Rows in one range of the two orderings, on average.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 
 
 def _running(counts: DataFrame, order: str, *by: str):
