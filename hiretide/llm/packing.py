@@ -19,6 +19,7 @@ No piece moves for that: only counts are shuffled.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ END_ID = 1
 #: Words whose ids a worker remembers, and the longest word it remembers.
 CACHE_WORDS = 300_000
 CACHE_LENGTH = 48
-_TEXTS = 128
+_TEXTS = 256
 _LETTERS = re.compile(rb"([a-z]+)([.,!?;:]?)")
 
 
@@ -78,7 +79,7 @@ class WordIds:
             elif plain := _LETTERS.fullmatch(w):
                 # a run of letters is one unit for the merges, and what follows it another
                 word, mark = plain.groups()
-                ids = known.get(word) or older.get(word) or np.array([t.id for t in tokens(word.decode())], "<u4").tobytes()
+                ids = known.get(word) or older.get(word) or array("I", [t.id for t in tokens(word.decode())]).tobytes()
                 known[word] = ids
                 if mark:
                     if mark not in marks:
@@ -263,7 +264,8 @@ def pack(pieces: DataFrame, length: str = "length", size: int = SIZE) -> DataFra
                 [*batch.columns, pa.array(np.full(len(lengths), task)), pa.array(ranks)], names=[*batch.schema.names, part, nth]
             )
 
-    numbered = materialise(pieces.mapInArrow(number, schema_of(list(pieces.schema), f"`{part}` bigint, `{nth}` bigint")), "pieces")
+    # written first, so that a task that numbers does not hold a tokenizer beside it
+    numbered = materialise(materialise(pieces, "pieces").mapInArrow(number, schema_of(list(pieces.schema), f"`{part}` bigint, `{nth}` bigint")), "numbered")
     tasks = numbered.groupBy(part, length).agg(F.count("*").alias("n"))
     before = Window.partitionBy(length).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tasks.select(
