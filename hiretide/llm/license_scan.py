@@ -1,17 +1,24 @@
 """License scans by conditional compression.
 
-Blocks (lines, long ones cut to the sentences around a cue) that hold a licence
-cue are compressed alone and with each template as a raw zstandard dictionary.
-Templates are ranked by how much of the block's size they save; the best is
-confirmed by its wording: the words of template and block are aligned and what
-is missing from and what is put into the template is reported.
+Paragraphs (runs of lines up to one without a word) that hold a licence cue are
+read as words, so line breaks and comment marks do not count.  Every stretch of
+a template's length that holds most of its words is a window; it is compressed
+alone and with the template as a raw zstandard dictionary, and confirmed by its
+wording: the words of template and window are aligned and what is missing from
+and what is put into the template is reported.  Windows that overlap are readings
+of one notice, of which the closest stays; all others are reported each.
+
+What is left of a line with a cue (of a long one, the sentences around the cue)
+is reported with the template that saves most of it.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -51,6 +58,10 @@ HOLDS = 0.8
 LONG_BLOCK = 2000
 _LINE = re.compile(rb"[^\n\r]+")
 _SENTENCE = re.compile(rb"(?<=[.!?:])\s+")
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: A line without a word, which ends a paragraph, and a line break with the comment marks after it.
+_GAP = re.compile(rb"\n[^0-9a-z\x80-\xff]*\n")
+_WRAP = re.compile(rb"[ \t*/]*\n[^0-9a-z\x80-\xff]*")
 
 
 def has_cue(lowered: bytes) -> bool:
@@ -85,6 +96,12 @@ def blocks_of(text: bytes | None) -> list[tuple[int, int]]:
     return out
 
 
+def paragraphs_of(lowered: bytes) -> list[tuple[int, int]]:
+    """Byte ranges between lines without a word, of those with a cue; line breaks are ``\\n``."""
+    cuts = [0, *(x for m in _GAP.finditer(lowered) for x in m.span()), len(lowered)]
+    return [(a, b) for a, b in zip(cuts[::2], cuts[1::2]) if has_cue(b" ".join(_WORD.findall(lowered, a, b))) or has_cue(lowered[a:b])]
+
+
 class Scanner:
     """Compressors with each template as dictionary."""
 
@@ -98,6 +115,77 @@ class Scanner:
             for _, t in templates
         ]
         self.words = [plain_words(t.encode()) for _, t in templates]
+        self.sets = [set(w) for w in self.words]
+
+    def find(self, text: bytes | None) -> list[dict]:
+        """Every confirmed notice and, where a cue is left, the line's best template, in the order of the text."""
+        if not text or not has_cue(b" ".join(plain_words(text))) and not has_cue(text.lower()):
+            return []
+        lowered = text.lower().replace(b"\r\n", b" \n").replace(b"\r", b"\n")
+        found = [n for a, b in paragraphs_of(lowered) for n in self._notices(lowered, a, b)]
+        out = [{**n, "block": text[n["first"]:n["end"]].decode("utf-8", "replace")} for n in found]
+        ends = [n["end"] for n in found]
+        for a, b in blocks_of(text):
+            cut = False
+            for n in found[bisect_left(ends, a + 1):]:
+                if n["first"] >= b:
+                    break
+                cut = True
+                out += self._rest(text, a, min(n["first"], b))
+                a = max(a, min(n["end"], b))
+            out += self._rest(text, a, b) if cut else [self._block(text, a, b)]
+        return sorted(out, key=lambda n: n["first"])
+
+    def _block(self, text: bytes, a: int, b: int) -> dict:
+        return {"first": a, "end": b, "block": text[a:b].decode("utf-8", "replace"), **self.scan(text[a:b])}
+
+    def _rest(self, text: bytes, a: int, b: int) -> list[dict]:
+        return [self._block(text, a, b)] if a < b and has_cue(text[a:b].lower()) else []
+
+    def _notices(self, lowered: bytes, a: int, b: int) -> list[dict]:
+        """The confirmed windows of a paragraph, none of which overlap."""
+        places = [m.span() for m in _WORD.finditer(lowered, a, b)]
+        own = [lowered[x:y] for x, y in places]
+        where: dict[bytes, list[int]] = {}
+        for i, w in enumerate(own):
+            where.setdefault(w, []).append(i)
+        found, seen = [], {}  # a repeated line is aligned once
+        for template, words in enumerate(self.words):
+            least = max(1, int(np.ceil(HOLDS * len(words) - 1e-9)))
+            held = np.zeros(len(own) + 1, np.int64)
+            for w in self.sets[template]:
+                held[[i + 1 for i in where.get(w, ())]] = 1
+            # a window has room for words put into the template
+            size = len(words) + max(2, len(words) // 4)
+            total = np.cumsum(held)
+            ends = np.minimum(np.arange(len(own)) + size, len(own))
+            starts = np.flatnonzero((total[ends] - total[:-1] >= least) & (held[1:] > 0))
+            for i in starts.tolist():
+                window = own[i:i + size]
+                if (key := (template, *window)) not in seen:
+                    seen[key] = self._confirm(template, window)
+                notice = seen[key]
+                # the notice itself may begin later in the window: it has its own turn then
+                if notice["held"] < HOLDS or notice["inside"][0] > 0:
+                    continue
+                x, y = places[i][0], places[i + notice["inside"][1] - 1][1]
+                shown = _WRAP.sub(b" ", lowered[x:y])
+                if (key := (template, shown)) not in seen:
+                    seen[key] = len(self.plain.compress(shown)), len(self.with_template[template].compress(shown))
+                alone, conditional = seen[key]
+                saves = (alone - conditional) / alone
+                if saves < SAVES:
+                    continue
+                closeness = len(words) * (2 * notice["held"] - 1) - (len(notice["extra"].split()) if notice["extra"] else 0)
+                first, last = i, i + notice["inside"][1]
+                notice = notice | {"first": x, "end": y, "alone": alone, "conditional": conditional, "saves": saves, "confirmed": True}
+                found.append((-closeness, -(alone - conditional), first, last, template, notice))
+        taken, out = np.zeros(len(own), bool), []
+        for _, _, first, last, _, notice in sorted(found, key=lambda f: f[:5]):
+            if not taken[first:last].any():
+                taken[first:last] = True
+                out.append(notice)
+        return sorted(out, key=lambda n: n["first"])
 
     def scan(self, block: bytes) -> dict:
         """The template that saves most and whose wording confirms it, and how the wordings differ."""
@@ -128,7 +216,8 @@ class Scanner:
         extra = [w for kind, _, _, c, d in steps if kind != "equal" for w in own[max(c, inside[0]):min(d, inside[1])]]
         return {
             "license": self.templates[template][0], "template": template, "held": sum(s[2] - s[1] for s in same) / len(words),
-            "missing": b" ".join(missing).decode(), "extra": b" ".join(extra).decode(), "exact": not missing and not extra,
+            "missing": b" ".join(missing).decode("utf-8", "replace"), "extra": b" ".join(extra).decode("utf-8", "replace"),
+            "exact": not missing and not extra, "inside": inside,
         }
 
 
@@ -136,7 +225,7 @@ _FOUND = "struct<first: int, end: int, block: string, license: string, template:
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Every row without its text, with ``blocks``: each candidate block, its best template and how it differs.
+    """Every row without its text, with ``blocks``: each confirmed notice and each other block with a cue, its template and how it differs.
 
     first and end are byte positions in the text; missing are the template's words that the block lacks, extra
     what stands between those it has.  Null and empty texts and texts
@@ -151,7 +240,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
         scanner = state["licenses"][1]
         out = []
         for t in column_bytes(batch, text):
-            out.append([{"first": a, "end": b, "block": t[a:b].decode("utf-8", "replace"), **scanner.scan(t[a:b])} for a, b in blocks_of(t)])
+            out.append([{k: v for k, v in n.items() if k != "inside"} for n in scanner.find(t)])
         return {"blocks": out}
 
     return map_rows(docs, run, f"blocks array<{_FOUND}>", [text])

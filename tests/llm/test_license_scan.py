@@ -1,4 +1,5 @@
 import json
+import textwrap
 
 from hiretide.llm import license_scan as L
 from hiretide.llm import queries
@@ -55,3 +56,18 @@ def test_edges(spark):
     got = L.scan_licenses(docs).collect()
     assert [len(r["blocks"]) for r in got] == [0, 0, 1, 1, 1] and got[4]["blocks"][0]["license"] == "CC-BY-NC-4.0"
     assert L.scan_licenses(docs.limit(0)).count() == 0
+
+
+def confirmed(text):
+    return [(b["license"], b["exact"]) for b in L.Scanner(L.TEMPLATES).find(text.encode()) if b["confirmed"]]
+
+
+def test_wrapped_notices_are_found():
+    for name, text in L.TEMPLATES:
+        for mark in ("", "# ", " * ", "// "):
+            for end in ("\n", "\r\n"):
+                lines = [mark + x for x in textwrap.wrap(text, 79 if len(text) > 79 else 20)]
+                shown = end.join([mark + "Some file of words", mark.rstrip(), *lines, mark.rstrip(), mark + "More words of it", ""])
+                assert confirmed(shown) == [(name, True)], (name, mark, end)
+    # a line without a word ends the notice
+    assert confirmed("Released under\n#\nthe MIT License.") == []
