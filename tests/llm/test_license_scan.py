@@ -71,3 +71,26 @@ def test_wrapped_notices_are_found():
                 assert confirmed(shown) == [(name, True)], (name, mark, end)
     # a line without a word ends the notice
     assert confirmed("Released under\n#\nthe MIT License.") == []
+
+
+def test_notices_inside_lines_of_any_length():
+    pad = "The quick brown fox jumps over the lazy dog while many other words go by, as they do. "
+    for n in (0, 1, 2, 4, 10, 40):
+        for text in (pad * n + "Released under the MIT License. " + pad * n, pad.replace(" ", "_") * n + " Released under the MIT License. " + pad):
+            blocks = [b for b in L.Scanner(L.TEMPLATES).find(text.encode()) if b["confirmed"]]
+            assert [(b["license"], b["exact"], b["block"]) for b in blocks] == [("MIT", True, "Released under the MIT License")], n
+
+
+def test_every_notice_of_a_line_is_reported():
+    assert confirmed("Released under the MIT License. Licensed under CC BY-NC 4.0.") == [("MIT", True), ("CC-BY-NC-4.0", True)]
+    assert confirmed(" ".join(t for _, t in L.TEMPLATES)) == [(n, True) for n, _ in L.TEMPLATES]
+    assert confirmed("Released under the MIT License. " * 3) == [("MIT", True)] * 3
+    left = L.Scanner(L.TEMPLATES).find(b"Copyright somebody, 2020. Released under the MIT License.")
+    assert [b["confirmed"] for b in left] == [False, True]
+
+
+def test_found_in_the_table(spark):
+    text = "\n".join("# " + x for x in textwrap.wrap(dict(L.TEMPLATES)["MIT"], 79))
+    docs = spark.createDataFrame([(1, text), (2, "Released under the MIT License. Licensed under CC BY 4.0.")], "doc_id long, text string")
+    got = {r["doc_id"]: [b["license"] for b in r["blocks"] if b["confirmed"]] for r in L.scan_licenses(docs).collect()}
+    assert got == {1: ["MIT"], 2: ["MIT", "CC-BY-4.0"]}
