@@ -7,10 +7,9 @@ unit vectors is a distance of at most r = sqrt(2 - 2 threshold).
 * Coarse centroids and one code book per subspace of the residuals are learned
   from a bounded sample (``SAMPLE`` classes); every class is put in the inverted
   list of its nearest centroid and coded.
-* A class probes every list whose cell it is within ``PROBE`` of: the distance to
-  the plane between two centroids bounds how far over a partner must lie.  PROBE
-  equal to r would be lossless; the default is a few standard deviations of what a
-  difference of length r has along one direction.
+* A partner in another list lies beyond the plane between the two centroids, so a
+  class meets every list whose plane it is within r of, and none is lost.  Of two
+  lists one probes the other, so a pair meets once; pairs of one list meet twice.
 * In a list, table look-ups give the distance to each coded member.  A member's
   coding error is stored, so what is further than r plus that error cannot link;
   the rest is ranked by its exact cosine in double precision.
@@ -39,10 +38,11 @@ MAX_LISTS = 1024
 SUBSPACES = 8
 CODES = 128
 ROUNDS = 8
-PROBE = 0.12
 #: Members and probing classes of one list that meet in one task.
 CHUNK = 2048
 _SLACK = 1e-9
+#: Rounding of squared distances between unit vectors and centres, amply.
+_ROUNDING = 1e-7
 
 
 def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -69,13 +69,14 @@ class Quantiser:
     books: list[np.ndarray]  # per subspace, codes x its width
     cuts: list[int]  # where subspaces begin, and the end
 
-    def encode(self, x: np.ndarray, probe: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Own list, codes, coding error and the lists to probe of unit vectors."""
+    def encode(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Own list, codes, coding error and the lists to probe of unit vectors: all that hold a partner within radius and are not to probe theirs."""
         d = squared_distances(x, self.centres)
         own = d.argmin(1)
         apart = np.sqrt(squared_distances(self.centres, self.centres))
-        over = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart[own], 1e-12)
-        near = over <= probe
+        near = d - d[np.arange(len(x)), own][:, None] <= 2 * apart[own] * radius + _ROUNDING
+        place = np.arange(len(self.centres))
+        near &= (own[:, None] < place) == ((own[:, None] + place) % 2 == 0)
         near[np.arange(len(x)), own] = True
         residual = x - self.centres[own]
         codes = np.empty((len(x), len(self.books)), np.uint8)
@@ -132,7 +133,7 @@ def _keyed(vectors: DataFrame, vec: str, label: str, key: str) -> DataFrame:
     return map_rows(vectors, run, f"raw binary, `{key}` binary, dim int", [vec])
 
 
-def _linked(classes: DataFrame, dim: int, threshold: float, probe: float, chunk: int, list_rows: int) -> DataFrame:
+def _linked(classes: DataFrame, dim: int, threshold: float, chunk: int, list_rows: int) -> DataFrame:
     """``(cid, n, root)`` per class and chunk it has links in: how many vectors it links to there, and a member of its part."""
     radius = np.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
     total = classes.count()
@@ -145,7 +146,7 @@ def _linked(classes: DataFrame, dim: int, threshold: float, probe: float, chunk:
     quantiser = learn(unit(picked["raw"].to_pylist(), dim), lists)
 
     def encode(batch: pa.RecordBatch) -> dict[str, object]:
-        own, codes, error, near = quantiser.encode(unit(batch.column("raw").to_pylist(), dim), probe)
+        own, codes, error, near = quantiser.encode(unit(batch.column("raw").to_pylist(), dim), radius)
         return {"own": own, "codes": [c.tobytes() for c in codes], "error": error, "near": [n.tolist() for n in near]}
 
     coded = materialise(map_rows(classes.select("cid", "label", "m", "raw"), encode, "own int, codes binary, error double, near array<int>"), "coded")
@@ -165,14 +166,15 @@ def _linked(classes: DataFrame, dim: int, threshold: float, probe: float, chunk:
         coded.withColumn("place", F.explode("near")).join(sizes, ["label", "place"])
         .withColumn("x", every("mc")).withColumn("y", spread("qc", 2))
     )
-    columns = ["label", "place", "x", "y", "cid", "m", "raw", "own", "codes", "error", "near"]
-    both = members.select(F.lit(True).alias("member"), *columns).unionByName(queries.select(F.lit(False).alias("member"), *columns))
+    columns = ["label", "place", "x", "y", "cid", "m", "raw", "own"]
+    both = members.select(F.lit(True).alias("member"), *columns, "codes", "error").unionByName(
+        queries.select(F.lit(False).alias("member"), *columns), allowMissingColumns=True)
 
     def meet(table: pa.Table) -> pa.Table:
         member = table["member"].to_numpy(zero_copy_only=False)
         j, i = np.flatnonzero(member), np.flatnonzero(~member)
         cid, m, own = (table[c].to_numpy() for c in ("cid", "m", "own"))
-        raw, codes, near = (table[c].to_pylist() for c in ("raw", "codes", "near"))
+        raw, codes = (table[c].to_pylist() for c in ("raw", "codes"))
         place = int(table["place"][0].as_py())
         if not len(i) or not len(j):
             return pa.table({"cid": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
@@ -188,12 +190,9 @@ def _linked(classes: DataFrame, dim: int, threshold: float, probe: float, chunk:
         i, j = np.concatenate(hits).T
         counts = np.zeros(len(cid), np.int64)
         np.add.at(counts, i, m[j])
-        # the other direction is seen in the list of i, unless j does not probe it
-        seen = np.zeros((len(cid), len(quantiser.centres)), bool)
-        for k in np.unique(j):
-            seen[k, near[k]] = True
-        alone = ~seen[j, own[i]]
-        np.add.at(counts, j[alone], m[i[alone]])
+        # the other direction is seen in the same list, or nowhere
+        across = own[i] != place
+        np.add.at(counts, j[across], m[i[across]])
         root = cid.copy()
         while len(i):
             low = np.minimum(root[i], root[j])
@@ -210,12 +209,13 @@ def _linked(classes: DataFrame, dim: int, threshold: float, probe: float, chunk:
 
 
 def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label",
-                    threshold: float = THRESHOLD, probe: float = PROBE, chunk: int = CHUNK, list_rows: int = LIST_ROWS) -> DataFrame:
+                    threshold: float = THRESHOLD, chunk: int = CHUNK, list_rows: int = LIST_ROWS) -> DataFrame:
     """One row per vector: the id, ``n_links``, ``component_id`` and ``kept`` (id equals component_id).
 
     Vectors without label, null, empty or zero vectors and vectors with null or non-finite components link with
     nothing and are their own component; so do vectors of unlike length among each other.  Repeated rows are
-    separate vectors.  component_id is the smallest non-null id reachable.  An empty table gives none.
+    separate vectors.  component_id is the smallest non-null id reachable.  An empty table gives none.  The number
+    of lists does not change the result; where few lists are farther than r, the work grows with the square of a label.
     """
     key = "key"
     rows = materialise(
@@ -226,7 +226,7 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embe
     )
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     parts = [
-        _linked(classes.where(F.col("dim") == d["dim"]), d["dim"], threshold, probe, chunk, list_rows)
+        _linked(classes.where(F.col("dim") == d["dim"]), d["dim"], threshold, chunk, list_rows)
         for d in classes.select("dim").distinct().orderBy("dim").collect()
     ]
     if not parts:

@@ -68,6 +68,20 @@ def test_recall_with_many_lists(spark, spread):
         assert got[i]["n_links"] == got[other]["n_links"]
 
 
+@pytest.mark.parametrize("rank", [3, 48])
+def test_nothing_is_lost_with_hundreds_of_lists(spark, rank):
+    """Vectors that vary in few directions have their links along the borders of the lists."""
+    rng = np.random.default_rng(rank)
+    x = (rng.normal(size=(2500, rank)) @ np.linalg.qr(rng.normal(size=(48, rank)))[0].T).astype(np.float32)
+    x[2000:] = x[:500] + 0.05 * x[500:1000]
+    rows = [(i, v.tolist(), int(rng.integers(3))) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in E.embedding_links(frame, list_rows=10, chunk=64).collect()}
+    links, component = brute([r[0] for r in rows], list(x), [r[2] for r in rows])
+    assert sum(links) > 100
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(rows))] == list(zip(links, component))
+
+
 def test_dense_groups_and_copies(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=16)
