@@ -1,20 +1,21 @@
 """Language-model scoring by deleted interpolation.
 
-P(w | u v) = l3 P3(w | u v) + l2 P2(w | v) + l1 P1(w) + l0 / (V + 1)
-
-P1 to P3 are maximum-likelihood estimates from the training texts.  Words are
-counted whole, all of them.  Pairs and triples are counted over the ``PAIRS`` and
-``TRIPLES`` most frequent words, every other word standing for the class of the
-rest, inside which it has its share of the class; so the tables of pairs and
-triples have a size that the corpus does not change.  Weights l0 to l3 belong to
-a bucket of the context's frequency (how often u v occurred, in powers of two)
+P(w | u v) = l5 P3(w | u v) + l4 P2(w | v) + l3 C3(w | u v) + l2 C2(w | v) + l1 P1(w) + l0 / (V + 1)
+
+P1 to P3 are maximum-likelihood estimates from the training texts over all
+words, pairs and triples there are.  C3 and C2 smooth them: pairs and triples
+counted over the ``PAIRS`` and ``TRIPLES`` most frequent words and a class of
+the rest, inside which a word has its share.  Weights l0 to l5 belong to a
+bucket of the context's frequency (how often u v occurred, in powers of two)
 and are learned by expectation-maximisation: one part of the training texts is
 deleted, its n-grams are met with the counts of the other parts, and the weights
 that make them most likely are taken.
 
-Every estimate is a factor times the count of w, so a word needs its count and
-two numbers of its context.  The most frequent words have their counts in the
-tasks; the others are joined with the word table in Spark.
+Texts are dealt in chunks.  A chunk sends each of its words, pairs and triples
+once, as a 64-bit key with its own counts; keys meet, are summed, and the sums
+go back to the chunks where they differ from what the chunk has itself.  So no
+key has more rows than there are chunks, and what is looked up grows with the
+texts.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import clean_name, column_bytes, map_rows, slices, spaced_words
+from hiretide.llm.common import column_bytes, schema_of, slices, spaced_words
 from hiretide.operators.scratch import materialise
 
 #: Words with an own class in pairs and in triples; powers of two less the class of the rest.
@@ -44,6 +47,10 @@ ROUNDS = 30
 ADD = 0.1
 END = b"\n"
 _FLUSH = 400_000
+#: Text whose words, pairs and triples are looked up together.
+CHUNK_BYTES = 4 << 20
+#: Estimates that are interpolated.
+PARTS_OF_P = 6
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -219,47 +226,164 @@ def _estimates(t: Tables, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     return at, t.bucket[three // (TRIPLES + 1)], t.three[three].astype(np.float64), t.two[two].astype(np.float64)
 
 
-def fit_weights(docs: DataFrame, text: str, shared, counted: DataFrame) -> np.ndarray:
-    """Weights by bucket from expectation-maximisation over the deleted texts.
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits of two hashes in order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x632BE59BD9B4E019)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_keys(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the 64-bit keys of its word, pair and triple (three rows), and where each text begins."""
+    sizes = np.array([len(t) for t in texts])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    of: dict[bytes, int] = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*texts)}
+    w = np.fromiter((of[x] for t in texts for x in t), np.uint64, int(sizes.sum()))
+    end = np.array([xxhash.xxh3_64_intdigest(END)], np.uint64)
+    v = np.concatenate([end, w[:-1]])
+    v[starts] = end
+    two = _mix(v, w)
+    before = np.concatenate([end, two[:-1]])
+    before[starts] = _mix(end, end)
+    return np.stack([w, two, _mix(before, w)]).view(np.int64), starts
+
+
+def deal(docs: DataFrame, text: str, gone: str, size: int = CHUNK_BYTES) -> DataFrame:
+    """Every row with ``chunk``: some ``size`` bytes of neighbouring texts, deleted ones (odd chunks) apart from the others."""
 
-    Events with the same bucket and like probabilities (in steps of a quarter of a power of two) are counted
-    together with their mean, so what the driver iterates over has a bounded number of cells.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
+        first = TaskContext.get().partitionId() << 24
+        held = [0, 0]
         for batch in slices(batches):
-            for some in _chunks(column_bytes(batch, text)):
-                at, bucket, f3, f2 = _estimates(t, some)
-                rare = at < 0
-                c = np.where(rare, 0, t.words.kept[np.maximum(at, 0)]) if len(t.words.kept) else np.zeros(len(at), np.int64)
-                names = [w for x in some for w in x]
-                word = [names[i] if r else None for i, r in enumerate(rare.tolist())]
-                # frequent words of one bucket, count and factors are many: combine them here
-                frequent = np.flatnonzero(~rare)
-                key, n = np.unique(np.stack([bucket[frequent], c[frequent], f3[frequent].view(np.int64), f2[frequent].view(np.int64)]), axis=1, return_counts=True)
-                r = np.flatnonzero(rare)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([None] * len(n) + [word[i] for i in r], pa.binary()).cast(pa.string()),
-                    pa.array(np.concatenate([key[0], bucket[r]])), pa.array(np.concatenate([key[1], np.zeros(len(r), np.int64)])),
-                    pa.array(np.concatenate([key[2].view(np.float64), f3[r]])), pa.array(np.concatenate([key[3].view(np.float64), f2[r]])),
-                    pa.array(np.concatenate([n, np.ones(len(r), np.int64)])),
-                ], names=["word", "bucket", "c", "f3", "f2", "n"])
-
-    events = docs.select(text).mapInArrow(run, "word string, bucket bigint, c bigint, f3 double, f2 double, n bigint")
-    events = materialise(events, "events")
-    rare = events.where("word is not null").join(counted.select("word", "kept"), "word", "left").withColumn("c", F.coalesce("kept", F.lit(0))).drop("word", "kept")
-    met = events.where("word is null").drop("word").unionByName(rare)
-    step = lambda p: F.when(p > 0, F.floor(F.log2(p) * 4)).otherwise(-1000).cast("int")
-    p3, p2 = F.col("f3") * F.col("c"), F.col("f2") * F.col("c")
-    cells = met.groupBy("bucket", step(p3).alias("s3"), step(p2).alias("s2"), step(F.col("c").cast("double")).alias("s1")).agg(
-        F.sum("n").alias("n"), F.sum(p3 * F.col("n")).alias("p3"), F.sum(p2 * F.col("n")).alias("p2"), F.sum(F.col("c") * F.col("n")).alias("c")
-    ).toPandas()
-    t = shared.value
+            out = []
+            for t, g in zip(column_bytes(batch, text), batch.column(gone).to_pylist()):
+                held[bool(g)] += len(t or b"") + 1
+                out.append((first + held[bool(g)] // size) * 2 + bool(g))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "chunk"])
+
+    return docs.mapInArrow(run, schema_of(list(docs.schema.fields), "chunk bigint"))
+
+
+def _own_counts(keys: np.ndarray, sizes: list[int], part: list[int]) -> tuple[np.ndarray, ...]:
+    """Distinct keys of a chunk, the place of each token's three, and counts in its training texts and in those not deleted."""
+    part_ = np.repeat(np.array(part), sizes)
+    g, at = np.unique(keys.ravel(), return_inverse=True)
+    at = at.reshape(3, -1)
+    n, kept = (np.bincount(at[:, of].ravel(), minlength=len(g)) for of in (part_ < 2, part_ == 0))
+    return g, at, n, kept
+
+
+def chunk_grams(dealt: DataFrame, text: str) -> DataFrame:
+    """``(g, chunk, n, kept)``: each word, pair and triple of a chunk, scored texts included, with its own counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, list, list]] = {}
+
+        def flush(kind: int) -> Iterator[pa.RecordBatch]:
+            chunk, texts, part = held.pop(kind)
+            g, _, n, kept = _own_counts(gram_keys(texts)[0], [len(t) for t in texts], part)
+            for at in range(0, len(g), 1 << 16):
+                own = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g[own]), pa.array(np.full(len(g[own]), chunk)), pa.array(n[own].astype(np.int32)), pa.array(kept[own].astype(np.int32))],
+                    names=["g", "chunk", "n", "kept"])
+
+        for batch in slices(batches):
+            for t, chunk, part in zip(column_bytes(batch, text), batch.column("chunk").to_pylist(), batch.column("part").to_pylist()):
+                kind = chunk & 1
+                if kind in held and held[kind][0] != chunk:
+                    yield from flush(kind)
+                own = held.setdefault(kind, (chunk, [], []))
+                own[1].append(tokens(t))
+                own[2].append(part)
+        for kind in list(held):
+            yield from flush(kind)
+
+    return dealt.select(text, "chunk", "part").mapInArrow(run, "g bigint, chunk bigint, n int, kept int")
+
+
+def whole_counts(grams: DataFrame) -> DataFrame:
+    """``(chunk, g, n, kept)``: the counts over all chunks, where they are not the chunk's own.
+
+    A gram comes once from a chunk, so a hot one has as many rows as there are chunks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[list[np.ndarray]] = []  # rows of the gram that may go on
+
+        def told(rows: list[np.ndarray]) -> pa.RecordBatch:
+            g, chunk, n, kept = rows
+            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
+            many = np.diff(np.r_[starts, len(g)])
+            n_, kept_ = (np.repeat(np.add.reduceat(x.astype(np.int64), starts), many) if len(g) else x for x in (n, kept))
+            new = (n_ != n) | (kept_ != kept)
+            return pa.RecordBatch.from_arrays([pa.array(x[new].astype(np.int64)) for x in (chunk, g, n_, kept_)], names=["chunk", "g", "n", "kept"])
+
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if left and (cut or left[-1][0][0] != rows[0][0]):
+                yield told([np.concatenate(x) for x in zip(*left, [r[:cut] for r in rows])])
+                left = []
+            elif cut:
+                yield told([r[:cut] for r in rows])
+            left.append([r[cut:].copy() for r in rows])
+        if left:
+            yield told([np.concatenate(x) for x in zip(*left)])
+
+    return grams.repartition("g").sortWithinPartitions("g").mapInArrow(run, "chunk bigint, g bigint, n bigint, kept bigint")
+
+
+def _probabilities(t: Tables, table: pa.Table, counts: pa.Table, text: str, kept: bool) -> tuple[np.ndarray, ...]:
+    """Per token of a chunk: the bucket, the six estimates and the word's count; and where its texts begin."""
+    texts = [tokens(x) for x in table[text].cast(pa.binary()).to_pylist()]
+    keys, starts = gram_keys(texts)
+    g, at, *own = _own_counts(keys, [len(x) for x in texts], table["part"].to_pylist())
+    n = own[1 if kept else 0].astype(np.float64)
+    n[np.searchsorted(g, counts["g"].to_numpy())] = counts["kept" if kept else "n"].to_numpy()
+    one, two, three = n[at]
+    # what came before: a text begins after an end, as often as there are texts
+    ends = n[np.searchsorted(g, gram_keys([[END]])[0][0, 0])]
+    v, uv = np.concatenate([[0.0], one[:-1]]), np.concatenate([[0.0], two[:-1]])
+    v[starts] = uv[starts] = ends
+    _, _, f3, f2 = _estimates(t, texts)
+    over = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
+    p = np.stack([over(three, uv), over(two, v), f3 * one, f2 * one, one * t.one, np.full(len(one), t.zero)], axis=1)
+    return np.minimum(np.log2(uv + 1).astype(np.int64), BUCKETS - 1), p, one, starts
+
+
+def fit_weights(dealt: DataFrame, text: str, shared, counts: DataFrame) -> np.ndarray:
+    """Weights by bucket from expectation-maximisation over the deleted texts.
+
+    Events with the same bucket and like probabilities (in steps of a power of two) are counted together with
+    their means, which is what the driver iterates over.
+    """
+    names = [f"p{i}" for i in range(PARTS_OF_P)]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({c: pa.array([], pa.int64() if c in ("cell", "bucket", "n") else pa.float64()) for c in ("cell", "bucket", "n", *names)})
+        bucket, p, _, _ = _probabilities(shared.value, left, right, text, True)
+        step = np.where(p > 0, np.floor(np.log2(np.maximum(p, 1e-300))), -127).astype(np.int64) + 127
+        cell = bucket
+        for i in range(PARTS_OF_P - 1):
+            cell = cell * 128 + np.clip(step[:, i], 0, 127)
+        cell, at, n = np.unique(cell, return_inverse=True, return_counts=True)
+        sums = {c: np.bincount(at, p[:, i], len(cell)) for i, c in enumerate(names)}
+        return pa.table({"cell": cell, "bucket": cell >> 35, "n": n, **sums})
+
+    deleted = dealt.where("part = 1").select(text, "chunk", "part")
+    cells = deleted.groupBy("chunk").cogroup(counts.where("chunk % 2 = 1").groupBy("chunk")).applyInArrow(
+        run, "cell bigint, bucket bigint, n bigint, " + ", ".join(f"{c} double" for c in names))
+    cells = cells.groupBy("cell", "bucket").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).toPandas()
 
     def learned(own) -> np.ndarray:
         n = own["n"].to_numpy(float)
-        p = np.stack([own["p3"] / n, own["p2"] / n, own["c"] / n * t.one, np.full(len(own), t.zero)], axis=1)
-        w = np.full(4, 0.25)
+        p = own[names].to_numpy(float) / n[:, None]
+        w = np.full(PARTS_OF_P, 1 / PARTS_OF_P)
         for _ in range(ROUNDS):
             part = p * w
             part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
@@ -268,7 +392,7 @@ def fit_weights(docs: DataFrame, text: str, shared, counted: DataFrame) -> np.nd
         return w
 
     if not len(cells):
-        return np.tile([0.0, 0.0, 0.0, 1.0] if not t.one else [0.25] * 4, (BUCKETS, 1))
+        return np.tile(np.eye(PARTS_OF_P)[-1] if not shared.value.one else np.full(PARTS_OF_P, 1 / PARTS_OF_P), (BUCKETS, 1))
     weights = np.tile(learned(cells), (BUCKETS, 1))  # for buckets that were not met
     for b, own in cells.groupby("bucket"):
         weights[int(b)] = learned(own)
@@ -283,58 +407,34 @@ def score(docs: DataFrame, learn: str, text: str = "text", key: str = "doc_id")
     text is its end alone.  Without a row to learn from every token has probability one in both models.  key only deals the
     training texts to the deleted part; rows are never matched by it.  An empty table gives none.
     """
-    spark, rid = docs.sparkSession, clean_name(docs, "rid")
-    gone = clean_name(docs, "gone")
-    train = docs.where(F.col(learn)).select(text, (F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(PARTS)) == 0).alias(gone))
-    counted = materialise(count_words(train, text, gone), "words")
-    words = frequent_words(counted)
+    spark = docs.sparkSession
+    plain = [c for c in docs.columns if c != text]
+    part = F.when(~F.coalesce(F.col(learn), F.lit(False)), 2).when(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(PARTS)) == 0, 1).otherwise(0)
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(plain)], F.col(text).alias("text"), part.alias("part"))
+    dealt = materialise(deal(rows.withColumn("gone", F.col("part") == 1), "text", "gone"), "dealt")
+    train = dealt.where("part < 2").select("text", "gone")
+    words = frequent_words(materialise(count_words(train, "text", "gone"), "words"))
     shared_words = spark.sparkContext.broadcast(words)
-    grams, kept = count_grams(train, text, gone, shared_words)
-    uniform = np.full((BUCKETS, 4), 0.25)
-    weights = fit_weights(train.where(F.col(gone)), text, spark.sparkContext.broadcast(tables(words, kept, True, uniform)), counted)
+    grams, kept = count_grams(train, "text", "gone", shared_words)
+    counts = materialise(whole_counts(chunk_grams(dealt, "text")), "grams")
+    uniform = np.full((BUCKETS, PARTS_OF_P), 1 / PARTS_OF_P)
+    weights = fit_weights(dealt, "text", spark.sparkContext.broadcast(tables(words, kept, True, uniform)), counts)
     shared = spark.sparkContext.broadcast(tables(words, grams, False, weights))
-    total, distinct = words.total[0], words.distinct
-    below = total + ADD * (distinct + 1)
+    total = words.total[0]
+    below = total + ADD * (words.distinct + 1)
+    columns = [f"c{i}" for i in range(len(plain))]
 
-    def run(batch: pa.RecordBatch) -> dict[str, object]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         t = shared.value
-        out: dict[str, list] = {c: [] for c in ("n_tokens", "known", "base", "own", "rare")}
-        for some in _chunks(column_bytes(batch, text)):
-            at, bucket, f3, f2 = _estimates(t, some)
-            w = t.weights[bucket]
-            factor, rest = w[:, 0] * f3 + w[:, 1] * f2 + w[:, 2] * t.one, w[:, 3] * t.zero
-            rare = at < 0
-            c = t.words.count[np.maximum(at, 0)] if len(t.words.count) else np.zeros(len(at), np.int64)
-            base = np.where(rare, 0.0, np.log10((c + ADD) / below))
-            own = np.where(rare, 0.0, np.log10(c * factor + rest))
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in some])])
-            for i, x in enumerate(some):
-                a, b = starts[i], starts[i + 1]
-                out["n_tokens"].append(len(x))
-                out["known"].append(int((~rare[a:b]).sum()))
-                out["base"].append(float(base[a:b].sum()))
-                out["own"].append(float(own[a:b].sum()))
-                out["rare"].append([
-                    {"word": x[k].decode(), "f": f, "r": r}
-                    for k, f, r in zip(np.flatnonzero(rare[a:b]).tolist(), factor[a:b][rare[a:b]].tolist(), rest[a:b][rare[a:b]].tolist())
-                ])
-        return out
-
-    schema = "n_tokens bigint, known bigint, base double, own double, rare array<struct<word: string, f: float, r: float>>"
-    plain = [c for c in docs.columns if c != text]
-    hidden = {c: f"__{c}" for c in plain if c in ("n_tokens", "known", "base", "own", "rare", "word")}
-    source = docs.select(*[F.col(c).alias(hidden.get(c, c)) for c in plain], text).withColumn(rid, F.monotonically_increasing_id())
-    scored = materialise(map_rows(source, run, schema, [text]), "scored")
-    rare = scored.select(rid, F.explode("rare").alias("x")).select(rid, "x.*").join(counted.select("word", "n"), "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    nothing = F.lit(0.0)
-    sums = rare.groupBy(F.col(rid).alias("_rid")).agg(
-        F.count("n").alias("more"), F.sum(F.log10((n + ADD) / below)).alias("base_more"),
-        F.sum(F.log10(n * F.col("f").cast("double") + F.col("r").cast("double"))).alias("own_more"),
-    )
-    joined = scored.drop("rare").join(sums, F.col(rid) == F.col("_rid"), "left")
-    return joined.select(
-        *[F.col(hidden.get(c, c)).alias(c) for c in plain], "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", nothing)).alias("base_score"), (F.col("own") + F.coalesce("own_more", nothing)).alias("score"),
+        bucket, p, n, starts = _probabilities(t, left, right, "text", False)
+        own = np.log10((t.weights[bucket] * p).sum(1))
+        base = np.log10((n + ADD) / below)
+        sums = [np.add.reduceat(x, starts) for x in (np.ones(len(n), np.int64), (n > 0).astype(np.int64), base, own)]
+        return pa.table([*(left[c] for c in columns), *sums], names=[*columns, "n_tokens", "n_known", "base_score", "score"])
+
+    schema = schema_of([rows.schema[c] for c in columns], "n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = dealt.select(*columns, "text", "part", "chunk").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, schema)
+    return scored.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(plain)], "n_tokens", "n_known",
+        F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score",
     )

@@ -89,3 +89,36 @@ def test_edges(spark):
     nothing = M.score(docs.withColumn("learn", docs.doc_id.isNull() & docs.doc_id.isNotNull()), "learn").collect()
     assert {r["train_tokens"] for r in nothing} == {0} and all(abs(r["score"]) < 1e-9 and abs(r["base_score"]) < 1e-9 for r in nothing)
     assert M.score(docs.limit(0), "learn").count() == 0
+
+
+def test_order_of_rare_words_tells(spark):
+    """Words beyond any fixed number of frequent ones: their pairs and triples are counted as well."""
+    texts = [[f"w{i:04}{c}" for c in "abcdef"] for i in range(1200)]
+    rows = [(i * 10 + k, " ".join(t), True) for i, t in enumerate(texts) for k in range(10)]
+    asked = range(600, 1200, 60)
+    rows += [(100_000 + i, " ".join(texts[i]), False) for i in asked] + [(200_000 + i, " ".join(texts[i][::-1]), False) for i in asked]
+    got = {r["doc_id"]: r["score"] for r in M.score(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), "learn").collect()}
+    assert all(got[100_000 + i] > got[200_000 + i] + 6 for i in asked)
+
+
+def test_all_pairs_and_triples_are_counted(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("text", "cast(pmod(doc_id, 3) as int) part", "pmod(doc_id, 3) = 1 gone")
+    rows = M.deal(docs, "text", "gone", 30_000)
+    want = [Counter(), Counter()]
+    for r in docs.collect():
+        w = ["\n", "\n", *tokens(r["text"])]
+        grams = [tuple(w[i - n + 1:i + 1]) for i in range(2, len(w)) for n in (1, 2, 3)]
+        want[0].update(grams if r["part"] < 2 else [])
+        want[1].update(grams if r["part"] == 0 else [])
+    key = lambda g: int(M.gram_keys([[w.encode() for w in (g[1:] if len(g) == 3 and g[:2] == ("\n", "\n") else g)]])[0][len(g) - 1, -1])
+    own = M.chunk_grams(rows, "text")
+    found = {(r["g"], r["chunk"]): (r["n"], r["kept"]) for r in own.collect()}
+    chunks = {c for _, c in found}
+    assert len(chunks) > 5
+    found |= {(r["g"], r["chunk"]): (r["n"], r["kept"]) for r in M.whole_counts(own).collect()}
+    by_key = {}
+    for (g, _), n in found.items():
+        assert by_key.setdefault(g, n) == n  # the same in each chunk that has it
+    inner = [g for g in want[0] if len(g) < 3 or g[1] != "\n"]
+    inner = [g for g in inner if g[0] != "\n" or len(g) < 3]
+    assert len(inner) > 10_000 and all(by_key[key(g)] == (want[0][g], want[1][g]) for g in inner)
