@@ -6,8 +6,8 @@ before it.  What a model learns of earlier categories are out-of-fold
 predictions: each row's come from a model that has not seen it, so a later model
 meets probabilities as unsure as it will meet in use.
 
-The chain is fitted on a bounded sample of the labelled rows (``SAMPLE``, by a
-hash of the key, so that a join that makes them is cut down before it): words and
+The chain is fitted on a bounded sample of the labelled rows (``SAMPLE`` at most, by a
+hash of key and text, so that rows of one key are not in or out together): words and
 beginnings are chosen by chi-square from their document frequencies, weights are
 learned with one task per fold.  A category's threshold is the one of best F1 on its
 out-of-fold predictions.
@@ -21,13 +21,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiretide.llm.common import column_bytes, map_rows, plain_words, slices
 from hiretide.operators.scratch import materialise
 
 SAMPLE = 20_000
+#: The sample is cut to its size by so many ranges of the hash.
+PICK_RANGES = 256
 #: Telling units per category, and in how many labelled texts one must be.
 WORDS = 1024
 LEAST_TEXTS = 3
@@ -167,17 +169,35 @@ def _fitter(k: int, words: int):
     return fit
 
 
+def _sampled(labelled: DataFrame, categories: list[str], text: str, key: str, sample: int) -> DataFrame:
+    """At most ``sample`` of the rows to learn from, by a hash of key and text; of more rows, a hundredth alike in both at most."""
+    known = labelled.where(F.col(key).isNotNull()).dropna(subset=categories)
+    usable = known.where(F.col(text).isNotNull()).select(
+        F.col(text).alias("text"), *[F.col(c).cast("boolean").alias(f"y{i}") for i, c in enumerate(categories)], F.xxhash64(key, text).alias("pick"),
+    )
+    total = known.count()
+    if total <= sample:
+        return usable
+    below, place = int((1 << 30) * sample / total), F.pmod("pick", F.lit(1 << 30))
+    copy = F.row_number().over(Window.partitionBy("pick").orderBy("pick"))
+    some = usable.where(place < below).withColumn("copy", copy).where(F.col("copy") <= max(1, sample // 100)).drop("copy")
+    some = materialise(some, "picked")
+    # the share is right on average: what is over the bound goes by ranges of the hash
+    part = F.floor(place * PICK_RANGES / below)
+    taken, rows = [], 0
+    for r in some.groupBy(part.alias("part")).count().orderBy("part").collect():
+        if rows + r["count"] <= sample:
+            taken.append(r["part"])
+            rows += r["count"]
+    return some.where(part.isin(taken))
+
+
 def train(labelled: DataFrame, categories: list[str], text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Chain:
     """The chain learned from rows with key, text and a boolean in every category; none of them gives probabilities of 0.5.
 
-    key only picks the sample (about ``sample`` rows) and deals the folds.
+    key and text only pick the sample (at most ``sample`` rows) and deal the folds.
     """
-    known = labelled.where(F.col(key).isNotNull()).dropna(subset=categories)
-    few = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(known.count(), 1))))
-    usable = known.where(few).where(F.col(text).isNotNull()).select(
-        F.col(text).alias("text"), *[F.col(c).cast("boolean").alias(f"y{i}") for i, c in enumerate(categories)], F.xxhash64(key).alias("pick"),
-    )
-    usable = materialise(usable, "labelled")
+    usable = materialise(_sampled(labelled, categories, text, key, sample), "labelled")
     marks = [f"y{i}" for i in range(len(categories))]
     chain = Chain(list(categories), {w: i for i, w in enumerate(_telling(usable, "text", marks))})
     words = len(chain.place)

@@ -55,3 +55,17 @@ def test_edges(spark):
     empty = X.train(frame.limit(0), ["a"])
     assert {r["a_prob"] for r in X.predict(frame.select("text", "doc_id"), empty).collect()} == {0.5}
     assert X.predict(frame.select("text").limit(0), chain).count() == 0
+
+
+def test_sample_is_bounded_under_repeated_ids(spark):
+    """An id, and a text, that holds half of the rows: each is in the sample, and the sample keeps its bound."""
+    rows = [(5 if i % 2 else i, f"text {i}", i % 3 == 0) for i in range(8000)]
+    few = [(5 if i % 2 else i, "text" if i % 2 else f"text {i}", i % 3 == 0) for i in range(8000)]
+    for seed in range(3):
+        for some, hot in ((rows, 0.3), (few, 0.0)):
+            frame = spark.createDataFrame([(k + seed, t, y) for k, t, y in some], "doc_id long, text string, a boolean").repartition(8)
+            got = [r["text"] for r in X._sampled(frame, ["a"], "text", "doc_id", 1000).collect()]
+            assert (800 if hot else 400) <= len(got) <= 1000
+            own = sum(t != "text" and int(t.split()[1]) % 2 for t in got)
+            assert own >= hot * len(got) and got.count("text") <= 10
+    assert X._sampled(frame, ["a"], "text", "doc_id", 8000).count() == 8000
