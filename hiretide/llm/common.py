@@ -100,3 +100,15 @@ def clean_name(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = f"_{name}"
     return name
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns called c0, c1, .., which no operator's own names meet, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str], outputs: Sequence[str]) -> DataFrame:
+    """Columns called as before, then the outputs, which replace input columns of the same name."""
+    back = [F.col(new).alias(old) for old, new in names.items() if new in df.columns and old not in outputs]
+    return df.select(*back, *outputs)
