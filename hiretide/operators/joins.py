@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def with_company(postings: DataFrame, dim: DataFrame) -> DataFrame:
@@ -67,34 +68,77 @@ def matches_in_list(df: DataFrame, column: str, names: list[str], keep: bool) ->
 _GRAM = 3
 
 
-def match_terms(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """Distinct (key, term) for every vocabulary term that is a substring of a text of the key.
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters, found in one walk over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
+
+
+#: A vocabulary of at most so many characters travels to the tasks as it is.
+AUTOMATON_CHARS = 4 << 20
 
-    ``vocab(term)`` is user data of any size.  Each text emits its distinct
-    1-, 2- and 3-grams, each term has exactly one gram, its leading one; what
-    meets is verified against the whole text.  Only (key, gram) pairs travel to
-    the join, and the text is fetched back once for the pairs that met a term,
-    so a hot gram never multiplies whole texts.  Case is Spark's on both sides.
-    """
-    side = (
-        vocab.select("term").filter(F.col("term") != "").distinct()
-        .withColumn("__needle", F.lower("term"))
-        .withColumn("__gram", F.substring("__needle", 1, _GRAM))
-    )
-    lowered = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t")).withColumn("__h", F.xxhash64("__t"))
-    n = F.length("__t")
 
-    def grams(size: int) -> Column:
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(F.col("__t"), i, F.lit(size)))
+def match_terms(df: DataFrame, key: str, text: str, vocab: DataFrame, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """Distinct (key, term) for every vocabulary term that is a substring of a text of the key.
 
-    # shorter grams than the term's own lead only exist for shorter terms
+    ``vocab(term)`` is user data of any size, which is measured first.  Up to
+    ``automaton_chars`` characters it goes to the tasks as one automaton that
+    reads each text once.  Beyond, a text has to hold every run of three
+    characters of a term to hold the term, so a term waits at the run that the
+    fewest texts hold (a shorter term is its own run): runs of the vocabulary are
+    counted over the texts, combined before the shuffle, then texts meet the
+    terms waiting at their runs.  A run that every text holds is no term's key
+    unless the term has no rarer one.  Only (key, run) pairs travel to the join;
+    the text is fetched back once for the pairs that met a term and is read by an
+    automaton of these terms.  Either way time follows the lengths of the texts.
+    Case is Spark's on both sides.
+    """
+    terms = vocab.select("term").filter(F.col("term") != "").distinct().withColumn("__needle", F.lower("term"))
+    length = F.length("__needle")
+    size = terms.agg(F.sum(length).alias("n"), F.collect_set(F.when(length < _GRAM, length)).alias("short")).first()
+    lowered = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    schema = T.StructType([df.schema[key], vocab.schema["term"]])
+    if (size["n"] or 0) <= automaton_chars:
+        every = [r.asDict() for r in terms.collect()]  # bounded by what was measured
+        return lowered.mapInArrow(_terms_in(key, every), schema).distinct()
+    waiting = terms.withColumn("__gram", F.explode(
+        F.when(length < _GRAM, F.array("__needle")).otherwise(_grams(F.col("__needle"), _GRAM))
+    ))
+    lowered = lowered.withColumn("__h", F.xxhash64("__t"))
     pairs = lowered.select(
-        key, "__h", F.explode(F.array_distinct(F.flatten(F.array(*[grams(k) for k in range(1, _GRAM + 1)])))).alias("__gram")
+        key, "__h", F.explode(F.concat(*[_grams(F.col("__t"), k) for k in [*sorted(size["short"]), _GRAM]])).alias("__gram")
     )
-    met = pairs.join(side, "__gram").groupBy(key, "__h").agg(F.collect_set(F.struct("term", "__needle")).alias("__c"))
-    return (
-        lowered.join(met, [key, "__h"])
-        .select(key, F.explode(F.filter("__c", lambda c: F.col("__t").contains(c["__needle"]))).alias("c"))
-        .select(key, "c.term").distinct()
+    held = pairs.join(waiting.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
+    # a term with a run that no text holds is in none
+    rarest = F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("r")
+    side = (
+        waiting.join(held, "__gram", "left").groupBy("term", "__needle").agg(rarest)
+        .filter("r.n > 0").select("term", "__needle", F.col("r.__gram").alias("__gram"))
     )
+    met = pairs.join(side, "__gram").groupBy(key, "__h").agg(F.collect_set(F.struct("term", "__needle")).alias("__c"))
+    return lowered.join(met, [key, "__h"]).select(key, "__t", "__c").mapInArrow(_terms_in(key), schema).distinct()
+
+
+def _terms_in(key: str, every: list[dict] | None = None):
+    """The (key, term) that a text holds, of all terms, or of those in the third column."""
+    def find(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        def reader(terms):
+            automaton, spelled = ahocorasick.Automaton(), {}
+            for t in terms:
+                spelled.setdefault(t["__needle"], []).append(t["term"])
+            for needle in spelled:
+                automaton.add_word(needle, needle)
+            automaton.make_automaton()
+            return lambda text: [t for n in {n for _, n in automaton.iter(text)} for t in spelled[n]] if spelled else []
+
+        common = None if every is None else reader(every)
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(batch.column("__t").to_pylist()):
+                found += (common or reader(batch.column("__c")[i].as_py()))(text)
+                rows += [i] * (len(found) - len(rows))
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=[key, "term"])
+
+    return find

@@ -1,6 +1,7 @@
 """Order, chunks, joins, reports, whole runs."""
 
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -60,13 +61,30 @@ def test_choose_pattern_counts_the_fallback_only_last(spark):
 
 
 @pytest.mark.parametrize("n", [5, 600])
-def test_vocabulary(spark, n):
-    terms = ["a", "sq", "sql", "data eng", "İ"] + [f"term{i}" for i in range(n)]
-    texts = [(1, "MySQL Data Engineer term7x"), (2, ""), (3, None), (4, "qs term599"), (1, "MySQL Data Engineer term7x"), (1, "sq")]
+@pytest.mark.parametrize("chars", [0, joins.AUTOMATON_CHARS])
+def test_vocabulary(spark, n, chars):
+    terms = ["a", "sq", "sql", "data eng", "İ", "😀", "x😀y", "\n"] + [f"term{i}" for i in range(n)]
+    texts = [(1, "MySQL Data Engineer term7x"), (2, ""), (3, None), (4, "qs term599"), (1, "MySQL Data Engineer term7x"), (1, "sq"),
+             (5, "ab😀c x😀y\nz"), (6, "x😀")]
     df = spark.createDataFrame(texts, "id int, text string")
     vocab = spark.createDataFrame([(t,) for t in terms], "term string")
     want = sorted({(i, t) for i, x in texts for t in terms if t.lower() in (x or "").lower()})
-    assert sorted(tuple(r) for r in joins.match_terms(df, "id", "text", vocab).collect()) == want
+    assert sorted(tuple(r) for r in joins.match_terms(df, "id", "text", vocab, chars).collect()) == want
+
+
+def test_vocabulary_beyond_one_automaton_is_linear(spark):
+    """100 000 terms that share a run every text holds; a text of 160 000 characters."""
+    rng = random.Random(1)
+    letters = "abcdefghij"
+    terms = {"the " + "".join(rng.choice(letters) for _ in range(rng.randint(3, 6))) for _ in range(100_000)}
+    vocab = spark.createDataFrame([(t,) for t in terms], "term string")
+    long = "the ".join("".join(rng.choice(letters) for _ in range(12)) for _ in range(10_000))
+    texts = spark.createDataFrame([(0, long), *((i, "the end " + long[i * 40: i * 40 + 40]) for i in range(1, 2000))], "id int, text string")
+    start = time.time()
+    got = {(r.id, r.term) for r in joins.match_terms(texts, "id", "text", vocab, 0).collect()}
+    assert time.time() - start < 60
+    assert {t for i, t in got if i == 0} == {long[a: a + n] for a in range(len(long)) for n in range(7, 11)} & terms
+    assert sorted(got) == sorted((r.id, r.term) for r in joins.match_terms(texts, "id", "text", vocab).collect())
 
 
 def test_routing(spark):
