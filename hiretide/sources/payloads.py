@@ -34,14 +34,48 @@ def parse(raw: DataFrame, source: str) -> DataFrame:
     return ok_payloads(raw, source).withColumn("b", F.from_json("body", BODY[source], _VARIANT))
 
 
-def unreadable(source: str, body: Column | str = "body") -> Column:
-    """Bodies that are not JSON at all; one whose fields merely have odd types is readable."""
+#: Records and total of a page, by paged source.
+_COUNTS = {
+    "smartrecruiters": lambda b: (b["content"], b["totalFound"]),
+    "amazon": lambda b: (b["jobs"], b["hits"]),
+    "netflix": lambda b: (b["positions"], b["count"]),
+    "workday": lambda b: (b["jobPostings"], b["total"]),
+    "oracle_hcm": lambda b: (F.get(b["items"], F.lit(0))["requisitionList"], F.get(b["items"], F.lit(0))["TotalJobsCount"]),
+}
+
+
+def _fact(source: str) -> Column:
+    """(readable, n_items, total) of a JSON body, which is parsed once.
+
+    A body that is not JSON at all is not readable; one whose fields merely have odd types is.
+    """
     schema = BODY[source]
-    if schema.startswith("array<"):
-        return F.from_json(body, schema, _VARIANT).isNull()
-    b = F.from_json(body, f"{schema}, _corrupt_record string", _VARIANT)
-    fields = T._parse_datatype_string(schema).fieldNames()
-    return reduce(lambda x, y: x & y, [b[f].isNull() for f in fields], b["_corrupt_record"].isNotNull())
+    whole = schema.startswith("array<")
+    fields = [] if whole else T._parse_datatype_string(schema).fieldNames()
+    parsed = F.from_json("body", schema if whole else f"{schema}, _corrupt_record string", _VARIANT)
+
+    def read(b: Column) -> Column:
+        broken = b.isNull() if whole else reduce(lambda x, y: x & y, [b[f].isNull() for f in fields], b["_corrupt_record"].isNotNull())
+        records, total = _COUNTS[source](b) if source in _COUNTS else (None, None)
+        return F.struct(
+            (~F.coalesce(broken, F.lit(True))).alias("readable"),
+            (F.lit(0) if records is None else F.coalesce(F.size(records), F.lit(0))).cast("long").alias("n_items"),
+            (F.lit(0) if total is None else F.coalesce(total, F.lit(0))).cast("long").alias("total"),
+        )
+
+    return F.transform(F.array(parsed), read)[0]  # binds the parsed body for all that is read from it
+
+
+def payload_facts(raw: DataFrame) -> DataFrame:
+    """What paging, attempts and fallback need to know of each landed body, without it.
+
+    ``(source, company, attempt, page_no, status, readable, n_items, total)``; one pass, each body parsed once.
+    Feeds and pages are readable; a body that did not answer 200 is not looked at.
+    """
+    other = F.struct(F.lit(True).alias("readable"), F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("total"))
+    fact = reduce(lambda c, s: c.when((F.col("status") == 200) & (F.col("source") == s), _fact(s)), BODY, F.when(F.lit(False), other)).otherwise(other)
+    return raw.select("source", "company", "attempt", "page_no", "status", fact.alias("f")).select(
+        "source", "company", "attempt", "page_no", "status", "f.*")
 
 
 def items(raw: DataFrame, source: str, path) -> DataFrame:
@@ -90,25 +124,16 @@ def pick_attempt(rows: DataFrame, raw: DataFrame, by: list[str]) -> DataFrame:
 
 # --- pages ------------------------------------------------------------------
 
-def page_facts(raw: DataFrame, source: str, by: list[str] = ["company"]) -> DataFrame:
-    """(by.., page_no, status, n_items, total) of one paged JSON source.
+def page_facts(facts: DataFrame, source: str) -> DataFrame:
+    """(company, page_no, status, n_items, total) of the attempt that counts; of all pages where no attempt answered.
 
     A 200 whose body does not parse is a failed page, status 0.
     """
-    b = F.col("b")
-    records, total = {
-        "smartrecruiters": (b["content"], b["totalFound"]),
-        "amazon": (b["jobs"], b["hits"]),
-        "netflix": (b["positions"], b["count"]),
-        "workday": (b["jobPostings"], b["total"]),
-        "oracle_hcm": (F.get(b["items"], F.lit(0))["requisitionList"], F.get(b["items"], F.lit(0))["TotalJobsCount"]),
-    }[source]
-    parsed = raw.filter(F.col("source") == source).withColumn("b", F.from_json("body", BODY[source], _VARIANT))
-    return parsed.select(
-        *by, "page_no", F.when((F.col("status") == 200) & unreadable(source), F.lit(0)).otherwise(F.col("status")).alias("status"),
-        F.coalesce(F.size(records), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce(total, F.lit(0)).cast("long").alias("total"),
-    )
+    own = facts.filter(F.col("source") == source)
+    first = first_ok_attempt(own, ["company"]).withColumnRenamed("attempt", "__first")
+    kept = own.join(first, "company", "left").filter(F.col("__first").isNull() | (F.col("attempt") == F.col("__first")))
+    status = F.when((F.col("status") == 200) & ~F.col("readable"), F.lit(0)).otherwise(F.col("status"))
+    return kept.select("company", "page_no", status.alias("status"), "n_items", "total")
 
 
 def page_plan(facts: DataFrame, source: str, by: list[str] = ["company"], max_pages: int | None = None) -> DataFrame:

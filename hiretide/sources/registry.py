@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hiretide.functions.classify import Rules
 from hiretide.operators import reports
+from hiretide.operators.scratch import materialise
 from hiretide.schemas import POSTING_COLUMNS
 from hiretide.sources import embedded, feeds, json_boards, payloads, saved_pages
 from hiretide.sources.selectors import CARDS, ICIMS_LOCATIONS, LINKS
@@ -57,35 +58,30 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def from_payloads(raw: DataFrame, dim: DataFrame, cfg: DataFrame, source: str, rules: Rules, max_pages: int | None = None) -> DataFrame:
+def from_payloads(raw: DataFrame, dim: DataFrame, cfg: DataFrame, source: str, rules: Rules, max_pages: int | None = None,
+                  facts: DataFrame | None = None) -> DataFrame:
     """Postings of one structured source with its paging and attempt rules.
 
-    Of several answered attempts of a company the first one counts.
+    Of several answered attempts of a company the first one counts.  ``facts``
+    are ``payload_facts`` made before, for callers of several sources.
     """
     own = raw.filter(F.col("source") == source)
+    facts = payloads.payload_facts(own) if facts is None else facts.filter(F.col("source") == source)
     rows = EXTRACTORS[source](own, dim, cfg, rules)
-    rows = payloads.pick_attempt(rows, own, ["company"])
+    rows = payloads.pick_attempt(rows, facts, ["company"])
     if source in PAGED:
-        plan = payloads.page_plan(_facts(own, source), source, max_pages=max_pages)
+        plan = payloads.page_plan(payloads.page_facts(facts, source), source, max_pages=max_pages)
         rows = payloads.assemble_pages(rows, plan, ["company"])
     return rows.withColumn("page_id", F.lit(None).cast("long"))
 
 
-def _facts(raw: DataFrame, source: str) -> DataFrame:
-    """Page facts of the attempt that counts; of all pages where no attempt answered."""
-    first = payloads.first_ok_attempt(raw.filter(F.col("source") == source), ["company"]).withColumnRenamed("attempt", "__first")
-    facts = payloads.page_facts(raw, source, ["company", "attempt"])
-    kept = facts.join(first, "company", "left").filter(F.col("__first").isNull() | (F.col("attempt") == F.col("__first")))
-    return kept.drop("attempt", "__first")
-
-
-def answered(raw: DataFrame, source: str) -> DataFrame:
+def answered(facts: DataFrame, source: str) -> DataFrame:
     """Companies whose structured source answered, even with nothing."""
     if source in PAGED:
-        plan = payloads.page_plan(_facts(raw, source), source)
+        plan = payloads.page_plan(payloads.page_facts(facts, source), source)
         return plan.filter("available").select("company")
-    own = payloads.ok_payloads(raw, source)
-    return own.filter(~payloads.unreadable(source)).select("company").distinct()
+    own = facts.filter((F.col("source") == source) & (F.col("status") == 200) & F.col("readable"))
+    return own.select("company").distinct()
 
 
 def from_pages(pages: DataFrame, dim: DataFrame, site: str, rules: Rules) -> DataFrame:
@@ -115,8 +111,11 @@ def all_sources(
 
     A dedicated extractor beats the board type, companies without either are
     skipped; fallbacks apply per company.  Unknown companies drop out of every
-    extractor, so a route is the dimension cut down to its companies.
+    extractor, so a route is the dimension cut down to its companies.  What
+    paging, attempts and fallbacks need to know of the bodies is read from them
+    once, for all sources, and written as a narrow table.
     """
+    facts = materialise(payloads.payload_facts(raw), "facts")
     routed = reports.route(dim).filter("route <> 'skipped'").drop("route")
 
     def routed_to(extractor: str) -> DataFrame:
@@ -127,11 +126,11 @@ def all_sources(
     used = set()
     for source in names:
         own = routed_to(source)
-        rows = from_payloads(raw, own, cfg, source, rules)
+        rows = from_payloads(raw, own, cfg, source, rules, facts=facts)
         site = FALLBACK_SITE.get(source)
         if site and pages is not None:
             used.add(site)
-            rows = payloads.primary_else_fallback(rows, from_pages(pages, own, site, rules), answered(raw, source))
+            rows = payloads.primary_else_fallback(rows, from_pages(pages, own, site, rules), answered(facts, source))
         frames.append(rows)
     if pages is not None:
         extractor_of = {site: extractor for extractor, site in SITE_OF.items()}

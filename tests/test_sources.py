@@ -206,3 +206,14 @@ def test_union_of_everything_has_one_schema(payload, dim, cfg):
     got = registry.all_sources(payload("lever", "[]"), None, dim, cfg)
     assert got.count() == 0 and "skills" in got.columns
     assert got.filter(F.col("title") == "x").count() == 0
+
+
+def test_bodies_are_read_once_for_facts_and_once_a_source(spark, payload, dim, cfg, tmp_path):
+    payload("greenhouse", "{}").unionByName(payload("workday", "{}")).write.parquet(f"{tmp_path}/raw")
+    raw = payloads.read_payloads(spark, f"{tmp_path}/raw")
+    sources = ["greenhouse", "workday", "smartrecruiters", "ibm"]
+    got = registry.all_sources(raw, None, dim, cfg, sources=sources)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("body:string") == len(sources)
+    plan = payloads.payload_facts(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("body:string") == 1

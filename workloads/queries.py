@@ -171,7 +171,7 @@ _source("src_phenom_html", "phenom", S.ctes(S.P, S.D, S.C, f"""q AS (
 
 _UUID_SQL = "substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12)"
 _source("src_shopify_html", "shopify", S.ctes(S.P, S.D, """q AS (
-  SELECT *, md5(company || (seq % 97)) AS h FROM p
+  SELECT *, md5('Company ' || cid || (seq % 97)) AS h FROM p
   QUALIFY row_number() OVER (PARTITION BY company, page_no, h ORDER BY seq) = 1)""", S.rows(
     source="q", location="'Remote Canada'",
     url=f"'https://www.shopify.com/careers/' || {S.slugify('title')} || '_' || {_UUID_SQL.format('h')}", where=ROLE)) + S.norm())
