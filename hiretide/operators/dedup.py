@@ -106,13 +106,42 @@ def dedup_history(postings: DataFrame, run_ts: str, order: list[str]) -> DataFra
     return folded.select("fp", F.explode(emitted).alias("e")).select("fp", f"e.{run_ts}", "e.row.*")
 
 
+def dedup_onto(postings: DataFrame, seen: DataFrame, run_ts: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The replay continued: (emissions of these postings' runs, next state) from the state of the runs before.
+
+    Only the new runs are folded, each fingerprint from its last emission on, so
+    a calendar cut anywhere gives what the whole replay gives.  Runs are not
+    older than those the state comes from.  The state keeps the last emission of
+    a fingerprint; ``live_state`` cuts what has expired.
+    """
+    rows = with_fingerprint(postings)
+    kind = rows.schema[run_ts].dataType
+    keep = [c for c in rows.columns if c not in ("fp", run_ts)]
+    firsts = first_per_key(rows, ["fp", run_ts], order)
+    last = seen.groupBy("fp").agg(F.max("emitted_at").cast(kind).alias("__last"))
+    folded = firsts.groupBy("fp").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(run_ts), F.struct(*keep).alias("row")))).alias("runs")
+    ).join(last, "fp", "left")
+    emitted = F.aggregate(
+        "runs", F.struct(F.col("__last").alias("last"), F.slice("runs", 1, 0).alias("out")),
+        lambda acc, r: F.when(
+            acc["last"].isNull() | (r[run_ts] >= acc["last"] + F.expr(f"INTERVAL {V.STATE_DAYS} DAYS")),
+            F.struct(r[run_ts].alias("last"), F.concat(acc["out"], F.array(r)).alias("out")),
+        ).otherwise(acc),
+        lambda acc: acc["out"],
+    )
+    out = folded.select("fp", F.explode(emitted).alias("e")).select("fp", f"e.{run_ts}", "e.row.*")
+    every = seen.select("fp", "emitted_at").unionByName(out.select("fp", F.col(run_ts).cast(seen.schema["emitted_at"].dataType).alias("emitted_at")))
+    return out, every.groupBy("fp").agg(F.max("emitted_at").alias("emitted_at"))
+
+
 # --- state table ------------------------------------------------------------
 
 def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SEEN_SCHEMA)
 
 
-def _table(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
+def table_or_none(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -121,17 +150,21 @@ def _table(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
         raise
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
+def read_state(spark: SparkSession, path: str, corrupt: str = "raise") -> DataFrame:
     """Latest snapshot; a missing state is empty, a broken one is an error.
 
     The list of complete snapshots has a row a run; only the last one's files
-    are read.
+    are read.  With ``corrupt="empty"`` files that cannot be read hold no entry
+    instead, so a run starts over with what they told.
     """
-    done = _table(spark, "run string", f"{path}/complete")
+    if corrupt not in ("raise", "empty"):
+        raise ValueError(corrupt)
+    done = table_or_none(spark, "run string", f"{path}/complete")
     latest = done.agg(F.max("run").alias("run")).first()["run"] if done is not None else None
     if latest is None:
         return empty_state(spark)
-    return spark.read.schema(SEEN_SCHEMA).parquet(f"{path}/snapshots/{latest}")
+    lenient = str(corrupt == "empty").lower()
+    return spark.read.schema(SEEN_SCHEMA).option("ignoreCorruptFiles", lenient).parquet(f"{path}/snapshots/{latest}")
 
 
 def write_state(state: DataFrame, path: str, now: datetime, keep: int | None = None) -> str:
@@ -146,7 +179,7 @@ def write_state(state: DataFrame, path: str, now: datetime, keep: int | None = N
     state.select("fp", F.col("emitted_at").cast("timestamp").alias("emitted_at")).write.parquet(target)
     spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").parquet(f"{path}/complete")
     if keep is not None:
-        runs = [r["run"] for r in _table(spark, "run string", f"{path}/complete").orderBy(F.desc("run")).collect()]
+        runs = [r["run"] for r in table_or_none(spark, "run string", f"{path}/complete").orderBy(F.desc("run")).collect()]
         for old in runs[keep:]:
             drop(f"{path}/snapshots/{old}")
     return target

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hiretide import vocab as V
@@ -168,6 +168,35 @@ def run_counters(postings: DataFrame, fresh_flag: Column, by: list[str]) -> Data
     )
 
 
+class Counters:
+    """Counters of one run, taken from the rows as they pass on to the sink.
+
+    Each is an observation at its place in the plan, so nothing is read twice.
+    They can be read once the sink's write has ended.  Tasks that Spark runs again
+    for a lost executor may count their rows again; where a counter must be
+    exact to the row, use ``run_counters`` on the written table.
+    """
+
+    def __init__(self) -> None:
+        self._taken: dict[str, Observation] = {}
+
+    def _observe(self, name: str, df: DataFrame) -> DataFrame:
+        self._taken[name] = Observation()
+        return df.observe(self._taken[name], F.count(F.lit(1)).alias(name))
+
+    def scraped(self, df: DataFrame) -> DataFrame:
+        return self._observe("scraped", df)
+
+    def wanted(self, df: DataFrame) -> DataFrame:
+        return self._observe("wanted", df)
+
+    def new(self, df: DataFrame) -> DataFrame:
+        return self._observe("new", df)
+
+    def get(self) -> dict[str, int]:
+        return {name: taken.get[name] for name, taken in self._taken.items()}
+
+
 def find_companies(dim: DataFrame, query: str) -> DataFrame:
     return dim.filter(F.lower("name").contains(query.lower()))
 

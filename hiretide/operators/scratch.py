@@ -22,9 +22,18 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session, else one beside the warehouse's tables."""
+    """The folder named by the session, else one beside the warehouse's tables.
+
+    On a cluster a warehouse on the driver's own disk is no shared folder, so there the setting is needed.
+    """
     configured = spark.conf.get(_CONF, None)
-    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    one_machine = spark.conf.get("spark.master", "local").startswith("local[") or spark.conf.get("spark.master", "local") == "local"
+    if not one_machine and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError(f"{_CONF} must name a folder that every executor shares; the warehouse {warehouse} is local")
+    return f"{warehouse}/_scratch".rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -42,6 +51,19 @@ def drop(path: str) -> None:
         _made.remove(path)
 
 
+def overwrite_bytes(spark: SparkSession, folder: str, pattern: str, data: bytes) -> int:
+    """Replace the content of a folder's files that match; how many there were.  For trials of broken tables."""
+    jvm = SparkContext._gateway.jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    fs = at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration())
+    found = fs.globStatus(at)
+    for status in found:
+        out = fs.create(status.getPath(), True)
+        out.write(bytearray(data))
+        out.close()
+    return len(found)
+
+
 @atexit.register
 def _drop_all() -> None:
     for path in list(_made):

@@ -23,6 +23,7 @@ class AlertResult:
     fresh: DataFrame
     state: DataFrame
     digest: DataFrame
+    counters: dict[str, int]
 
 
 def alert_run(
@@ -39,16 +40,20 @@ def alert_run(
     ``rules`` are those the postings were extracted by (``all_sources``).
 
     The new postings are written once: state, chunks and digest all start from
-    the same rows even if an executor is lost in between.
+    the same rows even if an executor is lost in between.  ``counters`` (scraped,
+    wanted, new) are taken from the rows during that write.
     """
+    counted = reports.Counters()
     wanted = posting_filter(postings, rules)
-    fresh, _ = dedup.dedup_run(wanted, seen, now, order)
-    fresh = materialise(fresh, "fresh")
+    passing = counted.wanted(posting_filter(counted.scraped(postings), rules))
+    fresh, _ = dedup.dedup_run(passing, seen, now, order)
+    fresh = materialise(counted.new(fresh), "fresh")
     state = dedup.state_merge(dedup.live_state(seen, now), fresh, now)
     run_label, run_date = F.lit(V.RUN_LABELS.get(label, label)), F.lit(f"{now:%b %d, %Y}")
     report = digest.digest(ranking.chunk_rows(fresh, order), ["chunk_no"], run_label, run_date, n_companies)
     day = fresh.sparkSession.range(1).select(F.lit(now).alias("run_ts"))
-    return AlertResult(wanted, fresh, state, with_quiet_runs(report.withColumn("run_ts", F.lit(now)), day, run_label, run_date, n_companies))
+    digests = with_quiet_runs(report.withColumn("run_ts", F.lit(now)), day, run_label, run_date, n_companies)
+    return AlertResult(wanted, fresh, state, digests, counted.get())
 
 
 def with_quiet_runs(digests: DataFrame, every_run: DataFrame, run_label, run_date, n_companies: int) -> DataFrame:

@@ -1,25 +1,36 @@
-"""The deduplication as an unbounded stream of sightings."""
+"""The deduplication as an unbounded stream of sightings.
+
+Two ways.  ``dedup_stream`` keeps the runs that emitted a fingerprint in a state
+store with event-time timers: an entry leaves when no row that may still come
+could be suppressed by it.  ``run_by_batches`` runs the batch deduplication once
+per micro-batch over the state table; a batch that is run again after a failure
+finds what it had committed.
+"""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hiretide import vocab as V
 from hiretide.functions.posting import fingerprint
+from hiretide.operators import dedup, seen_table
 
 # The state function travels with the job, so executors need no copy of this
 # package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _KEEP_US = V.STATE_DAYS * 24 * 3600 * 1_000_000
+LATENESS = "2 days"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,53 +41,131 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     times.
     """
     for pdf in batches:
-        yield pdf.sort_values("__seq", kind="stable").drop_duplicates(["fp", "run_us"])
-
-
-def _emitter(columns: list[str]):
-    def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["run_us", "__seq"], kind="stable").drop_duplicates("run_us")
-        emitted = list(state.get[0]) if state.exists else []
-        out = []
-        for at, run in zip(rows.index, rows["run_us"]):
-            # a suppressed sighting does not refresh the entry
-            if not any(run - _KEEP_US < e <= run for e in emitted):
-                emitted.append(int(run))
-                out.append(at)
-        if out:
-            state.update((sorted(emitted),))
-            yield rows.loc[out, columns]
-
-    return emit
-
-
-def dedup_stream(sightings: DataFrame, run_ts: str, seq: str) -> DataFrame:
-    """Emissions of a stream of postings: the whole posting, with ``fp`` and ``run_us``.
-
-    State per fingerprint are the runs that emitted it, one in 14 days at most.
-    They are compared with the run's own time, so a replay decides as the
-    original did and a run that comes late, however late, is decided by what
-    was emitted before it.  Nothing is dropped by a watermark, so a fingerprint
-    stays: a few longs a year each, for a state store on disk.  ``run_us`` is the run start in epoch microseconds.  Within one
-    run the row with the lowest ``seq`` counts; one micro-batch holds all of a
-    run's sightings or its first ones.
-    """
-    rows = sightings.select(
+        yield pdf.sort_values("tie_no", kind="stable").drop_duplicates(["fp", "run_us"])
+
+
+class _Emitter(StatefulProcessor):
+    """Per fingerprint: the runs that emitted it, as long as they can suppress a row that is not late."""
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.emitted = handle.getValueState("emitted", "runs array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # one row a run is held, however many sightings come
+        first: pd.DataFrame | None = None
+        for pdf in rows:
+            both = pdf if first is None else pd.concat([first, pdf], ignore_index=True)
+            first = both.sort_values(["run_us", "tie_no"], kind="stable").drop_duplicates("run_us").reset_index(drop=True)
+        if first is None:
+            return
+        passed = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
+        emitted = list(self.emitted.get()[0]) if self.emitted.exists() else []
+        kinds: list[str | None] = []
+        for run in first["run_us"].tolist():
+            if run < passed:
+                kinds.append("late")
+            elif any(run - _KEEP_US < e <= run for e in emitted):  # a suppressed sighting does not refresh the entry
+                kinds.append(None)
+            else:
+                emitted.append(run)
+                kinds.append("new")
+        if "new" in kinds:
+            self.emitted.update((sorted(emitted),))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer((max(emitted) + _KEEP_US) // 1000)
+        out = first.assign(decision=kinds)
+        yield out[out["decision"].notna()][[*self.columns, "decision"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.emitted.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _marked(sightings: DataFrame, run_ts: str, seq: str) -> DataFrame:
+    return sightings.select(
         "*", fingerprint("company", "title", "location").alias("fp"),
-        F.unix_micros(F.col(run_ts).cast("timestamp")).alias("run_us"), F.col(seq).cast("long").alias("__seq"),
+        F.unix_micros(F.col(run_ts).cast("timestamp")).alias("run_us"), F.col(seq).cast("long").alias("tie_no"),
     )
-    out = T.StructType([f for f in rows.schema if f.name != "__seq"])
+
+
+def dedup_stream(sightings: DataFrame, run_ts: str, seq: str, lateness: str = LATENESS) -> DataFrame:
+    """Emissions of a stream of postings: the whole posting, with ``fp``, ``run_us`` and ``decision``.
+
+    ``run_us`` is the run start in epoch microseconds; within one run the row
+    with the lowest ``seq`` counts, and a run's rows come in one micro-batch or
+    its first ones come first.  The watermark follows the run start by
+    ``lateness``.  A row behind it can no longer be decided, for the entries that
+    would decide it may be gone: it comes out with the decision ``late``, to be
+    kept beside; ``new`` are the emissions.  A fingerprint's entry leaves when the
+    watermark is 14 days past its last emission, that is 14 days and ``lateness``
+    after it.  Needs the RocksDB state store (``run_available`` sets it).
+    """
+    # the watermark's own column ends here: rows behind it are told apart below, not dropped unseen
+    timed = sightings.withColumn("event_at", F.col(run_ts).cast("timestamp")).withWatermark("event_at", lateness)
+    rows = _marked(timed, run_ts, seq).drop("event_at")
+    columns = [f for f in rows.schema if f.name != "tie_no"]
+    out = T.StructType([*columns, T.StructField("decision", T.StringType())])
     combined = rows.mapInPandas(_combine, rows.schema)
-    return combined.groupBy("fp").applyInPandasWithState(
-        _emitter(out.fieldNames()), out, "emitted array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    return combined.groupBy("fp").transformWithStateInPandas(_Emitter([f.name for f in columns]), out, "append", "eventTime")
+
 
+def run_available(stream: DataFrame, path: str, checkpoint: str, late_path: str | None = None) -> None:
+    """Process what has landed, then stop: emissions into one Parquet table, late rows into another.
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what has landed, into a Parquet table, then stop."""
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+    Each batch's files lie in a folder of the batch's own, which a repeated
+    batch replaces.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        for decision, target in (("new", path), ("late", late_path)):
+            if target:
+                held.filter(F.col("decision") == decision).drop("decision").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        held.unpersist()
+
+    _with_rocks(stream.sparkSession, lambda: (
+        stream.writeStream.foreachBatch(write).outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    ))
+
+
+def _with_rocks(spark: SparkSession, run: Callable[[], None]) -> None:
+    """The state store provider is a setting of the session when the query starts; it is put back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, _ROCKS)
+    try:
+        run()
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_by_batches(sightings: DataFrame, run_ts: str, order: list[str], path: str, checkpoint: str, buckets: int = seen_table.BUCKETS) -> None:
+    """The same stream by ``foreachBatch``: the batch deduplication, run for run, over the state table at ``path``/state.
+
+    A micro-batch's runs are taken in order; its emissions go to
+    ``path``/out/batch=<number> and the state it leaves is committed under its
+    number.  A batch that comes again (the driver died before the stream noted
+    it) starts from the state of the batch before and replaces its own output, so
+    nothing is emitted twice and nothing is lost.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = seen_table.read(spark, f"{path}/state", before=number)
+        emitted, state = dedup.dedup_onto(batch, seen, run_ts, order)
+        emitted.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        # the state follows from what was written, which a lost executor cannot change
+        told = spark.read.schema(emitted.schema).parquet(f"{path}/out/batch={number}")
+        seen_table.commit(spark, f"{path}/state", told.select("fp", F.col(run_ts).cast("timestamp").alias("emitted_at")), number, buckets)
+
+    (
+        sightings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start().awaitTermination()
     )
-    query.awaitTermination()
