@@ -54,32 +54,44 @@ class _Emitter(StatefulProcessor):
         self.handle = handle
         self.emitted = handle.getValueState("emitted", "runs array<long>")
 
+    @staticmethod
+    def _leaves(emitted: list[int]) -> int:
+        """When the watermark has passed all that the entry can suppress, in milliseconds."""
+        return (max(emitted) + _KEEP_US) // 1000
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # one row a run is held, however many sightings come
-        first: pd.DataFrame | None = None
+        best: dict[int, tuple[int, int, int]] = {}
+        frames: list[pd.DataFrame] = []
         for pdf in rows:
-            both = pdf if first is None else pd.concat([first, pdf], ignore_index=True)
-            first = both.sort_values(["run_us", "tie_no"], kind="stable").drop_duplicates("run_us").reset_index(drop=True)
-        if first is None:
-            return
+            for at, (run, tie) in enumerate(zip(pdf["run_us"].tolist(), pdf["tie_no"].tolist())):
+                if run not in best or tie < best[run][0]:
+                    best[run] = tie, len(frames), at
+            frames.append(pdf)
+            if len(frames) > 1:  # many sightings: keep the rows that count
+                frames = [pd.concat([frames[f].iloc[[at]] for _, f, at in best.values()], ignore_index=True)]
+                best = {run: (tie, 0, at) for at, (run, (tie, _, _)) in enumerate(best.items())}
         passed = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
-        emitted = list(self.emitted.get()[0]) if self.emitted.exists() else []
-        kinds: list[str | None] = []
-        for run in first["run_us"].tolist():
-            if run < passed:
-                kinds.append("late")
-            elif any(run - _KEEP_US < e <= run for e in emitted):  # a suppressed sighting does not refresh the entry
-                kinds.append(None)
-            else:
-                emitted.append(run)
-                kinds.append("new")
-        if "new" in kinds:
+        held = self.emitted.get()
+        before = list(held[0]) if held else []
+        emitted, picked, kinds = list(before), [], []
+        for run in sorted(best):
+            # a suppressed sighting does not refresh the entry
+            late = run < passed
+            if late or not any(run - _KEEP_US < e <= run for e in emitted):
+                picked.append(best[run][2])
+                kinds.append("late" if late else "new")
+                if not late:
+                    emitted.append(run)
+        if len(emitted) > len(before):
             self.emitted.update((sorted(emitted),))
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer((max(emitted) + _KEEP_US) // 1000)
-        out = first.assign(decision=kinds)
-        yield out[out["decision"].notna()][[*self.columns, "decision"]]
+            timer = self._leaves(emitted)
+            if before and self._leaves(before) != timer:
+                self.handle.deleteTimer(self._leaves(before))
+            if not before or self._leaves(before) != timer:
+                self.handle.registerTimer(timer)
+        if picked:
+            yield frames[0].iloc[picked][self.columns].assign(decision=kinds)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.emitted.clear()
