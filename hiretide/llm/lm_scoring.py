@@ -1,44 +1,41 @@
 """Language-model scoring by deleted interpolation.
 
-P(w | u v) = l5 P3(w | u v) + l4 P2(w | v) + l3 C3(w | u v) + l2 C2(w | v) + l1 P1(w) + l0 / (V + 1)
+P(w | u v) = l3 P3(w | u v) + l2 P2(w | v) + l1 P1(w) + l0 / (V + 1)
 
 P1 to P3 are maximum-likelihood estimates from the training texts over all
-words, pairs and triples there are.  C3 and C2 smooth them: pairs and triples
-counted over the ``PAIRS`` and ``TRIPLES`` most frequent words and a class of
-the rest, inside which a word has its share.  Weights l0 to l5 belong to a
-bucket of the context's frequency (how often u v occurred, in powers of two)
-and are learned by expectation-maximisation: one part of the training texts is
-deleted, its n-grams are met with the counts of the other parts, and the weights
-that make them most likely are taken.
-
-Texts are dealt in chunks.  A chunk sends each of its words, pairs and triples
-once, as a 64-bit key with its own counts; keys meet, are summed, and the sums
-go back to the chunks where they differ from what the chunk has itself.  So no
-key has more rows than there are chunks, and what is looked up grows with the
-texts.
+words, pairs and triples there are.  Weights l0 to l3 belong to a bucket of the
+context's frequency (how often u v occurred, in powers of two) and are learned
+by expectation-maximisation: one part of the training texts is deleted, its
+n-grams are met with the counts of the other parts, and the weights that make
+them most likely are taken.
+
+Texts are dealt in chunks of some megabytes.  A chunk numbers its distinct words,
+pairs and triples by hash and sends them in order, cut into ranges of the hash:
+one block a range, of packed differences, with the counts where they are not all
+one.  A range adds up what the blocks hold and answers each block with the sums,
+in the block's own order, so that no key travels back.  A key comes at most once
+from a chunk and hashes fall evenly, so no range is hot; ranges grow in number
+with the texts, and what is looked up grows with them.
+
+Words are told by 64 bits, pairs and triples by as many as their number needs and
+24 more, so that one in sixteen million meets another's count.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import column_bytes, schema_of, slices, spaced_words
+from hiretide.llm.common import column_bytes, positional, restored, schema_of, slices, spaced_words
 from hiretide.operators.scratch import materialise
 
-#: Words with an own class in pairs and in triples; powers of two less the class of the rest.
-PAIRS = 2047
-TRIPLES = 127
-#: Words whose counts travel to the tasks.
-FREQUENT = 1 << 18
 #: One of so many training texts is deleted to learn the weights.
 PARTS = 10
 BUCKETS = 40
@@ -46,11 +43,16 @@ ROUNDS = 30
 #: Add-k smoothing of the unigram baseline.
 ADD = 0.1
 END = b"\n"
-_FLUSH = 400_000
 #: Text whose words, pairs and triples are looked up together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+#: Keys in a range, at most and on average.
+RANGE_KEYS = 1 << 21
+#: Bits of a pair's or triple's key beyond those that number them.
+SPARE_BITS = 24
 #: Estimates that are interpolated.
-PARTS_OF_P = 6
+PARTS_OF_P = 4
+#: Kinds of chunk: learned from, deleted to learn the weights, scored only.
+LEARN, DELETED, SCORED = 0, 1, 2
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -60,170 +62,67 @@ def tokens(text: bytes | None) -> list[bytes]:
     return words
 
 
-@dataclass
-class Words:
-    """The frequent words with their counts, most frequent first, and the totals of all words."""
-
-    place: dict[bytes, int]
-    count: np.ndarray  # by place, in all training texts
-    kept: np.ndarray  # by place, without the deleted part
-    total: tuple[int, int]  # tokens: all, without the deleted part
-    distinct: int
-
-    def classes(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Class numbers: the n most frequent words have their own, n is the rest."""
-        return np.where((at < 0) | (at >= n), n, at)
-
-    def class_sizes(self, n: int, kept: bool) -> np.ndarray:
-        counts, total = (self.kept, self.total[1]) if kept else (self.count, self.total[0])
-        own = np.zeros(n + 1)
-        own[: min(n, len(counts))] = counts[:n]
-        own[n] = total - own.sum()
-        return own
-
-
-@dataclass
-class Grams:
-    """Pair and triple counts over classes."""
-
-    two: np.ndarray  # (PAIRS + 1) ** 2
-    three: np.ndarray  # (TRIPLES + 1) ** 3
-
-
-def _cells(words: Words, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """For each token of the texts: its place (-1: not frequent), its pair cell and its triple cell."""
-    sizes = [len(t) for t in texts]
-    get = words.place.get
-    at = np.fromiter((get(w, -1) for t in texts for w in t), np.int64, sum(sizes))
-    two, three = words.classes(at, PAIRS), words.classes(at, TRIPLES)
-    end = words.place.get(END, -1)
-    ends = np.array([end])
-    before = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    # a text begins after an end, as if one stood before the first and the second word
-    v2 = np.concatenate([words.classes(ends, PAIRS), two[:-1]])
-    v3 = np.concatenate([words.classes(ends, TRIPLES), three[:-1]])
-    v2[before], v3[before] = words.classes(ends, PAIRS)[0], words.classes(ends, TRIPLES)[0]
-    u3 = np.concatenate([words.classes(ends, TRIPLES), v3[:-1]])
-    u3[before] = words.classes(ends, TRIPLES)[0]
-    return at, v2 * (PAIRS + 1) + two, (u3 * (TRIPLES + 1) + v3) * (TRIPLES + 1) + three
-
-
-def _chunks(texts: Iterable[bytes | None], most: int = 1 << 17) -> Iterator[list[list[bytes]]]:
-    """Token lists of some texts at a time, of bounded total length (one text may have more)."""
-    own, total = [], 0
-    for words in map(tokens, texts):
-        own.append(words)
-        total += len(words)
-        if total >= most:
-            yield own
-            own, total = [], 0
-    if own:
-        yield own
-
-
-def count_words(docs: DataFrame, text: str, deleted: str) -> DataFrame:
-    """``(word, n, kept)``: counts in all rows and in those not deleted, combined in the tasks before the shuffle."""
+# --- packing ----------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
-
-        def flush() -> pa.RecordBatch:
-            words = list(dict.fromkeys([*counts[0], *counts[1]]))
-            kept = [counts[0][w] for w in words]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()).cast(pa.string()), pa.array([k + counts[1][w] for k, w in zip(kept, words)], pa.int64()), pa.array(kept, pa.int64())],
-                names=["word", "n", "kept"])
-            for c in counts:
-                c.clear()
-            return out
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, lowest first, as many as the largest needs, compressed."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
 
-        for batch in slices(batches):
-            for t, gone in zip(column_bytes(batch, text), batch.column(deleted).to_pylist()):
-                counts[bool(gone)].update(tokens(t))
-                if len(counts[0]) + len(counts[1]) > _FLUSH:
-                    yield flush()
-        yield flush()
-
-    return docs.select(text, deleted).mapInArrow(run, "word string, n bigint, kept bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
-
-
-def frequent_words(counted: DataFrame) -> Words:
-    """The bounded part of the word table that travels, and the totals."""
-    total = counted.agg(F.sum("n"), F.sum("kept"), F.count("*")).first()
-    level = F.floor(F.log2("n") * 16).cast("int")
-    least, words = 1 << 30, 0
-    for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
-        if (words := words + r["words"]) > FREQUENT:
-            break
-        least = r["level"]
-    top = counted.where(level >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    return Words(
-        {w.encode(): i for i, w in enumerate(top["word"])}, top["n"].to_numpy(np.int64), top["kept"].to_numpy(np.int64),
-        (total[0] or 0, total[1] or 0), total[2],
-    )
-
-
-def count_grams(docs: DataFrame, text: str, deleted: str, shared) -> tuple[Grams, Grams]:
-    """Pairs and triples of all rows, and of those not deleted; tables of a fixed number of cells."""
-    size2, size3 = (PAIRS + 1) ** 2, (TRIPLES + 1) ** 3
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _packed_rows(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(blobs: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]).combine_chunks()
+
+
+# --- chunks -----------------------------------------------------------------
+
+def deal(rows: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
+    """``(chunk, kind, n_rows, n_bytes, rows)``: neighbouring rows of one kind, some ``size`` bytes of text, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        counts = np.zeros((2, size2 + size3), np.int32)  # one task's
+        number = TaskContext.get().partitionId() << 24
+        held: dict[int, tuple[list[pa.RecordBatch], int]] = {}
+
+        def flush(kind: int) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            parts, n_bytes = held.pop(kind)
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_pydict({
+                "chunk": pa.array([number], pa.int64()), "kind": pa.array([kind], pa.int32()), "n_rows": pa.array([whole.num_rows], pa.int64()),
+                "n_bytes": pa.array([n_bytes], pa.int64()), "rows": pa.array([_packed_rows(whole)], pa.binary())})
+
         for batch in slices(batches):
-            texts, gone = column_bytes(batch, text), batch.column(deleted).to_pylist()
-            for part in (0, 1):
-                for some in _chunks(t for t, g in zip(texts, gone) if bool(g) == bool(part)):
-                    _, two, three = _cells(words, some)
-                    cell, n = np.unique(np.concatenate([two, three + size2]), return_counts=True)
-                    counts[part, cell] += n
-        some = np.flatnonzero(counts.any(axis=0))
-        for at in range(0, len(some), 1 << 16):
-            own = some[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[:, own].sum(0, dtype=np.int64)), pa.array(counts[0, own].astype(np.int64))], names=["cell", "n", "kept"])
-
-    found = docs.select(text, deleted).mapInArrow(run, "cell bigint, n bigint, kept bigint").groupBy("cell").agg(
-        F.sum("n").alias("n"), F.sum("kept").alias("kept")).toArrow()
-    out = []
-    for column in ("n", "kept"):
-        flat = np.zeros(size2 + size3, np.float32)  # a table of fixed size: exact to 16 million, then to seven digits
-        flat[found["cell"].to_numpy()] = found[column].to_numpy()
-        out.append(Grams(flat[:size2], flat[size2:]))
-    return out[0], out[1]
-
-
-@dataclass
-class Tables:
-    """What a task needs to turn a context into factors; from one set of counts."""
-
-    words: Words
-    two: np.ndarray  # per pair cell: P2 of a word per count of the word
-    three: np.ndarray
-    bucket: np.ndarray  # per triple context
-    one: float
-    zero: float
-    weights: np.ndarray  # buckets x (l3, l2, l1, l0)
-
-
-def tables(words: Words, grams: Grams, kept: bool, weights: np.ndarray) -> Tables:
-    def factors(cells: np.ndarray, n: int, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-        by = cells.reshape(contexts, n + 1).astype(np.float64)
-        seen = by.sum(1)
-        size = words.class_sizes(n, kept)
-        per = np.divide(by, seen[:, None] * size[None, :], out=np.zeros_like(by), where=(seen[:, None] > 0) & (size[None, :] > 0))
-        return per.ravel().astype(np.float32), seen
-
-    two, _ = factors(grams.two, PAIRS, PAIRS + 1)
-    three, seen = factors(grams.three, TRIPLES, (TRIPLES + 1) ** 2)
-    total = words.total[1] if kept else words.total[0]
-    return Tables(words, two, three, np.minimum(np.log2(seen + 1).astype(np.int64), BUCKETS - 1), 1 / total if total else 0.0,
-                  1 / (words.distinct + 1), weights)
-
-
-def _estimates(t: Tables, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """Per token: place, bucket and the factors of P3 and P2."""
-    at, two, three = _cells(t.words, texts)
-    return at, t.bucket[three // (TRIPLES + 1)], t.three[three].astype(np.float64), t.two[two].astype(np.float64)
+            kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+            lengths = np.array([len(t or b"") for t in column_bytes(batch, "text")], np.int64)
+            for kind in np.unique(kinds).tolist():
+                mine = np.flatnonzero(kinds == kind)
+                # cut where the chunk is full
+                total = np.cumsum(lengths[mine]) + (held[kind][1] if kind in held else 0)
+                for step in np.split(mine, np.flatnonzero(np.diff(total // size)) + 1):
+                    parts, n_bytes = held.get(kind, ([], 0))
+                    held[kind] = [*parts, batch.take(pa.array(step)).drop_columns(["kind"])], n_bytes + int(lengths[step].sum())
+                    if held[kind][1] >= size:
+                        yield flush(kind)
+        for kind in list(held):
+            yield flush(kind)
+
+    return rows.mapInArrow(run, "chunk bigint, kind int, n_rows bigint, n_bytes bigint, rows binary")
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,116 +145,114 @@ def gram_keys(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     two = _mix(v, w)
     before = np.concatenate([end, two[:-1]])
     before[starts] = _mix(end, end)
-    return np.stack([w, two, _mix(before, w)]).view(np.int64), starts
+    return np.stack([w, two, _mix(before, w)]), starts
 
 
-def deal(docs: DataFrame, text: str, gone: str, size: int = CHUNK_BYTES) -> DataFrame:
-    """Every row with ``chunk``: some ``size`` bytes of neighbouring texts, deleted ones (odd chunks) apart from the others."""
+class Chunk:
+    """A chunk's distinct keys: words, then pairs and triples, each sorted, and where each token's lie among them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 24
-        held = [0, 0]
-        for batch in slices(batches):
-            out = []
-            for t, g in zip(column_bytes(batch, text), batch.column(gone).to_pylist()):
-                held[bool(g)] += len(t or b"") + 1
-                out.append((first + held[bool(g)] // size) * 2 + bool(g))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "chunk"])
+    def __init__(self, texts: list[bytes | None], bits: int) -> None:
+        keys, self.starts = gram_keys([tokens(t) for t in texts])
+        self.words, self.word_at = np.unique(keys[0], return_inverse=True)
+        self.grams, at = np.unique(keys[1:].ravel() >> np.uint64(64 - bits), return_inverse=True)
+        self.pair_at, self.triple_at = at[: len(self.word_at)], at[len(self.word_at):]
+        self.end = int(np.searchsorted(self.words, np.uint64(xxhash.xxh3_64_intdigest(END))))
 
-    return docs.mapInArrow(run, schema_of(list(docs.schema.fields), "chunk bigint"))
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(self.word_at, minlength=len(self.words)), (
+            np.bincount(self.pair_at, minlength=len(self.grams)) + np.bincount(self.triple_at, minlength=len(self.grams)))
 
 
-def _own_counts(keys: np.ndarray, sizes: list[int], part: list[int]) -> tuple[np.ndarray, ...]:
-    """Distinct keys of a chunk, the place of each token's three, and counts in its training texts and in those not deleted."""
-    part_ = np.repeat(np.array(part), sizes)
-    g, at = np.unique(keys.ravel(), return_inverse=True)
-    at = at.reshape(3, -1)
-    n, kept = (np.bincount(at[:, of].ravel(), minlength=len(g)) for of in (part_ < 2, part_ == 0))
-    return g, at, n, kept
+def _blocks(keys: np.ndarray, counts: np.ndarray, bits: int, level: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(range, keys, packed differences, packed counts) of the ranges that sorted keys of so many bits fall into."""
+    range_ = (keys >> np.uint64(bits - level)).astype(np.int64) if level else np.zeros(len(keys), np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(range_)) + 1, [len(keys)]])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(range_[a]), b - a, packed(np.concatenate([keys[a: a + 1], np.diff(keys[a:b])])), packed(counts[a:b].astype(np.uint64))
 
 
-def chunk_grams(dealt: DataFrame, text: str) -> DataFrame:
-    """``(g, chunk, n, kept)``: each word, pair and triple of a chunk, scored texts included, with its own counts."""
+def requests(chunks: DataFrame, bits: int, word_level: int, gram_level: int) -> DataFrame:
+    """``(range, chunk, kind, size, keys, counts)``: what each chunk asks of each range; ranges of words are below zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[int, list, list]] = {}
-
-        def flush(kind: int) -> Iterator[pa.RecordBatch]:
-            chunk, texts, part = held.pop(kind)
-            g, _, n, kept = _own_counts(gram_keys(texts)[0], [len(t) for t in texts], part)
-            for at in range(0, len(g), 1 << 16):
-                own = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[own]), pa.array(np.full(len(g[own]), chunk)), pa.array(n[own].astype(np.int32)), pa.array(kept[own].astype(np.int32))],
-                    names=["g", "chunk", "n", "kept"])
-
-        for batch in slices(batches):
-            for t, chunk, part in zip(column_bytes(batch, text), batch.column("chunk").to_pylist(), batch.column("part").to_pylist()):
-                kind = chunk & 1
-                if kind in held and held[kind][0] != chunk:
-                    yield from flush(kind)
-                own = held.setdefault(kind, (chunk, [], []))
-                own[1].append(tokens(t))
-                own[2].append(part)
-        for kind in list(held):
-            yield from flush(kind)
-
-    return dealt.select(text, "chunk", "part").mapInArrow(run, "g bigint, chunk bigint, n int, kept int")
-
-
-def whole_counts(grams: DataFrame) -> DataFrame:
-    """``(chunk, g, n, kept)``: the counts over all chunks, where they are not the chunk's own.
-
-    A gram comes once from a chunk, so a hot one has as many rows as there are chunks.
+        for batch in batches:
+            for chunk, kind, rows in zip(batch.column("chunk").to_pylist(), batch.column("kind").to_pylist(), batch.column("rows")):
+                own = Chunk(_rows([rows.as_py()])["text"].cast(pa.binary()).to_pylist(), bits)
+                words, grams = own.counts()
+                found = [(-1 - r, *rest) for r, *rest in _blocks(own.words, words, 64, word_level)]
+                found += _blocks(own.grams, grams, bits, gram_level)
+                for at in range(0, len(found), 64):
+                    some = list(zip(*found[at: at + 64]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some[0], pa.int64()), pa.array([chunk] * len(some[0]), pa.int64()), pa.array([kind] * len(some[0]), pa.int32()),
+                         pa.array(some[1], pa.int64()), pa.array(some[2], pa.binary()), pa.array(some[3], pa.binary())],
+                        names=["range", "chunk", "kind", "size", "keys", "counts"])
+
+    return chunks.select("chunk", "kind", "rows").mapInArrow(run, "range bigint, chunk bigint, kind int, size bigint, keys binary, counts binary")
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """``(range, chunk, n, kept, distinct, total, total_kept)``: the sums for each block, in its order.
+
+    ``n`` counts all training texts; ``kept``, for chunks of the deleted part, those that are not deleted.  A row
+    without chunk tells of each range how many distinct keys were learned and how often.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[list[np.ndarray]] = []  # rows of the gram that may go on
-
-        def told(rows: list[np.ndarray]) -> pa.RecordBatch:
-            g, chunk, n, kept = rows
-            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
-            many = np.diff(np.r_[starts, len(g)])
-            n_, kept_ = (np.repeat(np.add.reduceat(x.astype(np.int64), starts), many) if len(g) else x for x in (n, kept))
-            new = (n_ != n) | (kept_ != kept)
-            return pa.RecordBatch.from_arrays([pa.array(x[new].astype(np.int64)) for x in (chunk, g, n_, kept_)], names=["chunk", "g", "n", "kept"])
-
-        for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(rows[0]):
-                continue
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            if left and (cut or left[-1][0][0] != rows[0][0]):
-                yield told([np.concatenate(x) for x in zip(*left, [r[:cut] for r in rows])])
-                left = []
-            elif cut:
-                yield told([r[:cut] for r in rows])
-            left.append([r[cut:].copy() for r in rows])
-        if left:
-            yield told([np.concatenate(x) for x in zip(*left)])
-
-    return grams.repartition("g").sortWithinPartitions("g").mapInArrow(run, "chunk bigint, g bigint, n bigint, kept bigint")
-
-
-def _probabilities(t: Tables, table: pa.Table, counts: pa.Table, text: str, kept: bool) -> tuple[np.ndarray, ...]:
-    """Per token of a chunk: the bucket, the six estimates and the word's count; and where its texts begin."""
-    texts = [tokens(x) for x in table[text].cast(pa.binary()).to_pylist()]
-    keys, starts = gram_keys(texts)
-    g, at, *own = _own_counts(keys, [len(x) for x in texts], table["part"].to_pylist())
-    n = own[1 if kept else 0].astype(np.float64)
-    n[np.searchsorted(g, counts["g"].to_numpy())] = counts["kept" if kept else "n"].to_numpy()
-    one, two, three = n[at]
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table["kind"].to_numpy()
+        keys = [np.cumsum(unpacked(b), dtype=np.uint64) for b in table["keys"].to_pylist()]
+        counts = [unpacked(b).astype(np.int64) for b in table["counts"].to_pylist()]
+        sizes = [len(k) for k in keys]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        kind, count = np.repeat(kinds, sizes), np.concatenate(counts)
+        n, kept = (np.bincount(at, np.where(of, count, 0)).astype(np.int64) for of in (kind < SCORED, kind == LEARN))
+        places = np.split(at, np.cumsum(sizes)[:-1])
+        rows = len(sizes)
+        where = table["range"][0].as_py()
+        return pa.table({
+            "range": pa.array([where] * (rows + 1), pa.int64()), "chunk": pa.array([*table["chunk"].to_pylist(), None], pa.int64()),
+            "n": pa.array([*(packed(n[p].astype(np.uint64)) for p in places), None], pa.binary()),
+            "kept": pa.array([*(packed(kept[p].astype(np.uint64)) if k == DELETED else None for p, k in zip(places, kinds)), None], pa.binary()),
+            "distinct": pa.array([None] * rows + [int((n > 0).sum())], pa.int64()),
+            "total": pa.array([None] * rows + [int(n.sum())], pa.int64()), "total_kept": pa.array([None] * rows + [int(kept.sum())], pa.int64()),
+        })
+
+    return asked.groupBy("range").applyInArrow(run, "range bigint, chunk bigint, n binary, kept binary, distinct bigint, total bigint, total_kept bigint")
+
+
+# --- the model --------------------------------------------------------------
+
+def _estimates(rows: pa.Table, told: pa.Table, bits: int, column: str, total: int, distinct: int) -> tuple[np.ndarray, ...]:
+    """Per token of a chunk: the bucket, the four estimates and the word's count; and where its texts begin."""
+    own = Chunk(rows["text"].cast(pa.binary()).to_pylist(), bits)
+    range_ = told["range"].to_numpy()
+    blobs = told[column]
+    parts = {int(r): i for i, r in enumerate(range_)}
+    words = [unpacked(blobs[parts[r]].as_py()) for r in sorted((r for r in parts if r < 0), reverse=True)]
+    grams = [unpacked(blobs[parts[r]].as_py()) for r in sorted(r for r in parts if r >= 0)]
+    words, grams = (np.concatenate(x).astype(np.float64) for x in (words, grams))
+    one, two, three = words[own.word_at], grams[own.pair_at], grams[own.triple_at]
     # what came before: a text begins after an end, as often as there are texts
-    ends = n[np.searchsorted(g, gram_keys([[END]])[0][0, 0])]
+    ends = words[own.end]
     v, uv = np.concatenate([[0.0], one[:-1]]), np.concatenate([[0.0], two[:-1]])
-    v[starts] = uv[starts] = ends
-    _, _, f3, f2 = _estimates(t, texts)
+    v[own.starts] = uv[own.starts] = ends
     over = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
-    p = np.stack([over(three, uv), over(two, v), f3 * one, f2 * one, one * t.one, np.full(len(one), t.zero)], axis=1)
-    return np.minimum(np.log2(uv + 1).astype(np.int64), BUCKETS - 1), p, one, starts
+    p = np.stack([over(three, uv), over(two, v), one / total if total else one, np.full(len(one), 1 / (distinct + 1))], axis=1)
+    return np.minimum(np.log2(uv + 1).astype(np.int64), BUCKETS - 1), p, one, own.starts
+
+
+def learned(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights that make n events of probabilities p most likely."""
+    w = np.full(p.shape[1], 1 / p.shape[1])
+    for _ in range(ROUNDS):
+        part = p * w
+        part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
+        w = (part * n[:, None]).sum(0) + 1e-3  # no weight is zero
+        w /= w.sum()
+    return w
 
 
-def fit_weights(dealt: DataFrame, text: str, shared, counts: DataFrame) -> np.ndarray:
+def fit_weights(chunks: DataFrame, told: DataFrame, bits: int, total: int, distinct: int) -> np.ndarray:
     """Weights by bucket from expectation-maximisation over the deleted texts.
 
     Events with the same bucket and like probabilities (in steps of a power of two) are counted together with
@@ -364,77 +261,71 @@ def fit_weights(dealt: DataFrame, text: str, shared, counts: DataFrame) -> np.nd
     names = [f"p{i}" for i in range(PARTS_OF_P)]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({c: pa.array([], pa.int64() if c in ("cell", "bucket", "n") else pa.float64()) for c in ("cell", "bucket", "n", *names)})
-        bucket, p, _, _ = _probabilities(shared.value, left, right, text, True)
+        bucket, p, _, _ = _estimates(_rows(left["rows"].to_pylist()), right, bits, "kept", total, distinct)
         step = np.where(p > 0, np.floor(np.log2(np.maximum(p, 1e-300))), -127).astype(np.int64) + 127
         cell = bucket
         for i in range(PARTS_OF_P - 1):
             cell = cell * 128 + np.clip(step[:, i], 0, 127)
         cell, at, n = np.unique(cell, return_inverse=True, return_counts=True)
-        sums = {c: np.bincount(at, p[:, i], len(cell)) for i, c in enumerate(names)}
-        return pa.table({"cell": cell, "bucket": cell >> 35, "n": n, **sums})
+        return pa.table({"cell": cell, "bucket": cell >> 21, "n": n} | {c: np.bincount(at, p[:, i], len(cell)) for i, c in enumerate(names)})
 
-    deleted = dealt.where("part = 1").select(text, "chunk", "part")
-    cells = deleted.groupBy("chunk").cogroup(counts.where("chunk % 2 = 1").groupBy("chunk")).applyInArrow(
-        run, "cell bigint, bucket bigint, n bigint, " + ", ".join(f"{c} double" for c in names))
+    cells = chunks.where(F.col("kind") == DELETED).select("chunk", "rows").groupBy("chunk").cogroup(
+        told.where("kept is not null").select("range", "chunk", "kept").groupBy("chunk")
+    ).applyInArrow(run, "cell bigint, bucket bigint, n bigint, " + ", ".join(f"{c} double" for c in names))
     cells = cells.groupBy("cell", "bucket").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).toPandas()
+    if not len(cells):
+        return np.tile(np.eye(PARTS_OF_P)[-1] if not total else np.full(PARTS_OF_P, 1 / PARTS_OF_P), (BUCKETS, 1))
 
-    def learned(own) -> np.ndarray:
+    def of(own) -> np.ndarray:
         n = own["n"].to_numpy(float)
-        p = own[names].to_numpy(float) / n[:, None]
-        w = np.full(PARTS_OF_P, 1 / PARTS_OF_P)
-        for _ in range(ROUNDS):
-            part = p * w
-            part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-            w = (part * n[:, None]).sum(0) + 1e-3  # no weight is zero
-            w /= w.sum()
-        return w
+        return learned(own[names].to_numpy(float) / n[:, None], n)
 
-    if not len(cells):
-        return np.tile(np.eye(PARTS_OF_P)[-1] if not shared.value.one else np.full(PARTS_OF_P, 1 / PARTS_OF_P), (BUCKETS, 1))
-    weights = np.tile(learned(cells), (BUCKETS, 1))  # for buckets that were not met
+    weights = np.tile(of(cells), (BUCKETS, 1))  # for buckets that were not met
     for b, own in cells.groupby("bucket"):
-        weights[int(b)] = learned(own)
+        weights[int(b)] = of(own)
     return weights
 
 
-def score(docs: DataFrame, learn: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _level(keys: int, per_range: int) -> int:
+    """Bits that number the ranges."""
+    return max(0, (max(keys, 1) // per_range).bit_length())
+
+
+def score(docs: DataFrame, learn: str, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, range_keys: int = RANGE_KEYS) -> DataFrame:
     """Every row without its text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     learn is a boolean column: the model sees these rows only (null counts as false).  Scores are log10
     probabilities of the whole text, its end included; base_score is the add-0.1 unigram model.  A null or empty
     text is its end alone.  Without a row to learn from every token has probability one in both models.  key only deals the
-    training texts to the deleted part; rows are never matched by it.  An empty table gives none.
+    training texts to the deleted part; rows are never matched by it.  An empty table gives none.  Columns named like an
+    output are replaced by it.
     """
-    spark = docs.sparkSession
-    plain = [c for c in docs.columns if c != text]
-    part = F.when(~F.coalesce(F.col(learn), F.lit(False)), 2).when(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(PARTS)) == 0, 1).otherwise(0)
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(plain)], F.col(text).alias("text"), part.alias("part"))
-    dealt = materialise(deal(rows.withColumn("gone", F.col("part") == 1), "text", "gone"), "dealt")
-    train = dealt.where("part < 2").select("text", "gone")
-    words = frequent_words(materialise(count_words(train, "text", "gone"), "words"))
-    shared_words = spark.sparkContext.broadcast(words)
-    grams, kept = count_grams(train, "text", "gone", shared_words)
-    counts = materialise(whole_counts(chunk_grams(dealt, "text")), "grams")
-    uniform = np.full((BUCKETS, PARTS_OF_P), 1 / PARTS_OF_P)
-    weights = fit_weights(dealt, "text", spark.sparkContext.broadcast(tables(words, kept, True, uniform)), counts)
-    shared = spark.sparkContext.broadcast(tables(words, grams, False, weights))
-    total = words.total[0]
-    below = total + ADD * (words.distinct + 1)
-    columns = [f"c{i}" for i in range(len(plain))]
+    plain, names = positional(docs)
+    outputs = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    taught = F.coalesce(F.col(names[learn]), F.lit(False))
+    kind = F.when(~taught, SCORED).when(F.pmod(F.xxhash64(F.col(names[key]).cast("string")), F.lit(PARTS)) == 0, DELETED).otherwise(LEARN)
+    columns = [c for old, c in names.items() if old != text]
+    rows = plain.select(*columns, F.col(names[text]).alias("text"), kind.alias("kind"))
+    chunks = materialise(deal(rows, chunk_bytes), "chunks")
+    size = chunks.agg(F.sum("n_rows").alias("rows"), F.sum("n_bytes").alias("bytes")).first()
+    most = (size["bytes"] or 0) // 2 + 2 * (size["rows"] or 0)  # tokens there can be
+    bits = min(64, (2 * most + 1).bit_length() + SPARE_BITS)
+    asked = requests(chunks, bits, _level(most // 16, range_keys), _level(most // 2, range_keys))
+    told = materialise(answers(asked), "counts")
+    sums = told.where("chunk is null and range < 0").agg(F.sum("distinct"), F.sum("total"), F.sum("total_kept")).first()
+    distinct, total, total_kept = (x or 0 for x in sums)
+    told = told.where("chunk is not null")
+    weights = fit_weights(chunks, told, bits, total_kept, distinct)
+    below = total + ADD * (distinct + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        t = shared.value
-        bucket, p, n, starts = _probabilities(t, left, right, "text", False)
-        own = np.log10((t.weights[bucket] * p).sum(1))
+        table = _rows(left["rows"].to_pylist())
+        bucket, p, n, starts = _estimates(table, right, bits, "n", total, distinct)
+        own = np.log10((weights[bucket] * p).sum(1))
         base = np.log10((n + ADD) / below)
         sums = [np.add.reduceat(x, starts) for x in (np.ones(len(n), np.int64), (n > 0).astype(np.int64), base, own)]
-        return pa.table([*(left[c] for c in columns), *sums], names=[*columns, "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([*(table[c] for c in columns), *sums], names=[*columns, "n_tokens", "n_known", "base_score", "score"])
 
     schema = schema_of([rows.schema[c] for c in columns], "n_tokens bigint, n_known bigint, base_score double, score double")
-    scored = dealt.select(*columns, "text", "part", "chunk").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, schema)
-    return scored.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(plain)], "n_tokens", "n_known",
-        F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score",
-    )
+    scored = chunks.select("chunk", "rows").groupBy("chunk").cogroup(told.select("range", "chunk", "n").groupBy("chunk")).applyInArrow(run, schema)
+    return restored(scored.withColumn("train_tokens", F.lit(total).cast("bigint")), names, outputs)

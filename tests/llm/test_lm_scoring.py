@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hiretide.llm import lm_scoring as M
 from hiretide.llm import queries
@@ -33,15 +34,21 @@ def test_query_against_brute_force(spark):
     assert gain > 0  # better than the baseline on what it has not seen
 
 
-def test_rare_words_are_joined_to_the_same_scores(spark, monkeypatch):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "doc_id % 7 <> 0 as learn")
+def test_chunks_and_ranges_do_not_change_scores(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "doc_id % 7 <> 0 as learn").repartition(3)
     want = {r["doc_id"]: r for r in M.score(docs, "learn").collect()}
-    monkeypatch.setattr(M, "FREQUENT", 3000)
-    monkeypatch.setattr(M, "PAIRS", 100)
-    monkeypatch.setattr(M, "TRIPLES", 10)
-    some = {r["doc_id"]: r for r in M.score(docs, "learn").collect()}
+    some = {r["doc_id"]: r for r in M.score(docs, "learn", chunk_bytes=20_000, range_keys=3000).collect()}
     for d, r in some.items():
         assert r["n_known"] == want[d]["n_known"] and r["base_score"] == pytest.approx(want[d]["base_score"])
+        assert r["score"] == pytest.approx(want[d]["score"])
+
+
+def test_packing_is_exact():
+    rng = np.random.default_rng(1)
+    for top in (1, 2, 255, 256, 1 << 20, 1 << 40, 1 << 63):
+        values = rng.integers(0, top, 1000, dtype=np.uint64, endpoint=True)
+        assert M.unpacked(M.packed(values)).tolist() == values.tolist()
+    assert M.unpacked(M.packed(np.empty(0, np.uint64))).tolist() == []
 
 
 def test_contexts_tell(spark):
@@ -51,31 +58,47 @@ def test_contexts_tell(spark):
     assert got[1000] > got[1001] > -math.inf and got[1000] > got[1002] > -math.inf
 
 
-def test_estimates_are_distributions():
-    rng = np.random.default_rng(0)
-    texts = [[f"w{int(x)}".encode() for x in rng.zipf(1.5, 30) if x < 500] + [M.END] for _ in range(400)]
-    c = Counter(w for t in texts for w in t)
-    order = sorted(c, key=lambda w: (-c[w], w))
-    words = M.Words({w: i for i, w in enumerate(order)}, np.array([c[w] for w in order]), np.array([c[w] for w in order]), (sum(c.values()),) * 2, len(c))
-    old = M.PAIRS, M.TRIPLES
-    M.PAIRS, M.TRIPLES = 40, 9
-    try:
-        grams = M.Grams(np.zeros(41**2, np.float32), np.zeros(10**3, np.float32))
-        _, two, three = M._cells(words, texts)
-        np.add.at(grams.two, two, 1)
-        np.add.at(grams.three, three, 1)
-        t = M.tables(words, grams, False, np.full((M.BUCKETS, 4), 0.25))
-        at = np.arange(len(order))
-        for v in range(41):
-            if grams.two.reshape(41, 41)[v].sum():
-                p = t.two.reshape(41, 41)[v][words.classes(at, 40)] * words.count
-                assert p.sum() == pytest.approx(1, abs=1e-4)
-        for uv in range(100):
-            if grams.three.reshape(100, 10)[uv].sum():
-                p = t.three.reshape(100, 10)[uv][words.classes(at, 9)] * words.count
-                assert p.sum() == pytest.approx(1, abs=1e-4)
-    finally:
-        M.PAIRS, M.TRIPLES = old
+def brute_score(rows, key):
+    """Whole counts, events and expectation-maximisation in plain Python; rows are (id, text, kind)."""
+    def grams(text):
+        w = ["\n", "\n", *tokens(text)]
+        return [(tuple(w[i - 2:i + 1]), tuple(w[i - 1:i + 1]), w[i], tuple(w[i - 2:i]), w[i - 1], i == 2) for i in range(2, len(w))]
+
+    def counts(kinds):
+        three, two, one = Counter(), Counter(), Counter()
+        for _, t, k in rows:
+            if k in kinds:
+                for g3, g2, g1, *_ in grams(t):
+                    three[g3] += 1
+                    two[g2] += 1
+                    one[g1] += 1
+        return three, two, one
+
+    v = len(counts((0, 1))[2])
+
+    def estimates(text, c):
+        three, two, one = c
+        total = sum(one.values())
+        for g3, g2, g1, uv, u, first in grams(text):
+            below2, below1 = (one["\n"], one["\n"]) if first else (two[uv], one[u])
+            p = [three[g3] / below2 if below2 else 0, two[g2] / below1 if below1 else 0, one[g1] / total, 1 / (v + 1)]
+            yield min(int(math.log2(below2 + 1)), M.BUCKETS - 1), p
+
+    events = [e for _, t, k in rows if k == 1 for e in estimates(t, counts((0,)))]
+    everywhere = M.learned(np.array([p for _, p in events]), np.ones(len(events)))
+    weights = {b: M.learned(np.array([p for x, p in events if x == b]), np.ones(sum(x == b for x, _ in events))) for b in {x for x, _ in events}}
+    c = counts((0, 1))
+    return {i: sum(math.log10(float(weights.get(b, everywhere) @ np.array(p))) for b, p in estimates(t, c)) for i, t, _ in rows}
+
+
+def test_scores_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "substring(text, 1, 600) text", "doc_id % 5 <> 0 as learn").limit(60)
+    kind = F.when(~F.col("learn"), 2).when(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(M.PARTS)) == 0, 1).otherwise(0)
+    rows = [tuple(r) for r in docs.select("doc_id", "text", kind).collect()]
+    assert {k for *_, k in rows} == {0, 1, 2}
+    want = brute_score(rows, "doc_id")
+    for r in M.score(docs, "learn", chunk_bytes=5000, range_keys=500).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=0.02)  # events are counted together in steps
 
 
 def test_edges(spark):
@@ -89,6 +112,9 @@ def test_edges(spark):
     nothing = M.score(docs.withColumn("learn", docs.doc_id.isNull() & docs.doc_id.isNotNull()), "learn").collect()
     assert {r["train_tokens"] for r in nothing} == {0} and all(abs(r["score"]) < 1e-9 and abs(r["base_score"]) < 1e-9 for r in nothing)
     assert M.score(docs.limit(0), "learn").count() == 0
+    clash = M.score(docs.withColumn("score", docs.known).withColumn("chunk", docs.known), "learn")
+    assert clash.columns == ["doc_id", "learn", "known", "chunk", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert {r["chunk"] for r in clash.collect()} == {5, 6, 7, 8, 9}
 
 
 def test_order_of_rare_words_tells(spark):
@@ -102,23 +128,31 @@ def test_order_of_rare_words_tells(spark):
 
 
 def test_all_pairs_and_triples_are_counted(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("text", "cast(pmod(doc_id, 3) as int) part", "pmod(doc_id, 3) = 1 gone")
-    rows = M.deal(docs, "text", "gone", 30_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("text", "cast(pmod(doc_id, 3) as int) kind")
+    chunks = M.deal(docs, 30_000).persist()
     want = [Counter(), Counter()]
     for r in docs.collect():
         w = ["\n", "\n", *tokens(r["text"])]
         grams = [tuple(w[i - n + 1:i + 1]) for i in range(2, len(w)) for n in (1, 2, 3)]
-        want[0].update(grams if r["part"] < 2 else [])
-        want[1].update(grams if r["part"] == 0 else [])
-    key = lambda g: int(M.gram_keys([[w.encode() for w in (g[1:] if len(g) == 3 and g[:2] == ("\n", "\n") else g)]])[0][len(g) - 1, -1])
-    own = M.chunk_grams(rows, "text")
-    found = {(r["g"], r["chunk"]): (r["n"], r["kept"]) for r in own.collect()}
-    chunks = {c for _, c in found}
-    assert len(chunks) > 5
-    found |= {(r["g"], r["chunk"]): (r["n"], r["kept"]) for r in M.whole_counts(own).collect()}
-    by_key = {}
-    for (g, _), n in found.items():
-        assert by_key.setdefault(g, n) == n  # the same in each chunk that has it
-    inner = [g for g in want[0] if len(g) < 3 or g[1] != "\n"]
-    inner = [g for g in inner if g[0] != "\n" or len(g) < 3]
-    assert len(inner) > 10_000 and all(by_key[key(g)] == (want[0][g], want[1][g]) for g in inner)
+        want[0].update(grams if r["kind"] < 2 else [])
+        want[1].update(grams if r["kind"] == 0 else [])
+    told = {}
+    for r in M.answers(M.requests(chunks, 64, 2, 4)).where("chunk is not null").collect():
+        told.setdefault(r["chunk"], {})[r["range"]] = r
+    found = 0
+    for c in chunks.collect():
+        own = M.Chunk(M._rows([bytes(c["rows"])])["text"].cast("binary").to_pylist(), 64)
+        texts = M._rows([bytes(c["rows"])])["text"].to_pylist()
+        ranges = told[c["chunk"]]
+        column = "kept" if c["kind"] == M.DELETED else "n"
+        words = np.concatenate([M.unpacked(ranges[r][column]) for r in sorted((r for r in ranges if r < 0), reverse=True)])
+        grams = np.concatenate([M.unpacked(ranges[r][column]) for r in sorted(r for r in ranges if r >= 0)])
+        at = 0
+        for t in texts:
+            w = ["\n", "\n", *tokens(t)]
+            for i in range(2, len(w)):
+                side = want[1 if column == "kept" else 0]
+                assert words[own.word_at[at]] == side[(w[i],)]
+                assert grams[own.pair_at[at]] == side[tuple(w[i - 1:i + 1])] and grams[own.triple_at[at]] == side[tuple(w[i - 2:i + 1])]
+                at, found = at + 1, found + 1
+    assert found > 10_000 and len(told) > 5
