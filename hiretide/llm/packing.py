@@ -12,8 +12,8 @@ most ``size`` rows whatever the corpus:
   asked again; what fits nothing is closed short.
 
 Pieces get a number within their length from two passes over one written table
-(a count per task, then offsets), and the number finds the place in the plan.
-No piece moves for that: only counts are shuffled.
+(a count per task, then offsets that each piece meets by task and length), and
+the number finds the place in the plan.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,12 @@ END_ID = 1
 #: Words whose ids a worker remembers, and the longest word it remembers.
 CACHE_WORDS = 300_000
 CACHE_LENGTH = 48
-_TEXTS = 256
-_LETTERS = re.compile(rb"([a-z]+)([.,!?;:]?)")
+#: Bytes of text worked on at once.
+_TEXT_BYTES = 2 << 20
+#: A run of small ASCII or Latin-1 letters (capitals of the latter too) and what may follow it but for ', < and |.
+_LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{}~]*)")
+#: How the vocabulary spells bytes that are no visible Latin-1 characters: the others, in order, from U+0100 on.
+_SPELLED = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512)))
 
 
 def tokenizer_path() -> str:
@@ -51,8 +56,10 @@ def tokenizer_path() -> str:
 class WordIds:
     """Token ids of texts under a tokenizer that lowers case and never merges across white space.
 
-    Each word between blanks and line breaks is given to the tokenizer itself, many to a call with a bar between
-    them; words met lately are remembered in two generations.
+    A batch of texts is cut into words between blanks and line breaks, and the distinct words are numbered, both by
+    Arrow.  Distinct words met lately are remembered in two generations, and so are the runs of letters they begin
+    with, which are one unit for the merges, as is what follows; other words are given to the tokenizer whole, many
+    to a call with a bar between them.
     """
 
     def __init__(self, path: str) -> None:
@@ -77,12 +84,16 @@ class WordIds:
             if (ids := older.get(w)) is not None:
                 known[w] = ids
             elif plain := _LETTERS.fullmatch(w):
-                # a run of letters is one unit for the merges, and what follows it another
                 word, mark = plain.groups()
-                ids = known.get(word) or older.get(word) or array("I", [t.id for t in tokens(word.decode())]).tobytes()
+                ids = known.get(word) or older.get(word)
+                if ids is None:
+                    spelled = word.decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(_SPELLED)
+                    ids = array("I", [t.id for t in tokens(spelled)]).tobytes()
                 known[word] = ids
                 if mark:
                     if mark not in marks:
+                        if len(marks) > CACHE_WORDS:
+                            marks.clear()
                         marks[mark] = self._plain(mark.decode()).tobytes()
                     known[w] = ids + marks[mark]
             elif b"|" in w:
@@ -97,22 +108,41 @@ class WordIds:
             begins, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
             known.update(zip(some, (raw[i:j] for i, j in zip(begins, ends)), strict=True))
 
+    def _some_ids(self, texts: list[bytes]) -> tuple[bytes, list[int]]:
+        """The ids of texts in a row, and where each one's begin, in bytes, with the end."""
+        # a special token is spelled in small letters: only where none can arise is lowering safe
+        plain = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ") for t in texts]
+        split = pc.split_pattern(pa.array(plain, pa.binary()), " ")
+        numbered = split.values.dictionary_encode()
+        words, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known = self.known
+        new = [w for w in words if w not in known]
+        self._learn(new)
+        found = [known[w] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat = np.frombuffer(b"".join(found), "<u4")
+        n = size[number]
+        ends = np.cumsum(n)
+        first = np.cumsum(size) - size
+        ids = flat[np.repeat(first[number] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                known.pop(w, None)
+        return ids.tobytes(), (4 * np.concatenate([[0], ends])[split.offsets.to_numpy()]).tolist()
+
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for at in range(0, len(texts), _TEXTS):
-            # a special token is spelled in small letters: only where none can arise is lowering safe
-            split = [((t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ")) if t else [] for t in texts[at:at + _TEXTS]]
-            if len(self.known) > CACHE_WORDS:
-                self.known, self.older = {}, self.known
-            known, every = self.known, set().union(*split)
-            new = [w for w in every if w not in known]
-            self._learn(new)
-            near = {w: known[w] for w in every}  # small enough for the processor's caches
-            for words in split:
-                yield b"".join(map(near.__getitem__, words))
-            for w in new:
-                if len(w) > CACHE_LENGTH:
-                    del known[w]
+        held: list[bytes] = []
+        size = 0
+        for i, t in enumerate(texts):
+            held.append(t or b"")
+            size += len(held[-1])
+            if size >= _TEXT_BYTES or i == len(texts) - 1:
+                raw, at = self._some_ids(held)
+                yield from (raw[a:b] for a, b in zip(at, at[1:]))
+                held, size = [], 0
 
 
 def _word_ids(path: str) -> WordIds:
@@ -126,10 +156,10 @@ def tokenise(docs: DataFrame, text: str = "text", path: str | None = None, size:
     """The other columns, and per piece ``piece``, ``start``, ``length`` and ``ids`` (little-endian 32-bit).
 
     Null and empty texts are the end id alone.  A document of more than ``size`` ids, end id included, is cut
-    every ``size`` ids.
+    every ``size`` ids.  Columns named like an output are replaced by it.
     """
     path = path or tokenizer_path()
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, "piece", "start", "length", "ids")]
     end = np.array([end_id], "<u4").tobytes()
     schema = schema_of([docs.schema[c] for c in kept], "piece int, start bigint, length bigint, ids binary")
 
@@ -244,8 +274,10 @@ def plan_lengths(counts: dict[int, int], size: int = SIZE) -> tuple[np.ndarray,
 def pack(pieces: DataFrame, length: str = "length", size: int = SIZE) -> DataFrame:
     """Every row with ``sequence_id`` and ``offset``: rows of one sequence lie gapless from 0 and sum to at most ``size``.
 
-    All columns are carried along; lengths are 1 to ``size``.  Equal lengths are interchangeable.  An empty table gives none.
+    All columns are carried along, but those named like an output, which are replaced; lengths are 1 to ``size``.
+    Equal lengths are interchangeable.  An empty table gives none.
     """
+    pieces = pieces.drop(*[c for c in ("sequence_id", "offset") if c != length])
     part, nth, place = clean_name(pieces, "part"), clean_name(pieces, "nth"), clean_name(pieces, "number")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,3 +121,23 @@ def test_empty(spark):
 def test_clashing_names(spark, clash):
     docs = spark.createDataFrame([(1, "a b c", "kept")], f"doc_id long, text string, {clash} string")
     assert packing.pack(packing.tokenise(docs)).collect()[0][clash] == "kept"
+
+
+def test_ids_are_the_tokenizers_own():
+    """Words of every kind the caches treat apart, through more words than are remembered."""
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    texts = ["É|a <|endoftext|> X", "a  b\n\n c", "word' it's don't'", "naïve café ÷×", "ÀÞß ẞ", "́a é", "日本語 x y", "tab\r\nz\tq", "f<|g", "",
+             "zürich!!! $$$ #&", "ÄÖÜ.", "ı İ ſ K", "x" * 300 + "!" * 300, " ", "\n", "a" * 60 + " " + "a" * 60]
+    for _ in range(2):
+        for text, got in zip(texts, own.ids([t.encode() for t in texts])):
+            assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+        own.known, own.older = {}, own.known
+
+
+def test_output_names_in_the_input(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6, 7)], "doc_id long, text string, piece int, sequence_id int, offset int")
+    got = packing.pack(packing.tokenise(docs))
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+    assert [(r["piece"], r["sequence_id"], r["offset"]) for r in got.collect()] == [(0, 0, 0)]
