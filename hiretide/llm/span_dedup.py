@@ -1,10 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after ., ! or ? and white space, and at line
-breaks).  From each sentence on, the shortest run of consecutive sentences with
-at least ``sentences`` sentences and ``words`` words is a span; it is hashed
-with 128 bits over its words.  Spans are joined globally on the hash, and every
-sentence covered by a span that is not the first of its kind is removed.
+breaks).  A span is a run of several consecutive sentences; spans are joined
+globally on a 128-bit hash of their words and sentence ends, and every sentence
+covered by a span that is not the first of its kind is removed.  A run of more
+than two sentences repeats only where each two neighbours in it do, and then
+these cover it, so the runs of two are hashed and stand for all longer ones.  A
+sentence of ``long`` words or more is a span by itself.  Covered sentences in a
+row go if they have ``words`` words together, so that common short phrases stay.
 
 Only hashes and places are shuffled.  Half of each hash is counted first, combined
 before the shuffle; spans are joined with the repeated halves, one row each, which
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from hiretide.llm.common import column_bytes, map_rows
 from hiretide.operators.scratch import materialise
 
-SENTENCES = 2
+#: Words that sentences removed in a row have at least.
 WORDS = 20
+#: Words of a sentence that is a span alone.
+LONG = 50
 _END = re.compile(rb"(?<=[.!?])[ \t]+|[\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*")
 
 
@@ -42,19 +47,16 @@ def sentence_bounds(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def spans_of(text: bytes | None, sentences: int = SENTENCES, words: int = WORDS) -> tuple[list[int], list[int], np.ndarray, int]:
+def spans_of(text: bytes | None, long: int = LONG) -> tuple[list[int], list[int], np.ndarray, int]:
     """First sentence, sentence after the last and hash of each span, and how many sentences there are."""
     bounds = sentence_bounds(text) if text else []
     split = [text[a:b].lower().split() for a, b in bounds]
-    if not split:
-        return [], [], np.empty((0, 2), np.int64), 0
-    total = np.concatenate([[0], np.cumsum([len(s) for s in split])])
-    first = np.arange(len(split))
-    end = np.maximum(first + sentences, np.searchsorted(total, total[:-1] + words))
-    inside = end <= len(split)
-    first, end = first[inside].tolist(), end[inside].tolist()
     joined = [b" ".join(s) for s in split]
-    hashes = b"".join([xxhash.xxh3_128_digest(b" ".join(joined[a:b])) for a, b in zip(first, end)])
+    alone = [i for i, s in enumerate(split) if len(s) >= long]
+    first = [*range(len(split) - 1), *alone]
+    end = [*range(2, len(split) + 1), *(i + 1 for i in alone)]
+    digest = xxhash.xxh3_128_digest
+    hashes = b"".join([*(digest(b"%s\n%s" % pair) for pair in zip(joined, joined[1:])), *(digest(joined[i]) for i in alone)])
     return first, end, np.frombuffer(hashes, np.int64).reshape(-1, 2), len(split)
 
 
@@ -75,13 +77,13 @@ def without(text: bytes, gone: list[int]) -> bytes:
 _SPANS = "spans array<struct<first: int, end: int, h1: bigint, h2: bigint>>"
 
 
-def repeated_spans(docs: DataFrame, doc_id: str, text: str = "text", sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str, text: str = "text", long: int = LONG) -> DataFrame:
     """``(_id, _hash, removed)`` of the texts that repeat something: their non-first spans ``[first, end)`` in sentence positions.
 
     A text is told by its id and the hash of its whole; the first of several equal spans has the smallest (id, hash, position).
     """
     def cut(batch: pa.RecordBatch) -> dict[str, object]:
-        found = [spans_of(t, sentences, words) for t in column_bytes(batch, "text")]
+        found = [spans_of(t, long) for t in column_bytes(batch, "text")]
         ends = np.cumsum([0] + [len(f[0]) for f in found])
         hashes = np.concatenate([f[2] for f in found]) if found else np.empty((0, 2), np.int64)
         flat = pa.StructArray.from_arrays(
@@ -110,23 +112,31 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def _long_enough(text: bytes | None, runs: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """The runs of sentences that have so many words."""
+    if not runs:
+        return []
+    sizes = [len(text[a:b].split()) for a, b in sentence_bounds(text)]
+    return [(a, b) for a, b in runs if sum(sizes[a:b]) >= words]
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, long: int = LONG) -> DataFrame:
     """Every row, its text without what repeats, with ``n_removed`` sentences and their ``removed`` runs ``[first, end)``.
 
     The first occurrence is the one with the smallest id (null before all), then text hash, then position; it stays,
     repeats within a text go like others.  Rows alike in id and text are one document and keep the same.  Null texts
-    stay null, texts without a span (few words, one sentence) stay as they are, a text of repeats only becomes empty.
+    stay null, texts without a span (one sentence of few words) stay as they are, a text of repeats only becomes empty.
     """
     shared = {c: f"__{c}" for c in docs.columns if c in ("n_removed", "removed", "_id", "_hash")}
     names = [shared.get(c, c) for c in docs.columns]
     doc_id, text, docs_ = shared.get(doc_id, doc_id), shared.get(text, text), docs.withColumnsRenamed(shared)
-    found = repeated_spans(docs_, doc_id, text, sentences, words)
+    found = repeated_spans(docs_, doc_id, text, long)
     joined = docs_.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left").drop("_id", "_hash")
 
     def drop(batch: pa.RecordBatch) -> dict[str, object]:
         texts, runs, counts = [], [], []
         for t, spans in zip(column_bytes(batch, text), batch.column("removed").to_pylist()):
-            own = _merged(spans or [])
+            own = _long_enough(t, _merged(spans or []), words)
             runs.append([{"first": a, "end": b} for a, b in own])
             counts.append(sum(b - a for a, b in own))
             texts.append(without(t, [i for a, b in own for i in range(a, b)]) if own else t)
