@@ -33,7 +33,6 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 CALIBRATION = 5  # one shard-th of the sample calibrates
 UNKNOWN = "und"
-MIN_SCORE = 0.5
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _CHUNK = 1 << 20
 
@@ -216,7 +215,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
     return map_rows(docs, run, f"`{lang}` string, `{score}` double", drop)
 
 
-def identified_only(docs: DataFrame, model: Model, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents in a language the model knows with at least ``min_score``; columns as given."""
+def identified_only(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The documents in a language the model knows; columns as given.
+
+    Rejected are texts that are null or hold no letter; ``min_score`` would reject unsure predictions as well, which
+    short and mixed but clean documents are.
+    """
     found = identify(docs, model, text, "_lang_pred", "_lang_score")
     return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= min_score)).select(*docs.columns)
