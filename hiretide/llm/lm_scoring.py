@@ -44,7 +44,7 @@ ROUNDS = 30
 ADD = 0.1
 END = b"\n"
 #: Text whose words, pairs and triples are looked up together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Keys in a range, at most and on average.
 RANGE_KEYS = 1 << 21
 #: Bits of a pair's or triple's key beyond those that number them.
