@@ -82,7 +82,7 @@ def digest(chunks: DataFrame, by: list[str], run_label: Column, run_date: Column
     )
     head = F.concat(
         F.lit("<div><h1>New data engineering postings</h1><p>"), F.col("total").cast("string"),
-        F.lit(f" new openings · {n_companies} companies monitored</p><p>Total "), F.col("total").cast("string"),
+        F.lit(f" postings not seen before, from a watch list of {n_companies}</p><p>Total "), F.col("total").cast("string"),
         F.lit(" · Senior "), F.col("senior").cast("string"), F.lit(" · Mid-Level "), F.col("mid").cast("string"),
         F.lit(" · Entry Level "), F.col("entry").cast("string"), F.lit("</p>"),
     )
@@ -102,7 +102,7 @@ def empty_digest(runs: DataFrame, run_label: Column, run_date: Column, n_compani
         zero.alias("total"), zero.alias("senior"), zero.alias("mid"), zero.alias("entry"),
         F.lit(
             "<div><h1>No new postings</h1>"
-            f"<p>All {n_companies} companies were checked.</p></div>"
+            f"<p>Nothing changed at the {n_companies} on the watch list.</p></div>"
         ).alias("html"),
     )
 

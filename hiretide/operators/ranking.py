@@ -97,24 +97,64 @@ def number_rows(df: DataFrame, sort: list[Column], label: str = "numbered") -> D
     )
 
 
-def chunk_rows(df: DataFrame, order: list[str], by: list[str] | None = None, size: int = V.CHUNK_SIZE) -> DataFrame:
-    """Add ``rn``, ``chunk_no`` and ``n_chunks`` in level order, per group.
+#: Rows that are numbered together, on average.
+RANGE_ROWS = 10_000
+
+
+def _matching(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of ``side``, which has one row per value of the keys; nulls match."""
+    other = side.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return df.join(other, on).drop(*[f"__k_{k}" for k in keys])
+
+
+def number_by_level(df: DataFrame, order: list[str], by: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``rn`` (0-based place in level order, per group of ``by``) and ``n_total`` (rows of the group).
 
-    Groups (runs) are numbered in one global pass: a row's position in its
-    group is its global position minus the group's first one.
+    Two-level prefix sums, without a written copy.  Rows fall into groups of
+    level and the leading columns of ``order``, and a group into ranges of the
+    first whole-number column after these, as wide as leaves some ``range_rows``
+    to each, so that a company owning a third of the rows is many ranges.  Rows
+    are numbered inside their range; counts per range, which combine before they
+    are shuffled, are summed up inside a level, and levels inside a group.
     """
     by = by or []
-    numbered = number_rows(df, [*[F.col(c) for c in by], *by_level(df, order)])
-    if by:
-        bounds = numbered.groupBy(*by).agg(F.min("rn").alias("__start"), F.count("*").alias("__n"))
-        numbered = numbered.drop("n_total").join(bounds, by)
-        numbered = numbered.withColumn("rn", F.col("rn") - F.col("__start")).drop("__start")
+    whole = {f.name for f in df.schema if f.dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")}
+    line = next((c for c in order if c in whole), None)
+    lead = ["__rank", *order[: order.index(line)]] if line else ["__rank", *order]
+    keys = [*by, *lead]
+    rows = df.withColumn("__rank", level_rank("level"))
+    if line:
+        span = F.max(line).cast("decimal(20,0)") - F.min(line) + 1
+        width = F.greatest(F.lit(1), F.ceil(span * range_rows / F.count("*"))).cast("decimal(20,0)")
+        bounds = rows.groupBy(*keys).agg(F.min(line).alias("__low"), width.alias("__width"))
+        rows = _matching(rows, bounds, keys).withColumn(
+            "__range", F.coalesce(F.floor((F.col(line).cast("decimal(20,0)") - F.col("__low")) / F.col("__width")).cast("long"), F.lit(-1))
+        ).drop("__low", "__width")
     else:
-        numbered = numbered.withColumnRenamed("n_total", "__n")
+        rows = rows.withColumn("__range", F.lit(0).cast("long"))
+    ranges = rows.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    levels = ranges.groupBy(*by, "__rank").agg(F.sum("__n").alias("__m"))
+    # a row a level: a handful in each group
+    earlier = W.partitionBy(*by).orderBy("__rank").rowsBetween(W.unboundedPreceding, -1)
+    levels = levels.select(
+        *by, "__rank", F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__level_off"), F.sum("__m").over(W.partitionBy(*by)).alias("n_total")
+    )
+    before = W.partitionBy(*by, "__rank").orderBy(*lead[1:], "__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranges.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    offsets = _matching(offsets, levels, [*by, "__rank"])
+    inside = W.partitionBy(*keys, "__range").orderBy(*order)
+    placed = _matching(rows.withColumn("__at", F.row_number().over(inside) - 1), offsets, [*keys, "__range"])
+    return placed.withColumn("rn", F.col("__level_off") + F.col("__off") + F.col("__at")).drop("__rank", "__range", "__at", "__off", "__level_off")
+
+
+def chunk_rows(df: DataFrame, order: list[str], by: list[str] | None = None, size: int = V.CHUNK_SIZE) -> DataFrame:
+    """Add ``rn``, ``chunk_no`` and ``n_chunks`` in level order, per group."""
     return (
-        numbered.withColumn("chunk_no", F.floor(F.col("rn") / size).cast("long"))
-        .withColumn("n_chunks", F.ceil(F.col("__n") / size).cast("long"))
-        .drop("__n")
+        number_by_level(df, order, by)
+        .withColumn("chunk_no", F.floor(F.col("rn") / size).cast("long"))
+        .withColumn("n_chunks", F.ceil(F.col("n_total") / size).cast("long"))
+        .drop("n_total")
     )
 
 

@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hiretide.functions import entities
@@ -179,3 +180,32 @@ def with_elements(pages: DataFrame, html: str, selectors: list[str], tree: bool)
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "page_text", "els"])
 
     return pages.mapInArrow(run, schema)
+
+
+class _PageElements:
+    """One row per element of a page that fits one of the selectors, in document order."""
+
+    read_paths = staticmethod(css.paths)  # the function travels with the class, its module would have to be there
+
+    def __init__(self) -> None:
+        self.paths: dict[tuple, list] = {}
+
+    def eval(self, html: str, selectors: list[str], tree: bool) -> Iterator[tuple]:
+        key = tuple(selectors or ())
+        if key not in self.paths:
+            self.paths[key] = [self.read_paths(s) for s in key]
+        page_text, rows = parse_page(html, self.paths[key], bool(tree))
+        for row in rows:
+            # unlike in the array of a page, an element has its own text with it: rows are read one by one
+            yield (*(row[f] for f in _FIELDS[:6]), page_text[row["t0"]:row["t1"]].strip(), row["t0"], row["t1"])
+
+
+def register_sql(spark: SparkSession, name: str = "page_elements") -> None:
+    """Make the tokeniser a table function of SQL.
+
+    ``SELECT .. FROM pages, LATERAL page_elements(html, array('a', 'li.job'), false)``; the columns are those of an
+    element, ``hits`` are places in the array of selectors, and a page without an element that fits has no row.  A null
+    page is an empty one.  With ``tree`` all elements come, hit or not.  Rows travel by Arrow.
+    """
+    fields = T._parse_datatype_string(ELEMENT).fields
+    spark.udtf.register(name, F.udtf(_PageElements, returnType=T.StructType(fields), useArrow=True))

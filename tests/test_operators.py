@@ -166,3 +166,26 @@ def test_scratch_tables_can_be_dropped(spark):
     scratch.drop(path)
     with pytest.raises(Exception):
         spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("range_rows", [7, 10_000])
+def test_numbers_by_level_without_a_written_copy(spark, leveled, range_rows):
+    rows, df = leveled
+    for by in ([], ["run"]):
+        numbered = ranking.number_by_level(df, ["company", "seq"], by, range_rows)
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan and "RangePartitioning" not in plan and "rangepartitioning" not in plan
+        groups = {}
+        for r in sorted(rows, key=lambda r: (V.LEVEL_ORDER.get(r[2], V.LEVEL_ORDER_DEFAULT), r[1], r[0])):
+            groups.setdefault(r[3] if by else 0, []).append(r[0])
+        want = {seq: (i, len(g)) for g in groups.values() for i, seq in enumerate(g)}
+        assert {r.seq: (r.rn, r.n_total) for r in numbered.collect()} == want
+
+
+def test_numbers_with_nulls_and_without_a_number_column(spark):
+    rows = [("Mid-Level", None, None), ("Mid-Level", None, 3), ("Mid-Level", "a", 2), ("Mid-Level", "a", 2**62), (None, "b", 1), ("Mid-Level", "a", -(2**62))]
+    df = spark.createDataFrame(rows, "level string, company string, seq long")
+    got = {(r.company, r.seq): r.rn for r in ranking.number_by_level(df, ["company", "seq"], range_rows=1).collect()}
+    assert got == {(None, None): 0, (None, 3): 1, ("a", -(2**62)): 2, ("a", 2): 3, ("a", 2**62): 4, ("b", 1): 5}
+    assert sorted(r.rn for r in ranking.number_by_level(df, ["company"]).collect()) == list(range(6))
+    assert ranking.number_by_level(df.limit(0), ["company", "seq"]).collect() == []

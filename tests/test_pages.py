@@ -212,3 +212,43 @@ def test_every_selector_parses():
             assert all(step.tag or step.classes or step.attrs or step.nth or step.last for p in paths(s) for step in p.steps)
         if rules in LINKS.values() and anchor_only(rules):
             assert all(re.compile(t) for s in selectors_of(rules) for t in own_tag_regexes(s))
+
+
+def test_tokeniser_in_sql_gives_the_same_elements(spark):
+    """All selectors of all sites, over pages that hold what they look for and what they do not."""
+    from hiretide.sources import selectors as css, tokeniser
+    from workloads import derive as X
+
+    names = sorted({s for rules in [*css.LINKS.values(), *css.CARDS.values()] for s in selectors_in(rules)})
+    assert len(names) > 40
+    pages = X.table(spark, "/root/testdata/sf0.001", "pages").select("page_id", "html").unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, "<li class=job><a href=/x>T <b>x</b></a><li>y")], "page_id long, html string"))
+    pages.createOrReplaceTempView("both_ways")
+    tokeniser.register_sql(spark)
+    listed = ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
+    for tree in (False, True):
+        sql = spark.sql(f"SELECT page_id, e.* FROM both_ways, LATERAL page_elements(html, array({listed}), {str(tree).lower()}) e")
+        frame = tokeniser.with_elements(pages, "html", names, tree).selectExpr("page_id", "page_text", "explode(els) AS e").selectExpr(
+            "page_id", "e.tag", "e.hits", "e.at", "e.parent", "e.n_below", "e.href",
+            "trim(substring(page_text, e.t0 + 1, e.t1 - e.t0)) AS text", "e.t0", "e.t1")
+        assert sorted(map(repr, sql.collect())) == sorted(map(repr, frame.collect()))
+
+
+def selectors_in(rules):
+    """Every selector a site's rules name, wherever it stands in them."""
+    import dataclasses
+
+    found = []
+
+    def walk(value, name=""):
+        if dataclasses.is_dataclass(value):
+            for f in dataclasses.fields(value):
+                walk(getattr(value, f.name), f.name)
+        elif isinstance(value, (tuple, list)):
+            for v in value:
+                walk(v, name)
+        elif isinstance(value, str) and ("selector" in name or "pattern" in name):
+            found.append(value)
+
+    walk(rules)
+    return found

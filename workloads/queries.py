@@ -915,7 +915,7 @@ SELECT row_number() OVER (ORDER BY {S.level_rank('level')}, company, seq) - 1 AS
 def sort_by_level(spark, sf_dir):
     """The global order made visible as row numbers."""
     wanted = _wanted(spark, sf_dir).select("level", "company", "seq")
-    return ranking.number_rows(wanted, ranking.by_level(wanted, ["company", "seq"])).select("rn", "level", "company", "seq")
+    return ranking.number_by_level(wanted, ["company", "seq"]).select("rn", "level", "company", "seq")
 
 
 @query("chunk_rows", S.ctes(S.P, S.D, S.N, S.W, _CHUNKS) + """
@@ -1078,12 +1078,12 @@ _DIGEST_SQL = f"""SELECT {SQL_TS.format('run_ts')} AS run, chunk_no, n_chunks,
     || CASE WHEN n_chunks > 1 THEN ' (' || (chunk_no + 1) || '/' || n_chunks || ')' ELSE '' END
     || ': ' || total || ' new postings, ' || strftime(run_ts, '%b %d, %Y') AS subject,
   total, senior, mid, entry,
-  '<div><h1>New data engineering postings</h1><p>' || total || ' new openings · {MONITORED} companies monitored</p><p>Total '
+  '<div><h1>New data engineering postings</h1><p>' || total || ' postings not seen before, from a watch list of {MONITORED}</p><p>Total '
     || total || ' · Senior ' || senior || ' · Mid-Level ' || mid || ' · Entry Level ' || entry || '</p>' || html || '</div>' AS html
 FROM sk JOIN sx USING (run_ts, chunk_no)
 UNION ALL SELECT {SQL_TS.format('run_ts')}, 0, 0,
   CASE WHEN hour(run_ts) < 12 THEN 'Morning (9 AM)' ELSE 'Evening (6 PM)' END || ': nothing new, ' || strftime(run_ts, '%b %d, %Y'), 0, 0, 0, 0,
-  '<div><h1>No new postings</h1><p>All {MONITORED} companies were checked.</p></div>'
+  '<div><h1>No new postings</h1><p>Nothing changed at the {MONITORED} on the watch list.</p></div>'
 FROM (SELECT DISTINCT run_ts FROM p) WHERE run_ts NOT IN (SELECT run_ts FROM ch)"""
 
 

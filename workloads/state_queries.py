@@ -1,4 +1,4 @@
-"""Queries over the seen state: streams, replays in parts, the bucketed table, counters."""
+"""Queries over streams, the seen state, counters, and the tokeniser in SQL."""
 
 from __future__ import annotations
 
@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from hiretide.operators import dedup, ranking, reports, seen_table
 from hiretide.operators.normalize import build_posting, posting_filter
 from hiretide.operators.scratch import materialise, overwrite_bytes, scratch_path
+from hiretide.sources import tokeniser
 from hiretide.streaming import seen_stream
 from workloads import derive as X
 from workloads import sql as S
-from workloads.queries import _LIVE, _NOW, _NOW_AT, _SPLIT, ROLE, SQL_TS, CA, _normal, _split, _wanted, K, query, text_ts
+from workloads.queries import _LIVE, _NOW, _NOW_AT, _PAGE_ANCHORS, _SPLIT, ROLE, SQL_TS, CA, _normal, _split, _wanted, K, query, text_ts
 
 _EMITTED = "SELECT fp, strftime(run_ts, '%Y-%m-%d %H:%M:%S') AS run, seq, title, company, location, category FROM h"
 _FIELDS = ["fp", "run", "seq", "title", "company", "location", "category"]
@@ -104,3 +105,16 @@ def corrupt_state_as_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = dedup.read_state(spark, path, corrupt="empty")
     fresh, _ = dedup.dedup_run(batch.drop("fp"), seen, _NOW_AT, ["company", "seq"])
     return fresh.select("fp", F.lit(True).alias("emitted"))
+
+
+@query("src_elements_lateral", f"""WITH {_PAGE_ANCHORS},
+h AS (SELECT page_id, 'h1' AS tag, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS txt FROM pages WHERE html LIKE '%<h1>%')
+SELECT page_id, 'a' AS tag, href, {S.strip('txt')} AS txt FROM pa
+UNION ALL SELECT page_id, tag, NULL, {S.strip("replace(txt, '&amp;', '&')")} FROM h""")
+def src_elements_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and headings of the driver's pages by the table function, in SQL."""
+    tokeniser.register_sql(spark)
+    X.table(spark, sf_dir, "pages").createOrReplaceTempView("landed_pages")
+    return spark.sql("""
+        SELECT page_id, tag, CASE WHEN tag = 'a' THEN href END AS href, text AS txt
+        FROM landed_pages, LATERAL page_elements(html, array('a', 'h1'), false)""")
