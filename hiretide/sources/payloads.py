@@ -43,6 +43,8 @@ _COUNTS = {
     "oracle_hcm": lambda b: (F.get(b["items"], F.lit(0))["requisitionList"], F.get(b["items"], F.lit(0))["TotalJobsCount"]),
 }
 
+PAGED = list(_COUNTS)
+
 
 def _fact(source: str) -> Column:
     """(readable, n_items, total) of a JSON body, which is parsed once.
@@ -66,16 +68,22 @@ def _fact(source: str) -> Column:
     return F.transform(F.array(parsed), read)[0]  # binds the parsed body for all that is read from it
 
 
-def payload_facts(raw: DataFrame) -> DataFrame:
-    """What paging, attempts and fallback need to know of each landed body, without it.
+def with_facts(raw: DataFrame) -> DataFrame:
+    """The payloads with ``readable``, ``n_items`` and ``total``; each body is parsed once.
 
-    ``(source, company, attempt, page_no, status, readable, n_items, total)``; one pass, each body parsed once.
     Feeds and pages are readable; a body that did not answer 200 is not looked at.
     """
     other = F.struct(F.lit(True).alias("readable"), F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("total"))
     fact = reduce(lambda c, s: c.when((F.col("status") == 200) & (F.col("source") == s), _fact(s)), BODY, F.when(F.lit(False), other)).otherwise(other)
-    return raw.select("source", "company", "attempt", "page_no", "status", fact.alias("f")).select(
-        "source", "company", "attempt", "page_no", "status", "f.*")
+    return raw.withColumn("__f", fact).select(*raw.columns, "__f.*")
+
+
+def payload_facts(raw: DataFrame) -> DataFrame:
+    """What paging, attempts and fallback need to know of each landed body, without it; one pass.
+
+    ``(source, company, attempt, page_no, status, readable, n_items, total)``.
+    """
+    return with_facts(raw).select("source", "company", "attempt", "page_no", "status", "readable", "n_items", "total")
 
 
 def items(raw: DataFrame, source: str, path) -> DataFrame:
@@ -195,6 +203,16 @@ def assemble_pages(rows: DataFrame, plan: DataFrame, by: list[str]) -> DataFrame
     return kept.drop("keep_to", "available")
 
 
+def assembled(raw: DataFrame, source: str, max_pages: int | None = None) -> DataFrame:
+    """The payloads of one source that its attempts and its paging loop would have read."""
+    own = raw.filter(F.col("source") == source)
+    facts = payload_facts(own)
+    read = pick_attempt(own, facts, ["company"])
+    if source not in _COUNTS:
+        return read
+    return assemble_pages(read, page_plan(page_facts(facts, source), source, max_pages=max_pages), ["company"])
+
+
 # --- fallback ---------------------------------------------------------------
 
 def primary_else_fallback(primary: DataFrame, fallback: DataFrame, answered: DataFrame) -> DataFrame:

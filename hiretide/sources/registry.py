@@ -39,7 +39,7 @@ EXTRACTORS: dict[str, Extractor] = {
     "shopify": embedded.shopify,
     "canadalife": embedded.canadalife,
 }
-PAGED = ["smartrecruiters", "amazon", "oracle_hcm", "netflix", "workday"]
+PAGED = payloads.PAGED
 SITES = [*LINKS, *CARDS, "njoyn"]
 # Structured source -> saved-page site used when it does not answer.
 FALLBACK_SITE = {"workday": "workday_cards", "ibm": "ibm_cards", "meta": "meta_links"}

@@ -142,13 +142,13 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, late_path: str
                 held.filter(F.col("decision") == decision).drop("decision").write.mode("overwrite").parquet(f"{target}/batch={number}")
         held.unpersist()
 
-    _with_rocks(stream.sparkSession, lambda: (
+    with_rocks(stream.sparkSession, lambda: (
         stream.writeStream.foreachBatch(write).outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     ))
 
 
-def _with_rocks(spark: SparkSession, run: Callable[[], None]) -> None:
+def with_rocks(spark: SparkSession, run: Callable[[], None]) -> None:
     """The state store provider is a setting of the session when the query starts; it is put back after."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)

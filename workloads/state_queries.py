@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from hiretide.operators import dedup, ranking, reports, seen_table
+from hiretide import vocab as V
+from hiretide.operators import dedup, reports, seen_table
 from hiretide.operators.normalize import build_posting, posting_filter
 from hiretide.operators.scratch import materialise, overwrite_bytes, scratch_path
-from hiretide.sources import tokeniser
-from hiretide.streaming import seen_stream
+from hiretide.schemas import RAW_PAYLOAD_SCHEMA
+from hiretide.sources import payloads, tokeniser
+from hiretide.streaming import page_stream, seen_stream
 from workloads import derive as X
 from workloads import sql as S
-from workloads.queries import _LIVE, _NOW, _NOW_AT, _PAGE_ANCHORS, _SPLIT, ROLE, SQL_TS, CA, _normal, _split, _wanted, K, query, text_ts
+from workloads.queries import (
+    _LIVE, _NOW, _NOW_AT, _PAGE_ANCHORS, _SPLIT, CA, ROLE, SQL_TS, K, _assembly_sql, _normal, _page_facts_sql, _split, _wanted, query, text_ts,
+)
 
 _EMITTED = "SELECT fp, strftime(run_ts, '%Y-%m-%d %H:%M:%S') AS run, seq, title, company, location, category FROM h"
 _FIELDS = ["fp", "run", "seq", "title", "company", "location", "category"]
@@ -118,3 +124,66 @@ def src_elements_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("""
         SELECT page_id, tag, CASE WHEN tag = 'a' THEN href END AS href, text AS txt
         FROM landed_pages, LATERAL page_elements(html, array('a', 'h1'), false)""")
+
+
+_PAGED = {
+    "smartrecruiters": ('{"totalFound":', ',"content":', "}"), "oracle_hcm": ('{"items":[{"TotalJobsCount":', ',"requisitionList":', "}]}"),
+    "workday": ('{"total":', ',"jobPostings":', "}"), "netflix": ('{"count":', ',"positions":', "}"),
+}
+
+
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's days as the pages of a company, under four sources; of every third company the first attempt failed."""
+    u, n = F.col("user_id"), F.col("page_no")
+    days = X.table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    pages = days.withColumn("page_no", F.row_number().over(W.partitionBy("user_id").orderBy("day")) - 1)
+    found = []
+    for source, (before, between, after) in _PAGED.items():
+        n_items = F.when((u + n) % 23 == 22, F.lit(0)).otherwise(F.col("n")).cast("int")
+        total = (u % 25 + 1) * V.PAGE_SIZE[source] - u % 3
+        records = F.concat(F.lit("["), F.substring(F.repeat(F.lit(",{}"), n_items), 2, 1 << 30), F.lit("]"))
+        failed = (u * 3 + n) % 17 == 16
+        body = F.concat(F.lit(before), total.cast("string"), F.lit(between), records, F.lit(after))
+        found.append(pages.select(
+            F.lit(source).alias("source"), F.concat(F.lit("User "), u.cast("string")).alias("company"),
+            F.when(u % 3 == 0, F.lit(1)).otherwise(F.lit(0)).alias("attempt"), "page_no",
+            F.when(failed, F.lit(500)).otherwise(F.lit(200)).alias("status"),
+            F.timestamp_seconds(F.lit(1704067200) + n * 60).alias("fetched_at"), F.when(~failed, body).alias("body")))
+    landed = reduce(DataFrame.unionByName, found)
+    missed = landed.filter("attempt = 1 and page_no = 0").withColumns({"attempt": F.lit(0), "status": F.lit(404), "body": F.lit(None).cast("string")})
+    return landed.unionByName(missed)
+
+
+def _landed_sql() -> str:
+    sql = _assembly_sql()
+    for source in _PAGED:
+        size = V.PAGE_SIZE[source]
+        sql = sql.replace(_page_facts_sql(size), f"""f AS (
+  SELECT 'User ' || user_id AS company, page_no, CASE WHEN (user_id * 3 + page_no) % 17 = 16 THEN 500 ELSE 200 END AS status,
+         CASE WHEN (user_id + page_no) % 23 = 22 THEN 0 ELSE n END AS n_items, (user_id % 25 + 1) * {size} - user_id % 3 AS total
+  FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS page_no, n
+        FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)))""")
+    return sql
+
+
+@query("src_page_assembly_stream", _landed_sql())
+def src_page_assembly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that come out of order in three micro-batches; what paging leaves open is settled by time."""
+    path = scratch_path(spark, "page-stream")
+    landed = materialise(landed_pages(spark, sf_dir), "landed")
+    part = F.pmod(F.xxhash64("company", "page_no"), F.lit(3))
+    later = landed.limit(1).withColumns({"company": F.lit("later"), "page_no": F.lit(0), "fetched_at": F.col("fetched_at") + F.expr("INTERVAL 30 DAYS")})
+    for batch in (*(landed.filter(part == n) for n in range(3)), later, later.withColumn("company", F.lit("last"))):
+        batch.write.mode("append").parquet(f"{path}/in")
+        stream = payloads.read_payloads(spark, f"{path}/in", stream=True)
+        page_stream.run_available(page_stream.assemble_stream(stream), f"{path}/out", f"{path}/checkpoint")
+    out = payloads.with_facts(spark.read.schema(RAW_PAYLOAD_SCHEMA).parquet(f"{path}/out")).filter("company like 'User %'")
+    return out.select("source", "company", F.col("page_no").cast("long").alias("page_no"), "n_items")
+
+
+@query("src_page_assembly_landed", _landed_sql())
+def src_page_assembly_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as one landed table, bodies and all."""
+    landed = materialise(landed_pages(spark, sf_dir), "landed")
+    read = reduce(DataFrame.unionByName, [payloads.with_facts(payloads.assembled(landed, source)) for source in _PAGED])
+    return read.select("source", "company", F.col("page_no").cast("long").alias("page_no"), "n_items")
