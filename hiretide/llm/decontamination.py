@@ -3,170 +3,194 @@
 A benchmark item is read as windows of ``window`` consecutive words (one window
 if it has fewer), a window as shingles of three words.  Containing a window
 means containing all its shingles, so for that threshold the necessary prefix
-is its rarest shingle.  Two passes over the documents:
-
-1. how often each benchmark shingle occurs in the corpus, summed in Spark;
-2. where a document has a prefix shingle, the windows it leads are placed there
-   (positional bound), kept if they lie inside the document (length bound) and
-   compared word by word (exact containment).
-
-Words are numbered exactly, not hashed.  The item side is worked in slices of
-bounded size, each a stated query set against all documents; one slice travels
-to the tasks, so nothing is broadcast whose size is not bounded.
+is its rarest shingle.  All of it are Spark tables:
+
+1. distinct windows by their content, and which items have them;
+2. how often each of their shingles occurs in the corpus, combined in the tasks;
+3. each window's rarest shingle, its prefix; a window with a shingle that the
+   corpus lacks is done;
+4. where a document has a prefix, the words around it, joined with the windows on
+   the prefix.  The prefix's place in the window says where the window would
+   begin (positional bound); it has to lie inside the document (length bound)
+   and to be there word by word (exact containment).
+
+Documents look shingles up in a bit map of fixed size first, so only those that
+may be in the benchmark, or lead a window, become rows.  Time follows the number
+of words, repeated ones as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import column_bytes, map_rows, plain_words, slices
+from hiretide.llm.common import column_bytes, map_rows, plain_words, positional, restored, slices
+from hiretide.operators.scratch import materialise
 
 WINDOW = 13
 SHINGLE = 3
-#: Bytes of item text in one slice.
-SLICE_BYTES = 4 << 20
 #: A document is contaminated if at least this share of its words is hit: hits * SHARE >= words.
 SHARE = 20
+#: Blocks of 32768 bits in a bit map, a power of two.
+BLOCKS = 1024
+#: Windows, and bytes of text, worked on at once.
+_WINDOWS = 2048
+_BYTES = 4 << 20
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_keys(texts: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the runs of k words (1 or 3) of all texts, and the place of each run's first word among all words."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    of = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*texts)}
+    w = np.fromiter((of[x] for t in texts for x in t), np.uint64, int(sizes.sum()))
+    if k == 1:
+        return _mix(w, w ^ np.uint64(0xFFFF)).view(np.int64), np.arange(len(w))
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(w))  # words from here to the end of the text
+    at = np.flatnonzero(left >= k)
+    key = w[at]
+    for i in range(1, k):
+        key = _mix(key, w[at + i])
+    return key.view(np.int64), at
+
+
+# --- the benchmark ----------------------------------------------------------
+
+def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
+    """``(item, w1, w2, n, words, keys)``: each window of each item, told by 128 bits of its words."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for item, t in zip(batch.column("item").to_pylist(), column_bytes(batch, "text")):
+                own = plain_words(t)
+                n = min(window, len(own))
+                if not n:
+                    continue
+                k = SHINGLE if n >= SHINGLE else 1
+                keys, _ = shingle_keys([own], k)
+                for at in range(0, len(own) - n + 1, _WINDOWS):
+                    starts = range(at, min(at + _WINDOWS, len(own) - n + 1))
+                    words = [b" ".join(own[i: i + n]) for i in starts]
+                    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
+                    m = len(words)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item] * m, pa.string()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([n] * m, pa.int32()),
+                         pa.array(words, pa.binary()).cast(pa.string()), pa.array([keys[i: i + n - k + 1] for i in starts], pa.list_(pa.int64()))],
+                        names=["item", "w1", "w2", "n", "words", "keys"])
 
-
-@dataclass
-class Slice:
-    """One bounded part of the benchmark, numbered; its windows lie in one array of word numbers."""
-
-    number: dict[bytes, int]  # of each word, from 0
-    items: list[str]  # names, by item position
-    bounds: np.ndarray  # where each item's words begin in ``ids``, and the end
-    ids: np.ndarray
-    shingles: np.ndarray  # sorted distinct shingle codes
-
-    def codes(self, ids: np.ndarray, k: int) -> np.ndarray:
-        """Code of the shingle of k words at each position; one-word codes are negative, so the two kinds never meet."""
-        if k == 1:
-            return -1 - ids
-        base = len(self.number) + 1
-        return (ids[:-2] * base + ids[1:-1]) * base + ids[2:]
-
-
-def read_slice(rows: list[tuple[str, bytes]]) -> Slice:
-    number: dict[bytes, int] = {}
-    items, bounds, ids = [], [0], []
-    for name, text in rows:
-        if words := plain_words(text):
-            items.append(name)
-            ids += [number.setdefault(w, len(number)) for w in words]
-            bounds.append(len(ids))
-    out = Slice(number, items, np.array(bounds), np.array(ids, np.int64), np.empty(0, np.int64))
-    own = [out.codes(x, SHINGLE if len(x) >= SHINGLE else 1) for x in np.split(out.ids, out.bounds[1:-1]) if len(x)]
-    out.shingles = np.unique(np.concatenate(own)) if own else out.shingles
-    return out
-
-
-class Matcher:
-    """Positions of benchmark shingles in a document, and the windows found at them."""
-
-    def __init__(self, part: Slice, window: int) -> None:
-        self.part, self.window = part, window
-        self.short = bool(len(part.shingles)) and part.shingles[0] < 0
-        self.long = bool(len(part.shingles)) and part.shingles[-1] >= 0
-
-    def word_ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.part.number.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-    def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shingle positions in the sorted list, and word positions."""
-        shingles = self.part.shingles
-        known = ids >= 0
-        found = []
-        if self.long and len(ids) >= SHINGLE:
-            at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
-            base = len(self.part.number) + 1
-            found.append((at, (ids[at] * base + ids[at + 1]) * base + ids[at + 2]))
-        if self.short:
-            at = np.flatnonzero(known)
-            found.append((at, -1 - ids[at]))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at, code = (np.concatenate(x) for x in zip(*found))
-        place = np.minimum(np.searchsorted(shingles, code), len(shingles) - 1)
-        hit = shingles[place] == code
-        return place[hit], at[hit]
-
-    def lead(self, counts: np.ndarray) -> None:
-        """Index every window by its rarest shingle, the prefix that containment needs."""
-        part = self.part
-        rarity = np.empty(len(counts), np.int64)
-        rarity[np.lexsort((part.shingles, counts))] = np.arange(len(counts))
-        shingle, start, offset, item = [], [], [], []
-        for nth, (first, end) in enumerate(zip(part.bounds[:-1].tolist(), part.bounds[1:].tolist())):
-            length = min(self.window, end - first)
-            k = SHINGLE if end - first >= SHINGLE and length >= SHINGLE else 1
-            place = np.searchsorted(part.shingles, part.codes(part.ids[first:end], k))
-            rarest = np.lib.stride_tricks.sliding_window_view(rarity[place], length - k + 1).argmin(axis=1)
-            starts = np.arange(len(rarest))
-            shingle.append(place[starts + rarest])
-            start.append(first + starts)
-            offset.append(rarest)
-            item.append(np.full(len(starts), nth))
-        if shingle:
-            order = np.argsort(np.concatenate(shingle), kind="stable")
-            self.led, self.start, self.offset, self.item = (np.concatenate(x)[order] for x in (shingle, start, offset, item))
-        else:
-            self.led = self.start = self.offset = self.item = np.empty(0, np.int64)
-        self.first = np.searchsorted(self.led, np.arange(len(counts) + 1))
-
-    def windows_in(self, ids: np.ndarray) -> tuple[np.ndarray, set[int]]:
-        """Which words are inside an occurrence, and the items that have one."""
-        hit, items = np.zeros(len(ids) + 1, np.int64), set()
-        place, at = self.occurrences(ids)
-        begin, end = self.first[place], self.first[place + 1]
-        lead = np.flatnonzero(end > begin)
-        bounds, own = self.part.bounds, self.part.ids
-        for x in lead.tolist():
-            for w in range(int(begin[x]), int(end[x])):
-                where, nth = int(at[x] - self.offset[w]), int(self.item[w])
-                first = int(self.start[w])
-                length = min(self.window, int(bounds[nth + 1] - first))
-                if where >= 0 and where + length <= len(ids) and np.array_equal(ids[where:where + length], own[first:first + length]):
-                    hit[where] += 1
-                    hit[where + length] -= 1
-                    items.add(nth)
-        return np.cumsum(hit[:-1]) > 0, items
-
-
-def _slices(benchmark: DataFrame, item_id: str, text: str) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
-    """How many, and the bounded parts of the items, by a hash of the row; one item of any length is never split."""
     named = benchmark.where(F.col(text).isNotNull()).select(
-        F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("binary").alias("text")
-    ).distinct()
-    size = named.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-size // SLICE_BYTES))
-    parts = (named.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else named for k in range(n))
-    return n, ([(r["item"], bytes(r["text"])) for r in part.collect()] for part in parts)
+        F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("string").alias("text")).distinct()
+    return named.mapInArrow(cut, "item string, w1 bigint, w2 bigint, n int, words string, keys array<bigint>")
+
+
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """The keys (column ``key``) as a bit map of fixed size: its blocks are all the driver sees."""
+    block = F.shiftrightunsigned("key", 64 - (BLOCKS.bit_length() - 1))
+    bits = np.zeros((BLOCKS, 4096), np.uint8)
+    found = keys.select(block.alias("block"), F.col("key").bitwiseAND(F.lit(32767)).alias("bit"))
+    for r in found.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.ravel()
+
 
+def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    unsigned = keys.view(np.uint64)
+    block = unsigned >> np.uint64(64 - (BLOCKS.bit_length() - 1))
+    bit = unsigned & np.uint64(32767)
+    return (bits[block * np.uint64(4096) + (bit >> np.uint64(3))] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-def _counts(docs: DataFrame, text: str, matcher: Matcher) -> np.ndarray:
-    """Occurrences of each benchmark shingle over all documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(matcher.part.shingles), np.int64)
+# --- the documents ----------------------------------------------------------
+
+def _some(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The words of texts in a row, some megabytes at a time, with the first one's number."""
+    held, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(plain_words(t))
+        size += len(t or b"")
+        if size >= _BYTES:
+            yield first, held
+            held, size, first = [], 0, i + 1
+    if held:
+        yield first, held
+
+
+def _occurrences(docs: DataFrame, shared, sizes: list[int]) -> DataFrame:
+    """``(key, n)``: how often shingles that may be in the benchmark occur in the texts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            for words in map(plain_words, column_bytes(batch, text)):
-                place, _ = matcher.occurrences(matcher.word_ids(words))
-                np.add.at(total, place, 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["shingle", "n"])
+            for _, words in _some(column_bytes(batch, "text")):
+                for k in sizes:
+                    keys, _ = shingle_keys(words, k)
+                    keys, n = np.unique(keys[in_map(shared.value, keys)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
-    counts = np.zeros(len(matcher.part.shingles), np.int64)
-    found = docs.select(text).mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toPandas()
-    counts[found["shingle"].to_numpy(np.int64)] = found["n"]
-    return counts
+    return docs.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _candidates(docs: DataFrame, shared, sizes: list[int], window: int) -> DataFrame:
+    """``(h, key, at, first, around)``: where a text may have a prefix, the words around it and the place of the first of them."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = batch.column("h")
+            for number, words in _some(column_bytes(batch, "text")):
+                begin = np.cumsum([0] + [len(w) for w in words])
+                for k in sizes:
+                    keys, at = shingle_keys(words, k)
+                    hit = np.flatnonzero(in_map(shared.value, keys))
+                    for part in np.split(hit, range(_WINDOWS, len(hit), _WINDOWS)):
+                        text = np.searchsorted(begin, at[part], "right") - 1
+                        place = at[part] - begin[text]
+                        first = np.maximum(place - window + k, 0)
+                        around = [b" ".join(words[t][f: p + window]) for t, f, p in zip(text.tolist(), first.tolist(), place.tolist())]
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(text + number)), pa.array(keys[part]), pa.array(place), pa.array(first), pa.array(around, pa.binary()).cast(pa.string())],
+                            names=["h", "key", "at", "first", "around"])
+
+    return docs.select("h", "text").mapInArrow(find, "h binary, key bigint, at bigint, first bigint, around string")
+
+
+def prefixes(windows: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """``(key, offset, w1, w2, n, words)``: each window's rarest shingle and its place; windows with one that never occurs are left out."""
+    contents = windows.groupBy("w1", "w2").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.first("keys").alias("keys"))
+    shingles = contents.select("w1", "w2", F.posexplode("keys").alias("offset", "key"))
+    rarest = shingles.join(occurrences, "key", "left").groupBy("w1", "w2").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "offset")).alias("r"))
+    return rarest.where("r.n > 0").join(contents.drop("keys"), ["w1", "w2"]).select("r.key", "r.offset", "w1", "w2", "n", "words")
+
+
+def text_id(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text)))
+
+
+def found_windows(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """``(h, starts, items)`` of the texts, told by ``h``, that have a window: where windows begin and their words, sorted items."""
+    spark = docs.sparkSession
+    windows = materialise(benchmark_windows(benchmark, item_id, item_text, window), "windows")
+    sizes = [SHINGLE] + [1] * (not windows.where(F.col("n") < SHINGLE).isEmpty())
+    texts = docs.select(text_id(text).alias("h"), F.col(text).alias("text")).where("text is not null")
+    every = spark.sparkContext.broadcast(bit_map(windows.select(F.explode("keys").alias("key"))))
+    leads = materialise(prefixes(windows, materialise(_occurrences(texts, every, sizes), "occurrences")), "prefixes")
+    leading = spark.sparkContext.broadcast(bit_map(leads.select("key")))
+    met = materialise(_candidates(texts, leading, sizes, window), "candidates").join(leads, "key")
+    start = F.col("at") - F.col("offset")
+    there = F.array_join(F.slice(F.split("around", " "), (start - F.col("first") + 1).cast("int"), F.col("n")), " ")
+    # copies of a text and repeats inside it say the same
+    hits = met.where(start >= F.col("first")).where(there == F.col("words")).select("h", start.alias("start"), "n", "w1", "w2").distinct()
+    hits = materialise(hits, "hits")
+    starts = hits.groupBy("h").agg(F.collect_set(F.struct("start", "n")).alias("starts"))
+    owners = windows.select("w1", "w2", "item").distinct()
+    named = hits.select("h", "w1", "w2").distinct().join(owners, ["w1", "w2"]).groupBy("h").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return starts.join(named, "h")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
@@ -175,39 +199,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     spans are the runs of hit words, ``[first, end)`` in word positions.  Null, empty and wordless texts have no
     words and are clean.  Items without words match nothing, repeated items count once, a null item id is called
-    ``null``.  Without items every document is clean.
+    ``null``.  Without items every document is clean.  Columns named like an output are replaced by it.
     """
-    added = "n_words bigint, items array<string>, spans array<struct<first: bigint, end: bigint>>"
-    out, rounds = docs, 0
-    n_slices, parts = _slices(benchmark, item_id, item_text)
-    for rows in parts:
-        matcher = Matcher(read_slice(rows), window)
-        matcher.lead(_counts(docs, text, matcher) if len(matcher.part.shingles) else np.empty(0, np.int64))
-
-        def find(batch: pa.RecordBatch, matcher: Matcher = matcher, rounds: int = rounds) -> dict[str, object]:
-            n, items, spans = [], [], []
-            earlier = (batch.column("items").to_pylist(), batch.column("spans").to_pylist()) if rounds else None
-            for row, words in enumerate(map(plain_words, column_bytes(batch, text))):
-                hit, own = matcher.windows_in(matcher.word_ids(words))
-                names = {matcher.part.items[i] for i in own}
-                if earlier:
-                    names.update(earlier[0][row])
-                    for s in earlier[1][row]:
-                        hit[s["first"]:s["end"]] = True
-                edges = np.flatnonzero(np.diff(np.r_[False, hit, False])) if names else np.empty(0, np.int64)
-                n.append(len(words))
-                items.append(sorted(names))
-                spans.append([{"first": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
-            return {"n_words": n, "items": items, "spans": spans}
-
-        last = not keep_text and rounds + 1 == n_slices
-        out = map_rows(out, find, added, [text] if last else [])
-        rounds += 1
+    plain, names = positional(docs)
+    text_ = names[text]
+    found = materialise(found_windows(plain, text_, benchmark, item_id, item_text, window), "found")
+    joined = plain.withColumn("h", text_id(text_)).join(found, "h", "left").drop("h")
+
+    def finish(batch: pa.RecordBatch) -> dict[str, object]:
+        n, spans = [], []
+        for t, starts in zip(column_bytes(batch, text_), batch.column("starts")):
+            n.append(len(plain_words(t)))
+            runs: list[dict] = []
+            for s in sorted((x["start"], x["start"] + x["n"]) for x in starts.as_py() or []):
+                if runs and s[0] <= runs[-1]["end"]:
+                    runs[-1]["end"] = max(runs[-1]["end"], s[1])
+                else:
+                    runs.append({"first": s[0], "end": s[1]})
+            spans.append(runs)
+        return {"n_words": n, "spans": spans}
+
+    out = map_rows(joined, finish, "n_words bigint, spans array<struct<first: bigint, end: bigint>>", ["starts"] + [text_] * (not keep_text))
     hits = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["first"])
-    return out.select(
-        *out.columns, hits.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-        ((hits > 0) & (hits * share >= F.col("n_words"))).alias("contaminated"),
-    )
+    out = out.withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "n_hit": hits})
+    out = out.withColumns({"n_items": F.size("items").cast("bigint"), "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))})
+    return restored(out, names, ["n_words", "items", "spans", "n_hit", "n_items", "contaminated"])
 
 
 def digest_items(items: str = "items"):

@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 
+import numpy as np
 import pytest
 
 from hiretide.llm import decontamination as D
@@ -52,9 +54,12 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("size", [4 << 20, 1])
-def test_against_brute_force(spark, monkeypatch, size):
-    monkeypatch.setattr(D, "SLICE_BYTES", max(size, 300))
+@pytest.mark.parametrize("small", [False, True])
+def test_against_brute_force(spark, monkeypatch, small):
+    if small:  # everything is worked on in small parts, and the bit map is full
+        monkeypatch.setattr(D, "_WINDOWS", 2)
+        monkeypatch.setattr(D, "_BYTES", 50)
+        monkeypatch.setattr(D, "in_map", lambda bits, keys: np.ones(len(keys), bool))
     items = [("7", ITEM), ("10", "short one"), ("9", "one"), ("11", "the " * 15), ("12", "...",), ("13", ""), ("13", None), ("14", "über É"), ("7", ITEM + " pi"), ("15", "2 3 4 5")]
     check(spark, DOCS, items)
     check(spark, DOCS, items, window=4)
@@ -86,13 +91,30 @@ def test_query_against_brute_force(spark):
         assert r["items_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
-def test_rarest_shingle_leads():
-    part = D.read_slice([("1", b"a b c d e f g")])
-    matcher = D.Matcher(part, 5)
-    import numpy as np
-
-    counts = np.full(len(part.shingles), 9)
-    rare = part.codes(part.ids, 3)[2]
-    counts[np.searchsorted(part.shingles, rare)] = 1
-    matcher.lead(counts)
-    assert matcher.led.tolist() == [int(np.searchsorted(part.shingles, rare))] * 3 and sorted(matcher.offset.tolist()) == [0, 1, 2]
+def test_rarest_shingle_leads(spark):
+    item = spark.createDataFrame([("1", "a b c d e f g")], "item_id string, text string")
+    windows = D.benchmark_windows(item, "item_id", "text", 5)
+    keys, _ = D.shingle_keys([[w.encode() for w in "abcdefg"]], 3)
+    counts = spark.createDataFrame([(int(k), 1 if i == 2 else 9) for i, k in enumerate(keys)], "key long, n long")
+    got = D.prefixes(windows, counts).collect()
+    assert {r["key"] for r in got} == {int(keys[2])} and sorted(r["offset"] for r in got) == [0, 1, 2]
+    # a shingle that the corpus lacks: no window with it can occur
+    assert D.prefixes(windows, counts.where("n < 9")).count() == 0
+
+
+def test_repeated_words_are_linear(spark):
+    """An item and a document of one word, repeated: one window, as many candidates as words."""
+    docs = spark.createDataFrame([(1, "no " * 20_000), (2, "no " * 12)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "no " * 20_000), ("b", "no " * 13), ("c", "no " * 12)], "item_id string, text string")
+    start = time.time()
+    got = {r["doc_id"]: r for r in D.contamination(docs, items, keep_text=False).collect()}
+    assert time.time() - start < 60
+    assert (got[1]["n_hit"], got[1]["items"], got[2]["n_hit"], got[2]["items"]) == (20_000, ["a", "b", "c"], 12, ["c"])
+    assert [tuple(x) for x in got[1]["spans"]] == [(0, 20_000)]
+
+
+def test_bit_map(spark):
+    rng = np.random.default_rng(3)
+    keys, others = (rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64) for n in (5000, 50_000))
+    bits = D.bit_map(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert D.in_map(bits, keys).all() and D.in_map(bits, others).mean() < 0.01
