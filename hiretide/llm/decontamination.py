@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiretide.llm.common import column_bytes, map_rows, plain_words, positional, restored, slices
+from hiretide.llm.common import WORD_BYTES, column_bytes, map_rows, plain_words, positional, restored, slices, worker_state
 from hiretide.operators.scratch import materialise
 
 WINDOW = 13
@@ -40,7 +40,7 @@ SHARE = 20
 BLOCKS = 1024
 #: Windows, and bytes of text, worked on at once.
 _WINDOWS = 2048
-_BYTES = 4 << 20
+_BYTES = 1 << 20
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,19 +49,56 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_keys(texts: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of the runs of k words (1 or 3) of all texts, and the place of each run's first word among all words."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    of = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*texts)}
-    w = np.fromiter((of[x] for t in texts for x in t), np.uint64, int(sizes.sum()))
-    if k == 1:
-        return _mix(w, w ^ np.uint64(0xFFFF)).view(np.int64), np.arange(len(w))
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(w))  # words from here to the end of the text
-    at = np.flatnonzero(left >= k)
-    key = w[at]
-    for i in range(1, k):
-        key = _mix(key, w[at + i])
-    return key.view(np.int64), at
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least n powers; a worker keeps those that usual texts need."""
+    state = worker_state()
+    name = f"powers of {base}"
+    if n > len(state.get(name, ())):
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        out = np.cumprod(out, dtype=np.uint64)
+        if n > 1 << 22:
+            return out
+        state[name] = out
+    return state[name]
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+class Words:
+    """The words of some texts, found and hashed without an object each: places in one buffer."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        self.buffer = b"\n".join([t.translate(WORD_BYTES) if t else b"" for t in texts]) + b"\n"
+        data = np.frombuffer(self.buffer, np.uint8)
+        gap = np.flatnonzero(data <= 32)
+        begin = np.concatenate([[0], gap[:-1] + 1])
+        owner = np.cumsum(data[gap] == 10) - (data[gap] == 10)
+        word = gap > begin
+        self.begin, self.stop, self.owner = begin[word], gap[word], owner[word]
+        self.sizes = np.bincount(self.owner, minlength=len(texts))
+        n = len(data)
+        room = max(1 << 21, 1 << n.bit_length())
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, room)[:n], out=total[1:])
+        # equal words have equal hashes; what meets by hash is compared word by word
+        self.hash = (total[self.stop] - total[self.begin]) * _powers(pow(_BASE, -1, 1 << 64), room)[self.begin]
+
+    def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit keys of the runs of k words (1 or 3) of each text, and the place of each run's first word among all words."""
+        w = self.hash
+        if k == 1:
+            return _mix(w, w ^ np.uint64(0xFFFF)).view(np.int64), np.arange(len(w))
+        at = np.flatnonzero(self.owner[: max(len(w) - k + 1, 0)] == self.owner[k - 1:])
+        key = w[at]
+        for i in range(1, k):
+            key = _mix(key, w[at + i])
+        return key.view(np.int64), at
+
+    def run(self, first: int, end: int) -> bytes:
+        """The words numbered [first, end), with blanks between."""
+        return b" ".join(self.buffer[self.begin[first]: self.stop[end - 1]].split())
 
 
 # --- the benchmark ----------------------------------------------------------
@@ -76,7 +113,7 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int
                 if not n:
                     continue
                 k = SHINGLE if n >= SHINGLE else 1
-                keys, _ = shingle_keys([own], k)
+                keys, _ = Words([b" ".join(own)]).keys(k)
                 for at in range(0, len(own) - n + 1, _WINDOWS):
                     starts = range(at, min(at + _WINDOWS, len(own) - n + 1))
                     words = [b" ".join(own[i: i + n]) for i in starts]
@@ -111,17 +148,17 @@ def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 # --- the documents ----------------------------------------------------------
 
-def _some(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """The words of texts in a row, some megabytes at a time, with the first one's number."""
+def _some(texts: list[bytes | None]) -> Iterator[tuple[int, Words]]:
+    """The words of texts in a row, about a megabyte at a time, with the first one's number."""
     held, size, first = [], 0, 0
     for i, t in enumerate(texts):
-        held.append(plain_words(t))
+        held.append(t)
         size += len(t or b"")
         if size >= _BYTES:
-            yield first, held
+            yield first, Words(held)
             held, size, first = [], 0, i + 1
     if held:
-        yield first, held
+        yield first, Words(held)
 
 
 def _occurrences(docs: DataFrame, shared, sizes: list[int]) -> DataFrame:
@@ -130,7 +167,7 @@ def _occurrences(docs: DataFrame, shared, sizes: list[int]) -> DataFrame:
         for batch in slices(batches):
             for _, words in _some(column_bytes(batch, "text")):
                 for k in sizes:
-                    keys, _ = shingle_keys(words, k)
+                    keys, _ = words.keys(k)
                     keys, n = np.unique(keys[in_map(shared.value, keys)], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
@@ -143,17 +180,19 @@ def _candidates(docs: DataFrame, shared, sizes: list[int], window: int) -> DataF
         for batch in slices(batches):
             ids = batch.column("h")
             for number, words in _some(column_bytes(batch, "text")):
-                begin = np.cumsum([0] + [len(w) for w in words])
+                end = np.cumsum(words.sizes)
+                begin = end - words.sizes
                 for k in sizes:
-                    keys, at = shingle_keys(words, k)
+                    keys, at = words.keys(k)
                     hit = np.flatnonzero(in_map(shared.value, keys))
                     for part in np.split(hit, range(_WINDOWS, len(hit), _WINDOWS)):
-                        text = np.searchsorted(begin, at[part], "right") - 1
-                        place = at[part] - begin[text]
-                        first = np.maximum(place - window + k, 0)
-                        around = [b" ".join(words[t][f: p + window]) for t, f, p in zip(text.tolist(), first.tolist(), place.tolist())]
+                        text = words.owner[at[part]]
+                        low = np.maximum(at[part] - window + k, begin[text])
+                        high = np.minimum(at[part] + window, end[text])
+                        around = [words.run(a, b) for a, b in zip(low.tolist(), high.tolist())]
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(text + number)), pa.array(keys[part]), pa.array(place), pa.array(first), pa.array(around, pa.binary()).cast(pa.string())],
+                            [ids.take(pa.array(text + number)), pa.array(keys[part]), pa.array(at[part] - begin[text]), pa.array(low - begin[text]),
+                             pa.array(around, pa.binary()).cast(pa.string())],
                             names=["h", "key", "at", "first", "around"])
 
     return docs.select("h", "text").mapInArrow(find, "h binary, key bigint, at bigint, first bigint, around string")
@@ -193,6 +232,23 @@ def found_windows(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str
     return starts.join(named, "h")
 
 
+_SPANS = "array<struct<first: bigint, end: bigint>>"
+
+
+def _spans(batch: pa.RecordBatch) -> dict[str, object]:
+    """Overlapping and touching windows as one run of words."""
+    spans = []
+    for starts in batch.column("starts").to_pylist():
+        runs: list[dict] = []
+        for first, end in sorted((x["start"], x["start"] + x["n"]) for x in starts):
+            if runs and first <= runs[-1]["end"]:
+                runs[-1]["end"] = max(runs[-1]["end"], end)
+            else:
+                runs.append({"first": first, "end": end})
+        spans.append(runs)
+    return {"spans": spans}
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, share: int = SHARE, keep_text: bool = True) -> DataFrame:
     """Every column (the text only if asked), with ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids as text), ``spans`` and ``contaminated``.
@@ -203,25 +259,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """
     plain, names = positional(docs)
     text_ = names[text]
-    found = materialise(found_windows(plain, text_, benchmark, item_id, item_text, window), "found")
-    joined = plain.withColumn("h", text_id(text_)).join(found, "h", "left").drop("h")
-
-    def finish(batch: pa.RecordBatch) -> dict[str, object]:
-        n, spans = [], []
-        for t, starts in zip(column_bytes(batch, text_), batch.column("starts")):
-            n.append(len(plain_words(t)))
-            runs: list[dict] = []
-            for s in sorted((x["start"], x["start"] + x["n"]) for x in starts.as_py() or []):
-                if runs and s[0] <= runs[-1]["end"]:
-                    runs[-1]["end"] = max(runs[-1]["end"], s[1])
-                else:
-                    runs.append({"first": s[0], "end": s[1]})
-            spans.append(runs)
-        return {"n_words": n, "spans": spans}
-
-    out = map_rows(joined, finish, "n_words bigint, spans array<struct<first: bigint, end: bigint>>", ["starts"] + [text_] * (not keep_text))
+    found = map_rows(found_windows(plain, text_, benchmark, item_id, item_text, window), _spans, f"spans {_SPANS}", ["starts"])
+    found = materialise(found, "found")
+
+    def count(batch: pa.RecordBatch) -> dict[str, object]:
+        return {"n_words": np.concatenate([w.sizes for _, w in _some(column_bytes(batch, text_))] or [np.empty(0, np.int64)]).astype(np.int64)}
+
+    # the text is counted where it lies; it travels only if it is asked for
+    counted = map_rows(plain.withColumn("h", text_id(text_)), count, "n_words bigint", [] if keep_text else [text_])
+    out = counted.join(found, "h", "left").drop("h")
     hits = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["first"])
-    out = out.withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "n_hit": hits})
+    out = out.withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast(_SPANS))})
+    out = out.withColumn("n_hit", hits)
     out = out.withColumns({"n_items": F.size("items").cast("bigint"), "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))})
     return restored(out, names, ["n_words", "items", "spans", "n_hit", "n_items", "contaminated"])
 

@@ -94,7 +94,7 @@ def test_query_against_brute_force(spark):
 def test_rarest_shingle_leads(spark):
     item = spark.createDataFrame([("1", "a b c d e f g")], "item_id string, text string")
     windows = D.benchmark_windows(item, "item_id", "text", 5)
-    keys, _ = D.shingle_keys([[w.encode() for w in "abcdefg"]], 3)
+    keys, _ = D.Words([b"a b c d e f g"]).keys(3)
     counts = spark.createDataFrame([(int(k), 1 if i == 2 else 9) for i, k in enumerate(keys)], "key long, n long")
     got = D.prefixes(windows, counts).collect()
     assert {r["key"] for r in got} == {int(keys[2])} and sorted(r["offset"] for r in got) == [0, 1, 2]
