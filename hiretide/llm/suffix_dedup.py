@@ -38,9 +38,9 @@ from hiretide.operators.scratch import materialise
 WINDOW = 200
 ANCHOR = 48
 #: Bytes of segments in a shard, on average.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 20
 #: Segments of one anchor that a shard takes.
-SEGMENTS = 512
+SEGMENTS = 2048
 #: Bytes of text worked on at once.
 PIECE = 1 << 20
 #: Bits of a place within what is worked on at once; the rest of a word is the anchor's hash.
