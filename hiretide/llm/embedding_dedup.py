@@ -123,9 +123,10 @@ def _keyed(vectors: DataFrame, vec: str, label: str, key: str) -> DataFrame:
             x = None if not v.is_valid or name is None or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(kind)
             usable = x is not None and len(x) and np.isfinite(x).all()
             if usable:
-                with np.errstate(over="ignore", under="ignore"):
-                    norm = (x.astype(np.float64) ** 2).sum()
-                usable = np.isfinite(norm) and norm > 0
+                most = float(np.abs(x).max())
+                usable = most > 0
+                if usable and not 1e-100 < most < 1e100:  # its squares would over- or underflow; a power of two changes no cosine
+                    x = np.ldexp(x, -int(np.frexp(most)[1]))
             raw.append(x.tobytes() if usable else None)
             keys.append(xxhash.xxh3_128_digest(name.encode() + b"\0" + x.tobytes()) if usable else None)
         return {"raw": raw, key: keys, "dim": [len(x) // np.dtype(kind).itemsize if x else None for x in raw]}

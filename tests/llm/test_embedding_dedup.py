@@ -110,3 +110,11 @@ def test_edges(spark):
     assert all(by[i] == [(0, i, True)] for i in (3, 4, 5, 6, 7, 8, 9, 12)) and by[10] == [(1, 10, True)] and by[11] == [(1, 10, False)]
     assert E.embedding_links(frame.limit(0)).count() == 0
     assert E.embedding_links(frame.where("vec_id = 6")).collect()[0]["n_links"] == 0
+
+
+def test_very_large_and_very_small_components_link(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e-200, 1e-200], 1), (3, [5e-324, 5e-324], 1), (4, [1.7e308, 1.6e308], 1), (5, [1.0, 1.0], 1),
+            (6, [0.0, 0.0], 1), (7, [1e200, -1e200], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.embedding_links(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (4, 1) for i in range(1, 6)} | {6: (0, 6), 7: (0, 7)}
