@@ -1,15 +1,17 @@
 """License scans by conditional compression.
 
 Paragraphs (runs of lines up to one without a word) that hold a licence cue are
-read as words, so line breaks and comment marks do not count.  Every stretch of
-a template's length that holds most of its words is a window; it is compressed
-alone and with the template as a raw zstandard dictionary, and confirmed by its
-wording: the words of template and window are aligned and what is missing from
-and what is put into the template is reported.  Windows that overlap are readings
-of one notice, of which the closest stays; all others are reported each.
-
-What is left of a line with a cue (of a long one, the sentences around the cue)
-is reported with the template that saves most of it.
+read as words, so line breaks and comment marks do not count.  Candidates are
+the stretches of a template's length that can hold most of its words.  Each is
+compressed alone and with the template as a raw zstandard dictionary; they are
+ranked by the bytes the template saves.  From the greatest saving down, template
+and surroundings are aligned word by word, which gives the block's exact bounds;
+the block is compressed with every template, and the first in order of size
+whose wording confirms it names the licence, with the words that are missing
+from and put into it.  What a confirmed block covers is no part of a later one.
+
+What is left of a sentence with a cue is reported with the template that saves
+most of it.
 """
 
 from __future__ import annotations
@@ -55,9 +57,9 @@ CUES = (b"license", b"licence", b"licensed", b"copyright", b"spdx", b"rights res
 #: Shortest share of a block that the best template must save, and of the template's words that the block must hold.
 SAVES = 0.2
 HOLDS = 0.8
-LONG_BLOCK = 2000
 _LINE = re.compile(rb"[^\n\r]+")
 _SENTENCE = re.compile(rb"(?<=[.!?:])\s+")
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: A line without a word, which ends a paragraph, and a line break with the comment marks after it.
 _GAP = re.compile(rb"\n[^0-9a-z\x80-\xff]*\n")
@@ -69,7 +71,7 @@ def has_cue(lowered: bytes) -> bool:
 
 
 def blocks_of(text: bytes | None) -> list[tuple[int, int]]:
-    """Byte ranges of the blocks with a cue; a long line gives runs of neighbouring sentences with one."""
+    """Byte ranges of the sentences with a cue; a line ends a sentence, however long it is."""
     if not text:
         return []
     lowered = text.lower()
@@ -77,25 +79,28 @@ def blocks_of(text: bytes | None) -> list[tuple[int, int]]:
         return []
     out = []
     for line in _LINE.finditer(lowered):
-        a, b = line.span()
-        if not has_cue(line.group()):
-            continue
-        if b - a <= LONG_BLOCK:
-            out.append((a, b))
-            continue
-        cuts = [a, *(a + m.end() for m in _SENTENCE.finditer(line.group())), b]
-        run: list[int] | None = None
-        for i, j in zip(cuts, cuts[1:]):
-            if has_cue(lowered[i:j]):
-                run = [run[0], j] if run else [i, j]
-            elif run:
-                out.append(tuple(run))
-                run = None
-        if run:
-            out.append(tuple(run))
+        if has_cue(line.group()):
+            a = line.start()
+            cuts = [a, *(a + x for m in _SENTENCE.finditer(line.group().rstrip()) for x in m.span()), a + len(line.group().rstrip())]
+            out += [(i, j) for i, j in zip(cuts[::2], cuts[1::2]) if has_cue(lowered[i:j])]
     return out
 
 
+def room(words: list[bytes]) -> int:
+    """Words that may be put into a template."""
+    return max(2, len(words) // 4)
+
+
+def least(words: list[bytes]) -> int:
+    """Words of a template that a confirmed notice holds."""
+    return max(1, int(np.ceil(HOLDS * len(words) - 1e-9)))
+
+
+def differing(found: dict) -> int:
+    """Words that a block lacks and that it has beside the template's."""
+    return len(found["missing"].split()) + len(found["extra"].split())
+
+
 def paragraphs_of(lowered: bytes) -> list[tuple[int, int]]:
     """Byte ranges between lines without a word, of those with a cue; line breaks are ``\\n``."""
     cuts = [0, *(x for m in _GAP.finditer(lowered) for x in m.span()), len(lowered)]
@@ -142,53 +147,72 @@ class Scanner:
     def _rest(self, text: bytes, a: int, b: int) -> list[dict]:
         return [self._block(text, a, b)] if a < b and has_cue(text[a:b].lower()) else []
 
-    def _notices(self, lowered: bytes, a: int, b: int) -> list[dict]:
-        """The confirmed windows of a paragraph, none of which overlap."""
-        places = [m.span() for m in _WORD.finditer(lowered, a, b)]
-        own = [lowered[x:y] for x, y in places]
+    def _candidates(self, own: list[bytes]) -> list[tuple[int, int]]:
+        """(template, start) of all windows with as many of a template's words as a confirmed notice has at least."""
         where: dict[bytes, list[int]] = {}
         for i, w in enumerate(own):
             where.setdefault(w, []).append(i)
-        found, seen = [], {}  # a repeated line is aligned once
+        out = []
         for template, words in enumerate(self.words):
-            least = max(1, int(np.ceil(HOLDS * len(words) - 1e-9)))
             held = np.zeros(len(own) + 1, np.int64)
             for w in self.sets[template]:
                 held[[i + 1 for i in where.get(w, ())]] = 1
-            # a window has room for words put into the template
-            size = len(words) + max(2, len(words) // 4)
             total = np.cumsum(held)
-            ends = np.minimum(np.arange(len(own)) + size, len(own))
-            starts = np.flatnonzero((total[ends] - total[:-1] >= least) & (held[1:] > 0))
-            for i in starts.tolist():
-                window = own[i:i + size]
-                if (key := (template, *window)) not in seen:
-                    seen[key] = self._confirm(template, window)
-                notice = seen[key]
-                # the notice itself may begin later in the window: it has its own turn then
-                if notice["held"] < HOLDS or notice["inside"][0] > 0:
-                    continue
-                x, y = places[i][0], places[i + notice["inside"][1] - 1][1]
-                shown = _WRAP.sub(b" ", lowered[x:y])
-                if (key := (template, shown)) not in seen:
-                    seen[key] = len(self.plain.compress(shown)), len(self.with_template[template].compress(shown))
-                alone, conditional = seen[key]
-                saves = (alone - conditional) / alone
-                if saves < SAVES:
-                    continue
-                closeness = len(words) * (2 * notice["held"] - 1) - (len(notice["extra"].split()) if notice["extra"] else 0)
-                first, last = i, i + notice["inside"][1]
-                notice = notice | {"first": x, "end": y, "alone": alone, "conditional": conditional, "saves": saves, "confirmed": True}
-                found.append((-closeness, -(alone - conditional), first, last, template, notice))
+            # a notice has room for words put into the template
+            ends = np.minimum(np.arange(len(own)) + len(words) + room(words), len(own))
+            starts = np.flatnonzero((total[ends] - total[:-1] >= least(words)) & (held[1:] > 0))
+            out += [(template, i) for i in starts.tolist()]
+        return out
+
+    def _notices(self, lowered: bytes, a: int, b: int) -> list[dict]:
+        """The confirmed blocks of a paragraph, none of which overlap."""
+        places = [m.span() for m in _WORD.finditer(lowered, a, b)]
+        own = [lowered[x:y] for x, y in places]
+
+        def shown(i: int, j: int) -> bytes:
+            return _WRAP.sub(b" ", lowered[places[i][0]:places[j - 1][1]])
+
+        saved: dict[tuple, int] = {}  # a repeated line is compressed once
+        ranked = []
+        for template, i in self._candidates(own):
+            block = shown(i, min(i + len(self.words[template]), len(own)))
+            if (key := (template, block)) not in saved:
+                saved[key] = len(self.plain.compress(block)) - len(self.with_template[template].compress(block))
+            ranked.append((-saved[key], i, template))
         taken, out = np.zeros(len(own), bool), []
-        for _, _, first, last, _, notice in sorted(found, key=lambda f: f[:5]):
-            if not taken[first:last].any():
-                taken[first:last] = True
-                out.append(notice)
+        aligned: dict[tuple, dict] = {}
+        judged: dict[bytes, dict] = {}
+        for _, i, template in sorted(ranked):
+            if taken[i]:
+                continue
+            words = self.words[template]
+            first, last = max(0, i - room(words)), min(len(own), i + len(words) + room(words))
+            before, after = np.flatnonzero(taken[first:i]), np.flatnonzero(taken[i:last])
+            first, last = first + int(before[-1]) + 1 if len(before) else first, i + int(after[0]) if len(after) else last
+            if last - first < least(words):
+                continue
+            if (key := (template, *own[first:last])) not in aligned:
+                aligned[key] = self._confirm(template, own[first:last])
+            near = aligned[key]
+            if near["held"] < HOLDS:
+                continue
+            # with what stands where the template has other words at its ends, which may be another template's
+            x, y = (first + n for n in near["inside"])
+            x, y = max(first, x - near["lost"][0]), min(last, y + near["lost"][1])
+            if (block := shown(x, y)) not in judged:
+                judged[block] = self.scan(block)
+            found = judged[block]
+            if found["confirmed"]:
+                x, y = (x + n for n in found["inside"])
+                taken[x:y] = True
+                out.append(found | {"first": places[x][0], "end": places[y - 1][1]})
         return sorted(out, key=lambda n: n["first"])
 
     def scan(self, block: bytes) -> dict:
-        """The template that saves most and whose wording confirms it, and how the wordings differ."""
+        """The template that saves most and whose wording confirms it, and how the wordings differ.
+
+        Of templates that save the same number of bytes the one with the fewest different words counts.
+        """
         shown = block.lower()
         alone = len(self.plain.compress(shown))
         sizes = [len(c.compress(shown)) for c in self.with_template]
@@ -196,15 +220,17 @@ class Scanner:
         # the ranking; equal sizes go to the template whose length is nearer, then the earlier one
         ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], abs(len(self.words[i]) - len(own)), i))
         tried = [i for i in ranked if alone - sizes[i] >= SAVES * alone] or ranked[:1]
-        first = None
-        for best in tried:
-            found = self._confirm(best, own)
-            found |= {"alone": alone, "conditional": sizes[best], "saves": (alone - sizes[best]) / alone}
+        first = winner = None
+        for template in tried:
+            if winner and sizes[template] > winner["conditional"]:
+                break
+            found = self._confirm(template, own)
+            found |= {"alone": alone, "conditional": sizes[template], "saves": (alone - sizes[template]) / alone}
             found["confirmed"] = found["saves"] >= SAVES and found["held"] >= HOLDS
-            if found["confirmed"]:
-                return found
+            if found["confirmed"] and (winner is None or differing(found) < differing(winner)):
+                winner = found
             first = first or found
-        return first
+        return winner or first
 
     def _confirm(self, template: int, own: list[bytes]) -> dict:
         """How the block's wording differs from the template's."""
@@ -213,11 +239,12 @@ class Scanner:
         same = [s for s in steps if s[0] == "equal"]
         missing = [w for kind, a, b, _, _ in steps if kind != "equal" for w in words[a:b]]
         inside = (same[0][3], same[-1][4]) if same else (0, 0)
+        lost = (same[0][1], len(words) - same[-1][2]) if same else (len(words), 0)
         extra = [w for kind, _, _, c, d in steps if kind != "equal" for w in own[max(c, inside[0]):min(d, inside[1])]]
         return {
             "license": self.templates[template][0], "template": template, "held": sum(s[2] - s[1] for s in same) / len(words),
             "missing": b" ".join(missing).decode("utf-8", "replace"), "extra": b" ".join(extra).decode("utf-8", "replace"),
-            "exact": not missing and not extra, "inside": inside,
+            "exact": not missing and not extra, "inside": inside, "lost": lost,
         }
 
 
@@ -228,10 +255,11 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
     """Every row without its text, with ``blocks``: each confirmed notice and each other block with a cue, its template and how it differs.
 
     first and end are byte positions in the text; missing are the template's words that the block lacks, extra
-    what stands between those it has.  Null and empty texts and texts
-    without a cue have no block; repeated blocks are reported each.
+    what stands between those it has.  Templates may be whole licence texts: each of their paragraphs is a template.
+    Null and empty texts and texts without a cue have no block; repeated blocks are reported each.  Of templates
+    that save as much the one with the fewest different words counts, then the nearer length, then as listed.  An input column named ``blocks`` is replaced.
     """
-    templates = templates or TEMPLATES
+    templates = [(name, part) for name, whole in templates or TEMPLATES for part in _PARAGRAPH.split(whole) if plain_words(part.encode())]
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         state = worker_state()
@@ -240,7 +268,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str
         scanner = state["licenses"][1]
         out = []
         for t in column_bytes(batch, text):
-            out.append([{k: v for k, v in n.items() if k != "inside"} for n in scanner.find(t)])
+            out.append([{k: v for k, v in n.items() if k not in ("inside", "lost")} for n in scanner.find(t)])
         return {"blocks": out}
 
     return map_rows(docs, run, f"blocks array<{_FOUND}>", [text])

@@ -1,6 +1,9 @@
 import json
+import random
 import textwrap
 
+import numpy as np
+
 from hiretide.llm import license_scan as L
 from hiretide.llm import queries
 
@@ -94,3 +97,92 @@ def test_found_in_the_table(spark):
     docs = spark.createDataFrame([(1, text), (2, "Released under the MIT License. Licensed under CC BY 4.0.")], "doc_id long, text string")
     got = {r["doc_id"]: [b["license"] for b in r["blocks"] if b["confirmed"]] for r in L.scan_licenses(docs).collect()}
     assert got == {1: ["MIT"], 2: ["MIT", "CC-BY-4.0"]}
+
+
+def test_equal_sizes_are_told_by_wording():
+    scanner = L.Scanner(L.TEMPLATES)
+    for n in "23":
+        block = f"This work is licensed under the GNU General Public License, version {n}".encode()
+        sizes = [len(c.compress(block.lower())) for c in scanner.with_template]
+        if n == "3":
+            assert sizes.count(min(sizes)) > 1  # a last character of its own costs nothing
+        found = scanner.scan(block)
+        assert found["license"] == f"GPL-{n}.0" and found["exact"]
+    twins = L.Scanner([("A", "Licensed under one two three."), ("B", "Licensed under one two three.")])
+    assert twins.scan(b"licensed under one two three")["license"] == "A"
+
+
+def test_blocks_do_not_depend_on_the_length_of_a_line():
+    part = "The licence of part {} was granted late. Nobody spoke of it. "
+    for n in (1, 5, 20, 60, 200):
+        text = "".join(part.format(i) for i in range(n))
+        in_one, in_many = (L.Scanner(L.TEMPLATES).find(t.encode()) for t in (text, text.replace(". ", ".\n")))
+        assert len(in_one) == len(in_many) == n
+        assert [(b["license"], b["conditional"], b["confirmed"]) for b in in_one] == [(b["license"], b["conditional"], b["confirmed"]) for b in in_many]
+
+
+def test_a_whole_licence_is_as_many_templates_as_paragraphs(spark):
+    whole = dict(L.TEMPLATES)["MIT"] + "\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
+    shown = "\n".join(textwrap.wrap(whole.split("\n\n")[0], 60)) + "\n\n" + "\n".join(textwrap.wrap(whole.split("\n\n")[1], 60))
+    docs = spark.createDataFrame([(1, shown)], "doc_id long, text string")
+    blocks = L.scan_licenses(docs, templates=[("MIT", whole), ("Other", "Licensed under some other words.")]).first()["blocks"]
+    assert [(b["license"], b["template"], b["exact"], b["confirmed"]) for b in blocks] == [("MIT", 0, True, True), ("MIT", 1, True, True)]
+
+
+def brute_force(scanner, text):
+    """Every window of a template's length, with every template; the greatest saving first, none over another."""
+    own = text.encode().lower().split()
+    ranked = []
+    for k, words in enumerate(scanner.words):
+        for i in range(len(own)):
+            wide = own[i:i + len(words) + max(2, len(words) // 4)]
+            if own[i] in words and sum(w in words for w in wide) >= L.HOLDS * len(words):
+                block = b" ".join(own[i:i + len(words)])
+                ranked.append((len(scanner.with_template[k].compress(block)) - len(scanner.plain.compress(block)), i, k))
+    taken, out = set(), []
+    for _, i, k in sorted(ranked):
+        if i in taken:
+            continue
+        around = max(2, len(scanner.words[k]) // 4)
+        first = last = i
+        while first > max(0, i - around) and first - 1 not in taken:
+            first -= 1
+        while last < min(len(own), i + len(scanner.words[k]) + around) and last not in taken:
+            last += 1
+        near = scanner._confirm(k, own[first:last])
+        if near["held"] < L.HOLDS:
+            continue
+        x, y = max(first, first + near["inside"][0] - near["lost"][0]), min(last, first + near["inside"][1] + near["lost"][1])
+        found = scanner.scan(b" ".join(own[x:y]))
+        if found["confirmed"]:
+            x, y = x + found["inside"][0], x + found["inside"][1]
+            taken |= set(range(x, y))
+            out.append((x, y, found["license"], found["template"], found["conditional"], found["missing"], found["extra"]))
+    return sorted(out)
+
+
+def test_against_all_windows_and_all_templates():
+    templates = [(n, " ".join(w.decode() for w in L.plain_words(t.encode()))) for n, t in L.TEMPLATES]
+    scanner, rng, met = L.Scanner(templates), random.Random(5), 0
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            words += rng.choices("some work of the license under which all may be granted copies by".split(), k=rng.randint(0, 12))
+            notice = rng.choice(templates)[1].split()
+            for _ in range(rng.randint(0, 1 + len(notice) // 8)):  # words lost, put in, and changed
+                at = rng.randrange(len(notice))
+                notice[at:at + rng.randint(0, 1)] = rng.choices(["kindly", "work", "license"], k=rng.randint(0, 1))
+            words += notice
+        text = " ".join(words)
+        place = {n: i for i, n in enumerate(np.cumsum([0, *(len(w) + 1 for w in words[:-1])]).tolist())}
+        got = [(place[b["first"]], place[b["first"]] + len(b["block"].split()), b["license"], b["template"], b["conditional"], b["missing"], b["extra"])
+               for b in scanner.find(text.encode()) if b["confirmed"]]
+        assert got == brute_force(scanner, text)
+        met += len(got)
+    assert met > 80
+
+
+def test_an_input_column_named_like_the_output_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", "x")], "doc_id long, text string, blocks string")
+    got = L.scan_licenses(docs)
+    assert got.columns == ["doc_id", "blocks"] and got.first()["blocks"][0]["license"] == "MIT"
