@@ -65,3 +65,23 @@ def test_edges(spark):
     assert sharding.interleaved_shards(spark.createDataFrame([], schema)).count() == 0
     few = sharding.interleaved_shards(spark.createDataFrame([(1, "a", 4, 5, 6), (2, None, 4, 5, 6)], schema), shards=5).collect()
     assert sorted(r["shard"] for r in few) == [0, 1] and {(r["hash_"], r["range_"], r["place_"]) for r in few} == {(4, 5, 6)}
+
+
+def test_counts_are_summed_up_over_blocks_of_ranges(spark, monkeypatch):
+    """The same order, however many ranges a block has; null sources are one."""
+    frame = spark.createDataFrame([(i, None if i % 5 == 0 else f"s{i % 3}") for i in range(300)], "doc_id long, source string")
+    whole = sorted(map(tuple, sharding.interleaved_shards(frame, shards=7, range_rows=1000).collect()))
+    monkeypatch.setattr(sharding, "BLOCK_RANGES", 3)
+    got = sorted(map(tuple, sharding.interleaved_shards(frame, shards=7, range_rows=9).collect()))
+    assert got == whole
+
+
+def test_input_columns_named_like_outputs_are_replaced(spark):
+    rows = [(i, "a", 0.5, i + 7, "x", i, i) for i in range(30)]
+    schema = "doc_id long, source string, rank_fraction double, shard long, slot string, n long, g long"
+    got = sharding.interleaved_shards(spark.createDataFrame(rows, schema), shards=4)
+    assert got.columns == ["doc_id", "source", "n", "g", "rank_fraction", "shard", "slot"]
+    verify(got.collect(), 4, 30)
+    # a key that is called like an output still shuffles
+    keyed = sharding.interleaved_shards(spark.createDataFrame(rows, schema), key="shard", shards=4)
+    verify(keyed.collect(), 4, 30)
