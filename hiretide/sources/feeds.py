@@ -56,16 +56,41 @@ def avature(raw: DataFrame, dim: DataFrame, cfg: DataFrame, rules: Rules = Rules
     return finish(rows, dim, rules, geo=False)
 
 
+#: Comments, instructions, CDATA sections and what lies between them, in the order of a well-formed document.
+_PARTS = r"(?s)(<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|[^<]+|<)"
+
+
+def _elements_only(body: Column) -> Column:
+    """The document without comments and instructions, CDATA sections written with entities.
+
+    In what comes out of a well-formed document every ``<`` begins a tag, so an item that
+    is only spoken of in a comment or a CDATA section is none.
+    """
+    def plain(part: Column) -> Column:
+        literal = F.substring(part, F.lit(10), F.length(part) - 12)
+        escaped = F.replace(F.replace(literal, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        return (
+            F.when(part.startswith("<!--") | part.startswith("<?"), "")
+            .when(part.startswith("<![CDATA["), escaped)
+            .otherwise(part)
+        )
+
+    marked = body.contains("<!") | body.contains("<?")
+    parts = F.regexp_extract_all(body, F.lit(_PARTS), F.lit(1))
+    return F.when(marked, F.array_join(F.transform(parts, plain), "")).otherwise(body)
+
+
 def _child(item: Column, tag: str) -> Column:
-    """Text of a child element: entities undone, or a CDATA section as it is."""
-    inner = F.regexp_extract(item, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
-    literal = F.regexp_extract(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
-    return strip(F.when(inner.contains("<![CDATA["), literal).otherwise(unescape(inner)))
+    """Text of the first such child element up to an element inside it, entities undone."""
+    inner = F.regexp_extract(item, rf"(?s)<{tag}(?:\s[^>]*)?(?<!/)>([^<]*)", 1)
+    return strip(unescape(inner))
 
 
 def boc_rss(raw: DataFrame, dim: DataFrame, cfg: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
     """Items at any depth; "Title (City, Province)"."""
-    items = F.regexp_extract_all("body", F.lit(r"(?s)(<item(?:\s[^>]*)?>.*?</item>)"), F.lit(1))
+    items = F.regexp_extract_all(
+        _elements_only(F.col("body")), F.lit(r"(?s)(<item(?:\s[^>]*)?(?<!/)>.*?</item\s*>)"), F.lit(1)
+    )
 
     def record(i: Column) -> Column:
         return F.struct(L.boc_title_location(_child(i, "title")).alias("p"), _child(i, "link").alias("url"))

@@ -218,3 +218,18 @@ def test_bodies_are_read_once_for_facts_and_once_a_source(spark, payload, dim, c
         return len(re.findall(r"FileScan parquet \[[^\]]*body#", df._jdf.queryExecution().executedPlan().toString()))
 
     assert bodies(got) == len(sources) and bodies(payloads.payload_facts(raw)) == 1
+
+
+def test_feed_items_in_comments_and_cdata_do_not_count(payload, dim, cfg):
+    item = "<item><title>Data Engineer (Ottawa, ON)</title><link>{}</link></item>"
+    body = ("<?xml version='1.0'?><?note " + item.format("in-note") + "?><rss><!-- " + item.format("in-comment") + " <![CDATA[ -->"
+            "<channel><about><![CDATA[<!-- " + item.format("in-cdata") + "]]></about>" + item.format("a")
+            + "<item/><item ><title>Data <!-- no -->Engineer <![CDATA[& <b>BI</b> (Toronto, ON)]]></title><link><![CDATA[b?x=1&y=2]]></link></item >"
+            + "<item><title/><link>none</link></item></channel></rss>")
+    got = feeds.boc_rss(payload("boc_rss", body), dim, cfg)
+    assert [r["url"] for r in got.orderBy("pos").collect()] == ["a", "b?x=1&y=2"]
+    assert got.orderBy("pos").collect()[1]["title"].startswith("Data Engineer &")
+    long = "<rss>" + "<!-- x < y -->" * 40000 + item.format("z") + "</rss>"
+    start = time.time()
+    assert [r["url"] for r in feeds.boc_rss(payload("boc_rss", long), dim, cfg).collect()] == ["z"]
+    assert time.time() - start < 20
