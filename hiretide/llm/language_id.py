@@ -206,7 +206,10 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", drop: tuple[str, ...] = ()) -> DataFrame:
-    """Every row, without the columns to drop, with the predicted language and its calibrated probability; ``und`` and 0 without a letter."""
+    """Every row, without the columns to drop, with the predicted language and its calibrated probability; ``und`` and 0 without a letter.
+
+    Of equal probabilities the language first in alphabetical order counts.  Input columns named like an output are replaced.
+    """
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         found = [model.predict(t) for t in batch.column(text).to_pylist()]

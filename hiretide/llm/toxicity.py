@@ -244,7 +244,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """Every row without its text, with ``<category>_prob`` and, by its threshold, ``<category>`` for each category.
 
-    A null text is read as an empty one, which no word speaks against.
+    A null text is read as an empty one, which no word speaks against.  A probability equal to the threshold counts as
+    positive.  Input columns named like an output are replaced.
     """
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         found = np.array([chain.probabilities(t) for t in column_bytes(batch, text)]).reshape(-1, len(chain.categories))

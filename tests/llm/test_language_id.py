@@ -75,3 +75,25 @@ def test_temperature_softens_what_is_too_sure():
     sure = np.eye(3)[np.where(rng.random(3000) < 0.7, y, rng.integers(0, 3, 3000))] * 20
     t = L.fit_temperature(sure, y)
     assert t > 5 and abs(L.softmax(sure / t).max(1).mean() - 0.8) < 0.05
+
+
+def test_scores_recomputed_from_the_weights(spark):
+    """Plain sums over the features, ties to the first language, and output names that the input has."""
+    rng = np.random.default_rng(1)
+    model = L.Model(["aa", "bb", "cc"], rng.random(L.DIM) + 1, rng.normal(size=(L.DIM + 1, 3)), 1.7)
+    texts = ["abc", "Abc abc", "\u00e9t\u00e9 ", "x" * 5000, "12", "", None, "abc"]
+    docs = spark.createDataFrame([(i, t, 5, "s") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred int, score string")
+    got = L.identify(docs, model)
+    assert sorted(got.columns) == ["doc_id", "lang_pred", "score", "text"]
+    for r in got.collect():
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        own, tf = L.features(r["text"])
+        x = [float(t) * float(model.idf[f]) for f, t in zip(own, tf)]
+        norm = sum(v * v for v in x) ** 0.5
+        z = [(model.weights[-1][k] + sum(v / norm * model.weights[f][k] for f, v in zip(own, x))) / 1.7 for k in range(3)]
+        e = [float(np.exp(v - max(z))) for v in z]
+        assert r["lang_pred"] == model.languages[z.index(max(z))] and abs(r["score"] - max(e) / sum(e)) < 1e-9
+    even = L.Model(["aa", "bb"], np.ones(L.DIM), np.zeros((L.DIM + 1, 2)), 1.0)
+    assert even.predict("abc") == ("aa", 0.5)

@@ -69,3 +69,14 @@ def test_sample_is_bounded_under_repeated_ids(spark):
             own = sum(t != "text" and int(t.split()[1]) % 2 for t in got)
             assert own >= hot * len(got) and got.count("text") <= 10
     assert X._sampled(frame, ["a"], "text", "doc_id", 8000).count() == 8000
+
+
+def test_ties_and_input_columns_named_like_outputs(spark):
+    """Zero weights give one half everywhere; a probability at its threshold is positive."""
+    chain = X.Chain(["a", "b"], {})
+    chain.weights = [np.zeros(X.STYLES + k + 1) for k in range(2)]
+    chain.thresholds = [0.5, 0.6]
+    docs = spark.createDataFrame([(1, "words", "x", 3), (1, "words", "x", 3), (2, None, "y", 4)], "doc_id long, text string, a string, b_prob int")
+    got = X.predict(docs, chain)
+    assert sorted(got.columns) == ["a", "a_prob", "b", "b_prob", "doc_id"]
+    assert [(r["a_prob"], r["a"], r["b_prob"], r["b"]) for r in got.collect()] == [(0.5, True, 0.5, False)] * 3
