@@ -30,9 +30,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _KEEP_US = V.STATE_DAYS * 24 * 3600 * 1_000_000
 LATENESS = "2 days"
+#: Buckets of fingerprints that share their state calls; fixed for the life of a checkpoint.
+BUCKETS = 2048
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _firsts(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values("tie_no", kind="stable").drop_duplicates(["fp", "run_us"])
+
+
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """First row per (fingerprint, run) of each Arrow batch.
 
@@ -41,18 +47,22 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     times.
     """
     for pdf in batches:
-        yield pdf.sort_values("tie_no", kind="stable").drop_duplicates(["fp", "run_us"])
+        yield _firsts(pdf)
 
 
 class _Emitter(StatefulProcessor):
-    """Per fingerprint: the runs that emitted it, as long as they can suppress a row that is not late."""
+    """Per bucket of fingerprints: the runs that emitted each, as long as they can suppress a row that is not late.
+
+    A state call costs about a millisecond, so a bucket's entries are read and written together.
+    """
 
     def __init__(self, columns: list[str]) -> None:
         self.columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.emitted = handle.getValueState("emitted", "runs array<long>")
+        self.emitted = handle.getListState("emitted", "fp string, runs array<long>")
+        self.timer = handle.getValueState("timer", "at long")
 
     @staticmethod
     def _leaves(emitted: list[int]) -> int:
@@ -60,41 +70,57 @@ class _Emitter(StatefulProcessor):
         return (max(emitted) + _KEEP_US) // 1000
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one row a run is held, however many sightings come
-        best: dict[int, tuple[int, int, int]] = {}
-        frames: list[pd.DataFrame] = []
+        # one row a run and fingerprint is held, however many sightings come
+        best: pd.DataFrame | None = None
         for pdf in rows:
-            for at, (run, tie) in enumerate(zip(pdf["run_us"].tolist(), pdf["tie_no"].tolist())):
-                if run not in best or tie < best[run][0]:
-                    best[run] = tie, len(frames), at
-            frames.append(pdf)
-            if len(frames) > 1:  # many sightings: keep the rows that count
-                frames = [pd.concat([frames[f].iloc[[at]] for _, f, at in best.values()], ignore_index=True)]
-                best = {run: (tie, 0, at) for at, (run, (tie, _, _)) in enumerate(best.items())}
+            best = _firsts(pdf if best is None else pd.concat([best, pdf], ignore_index=True))
         passed = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
-        held = self.emitted.get()
-        before = list(held[0]) if held else []
-        emitted, picked, kinds = list(before), [], []
-        for run in sorted(best):
+        held = {fp: list(runs) for fp, runs in self.emitted.get()}
+        new: dict[str, list[int]] = {}
+        again, picked, kinds = False, [], []
+        fps, at_run = best["fp"].tolist(), best["run_us"].tolist()
+        for at in sorted(range(len(fps)), key=at_run.__getitem__):
+            fp, run = fps[at], int(at_run[at])
             # a suppressed sighting does not refresh the entry
             late = run < passed
-            if late or not any(run - _KEEP_US < e <= run for e in emitted):
-                picked.append(best[run][2])
+            before = held.get(fp)
+            if late or not any(run - _KEEP_US < e <= run for e in before or new.get(fp, ())):
+                picked.append(at)
                 kinds.append("late" if late else "new")
-                if not late:
-                    emitted.append(run)
-        if len(emitted) > len(before):
-            self.emitted.update((sorted(emitted),))
-            timer = self._leaves(emitted)
-            if before and self._leaves(before) != timer:
-                self.handle.deleteTimer(self._leaves(before))
-            if not before or self._leaves(before) != timer:
-                self.handle.registerTimer(timer)
+                if not late and before is None:
+                    new.setdefault(fp, []).append(run)
+                elif not late:
+                    before.append(run)
+                    again = True
+        if again:
+            self.emitted.put([(fp, sorted(runs)) for fp, runs in {**held, **new}.items()])
+        elif new:
+            self.emitted.appendList(list(new.items()))
+        if again or new:
+            self._wake(min(map(self._leaves, [*held.values(), *new.values()])))
         if picked:
-            yield frames[0].iloc[picked][self.columns].assign(decision=kinds)
+            yield best.iloc[picked][self.columns].assign(decision=kinds)
+
+    def _wake(self, at: int) -> None:
+        """One timer a bucket, at its first entry to leave or before."""
+        before = self.timer.get()
+        if not before or at < before[0]:
+            if before:
+                self.handle.deleteTimer(before[0])
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.emitted.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [(fp, list(runs)) for fp, runs in self.emitted.get()]
+        stay = [(fp, runs) for fp, runs in held if self._leaves(runs) >= now]
+        self.timer.clear()
+        if not stay:
+            self.emitted.clear()
+            return iter(())
+        if len(stay) < len(held):
+            self.emitted.put(stay)
+        self._wake(min(self._leaves(runs) for _, runs in stay))
         return iter(())
 
     def close(self) -> None:
@@ -108,7 +134,7 @@ def _marked(sightings: DataFrame, run_ts: str, seq: str) -> DataFrame:
     )
 
 
-def dedup_stream(sightings: DataFrame, run_ts: str, seq: str, lateness: str = LATENESS) -> DataFrame:
+def dedup_stream(sightings: DataFrame, run_ts: str, seq: str, lateness: str = LATENESS, buckets: int = BUCKETS) -> DataFrame:
     """Emissions of a stream of postings: the whole posting, with ``fp``, ``run_us`` and ``decision``.
 
     ``run_us`` is the run start in epoch microseconds; within one run the row
@@ -118,7 +144,8 @@ def dedup_stream(sightings: DataFrame, run_ts: str, seq: str, lateness: str = LA
     would decide it may be gone: it comes out with the decision ``late``, to be
     kept beside; ``new`` are the emissions.  A fingerprint's entry leaves when the
     watermark is 14 days past its last emission, that is 14 days and ``lateness``
-    after it.  Needs the RocksDB state store (``run_available`` sets it).
+    after it.  State is kept by ``buckets`` of fingerprints, each read and written
+    whole.  Needs the RocksDB state store (``run_available`` sets it).
     """
     # the watermark's own column ends here: rows behind it are told apart below, not dropped unseen
     timed = sightings.withColumn("event_at", F.col(run_ts).cast("timestamp")).withWatermark("event_at", lateness)
@@ -126,7 +153,8 @@ def dedup_stream(sightings: DataFrame, run_ts: str, seq: str, lateness: str = LA
     columns = [f for f in rows.schema if f.name != "tie_no"]
     out = T.StructType([*columns, T.StructField("decision", T.StringType())])
     combined = rows.mapInPandas(_combine, rows.schema)
-    return combined.groupBy("fp").transformWithStateInPandas(_Emitter([f.name for f in columns]), out, "append", "eventTime")
+    dealt = combined.withColumn("__bucket", F.pmod(F.xxhash64("fp"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("__bucket").transformWithStateInPandas(_Emitter([f.name for f in columns]), out, "append", "eventTime")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, late_path: str | None = None) -> None:

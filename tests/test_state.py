@@ -140,6 +140,21 @@ def test_stream_state_expires_and_late_rows_are_kept_beside(spark):
     assert held <= 14 + 2 + 10 + 1  # the last batch's own ten days count until the watermark has passed
 
 
+def test_stream_state_is_kept_by_buckets(spark):
+    """Sightings of many postings share the state calls of their bucket; an entry that emits again stays one."""
+    path = scratch_path(spark, "stream-buckets")
+    titles = [f"t{n}" for n in range(60)]
+    for days in ([0, 3, 13.5], [14, 15], [28]):
+        rows = [("c", t, "l", DAY0 + timedelta(days=d), n) for d in days for n, t in enumerate(titles)]
+        seen_stream.run_available(
+            seen_stream.dedup_stream(land(spark, path, spark.createDataFrame(rows, COLS)), "run_ts", "seq", "60 days", buckets=4),
+            f"{path}/out", f"{path}/cp")
+    got = spark.read.parquet(f"{path}/out").groupBy("title").agg(F.sort_array(F.collect_list(F.timestamp_micros("run_us"))).alias("at")).collect()
+    assert {r.title: [(a - DAY0).days for a in r["at"]] for r in got} == {t: [0, 14, 28] for t in titles}
+    held = spark.read.format("statestore").option("stateVarName", "emitted").load(f"{path}/cp")
+    assert held.count() == 60 and held.select("key").distinct().count() <= 4
+
+
 def test_foreach_batch_run_again_emits_nothing_twice(spark):
     path = scratch_path(spark, "foreach-again")
     days = [[0, 5], [13.5, 14, 20], [28, 29]]
