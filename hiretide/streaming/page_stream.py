@@ -30,7 +30,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PATIENCE = "6 hours"
 #: A failed page of these makes the company unavailable; of other paged sources, the pages before it stay.
 _ALL_OR_NOTHING = ("netflix", "workday")
-_PAGE = "attempt int, page_no int, status int, readable boolean, n_items long, total long"
+_PAGE = "attempt: int, page_no: int, status: int, readable: boolean, n_items: bigint, total: bigint"
+_FACTS = ("attempt", "page_no", "status", "readable", "n_items", "total")
+_BODY = "attempt int, page_no int, status int, fetched_us long, body string"
 
 
 def settle(source: str, size: int | None, pages: list[dict], over: bool, max_pages: int | None = None) -> tuple[int, int] | None | bool:
@@ -64,74 +66,83 @@ def settle(source: str, size: int | None, pages: list[dict], over: bool, max_pag
 
 
 class _Assembler(StatefulProcessor):
-    """Per (source, company): facts of its pages, their bodies, and the decision once there is one."""
+    """Per (source, company): facts of its pages, their bodies, and the decision once there is one.
+
+    A state call costs more than the rows of a call, so a company is read and written by a fixed number of calls,
+    however many pages come.
+    """
 
     def __init__(self, columns: list[str], sizes: dict[str, int], patience_ms: int, max_pages: int | None) -> None:
         self.columns, self.sizes, self.patience, self.max_pages = columns, sizes, patience_ms, max_pages
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.facts = handle.getListState("facts", _PAGE)
-        self.bodies = handle.getMapState("bodies", "attempt int, page_no int", "status int, fetched_us long, body string")
-        self.decided = handle.getValueState("decided", "attempt int, keep_to int")
-        self.timer = handle.getValueState("timer", "at long")
-
-    def _page(self, key, attempt: int, number: int, status: int, fetched: int, body: str | None) -> dict:
-        return {"source": key[0], "company": key[1], "attempt": attempt, "page_no": number, "status": status, "fetched_us": fetched, "body": body}
+        # the decision, null while it is open, when the company is given up, and what is known of its pages
+        self.known = handle.getValueState("known", f"attempt int, keep_to int, until long, facts array<struct<{_PAGE}>>")
+        self.bodies = handle.getListState("bodies", _BODY)
 
     def _kept(self, decision: tuple[int, int], attempt: int, number: int) -> bool:
         return attempt == decision[0] and (decision[1] == -1 or number <= decision[1])
 
-    def _out(self, rows: list[dict]) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame(rows, columns=self.columns)
+    def _out(self, key, pages: list[tuple]) -> Iterator[pd.DataFrame]:
+        if pages:
+            yield pd.DataFrame([(key[0], key[1], *page) for page in pages], columns=self.columns)
 
-    def _try(self, key, over: bool) -> Iterator[pd.DataFrame]:
-        pages = [dict(zip(("attempt", "page_no", "status", "readable", "n_items", "total"), p)) for p in self.facts.get()]
-        paged = key[0] in self.sizes
+    def _decide(self, key, facts: list[tuple], over: bool) -> tuple[int, int] | None:
+        """The decision, (-1, -2) for a company without any page, None if it is open."""
+        pages = [dict(zip(_FACTS, p)) for p in facts]
         found = settle(key[0], self.sizes.get(key[0]), pages, over, self.max_pages)
         if found is False:
-            return
-        nothing = found is None or (paged and found[1] < 0)
-        decision = (-1, -2) if nothing else found
-        self.decided.update(decision)
-        rows = []
-        if not nothing:
-            for (attempt, number), (status, fetched, body) in list(self.bodies.iterator()):
-                if self._kept(decision, attempt, number):
-                    rows.append(self._page(key, attempt, number, status, fetched, body))
-        self.bodies.clear()
-        self.facts.clear()
-        yield from self._out(rows)
+            return None
+        return (-1, -2) if found is None or (key[0] in self.sizes and found[1] < 0) else found
+
+    def _chosen(self, decision: tuple[int, int], bodies: list[tuple]) -> list[tuple]:
+        """The pages that count; one that was landed again is the later one."""
+        last = {(body[0], body[1]): body for body in bodies}
+        return [body for place, body in last.items() if self._kept(decision, *place)]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        decision, latest, straight, facts = self.decided.get(), 0, [], []
+        attempt, keep_to, until, facts = self.known.get() or (None, None, None, [])
+        decision, facts = None if attempt is None else (attempt, keep_to), [tuple(p) for p in facts]
+        begun, latest, bodies = until is not None, 0, []
         for pdf in rows:
-            for r in pdf.to_dict("records"):
-                attempt, number, status, fetched = int(r["attempt"]), int(r["page_no"]), int(r["status"]), int(r["fetched_us"])
+            columns = [pdf[c].tolist() for c in ("attempt", "page_no", "status", "fetched_us", "body", "readable", "n_items", "total")]
+            for attempt, number, status, fetched, body, readable, n_items, total in zip(*columns):
+                attempt, number, status, fetched = int(attempt), int(number), int(status), int(fetched)
                 latest = max(latest, fetched // 1000)
                 if decision:
-                    if self._kept(decision, attempt, number) and decision[1] == -1:  # a further page of an unpaged source
-                        straight.append(self._page(key, attempt, number, status, fetched, r["body"]))
+                    if decision[1] == -1 and self._kept(decision, attempt, number):  # a further page of an unpaged source
+                        bodies.append((attempt, number, status, fetched, body))
                     continue
-                facts.append((attempt, number, status, bool(r["readable"]), int(r["n_items"]), int(r["total"])))
-                self.bodies.updateValue((attempt, number), (status, fetched, r["body"]))
-        yield from self._out(straight)
-        before = self.timer.get()
-        if not before or latest + self.patience > before[0]:
-            if before:
-                self.handle.deleteTimer(before[0])
-            self.timer.update((latest + self.patience,))
-            self.handle.registerTimer(latest + self.patience)
-        if facts:
-            self.facts.appendList(facts)
-            yield from self._try(key, over=False)
+                facts.append((attempt, number, status, bool(readable), int(n_items), int(total)))
+                bodies.append((attempt, number, status, fetched, body))
+        until = max(until or 0, latest + self.patience)
+        if decision:
+            yield from self._out(key, bodies)
+        else:
+            decision = self._decide(key, facts, over=False)
+            if decision:
+                if begun:
+                    bodies = [*self.bodies.get(), *bodies]
+                    self.bodies.clear()
+                facts = []
+                yield from self._out(key, self._chosen(decision, bodies))
+            else:
+                self.bodies.appendList(bodies)
+        self.known.update((*(decision or (None, None)), until, facts))
+        if not begun:
+            self.handle.registerTimer(until)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.decided.exists():
-            yield from self._try(key, over=True)
-        for state in (self.decided, self.timer, self.facts, self.bodies):
-            state.clear()
+        attempt, _, until, facts = self.known.get()
+        if until >= timerValues.getCurrentWatermarkInMs():  # further pages came since the timer was set
+            self.handle.registerTimer(until)
+            return
+        if attempt is None:
+            decision = self._decide(key, [tuple(p) for p in facts], over=True)
+            yield from self._out(key, self._chosen(decision, list(self.bodies.get())))
+            self.bodies.clear()
+        self.known.clear()
 
     def close(self) -> None:
         pass

@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,58 @@ def test_bodies_leave_the_state_and_open_paging_is_settled_by_time(spark):
     land(page("clock", 0, 1, 1, hours=100))
     got = land(page("clock", 0, 1, 1, hours=200))
     assert ("open", 0, 0) in got and len(got) == 6
+
+
+class _Counted:
+    """A state variable, or the handle itself, that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def getValueState(self, *_):
+        return _Counted(self.calls)
+
+    getListState = getMapState = getValueState
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def appendList(self, values):
+        self.calls.append("appendList")
+        self.held = [*(self.held or []), *values]
+
+    def updateValue(self, *_):
+        self.calls.append("updateValue")
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = None
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+
+    deleteTimer = registerTimer
+
+
+def test_state_calls_of_a_company_do_not_grow_with_its_pages():
+    size = V.PAGE_SIZE["smartrecruiters"]
+    columns = ["source", "company", "attempt", "page_no", "status", "fetched_us", "body"]
+
+    def pages(first, last):
+        return pd.DataFrame([(0, n, 200, n, f"b{n}", True, size, 300 * size) for n in range(first, last)],
+                            columns=["attempt", "page_no", "status", "fetched_us", "body", "readable", "n_items", "total"])
+
+    calls = []
+    assembler = page_stream._Assembler(columns, {"smartrecruiters": size}, 1000, None)
+    assembler.init(_Counted(calls))
+    key = ("smartrecruiters", "A")
+    assert list(assembler.handleInputRows(key, iter([pages(1, 200)]), None)) == [] and len(calls) <= 4
+    calls.clear()
+    out = pd.concat(list(assembler.handleInputRows(key, iter([pages(200, 300), pages(0, 1), pages(150, 151)]), None)))
+    assert sorted(out["page_no"]) == list(range(300)) and set(out["body"]) == {f"b{n}" for n in range(300)}
+    assert len(calls) <= 4
