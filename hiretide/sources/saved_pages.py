@@ -71,9 +71,18 @@ def native_links(html: Column) -> Column:
 Known = dict[str, int]  # numbers of the selectors; none of them on the native way
 
 
-def _numbers(*rules: LinkRules | CardRules | None) -> Known:
-    every = dict.fromkeys(s for r in rules if r for s in selectors_of(r))
-    return {s: i for i, s in enumerate(every)}
+def _below_selectors(rules: LinkRules | CardRules) -> tuple[str, ...]:
+    """The selectors that are looked for below other elements."""
+    if isinstance(rules, LinkRules):
+        return (*rules.title_selectors, *rules.place_selectors)
+    return (*rules.titles, *rules.places, *rules.posted, "a")
+
+
+def _numbers(*rules: LinkRules | CardRules | None) -> tuple[Known, int]:
+    """Numbers of all selectors, and how many of them, the first ones, are looked for below other elements."""
+    below = dict.fromkeys(s for r in rules if r for s in _below_selectors(r))
+    every = dict.fromkeys([*below, *(s for r in rules if r for s in selectors_of(r))])
+    return {s: i for i, s in enumerate(every)}, len(below)
 
 
 def _text(e: Column, native: bool) -> Column:
@@ -108,20 +117,25 @@ def choose_pattern(els: Column, patterns: tuple[str, ...], hits: int, otherwise:
     return F.coalesce(*options, F.filter(els, lambda e: F.lit(False)))
 
 
-def _firsts(scope: Column, selectors: tuple[str, ...], known: Known) -> Column:
-    """First match of each selector, in order; null where there is none."""
-    return let(scope, lambda sc: F.array(*[F.get(_matching(sc, s, known), F.lit(0)) for s in selectors]))
+def _firsts(e: Column, selectors: tuple[str, ...], known: Known) -> Column:
+    """First match of each selector below an element, in order; null where there is none."""
+    places = F.array(*[F.lit(known[s]) for s in selectors])
+    return let(e["first"], lambda first: F.transform(places, lambda s: F.get(F.col("els"), F.get(first, s))))
 
 
-def _first_text(scope: Column, selectors: tuple[str, ...], known: Known) -> Column:
-    """First non-blank text, selectors in order, first match of each; else ''."""
-    texts = F.transform(_firsts(scope, selectors, known), lambda e: _text(e, False))
+def _first_filled(texts: Column) -> Column:
+    """First text that is not blank, else ''; each is worked out once."""
     return text_or_blank(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)))
 
 
+def _first_text(e: Column, selectors: tuple[str, ...], known: Known) -> Column:
+    """First non-blank text below an element, selectors in order, first match of each; else ''."""
+    return _first_filled(F.transform(_firsts(e, selectors, known), lambda found: _text(found, False)))
+
+
 def _ancestor(e: Column, levels: int) -> Column:
     for _ in range(levels):
-        e = F.get(F.col("els"), F.when(e["parent"] >= 0, e["parent"]))
+        e = F.get(F.col("els"), e["parent"])  # none above the outermost, whose parent is -1
     return e
 
 
@@ -134,17 +148,17 @@ def link_records(els: Column, rules: LinkRules, match: Rules, known: Known | Non
     def title_of(e: Column) -> Column:
         title = _text(e, native)
         if rules.title_selectors:
-            title = first_non_empty(_first_text(_below(e), rules.title_selectors, known), title)
+            title = _first_filled(F.array(_first_text(e, rules.title_selectors, known), title))
         if rules.title_else == "parent":
             title = first_non_empty(title, let(_ancestor(e, 1), lambda up: _text(up, False)))
         return title
 
     def place_of(e: Column) -> Column:
         places = [
-            let(_ancestor(e, level), lambda up: _first_text(_below(up), rules.place_selectors, known))
+            let(_ancestor(e, level), lambda up: _first_text(up, rules.place_selectors, known))
             for level in rules.place_levels
         ]
-        return first_non_empty(*places, F.lit("")) if places else F.lit("")
+        return _first_filled(F.array(*places)) if places else F.lit("")
 
     def record(e: Column) -> Column:
         return F.struct(
@@ -206,8 +220,8 @@ def link_rows(
         records = let(native_links(F.col("html")), lambda els: link_records(els, rules, match, None, site_limits))
         return _produce(pages.withColumn("__l", records).drop("html"), F.col("__l"), default)
     tree = bool(rules.title_selectors or rules.place_levels or rules.title_else == "parent")
-    known = _numbers(rules)
-    parsed = with_elements(pages, "html", list(known), tree)
+    known, below = _numbers(rules)
+    parsed = with_elements(pages, "html", list(known), tree, below)
     return _produce(parsed, link_records(F.col("els"), rules, match, known, site_limits), default)
 
 
@@ -230,7 +244,7 @@ def card_records(rules: CardRules, match: Rules, known: Known, site_limits: bool
     asked = (*rules.titles, *rules.places, *rules.posted, "a")
 
     def look(card: Column) -> Column:
-        return F.transform(F.concat(_firsts(_below(card), asked, known), F.array(card)), shown)
+        return F.transform(F.concat(_firsts(card, asked, known), F.array(card)), shown)
 
     def record(found: Column) -> Column:
         titles = F.slice(found, 1, n_titles)
@@ -280,8 +294,8 @@ def card_rows(
     pages: DataFrame, rules: CardRules, match: Rules = Rules(), links: LinkRules | None = None, site_limits: bool = False
 ) -> DataFrame:
     """Posting rows from repeated blocks; pages without blocks use ``links``."""
-    known = _numbers(rules, links)
-    parsed = with_elements(pages, "html", list(known), True)
+    known, below = _numbers(rules, links)
+    parsed = with_elements(pages, "html", list(known), True, below)
     parsed = parsed.withColumn(
         "cards", choose_pattern(F.col("els"), rules.cards, rules.hits, None, known, rules.keep_last)
     )
@@ -347,7 +361,7 @@ def table_records(match: Rules, known: Known, site_limits: bool = False) -> Colu
 
 
 def table_rows(pages: DataFrame, match: Rules = Rules(), site_limits: bool = False) -> DataFrame:
-    known = _numbers(NJOYN)
+    known, _ = _numbers(NJOYN)
     parsed = with_elements(pages, "html", list(known), True)
     return _produce(parsed, table_records(match, known, site_limits), F.lit("Canada"))
 

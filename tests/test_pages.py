@@ -9,7 +9,7 @@ from hiretide.functions import entities
 from hiretide.functions.classify import Rules
 from hiretide.sources import saved_pages as S
 from hiretide.sources.selectors import CARDS, LINKS, anchor_only, own_tag_regexes, paths, selectors_of
-from hiretide.sources.tokeniser import parse_page
+from hiretide.sources.tokeniser import parse_page, with_elements
 
 
 @pytest.fixture(scope="module")
@@ -252,3 +252,20 @@ def selectors_in(rules):
 
     walk(rules)
     return found
+
+
+def test_first_matches_below_come_with_the_element(spark):
+    """The places of links are found without walking over what their parents hold."""
+    html = "<div>" + "".join(
+        f'<p><a href="/global/en/job/{n}">Data Engineer {n}</a>' + (f'<i class="location">Toronto {n}</i>' if n % 2 else "") + "</p>" for n in range(60)
+    ) + "</div>"
+    selectors = ["[class*='location']", "i", "b", "a"]
+    pages = spark.createDataFrame([(1, "https://s.example/x", html)], "page_id long, url string, html string")
+    els = with_elements(pages, "html", selectors, True, 3).first()["els"]
+    for e in els:
+        below = els[e["at"] + 1:e["at"] + 1 + e["n_below"]]
+        want = [next((x["at"] for x in below if n in x["hits"]), None) for n in range(3)]
+        assert e["first"] == (want if any(w is not None for w in want) else None)
+    rows = S.link_rows(pages, LINKS["microsoft"]).collect()
+    # its own paragraph's place, else the first one of the list around it
+    assert {r["url"].rsplit("/", 1)[1]: r["location"] for r in rows} == {str(n): f"Toronto {n if n % 2 else 1}" for n in range(60)}
