@@ -233,3 +233,16 @@ def test_feed_items_in_comments_and_cdata_do_not_count(payload, dim, cfg):
     start = time.time()
     assert [r["url"] for r in feeds.boc_rss(payload("boc_rss", long), dim, cfg).collect()] == ["z"]
     assert time.time() - start < 20
+
+
+def test_bodies_of_companies_routed_elsewhere_are_not_parsed(spark, payload, dim, cfg):
+    from hiretide.functions.classify import Rules
+    from hiretide.sources import registry
+
+    raw = payload("netflix", '{"count":1,"positions":[{"name":"Data Engineer","location":"Toronto"}]}').unionByName(
+        payload("netflix", '{"count":1,"positions":[{"name":"Data Engineer","location":"Toronto"}]}', company="unknown"))
+    rows = registry.from_payloads(raw, dim, cfg, "netflix", Rules(), facts=None)
+    assert [r["company"] for r in rows.collect()] == ["A"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    parsed = next(i for i, line in enumerate(plan) if "Generate" in line)
+    assert any("LeftSemi" in line for line in plan[parsed:])  # under the parsing: ahead of it
