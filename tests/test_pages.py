@@ -269,3 +269,12 @@ def test_first_matches_below_come_with_the_element(spark):
     rows = S.link_rows(pages, LINKS["microsoft"]).collect()
     # its own paragraph's place, else the first one of the list around it
     assert {r["url"].rsplit("/", 1)[1]: r["location"] for r in rows} == {str(n): f"Toronto {n if n % 2 else 1}" for n in range(60)}
+
+
+def test_links_are_not_looked_for_ahead_of_the_companies(spark, dim):
+    """No filter on the records is inferred, which would search all pages, and those left a second time."""
+    from hiretide.sources import registry
+
+    pages = spark.createDataFrame([("A", "scotiabank", 1, "https://s.example/", "<p></p>")], "company string, site string, page_id long, url string, html string")
+    plan = registry.page_rows(pages, dim, "scotiabank", Rules())._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and not re.search(r"Filter [^\n]*regexp_extract_all", plan)

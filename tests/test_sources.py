@@ -246,3 +246,32 @@ def test_bodies_of_companies_routed_elsewhere_are_not_parsed(spark, payload, dim
     plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
     parsed = next(i for i, line in enumerate(plan) if "Generate" in line)
     assert any("LeftSemi" in line for line in plan[parsed:])  # under the parsing: ahead of it
+
+
+def test_companies_are_joined_once_for_all_sources(payload, dim, cfg):
+    """One join with what is read and two with the companies, however many sources there are."""
+    for sources in (["netflix"], ["amazon", "netflix", "ibm", "meta", "shopify", "canadalife"]):
+        got = registry.all_sources(payload("netflix", "{}"), None, dim, cfg, sources=sources)
+        joins = re.findall(r"\bJoin\b", got._jdf.queryExecution().optimizedPlan().toString())
+        assert len(joins) == 3, sources
+
+
+def test_every_company_of_a_name_and_its_settings(spark, payload, dim, cfg):
+    """A name that 20 companies and 3 settings have: all of them, in blocks."""
+    jobs = json.dumps({"result": [{"id": i, "jobOpeningName": "Data Engineer", "location": {"city": "Toronto"}} for i in range(5)]})
+    one = named(dim, "Vendasta")
+    many = one.crossJoin(spark.range(20)).withColumn("category", F.concat(F.lit("c"), F.col("id") % 10)).drop("id")
+    settings = cfg.filter("source = 'bamboohr'").withColumn("company", F.lit("Vendasta")).crossJoin(spark.range(3)).withColumn(
+        "slug", F.concat(F.lit("s"), F.col("id"))).drop("id")
+    got = registry.all_sources(payload("bamboohr", jobs, company="Vendasta"), None, many, settings)
+    rows = got.groupBy("category", "url").count().collect()
+    assert len(rows) == 10 * 15 and {r["count"] for r in rows} == {2}
+
+
+def test_blocks_join_as_a_join_does(spark):
+    from hiretide.operators.joins import join_blocks
+
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 3), ("c", 4), (None, 5)], "k string, r int")
+    side = spark.createDataFrame([("a", i // 2) for i in range(7)] + [("b", 1), ("d", 2), (None, 3)], "k string, s int")
+    got = join_blocks(rows, side, ["k"], block_rows=2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(side, ["k"]).collect()))
